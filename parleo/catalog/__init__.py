@@ -1,3 +1,5 @@
 """All registered queries; importing the families fills the registry."""
 from parleo.catalog.base import ORACLES, QUERIES  # noqa: F401
 from parleo.catalog import turns  # noqa: F401
+from parleo.catalog import conduct  # noqa: F401
+from parleo.catalog import entities  # noqa: F401

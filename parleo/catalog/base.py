@@ -79,7 +79,8 @@ SEG = seg_cte(True)
 SEGRAW = seg_cte(False)
 EMO = f"""emo AS (
   SELECT call_id, segment_id, speaker, {lst(tables.EMOTIONS)}[(conv_id * 13 + turn * 5) % 7 + 1] AS emotion,
-         CAST((conv_id * 1777 + turn * 911 + length(text) * 37) % 10001 AS BIGINT) AS score_bp FROM seg)"""
+         CAST((conv_id * 1777 + turn * 911 + length(text) * 37) % 10001 AS BIGINT) AS score_bp, turn FROM seg),
+emo2 AS (SELECT *, CASE WHEN turn % 3 = 0 THEN score_bp * 7 % 10001 ELSE score_bp % 3000 END AS fear_bp, score_bp * 3 % 8000 AS surprise_bp FROM emo)"""
 FR = """fr AS (
   SELECT event_id, user_id AS call_id, event_type,
          CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 36000000) AS BIGINT) AS t_ms,

@@ -105,7 +105,28 @@ def segment_emotions(seg: DataFrame) -> DataFrame:
     score = (F.col("conv_id") * 1777 + F.col("turn") * 911 + F.length("text") * 37) % 10001
     return seg.select("call_id", "chunk", "segment_id", "speaker",
                       pick((F.col("conv_id") * 13 + F.col("turn") * 5) % 7, EMOTIONS).alias("emotion"),
-                      score.cast("bigint").alias("score_bp"))
+                      score.cast("bigint").alias("score_bp"),
+                      F.when(F.col("turn") % 3 == 0, score * 7 % 10001).otherwise(score % 3000).cast("bigint").alias("fear_bp"),
+                      (score * 3 % 8000).cast("bigint").alias("surprise_bp"))
+
+
+def vocal_features(seg: DataFrame) -> DataFrame:
+    """Voice features of turns as whole numbers, computed from the turn itself."""
+    n, c, t = F.length("text"), F.col("conv_id"), F.col("turn")
+    return seg.select("call_id", "chunk", "segment_id", "speaker", "start_ds", "dur_ds",
+                      (100 + (c * 31 + t * 17 + n) % 150).alias("pitch"), (5 + (t * 7 + n) % 30).alias("pitch_sd"),
+                      (500 + (n * 13 + c) % 2500).alias("jitter"), (2000 + (n * 29 + t) % 6000).alias("shimmer"),
+                      (5 + (n * 3 + c) % 20).alias("hnr"))
+
+
+SIGNALS = ["voice_stress_anomaly", "coached_speech", "third_party_detected", "urgency_pressure", "remote_access_request"]
+
+
+def segment_signals(seg: DataFrame) -> DataFrame:
+    """One fraud signal per turn with a confidence, computed from the turn itself."""
+    c, t = F.col("conv_id"), F.col("turn")
+    return seg.select("call_id", "chunk", "segment_id", pick((c * 7 + t * 3) % 5, SIGNALS).alias("signal_type"),
+                      (((c * 37 + t * 59) % 90 + 10) / 100).alias("confidence"))
 
 
 def _map(c: str, table: dict[str, str]) -> Column:
