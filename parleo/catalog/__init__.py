@@ -3,3 +3,5 @@ from parleo.catalog.base import ORACLES, QUERIES  # noqa: F401
 from parleo.catalog import turns  # noqa: F401
 from parleo.catalog import conduct  # noqa: F401
 from parleo.catalog import entities  # noqa: F401
+from parleo.catalog import affect  # noqa: F401
+from parleo.catalog import series  # noqa: F401
