@@ -185,11 +185,3 @@ def a42(spark, sf):
 @query("A58_downsample", f"WITH {FR}, p AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY t_ms, event_id) - 1 AS pos, count(*) OVER (PARTITION BY call_id) AS n FROM fr), g AS (SELECT call_id, pos * 20 // n AS block, sum(abs(v100)) / count(*) AS m FROM p GROUP BY 1, 2) SELECT call_id, block, {hu('m / greatest(max(m) OVER (PARTITION BY call_id), 0.001e0)', 4)} AS height FROM g")
 def a58(spark, sf):
     return ser.downsample(frames(spark, sf), 20)
-
-
-@query("Q_exact_quantiles", f"WITH {FR} SELECT call_id, {hu('quantile_cont(v100, 0.5)', 3)} AS p50, {hu('quantile_cont(v100, 0.95)', 3)} AS p95 FROM fr GROUP BY 1")
-def quantiles(spark, sf):
-    from parleo.plans.skew import exact_quantile
-    fr = frames(spark, sf)
-    j = exact_quantile(fr, ["call_id"], "v100", 0.5, "p50").join(exact_quantile(fr, ["call_id"], "v100", 0.95, "p95"), "call_id")
-    return j.select("call_id", half_up(F.col("p50"), 3).alias("p50"), half_up(F.col("p95"), 3).alias("p95"))
