@@ -6,3 +6,4 @@ from parleo.catalog import entities  # noqa: F401
 from parleo.catalog import affect  # noqa: F401
 from parleo.catalog import series  # noqa: F401
 from parleo.catalog import dashboard  # noqa: F401
+from parleo.catalog import mining  # noqa: F401

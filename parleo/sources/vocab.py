@@ -43,9 +43,11 @@ def phrases(domain: str, lang: str | None = None) -> list[tuple]:
     return [r for r in seed_rows() if r[1] == domain and (lang is None or r[0] == lang)]
 
 
-def read_vocab_json(spark: SparkSession, path: str) -> DataFrame:
+def read_vocab_json(spark: SparkSession, path: str, by_folder: bool = False) -> DataFrame:
     """Read ``{lang}.json`` vocabularies; a missing or empty folder gives an empty table.
 
+    With ``by_folder`` the files lie in ``lang=xx`` folders, as a Spark writer leaves them.
+
     Simple lists become one row per phrase, ``prohibited_phrases`` one row per
     category and phrase, ``compliance_keywords`` one row per call type, check
     and keyword.
@@ -57,12 +59,15 @@ def read_vocab_json(spark: SparkSession, path: str) -> DataFrame:
         T.StructField("greetings", arr), T.StructField("trivial_phrases", arr), T.StructField("end_call_phrases", arr),
         T.StructField("prohibited_phrases", T.MapType(T.StringType(), arr)), T.StructField("compliance_keywords", kw)])
     try:
-        raw = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "??.json").json(path)
+        if by_folder:
+            raw = spark.read.schema(schema.add("lang", T.StringType())).json(path)
+        else:
+            raw = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "??.json").json(path)
+            raw = raw.withColumn("lang", F.regexp_extract(F.input_file_name(), r"([a-z]{2})\.json$", 1))
     except Exception as e:  # a path that is not there is an empty vocabulary
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], VOCAB)
-    raw = raw.withColumn("lang", F.regexp_extract(F.input_file_name(), r"([a-z]{2})\.json$", 1))
     none = F.lit(None).cast("string")
 
     def simple(col: str, domain: str) -> DataFrame:
@@ -81,13 +86,13 @@ def read_vocab_json(spark: SparkSession, path: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).select(*[f.name for f in VOCAB.fields])
 
 
-def read_indicators_json(spark: SparkSession, path: str) -> DataFrame:
+def read_indicators_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Scam indicator file: ``category -> phrases`` plus ``scam_type_keywords: type -> phrases``."""
     cats = sorted({h for h, _ in seeds.entries(seeds.SCAM_EN)})
     arr = T.ArrayType(T.StringType())
     schema = T.StructType([T.StructField(c, arr) for c in cats]
                           + [T.StructField("scam_type_keywords", T.MapType(T.StringType(), arr))])
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    raw = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     lists = raw.select(F.explode(F.create_map(*[x for c in cats for x in (F.lit(c), F.col(c))])).alias("category", "ps"))
     types = raw.select(F.explode("scam_type_keywords").alias("category", "ps"))
     return (lists.withColumn("domain", F.lit("scam")).unionByName(types.withColumn("domain", F.lit("scam_type")))
