@@ -7,3 +7,5 @@ from parleo.catalog import affect  # noqa: F401
 from parleo.catalog import series  # noqa: F401
 from parleo.catalog import dashboard  # noqa: F401
 from parleo.catalog import mining  # noqa: F401
+from parleo.catalog import records  # noqa: F401
+from parleo.catalog import streams  # noqa: F401

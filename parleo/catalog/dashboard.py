@@ -215,11 +215,9 @@ SELECT c.c_custkey AS call_id, coalesce(stage, 'unknown') AS stage, coalesce(g =
 def k2(spark, sf):
     e = load(spark, sf, "events").select(F.col("user_id").alias("call_id"), tables._map("event_type", tables.EVENT_STAGE).alias("stage"), ts_utc("ts").alias("ts"), "event_id")
     last = settle(e.groupBy("call_id").agg(F.max_by(F.struct("stage", "ts", "event_id"), F.struct("ts", "event_id")).alias("p")).select("call_id", "p.*"))
-    top = last.agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("top"))
+    top = last.agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("top")).scalar()
     known = load(spark, sf, "customer").select(F.col("c_custkey").alias("call_id")).join(last, "call_id", "left")
-    latest = last.join(F.broadcast(top), F.col("event_id") == F.col("top")).select(F.col("call_id").alias("l_id"))  # one row
-    return known.join(F.broadcast(latest), F.col("call_id") == F.col("l_id"), "left").select(
-        "call_id", F.coalesce("stage", F.lit("unknown")).alias("stage"), F.col("l_id").isNotNull().alias("is_latest"))
+    return known.select("call_id", F.coalesce("stage", F.lit("unknown")).alias("stage"), F.coalesce(F.col("event_id") == top, F.lit(False)).alias("is_latest"))
 
 
 DISPLAY = "CASE WHEN s IN ('1', '2', '2.5') THEN 0 WHEN s = '3' THEN 1 WHEN s IN ('4A', '4B') THEN 2 WHEN s LIKE '4%' THEN 3 WHEN s IN ('5', 'done') THEN 4 ELSE -1 END"

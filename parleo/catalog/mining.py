@@ -124,7 +124,8 @@ def s5(spark, sf):
 @query("S15_discovery_report", f"WITH {PAIRS}, a AS (SELECT heard, truth, count(*) AS n FROM mm GROUP BY 1, 2), t AS (SELECT * FROM a ORDER BY n DESC, heard, truth LIMIT 50) SELECT heard, truth, n, (SELECT CAST(sum(n) AS BIGINT) FROM a) AS total_mismatches, (SELECT count(*) FROM a) AS unique_mismatches FROM t")
 def s15(spark, sf):
     a = settle(mining.aligned_pairs(heard_pairs(spark, sf), ["doc_id"]).groupBy("heard", "truth").agg(F.count(F.lit(1)).alias("n")))
-    top = a.orderBy(F.desc("n"), "heard", "truth").limit(50).join(F.broadcast(a.agg(F.sum("n").alias("total_mismatches"), F.count(F.lit(1)).alias("unique_mismatches"))))  # one-row side
+    top = a.orderBy(F.desc("n"), "heard", "truth").limit(50).withColumns({
+        "total_mismatches": a.agg(F.sum("n").alias("x")).scalar(), "unique_mismatches": a.agg(F.count(F.lit(1)).alias("x")).scalar()})
     path = work_path(spark, "report")
     top.write.json(path)
     return spark.read.schema("heard string, truth string, n bigint, total_mismatches bigint, unique_mismatches bigint").json(path)

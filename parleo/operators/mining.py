@@ -31,7 +31,8 @@ def over_represented(counts: DataFrame, sizes: DataFrame, categories: Sequence[t
 
     ``sizes`` is one row with the number of documents per label.
     """
-    j = counts.where("n_scam > 0").orderBy(F.desc("n_scam"), "phrase").limit(top).join(F.broadcast(sizes))  # one-row side
+    j = counts.where("n_scam > 0").orderBy(F.desc("n_scam"), "phrase").limit(top).withColumns({
+        c: sizes.select(c).scalar() for c in ("scam_docs", "normal_docs")})
     min_n = F.greatest(F.lit(3).cast("bigint"), F.floor(F.col("scam_docs") / 100))
     ratio = (F.col("n_scam") / F.greatest(F.col("scam_docs"), F.lit(1))) / F.greatest(F.col("n_normal") / F.greatest(F.col("normal_docs"), F.lit(1)), F.lit(1e-4))
     toks = F.split("phrase", " ")
@@ -143,8 +144,9 @@ def class_metrics(rows: DataFrame) -> DataFrame:
     a = per.agg(F.sum("tp").alias("ok"), F.sum("sup").alias("n"), F.sum(f1 * F.col("sup")).alias("wf"))
     pos, ppos = F.col("label") > 0, F.col("pred") > 0
     b = conf.agg(F.sum(F.when(pos & ppos, F.col("n")).otherwise(0)).alias("btp"), F.sum(F.when(pos != ppos, F.col("n")).otherwise(0)).alias("bwrong"))
-    return a.join(b).select(half_up(F.col("ok") / F.col("n"), 5).alias("accuracy"), half_up(F.col("wf") / F.col("n"), 5).alias("f1_weighted"),
-                            half_up(2.0 * F.col("btp") / (2 * F.col("btp") + F.col("bwrong")), 5).alias("entity_f1"))
+    btp, bwrong = b.select("btp").scalar(), b.select("bwrong").scalar()
+    return a.select(half_up(F.col("ok") / F.col("n"), 5).alias("accuracy"), half_up(F.col("wf") / F.col("n"), 5).alias("f1_weighted"),
+                            half_up(2.0 * btp / (2 * btp + bwrong), 5).alias("entity_f1"))
 
 
 def stratified_split(rows: DataFrame, label: str, id_col: str, share: float = 0.85, seed: int = 42) -> DataFrame:

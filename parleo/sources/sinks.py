@@ -22,7 +22,7 @@ def export(df: DataFrame, fmt: str, path: str, mode: str = "overwrite") -> str:
         raise ValueError(f"unknown export format: {fmt}")
     w = df.write.mode(mode)
     if fmt == "csv":
-        w.option("header", True).option("escape", '"').csv(path)
+        w.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     elif fmt == "parquet":
         w.parquet(path)
     else:
