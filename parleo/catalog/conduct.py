@@ -11,7 +11,7 @@ from parleo.operators import fraud, matching
 from parleo.operators import turns as op
 from parleo.plans.stage import settle
 from parleo.sources import seeds, tables, vocab
-from parleo.sources.tables import calls, checks, event_emotions, load, raw_turns, segments, segment_emotions, vocal_features
+from parleo.sources.tables import calls, checks, event_emotions, load, raw_turns, segments, segment_emotions, spread, vocal_features
 
 REG = inlist(seeds.REGULATED)
 BAD = values_cte("bad", "v_lang, category, phrase", [(r[0], r[3], r[4]) for r in vocab.phrases("prohibited")])
@@ -44,8 +44,8 @@ def j12(spark, sf):
 @query("J12_phrase_match_documents", f"""WITH v AS (SELECT unnest(['inen', 'en er', 'the on', 'la que', 'und der', 'ion']) AS phrase)
 SELECT doc_id, phrase FROM documents, v WHERE {token_hit('text', 'phrase')}""")
 def j12d(spark, sf):
-    v = spark.createDataFrame([(p,) for p in ["inen", "en er", "the on", "la que", "und der", "ion"]], "phrase string")
-    return matching.phrase_hits(load(spark, sf, "documents"), v, ["doc_id"], "text").select("doc_id", "phrase")
+    v = vocab.local_table(spark, [(p,) for p in ["inen", "en er", "the on", "la que", "und der", "ion"]], "phrase string")
+    return matching.phrase_hits(spread(load(spark, sf, "documents").select("doc_id", "text")), v, ["doc_id"], "text").select("doc_id", "phrase")
 
 
 @query("J13_substring_match", f"WITH {SEG}, {SCAM} SELECT call_id, segment_id, category, phrase FROM seg, scam WHERE contains(lower(text), phrase)")
@@ -65,7 +65,7 @@ def j14(spark, sf):
 
 @query("J19_rule_severity", f"WITH {CALLS}, {CHECKS} SELECT k.call_id, line, call_type, severity AS raw_severity, {sev('call_type', 'severity')} AS severity FROM checks k JOIN calls USING (call_id)")
 def j19(spark, sf):
-    dim = spark.createDataFrame(comp.severity_map(), "call_type string, raw_severity string, severity string")
+    dim = vocab.local_table(spark, comp.severity_map(), "call_type string, raw_severity string, severity string")
     k = checks(spark, sf).select("call_id", "line", F.col("severity").alias("raw_severity"))
     return k.join(calls(spark, sf).select("call_id", "call_type"), "call_id").join(F.broadcast(dim), ["call_type", "raw_severity"])
 

@@ -17,7 +17,7 @@ from parleo.operators import turns as op
 from parleo.plans.skew import exact_quantile
 from parleo.plans.stage import checkpoint_dir, settle
 from parleo.sources import seeds, tables, vocab
-from parleo.sources.tables import calls, checks, event_emotions, event_intents, frames, load, raw_turns, segments, ts_utc
+from parleo.sources.tables import calls, checks, event_emotions, event_intents, frames, load, raw_turns, segments, spread, ts_utc
 
 W = "CASE call_type " + " ".join(f"WHEN {q(k)} THEN {v}e0" for k, v in seeds.CALL_TYPE_WEIGHT.items()) + " ELSE 1e0 END"
 SCORED = f"""{CALLS}, {CHECKS}, ag AS (SELECT call_id, count(*) FILTER (WHERE NOT passed) AS n_violations, count(*) FILTER (WHERE fraud) AS n_fraud, count(*) AS n_checks, bool_or(NOT passed AND severity = 'critical') AS has_critical FROM checks GROUP BY 1),
@@ -153,7 +153,7 @@ eff AS (SELECT s.call_id, call_type, total_segments, total_speakers, coalesce(n_
 def _insight_inputs(spark, sf):
     seg = settle(segments(spark, sf))
     i = settle(rollup.intent_counts(seg_intents(seg)))
-    e = settle(ent.drop_noise(layers(spark, sf)).select("call_id", "entity_type", "value"))
+    e = settle(ent.drop_noise(layers(spark, sf, seg)).select("call_id", "entity_type", "value"))
     n = e.groupBy("call_id").agg(F.count(F.lit(1)).alias("n_entities"))
     return seg, i, e, rollup.effectiveness(seg, i, n)
 
@@ -338,7 +338,7 @@ r AS (SELECT customer_id, count(*) AS rv FROM (SELECT customer_id, 'check_' || l
 SELECT customer_id, n_calls, unfulfilled_promises, {hu('slope', 3)} AS sentiment_slope, coalesce(slope < 0, false) AS worsening, coalesce(rv, 0) AS repeated_violations, consent_reversals FROM sl LEFT JOIN r USING (customer_id)""")
 def a46(spark, sf):
     c = calls(spark, sf).select("customer_id", "call_id", F.col("ingested_at").alias("ts"), (F.col("status") == "O").alias("promise"), (F.col("status") == "F").alias("fulfilled"),
-                                (F.col("dur_cs") % 2001 - 1000).alias("sentiment_m"), (F.col("call_id") % 3 != 0).alias("consent"), F.date_format("ingested_at", "yyyyMM").cast("int").alias("chunk"))
+                                (F.col("dur_cs") % 2001 - 1000).alias("sentiment_m"), (F.col("call_id") % 3 != 0).alias("consent"), F.unix_date(F.to_date("ingested_at")).alias("chunk"))
     failed = checks(spark, sf).where(~F.col("passed")).select("call_id", "check_name").join(c.select("call_id", "customer_id"), "call_id")
     return rollup.cross_call_patterns(c, failed)
 
@@ -424,7 +424,7 @@ def k5(spark, sf):
 @query("K6_frequency_list", f"SELECT w AS term, count(*) AS n FROM (SELECT unnest({words_sql('lower(text)')}) AS w FROM documents) GROUP BY 1 ORDER BY n DESC, term LIMIT 100")
 def k6(spark, sf):
     from parleo.functions.columns import words
-    w = load(spark, sf, "documents").select(F.explode(words(F.lower("text"))).alias("term"))
+    w = spread(load(spark, sf, "documents").select("text")).select(F.explode(words(F.lower("text"))).alias("term"))
     return w.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(100)
 
 

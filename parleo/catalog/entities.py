@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from parleo.catalog.base import *  # noqa: F403
 from parleo.functions.columns import half_up
 from parleo.operators import entities as ent
-from parleo.sources import seeds
-from parleo.sources.tables import load, raw_turns, segments
+from parleo.sources import seeds, vocab
+from parleo.plans.stage import settle
+from parleo.sources.tables import load, raw_turns, segments, spread
 
 
 def _num(raw: str, p: str, g: int = 1) -> str:
@@ -77,12 +78,12 @@ def x3(spark, sf):
 
 @query("X4_dates", f"WITH {ent_cte('documents', 'doc_id', ('date',))} SELECT * FROM ents")
 def x4(spark, sf):
-    return _shown(ent.entities(load(spark, sf, "documents"), ["doc_id"], kinds=("date",)), "doc_id")
+    return _shown(ent.entities(spread(load(spark, sf, "documents").select("doc_id", "text")), ["doc_id"], kinds=("date",)), "doc_id")
 
 
 @query("X5_identifiers", f"WITH {ent_cte('documents', 'doc_id', ('id',))} SELECT * FROM ents")
 def x5(spark, sf):
-    return _shown(ent.entities(load(spark, sf, "documents"), ["doc_id"], kinds=("id",)), "doc_id")
+    return _shown(ent.entities(spread(load(spark, sf, "documents").select("doc_id", "text")), ["doc_id"], kinds=("id",)), "doc_id")
 
 
 @query("X6_financial_terms", f"WITH {SEG}, {ent_cte('seg', SEGIDS, ('term',))} SELECT * FROM ents")
@@ -117,8 +118,8 @@ def tagger(seg, pattern, label, score):
     return s.withColumn("label", label).withColumn("score_m", score)
 
 
-def layers(spark, sf):
-    seg = segments(spark, sf)
+def layers(spark, sf, seg=None):
+    seg = settle(segments(spark, sf)) if seg is None else seg
     rx = ent.entities(seg, ["call_id", "segment_id"], F.col("lang")).withColumn("source", F.lit("regex"))
     ner = ent.ner_policy(tagger(seg, NER_P, F.when(F.length("word") % 3 == 0, "B-ORG").otherwise("B-PER"), (F.length("word") * 71 + (F.col("item") + 1) * 13) % 1000))
     spc = ent.ner_policy(tagger(seg, SPACY_P, F.when(F.col("word").rlike("[0-9]"), "CARDINAL").otherwise("ORG"), F.lit(750)))
@@ -196,7 +197,7 @@ PII = pii_cte()
 
 
 def _docs(spark, sf):
-    return load(spark, sf, "documents")
+    return spread(load(spark, sf, "documents"))
 
 
 @query("X7_personal_data", f"WITH {PII} SELECT * EXCLUDE (rank) FROM pii")
@@ -274,7 +275,7 @@ GROUPS = {"payment_amount": "Amounts", "currency_amount": "Amounts", "emi_amount
 
 @query("A7_entity_groups", f"WITH {SEG}, {ENTS}, {LAYERS}, {NOISE} SELECT {case('entity_type', GROUPS, 'Other')} AS grp, count(*) AS n FROM clean GROUP BY 1")
 def a7(spark, sf):
-    dim = spark.createDataFrame(list(GROUPS.items()), "entity_type string, grp string")
+    dim = vocab.local_table(spark, list(GROUPS.items()), "entity_type string, grp string")
     e = ent.drop_noise(layers(spark, sf)).join(F.broadcast(dim), "entity_type", "left")
     return e.groupBy(F.coalesce("grp", F.lit("Other")).alias("grp")).agg(F.count(F.lit(1)).alias("n"))
 

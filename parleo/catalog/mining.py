@@ -13,13 +13,13 @@ from parleo.operators import mining, names
 from parleo.plans.stage import settle
 from parleo.sources import seeds, tables, vocab
 from parleo.sources.sinks import work_path
-from parleo.sources.tables import load, raw_turns, segments
+from parleo.sources.tables import load, raw_turns, segments, spread
 
 LAB = "ld AS (SELECT d.doc_id, text, toxic FROM documents d JOIN labels l USING (doc_id))"
 
 
 def labelled(spark, sf):
-    return load(spark, sf, "documents").select("doc_id", "text").join(load(spark, sf, "labels").select("doc_id", "toxic"), "doc_id")
+    return spread(load(spark, sf, "documents").select("doc_id", "text")).join(load(spark, sf, "labels").select("doc_id", "toxic"), "doc_id")
 
 
 def _grams(n: int) -> str:
@@ -79,7 +79,7 @@ def a38(spark, sf):
 # ---- corrections ------------------------------------------------------------------------------------
 def heard_pairs(spark, sf):
     """Every document with some words misheard: 'emi' as 'emmy', others spelled backwards or with a tail."""
-    d = load(spark, sf, "documents").select("doc_id", norm(F.col("text")).alias("truth"))
+    d = spread(load(spark, sf, "documents").select("doc_id", "text")).select("doc_id", norm(F.col("text")).alias("truth"))
     heard = F.transform(F.split("truth", " "), lambda w, i: F.when(w == "in", "emi").when((i + F.col("doc_id")) % 17 == 0, F.reverse(w)).when((i + F.col("doc_id")) % 17 == 1, F.concat(w, F.lit("x"))).otherwise(w))
     return d.select("doc_id", F.array_join(heard, " ").alias("heard"), "truth")
 
@@ -117,7 +117,7 @@ SEEDC = values_cte("seedc", "heard, truth", FIXES)
 
 @query("S5_correction_dictionary", f"WITH {PAIRS}, {CORR}, {SEEDC} SELECT coalesce(s.heard, c.heard) AS heard, coalesce(c.truth, s.truth) AS truth, CASE WHEN c.truth IS NOT NULL THEN 'discovered' ELSE 'seed' END AS source FROM seedc s FULL JOIN corr c ON c.heard = s.heard")
 def s5(spark, sf):
-    seed = spark.createDataFrame(FIXES, "heard string, truth string")
+    seed = vocab.local_table(spark, FIXES, "heard string, truth string")
     return mining.overlay_dictionary(seed, a39(spark, sf))
 
 
@@ -142,12 +142,12 @@ def _fine(spark, sf):
 
 @query("J18_label_remap", f"WITH f AS (SELECT event_id, {_FINE} AS fine FROM events) SELECT event_id, fine, {case('fine', FINE)} AS coarse FROM f WHERE {case('fine', FINE)} IS NOT NULL")
 def j18(spark, sf):
-    return mining.remap_labels(_fine(spark, sf), spark.createDataFrame(list(FINE.items()), "fine string, coarse string"), "fine")[0]
+    return mining.remap_labels(_fine(spark, sf), vocab.local_table(spark, list(FINE.items()), "fine string, coarse string"), "fine")[0]
 
 
 @query("J18_unmapped_labels", f"WITH f AS (SELECT {_FINE} AS fine FROM events) SELECT fine, count(*) AS n FROM f WHERE {case('fine', FINE)} IS NULL GROUP BY 1 ORDER BY n DESC, fine LIMIT 10")
 def j18b(spark, sf):
-    return mining.remap_labels(_fine(spark, sf), spark.createDataFrame(list(FINE.items()), "fine string, coarse string"), "fine")[1]
+    return mining.remap_labels(_fine(spark, sf), vocab.local_table(spark, list(FINE.items()), "fine string, coarse string"), "fine")[1]
 
 
 @query("U4_corpus_union", "SELECT text, label, count(*) AS n FROM (SELECT trim(text, ' ') AS text, CASE WHEN toxic = 1 THEN 'negative' ELSE 'neutral' END AS label FROM documents JOIN labels USING (doc_id) UNION ALL SELECT trim(text, ' '), CASE WHEN role = 'assistant' THEN 'neutral' ELSE 'positive' END FROM conversations) GROUP BY 1, 2")
@@ -262,7 +262,7 @@ g AS (SELECT doc_id, lang, CASE WHEN hi THEN 'hi' WHEN greatest(en, de, fr, es)
 SELECT lang, guess, count(*) AS n FROM g GROUP BY 1, 2""")
 def x20(spark, sf):
     from parleo.functions.language import guess_language
-    d = load(spark, sf, "documents").select("lang", guess_language(F.col("text")).alias("guess"))
+    d = spread(load(spark, sf, "documents").select("lang", "text")).select("lang", guess_language(F.col("text")).alias("guess"))
     return d.groupBy("lang", "guess").agg(F.count(F.lit(1)).alias("n"))
 
 

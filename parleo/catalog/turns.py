@@ -8,7 +8,7 @@ from parleo.functions.columns import half_up, mmss, n_words, norm, words
 from parleo.operators import turns as op
 from parleo.plans.stage import settle
 from parleo.sources import seeds, tables
-from parleo.sources.tables import load, raw_turns, segments
+from parleo.sources.tables import load, raw_turns, segments, spread
 
 AG = inlist(seeds.AGENT_LABELS)
 CU = inlist(seeds.CUSTOMER_LABELS)
@@ -203,5 +203,5 @@ def x21(spark, sf):
 
 @query("X11_normalise_tokens", f"SELECT doc_id, CAST(len(string_split(t, ' ')) AS BIGINT) AS n_tokens, md5(t) AS norm_md5 FROM (SELECT doc_id, {norm_sql('text')} AS t FROM documents)")
 def x11(spark, sf):
-    return load(spark, sf, "documents").select("doc_id", norm(F.col("text")).alias("t")).select(
+    return spread(load(spark, sf, "documents").select("doc_id", "text")).select("doc_id", norm(F.col("text")).alias("t")).select(
         "doc_id", F.size(F.split("t", " ")).cast("bigint").alias("n_tokens"), F.md5("t").alias("norm_md5"))

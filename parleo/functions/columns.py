@@ -1,9 +1,10 @@
 """Small column helpers used by every operator."""
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -44,6 +45,29 @@ def lookup(c: Column, table: Mapping[str, object], default: object = None) -> Co
     return e.otherwise(F.lit(default)) if default is not None else e
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it in ``body``, also where body loops over it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def explode_once(df: DataFrame, ids: Sequence[str], items: Column, name: str, pos: str | None = None) -> DataFrame:
+    """Explode a costly array without evaluating it again.
+
+    The plain generator makes the optimiser put ``size(items) > 0`` in front of
+    it, which computes the array a second and third time; the outer one does not.
+    """
+    if pos is None:
+        out = df.select(*ids, F.explode_outer(items).alias(name))
+    else:
+        out = df.select(*ids, F.posexplode_outer(items).alias(pos, name))
+    return out.where(F.col(name).isNotNull())
+
+
+def constant(rows: Sequence[dict], ddl: str) -> Column:
+    """Fixed array of structs as one foldable literal instead of hundreds of small expressions."""
+    return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), f"array<struct<{ddl}>>")
+
+
 def any_contains(c: Column, phrases: Sequence[str]) -> Column:
     """True when the text contains one of a short fixed list of phrases."""
     e = F.lit(False)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from parleo.functions.columns import any_contains
 from parleo.operators.matching import call_phrases, first_segment_with, phrase_hits
 from parleo.operators.turns import agent_domination, agent_opening, is_customer, opening_text, talk_shares
-from parleo.plans.skew import attach, lookahead
+from parleo.plans.skew import attach, dim, lookahead
 from parleo.sources import seeds
 
 COLUMNS = ["call_id", "check_name", "passed", "segment_id", "severity", "regulation", "evidence"]
@@ -34,8 +34,9 @@ def effective_vocab(vocab: DataFrame, langs: DataFrame) -> DataFrame:
     """Own-language phrases plus the English ones for every language in use, without doubles."""
     cols = ["domain", "call_type", "category", "phrase", "regulation", "rank"]
     used = langs.select("lang").distinct()
-    own = used.join(F.broadcast(vocab), "lang").select("lang", *cols)
-    english = used.withColumn("_e", F.lit("en")).join(F.broadcast(vocab.withColumnRenamed("lang", "_e")), "_e")
+    v, _ = dim(vocab)
+    own = used.join(v, "lang").select("lang", *cols)
+    english = used.withColumn("_e", F.lit("en")).join(v.withColumnRenamed("lang", "_e"), "_e")
     both = own.unionByName(english.select("lang", *cols))
     return both.groupBy("lang", "domain", "category", "phrase", F.coalesce("call_type", F.lit("")).alias("call_type")).agg(
         F.min("rank").alias("rank"), F.first("regulation", ignorenulls=True).alias("regulation"))
@@ -48,10 +49,10 @@ def disclosure_checks(seg: DataFrame, vocab: DataFrame) -> DataFrame:
     calls = seg.where(F.col("call_type").isin(*seeds.REGULATED)).select("call_id", "call_type", "lang").distinct()
     opening = opening_text(agent_opening(seg)).select("call_id", F.lower("opening").alias("opening"))
     base = calls.join(opening, "call_id", "left").fillna("", ["opening"])
-    hits = phrase_hits(base, v.select("v_type", "category", "phrase"), ["call_id", "call_type"], "opening", bounded=True).where(
+    hits = phrase_hits(base, v.select("v_type", "category", "phrase"), ["call_id", "call_type"], "opening").where(
         F.col("v_type") == F.col("call_type")).select("call_id", F.col("category").alias("check_name")).distinct().withColumn("_hit", F.lit(True))
-    need = v.select(F.col("v_type").alias("call_type"), F.col("category").alias("check_name"), "regulation").distinct()
-    rows = base.join(F.broadcast(need), "call_type").join(hits, ["call_id", "check_name"], "left")
+    need, _ = dim(v.select(F.col("v_type").alias("call_type"), F.col("category").alias("check_name"), "regulation").distinct())
+    rows = base.join(need, "call_type").join(hits, ["call_id", "check_name"], "left")
     ok = F.coalesce("_hit", F.lit(False))
     return rows.select("call_id", "check_name", ok.alias("passed"), F.lit(None).cast("bigint").alias("segment_id"),
                        mapped_severity(F.col("call_type"), F.when(ok, "low").otherwise("high")).alias("severity"), "regulation",

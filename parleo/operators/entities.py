@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parleo.functions.columns import half_up, words
+from parleo.functions.columns import explode_once, half_up, let, words
 from parleo.plans.stage import settle
 from parleo.sources import seeds
 
@@ -129,8 +129,8 @@ def entities(rows: DataFrame, ids: Sequence[str], lang: Column | None = None, ki
     digit = t.rlike("[0-9]")
     parts = {"money": F.when(digit, money_items(t, lg)), "date": date_items(t), "id": F.when(digit, id_items(t)), "term": F.when(digit, term_items(t))}
     both = F.concat(*[F.coalesce(parts[k], empty) for k in kinds])
-    return rows.withColumn("_e", both).withColumn("_e", keep_first(F.col("_e"), "entity_type", "value")).select(
-        *ids, F.posexplode("_e").alias("item", "e")).select(*ids, "item", "e.entity_type", "e.value", "e.raw_text", "e.confidence")
+    found = let(both, lambda items: keep_first(items, "entity_type", "value"))
+    return explode_once(rows, ids, found, "e", "item").select(*ids, "item", "e.entity_type", "e.value", "e.raw_text", "e.confidence")
 
 
 def merge_layers(*layers: DataFrame) -> DataFrame:
@@ -252,12 +252,12 @@ def pii_spans(text: Column, threshold: float = 0.5, before: int = 5) -> Column:
     spans = F.flatten(F.array_compact(F.array(*parts)))
     ok = F.filter(spans, lambda s: (s["score"] >= threshold) & (
         (s["entity_type"] != "IN_AADHAAR") | verhoeff_ok(F.regexp_replace(s["text"], r"\s", ""))))
-    return keep_first(ok, "entity_type", "text")
+    return let(ok, lambda items: keep_first(items, "entity_type", "text"))
 
 
 def pii(rows: DataFrame, ids: Sequence[str]) -> DataFrame:
     """One row per personal datum with offsets, score and mask."""
-    s = rows.withColumn("_p", pii_spans(F.coalesce("text", F.lit("")))).select(*ids, F.explode("_p").alias("p"))
+    s = explode_once(rows, ids, pii_spans(F.coalesce("text", F.lit(""))), "p")
     return s.select(*ids, "p.entity_type", "p.text", "p.start", "p.end", "p.score", "p.rank").withColumn("masked_text", mask(F.col("text"), F.col("entity_type")))
 
 

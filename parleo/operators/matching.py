@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parleo.functions.columns import norm
+from parleo.functions.columns import constant, explode_once, let, norm
 from parleo.plans.skew import dim, lookahead, salted_join
 
 REACH = 10  # words of the longest phrase a call-level match can span
@@ -22,25 +22,20 @@ def padded(c: Column) -> Column:
     return F.concat(F.lit(" "), c, F.lit(" "))
 
 
-def phrase_hits(rows: DataFrame, vocab: DataFrame, ids: Sequence[str], text: str, start_text: str | None = None,
-                bounded: bool = False) -> DataFrame:
+def phrase_hits(rows: DataFrame, vocab: DataFrame, ids: Sequence[str], text: str, start_text: str | None = None) -> DataFrame:
     """Whole-word phrase matches by an equi-join on the first word of the phrase.
 
     Each distinct word of a text meets only the phrases that begin with it; a
     containment test on the normal form and on the raw text settles the match.
     ``start_text`` limits where a phrase may begin when ``text`` looks ahead.
-    The vocabulary is broadcast when it is known (``bounded``) or counted to be
-    small, and joined with salted keys otherwise.
+    The vocabulary is broadcast when it is counted to be small, and joined with
+    salted keys otherwise, since a few first words ("we", "you") are very common.
     """
     own = norm(F.col(start_text or text))
     base = rows.withColumn("_raw", F.lower(text)).withColumn("_norm", norm(F.col(text)))
-    words = base.select(*ids, "_raw", "_norm", F.explode(F.array_distinct(F.split(own, " "))).alias("head"))
-    v = with_heads(vocab)
-    if bounded:
-        joined = words.join(F.broadcast(v), "head")
-    else:
-        v, small = dim(v)
-        joined = words.join(v, "head") if small else salted_join(words, v, ["head"], list(ids))
+    words = explode_once(base, [*ids, "_raw", "_norm"], F.array_distinct(F.split(own, " ")), "head")
+    v, small = dim(with_heads(vocab))
+    joined = words.join(v, "head") if small else salted_join(words, v, ["head"], list(ids))
     hit = F.contains(padded(F.col("_norm")), padded(F.col("nphrase"))) & F.contains(F.col("_raw"), F.lower("phrase"))
     return joined.where(hit).drop("_raw", "_norm", "head", "nphrase")
 
@@ -48,16 +43,15 @@ def phrase_hits(rows: DataFrame, vocab: DataFrame, ids: Sequence[str], text: str
 def call_phrases(turns: DataFrame, vocab: DataFrame, extra: Sequence[str] = (), reach: int = REACH) -> DataFrame:
     """Phrases found in the joined text of the given turns of each call, also across turns."""
     hay = lookahead(turns, ["call_id"], "chunk", ["segment_id"], "text", reach, "hay")
-    hits = phrase_hits(hay, vocab, ["call_id", "segment_id", *extra], "hay", "text", bounded=True)
+    hits = phrase_hits(hay, vocab, ["call_id", "segment_id", *extra], "hay", "text")
     return hits
 
 
 def substring_hits(rows: DataFrame, phrases: Sequence[tuple[str, str]], ids: Sequence[str], text: str) -> DataFrame:
     """Plain substring matches of a short fixed list: one array filter per row, no join."""
-    table = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(p.lower()).alias("phrase"), F.lit(i).alias("rank"))
-                      for i, (c, p) in enumerate(phrases)])
-    found = F.filter(table, lambda s: F.contains(F.lower(F.col(text)), s["phrase"]))
-    return rows.select(*ids, F.explode(found).alias("h")).select(*ids, "h.category", "h.phrase", "h.rank")
+    table = constant([{"category": c, "phrase": p.lower(), "rank": i} for i, (c, p) in enumerate(phrases)], "category:string,phrase:string,rank:int")
+    found = let(F.lower(F.col(text)), lambda t: F.filter(table, lambda s: F.contains(t, s["phrase"])))
+    return explode_once(rows, ids, found, "h").select(*ids, "h.category", "h.phrase", "h.rank")
 
 
 def first_segment_with(turns: DataFrame, phrases: Sequence[str]) -> DataFrame:

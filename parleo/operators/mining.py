@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parleo.functions.columns import half_up, n_words, ngrams, norm, words
+from parleo.functions.columns import explode_once, half_up, let, n_words, ngrams, norm, words
 from parleo.plans.stage import settle
 from parleo.sources import seeds
 
@@ -21,8 +21,7 @@ def text_column(df: DataFrame, candidates: Sequence[str] = ("utterance", "text",
 def phrase_counts(docs: DataFrame, label: str, sizes: Sequence[int] = (3, 4, 5)) -> DataFrame:
     """How often each word n-gram occurs under either label; counted before the shuffle."""
     toks = words(F.lower("text"))
-    grams = F.flatten(F.array(*[ngrams(F.col("_t"), n) for n in sizes]))
-    x = docs.select(F.col(label).alias("y"), toks.alias("_t")).select("y", F.explode(grams).alias("phrase"))
+    x = explode_once(docs.select(F.col(label).alias("y"), "text"), ["y"], let(toks, lambda t: F.flatten(F.array(*[ngrams(t, n) for n in sizes]))), "phrase")
     return x.groupBy("phrase").agg(F.count_if(F.col("y") == 1).alias("n_scam"), F.count_if(F.col("y") != 1).alias("n_normal"))
 
 
@@ -67,22 +66,24 @@ def short_phrases(turns: DataFrame, max_words: int = 5, max_words_hi: int = 3, m
 def acronyms(docs: DataFrame, top: int = 100, at_least: int = 2) -> DataFrame:
     """Occurrences of finance acronyms, upper case, most frequent first."""
     p = rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:{seeds.FINANCE_PATTERN})(?![\p{{L}}\p{{N}}_])"
-    x = docs.select(F.explode(F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias("m"))
+    x = explode_once(docs, [], F.regexp_extract_all("text", F.lit(p), F.lit(0)), "m")
     return x.groupBy(F.upper("m").alias("term")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least).orderBy(F.desc("n"), "term").limit(top)
 
 
 def document_frequency(docs: DataFrame, terms: Sequence[str], top: int = 50) -> DataFrame:
     """Number of texts that contain a term."""
     hit = F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(F.col("text"), t))
-    return docs.select(F.explode(hit).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(top)
+    return explode_once(docs, [], hit, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(top)
 
 
 def aligned_pairs(pairs: DataFrame, ids: Sequence[str]) -> DataFrame:
     """One-to-one substitutions of equally long texts, word by word."""
-    h, t = F.split(norm(F.col("heard")), " "), F.split(norm(F.col("truth")), " ")
-    x = pairs.select(*ids, h.alias("h"), t.alias("t")).where(F.size("h") == F.size("t"))
-    z = F.filter(F.zip_with("h", "t", lambda a, b: F.struct(a.alias("heard"), b.alias("truth"))), lambda s: s["heard"] != s["truth"])
-    return x.select(*ids, F.posexplode(z).alias("pos", "p")).select(*ids, F.col("pos").cast("bigint").alias("pos"), "p.heard", "p.truth")
+    def diff(h: Column, t: Column) -> Column:
+        both = F.zip_with(h, t, lambda a, b: F.when(a != b, F.struct(a.alias("heard"), b.alias("truth"))))
+        return F.when(F.size(h) == F.size(t), F.array_compact(both))
+
+    z = let(F.split(norm(F.col("heard")), " "), lambda h: let(F.split(norm(F.col("truth")), " "), lambda t: diff(h, t)))
+    return explode_once(pairs, ids, z, "p", "pos").select(*ids, F.col("pos").cast("bigint").alias("pos"), "p.heard", "p.truth")
 
 
 def sequence_pairs(pairs: DataFrame, ids: Sequence[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parleo.functions.columns import explode_once
 from parleo.plans.skew import with_halo
 from parleo.sources import seeds
 
@@ -41,7 +42,7 @@ def evidence(seg: DataFrame, reach: int = 4, size: int = 4096) -> DataFrame:
         cand = [step("speaker", i).over(w) for i in range(1, reach + 1)]
         return F.coalesce(*[F.when(c != F.col("speaker"), c) for c in cand])
     h = h.withColumns({"nxt": other(F.lead), "prv": other(F.lag)}).where("_own")
-    e = h.select("call_id", "segment_id", "speaker", "nxt", "prv", F.explode(captured(F.col("text"))).alias("c")).select("*", "c.kind", "c.name")
+    e = explode_once(h, ["call_id", "segment_id", "speaker", "nxt", "prv"], captured(F.col("text")), "c").select("*", "c.kind", "c.name")
     owner = F.when(F.col("kind") == "self", F.col("speaker")).when(F.col("kind") == "handoff", F.col("nxt")).otherwise(F.col("prv"))
     weight = F.when(F.col("kind") == "address", 1).otherwise(2)
     return e.select("call_id", "segment_id", "kind", "name", owner.alias("owner"), weight.alias("weight"))

@@ -47,10 +47,11 @@ def build(seg: DataFrame, header: DataFrame, intents: DataFrame, entities: DataF
             _children(entities, ["segment_id", "entity_type", "value", "raw_text", "confidence"], "financial_entities", size, ["segment_id", "item"]),
             _children(checks, ["check_name", "passed", "segment_id", "severity", "regulation", "evidence"], "compliance_checks", size, ["check_name", "evidence"]),
             _children(fraud, ["signal_type", "segment_id", "confidence"], "fraud_signals", size, ["signal_type"])]
-    out = t
+    # the header meets the list of parts first, so that no join runs on the call alone
+    heads = seg.select("call_id", F.floor(F.col("segment_id") / size).alias("part")).distinct().join(header, "call_id")
+    out = heads.join(t, ["call_id", "part"])
     for k in kids:
         out = out.join(k, ["call_id", "part"], "left")
-    out = out.join(header, "call_id")
     empty = {f.name: f.dataType for f in record_schema().fields if isinstance(f.dataType, T.ArrayType)}
     out = out.withColumns({n: F.coalesce(n, F.array().cast(d)) for n, d in empty.items()})
     return out.select(*[F.col(f.name).cast(f.dataType) for f in record_schema().fields])

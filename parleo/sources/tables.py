@@ -57,6 +57,16 @@ def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out over all cores when the files give fewer splits than there are cores.
+
+    For work that is heavy per row (patterns over long texts).  With many files
+    the splits are there already and nothing is shuffled.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def ts_utc(c: str | Column) -> Column:
     """Wall clock as a zoned timestamp (watermarks reject the zone-less type)."""
     return (F.col(c) if isinstance(c, str) else c).cast("timestamp")

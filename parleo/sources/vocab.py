@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +36,14 @@ def seed_rows() -> list[tuple]:
     return rows
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
+    """Small fixed table as a local relation, which the optimiser can filter and broadcast by itself."""
+    st = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return spark.createDataFrame(pd.DataFrame(rows, columns=[f.name for f in st.fields]), st)
+
+
 def seed_vocab(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(seed_rows(), VOCAB)
+    return local_table(spark, seed_rows(), VOCAB)
 
 
 def phrases(domain: str, lang: str | None = None) -> list[tuple]:
