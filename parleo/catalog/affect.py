@@ -165,8 +165,8 @@ def seg_intents(seg):
 
 @query("X12_keyword_intent", f"WITH {SEG} SELECT conv_id, turn, {KWI} AS intent, {KWC} AS confidence FROM seg")
 def x12(spark, sf):
-    i, c = policy.keyword_intent(F.col("text"), F.col("call_type"))
-    return raw_turns(spark, sf).select("conv_id", "turn", i.alias("intent"), c.alias("confidence"))
+    k = policy.keyword_intent(F.col("text"), F.col("call_type"))
+    return raw_turns(spark, sf).select("conv_id", "turn", k.alias("k")).select("conv_id", "turn", "k.intent", "k.confidence")
 
 
 @query("X13_routing", f"WITH {SEG}, {ROUTED} SELECT conv_id, turn, route FROM rt")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parleo.functions.columns import any_contains, n_words
+from parleo.functions.columns import any_contains, let, n_words
 from parleo.operators.turns import is_agent
 from parleo.sources import seeds
 
@@ -58,24 +58,28 @@ def scam_hypothesis(scores: dict[str, Column], threshold_m: int = 700) -> Column
     return F.when((top["t"] != "legitimate") & (top["s"] >= threshold_m), F.struct(F.concat(F.lit("scam_"), top["t"]).alias("signal_type"), top["s"].alias("score_m")))
 
 
-def keyword_intent(text: Column, call_type: Column) -> tuple[Column, Column]:
-    """Ordered keyword rules; without any hit info_request in general calls, unknown elsewhere."""
-    low = F.lower(F.trim(text))
+def keyword_intent(text: Column, call_type: Column) -> Column:
+    """Ordered keyword rules as (intent, confidence); without any hit info_request in general calls, unknown elsewhere."""
     rules: dict[str, list[str]] = {}
     for head, kw in seeds.entries(seeds.INTENT_KEYWORDS):
         rules.setdefault(head, []).append(kw)
-    intent = conf = None
-    for head, kws in rules.items():
-        name, c = head.split("/")
-        hit = any_contains(low, kws)
-        if name == "question":
-            hit = F.rtrim(low).endswith("?")
-            for k in kws:
-                hit = hit | low.startswith(k)
-        intent = F.when(hit, name) if intent is None else intent.when(hit, name)
-        conf = F.when(hit, float(c)) if conf is None else conf.when(hit, float(c))
-    general = call_type == "general"
-    return intent.when(general, "info_request").otherwise("unknown"), conf.when(general, 0.50).otherwise(0.30)
+
+    def pair(name: str, conf: float) -> Column:
+        return F.struct(F.lit(name).alias("intent"), F.lit(conf).alias("confidence"))
+
+    def first_hit(low: Column) -> Column:
+        out = None
+        for head, kws in rules.items():
+            name, c = head.split("/")
+            hit = any_contains(low, kws)
+            if name == "question":
+                hit = F.rtrim(low).endswith("?")
+                for k in kws:
+                    hit = hit | low.startswith(k)
+            out = F.when(hit, pair(name, float(c))) if out is None else out.when(hit, pair(name, float(c)))
+        return out.when(call_type == "general", pair("info_request", 0.50)).otherwise(pair("unknown", 0.30))
+
+    return let(F.lower(F.trim(text)), first_hit)
 
 
 def route(text: Column, lang: Column, label: Column, score_m: Column) -> Column:
@@ -96,12 +100,14 @@ def assemble_intents(turns: DataFrame, labels: DataFrame) -> DataFrame:
     j = turns.where(F.trim("text") != "").join(labels, ["call_id", "segment_id"], "left")
     raw = F.regexp_replace(F.lower(F.trim("model_label")), " ", "_")
     valid = F.when(raw.isin(*VALID_INTENTS), raw).when(raw.isNotNull(), "unknown")
-    kw, kc = keyword_intent(F.col("text"), F.col("call_type"))
-    use_kw = valid.isNull() | ((valid == "unknown") & (kw != "unknown"))
-    intent = F.when(F.col("route") == "skip", F.when(greet, "greeting").otherwise("acknowledgment")).when(use_kw, kw).otherwise(valid)
     mc = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("model_conf", F.lit(0.70))))
-    conf = F.when(F.col("route") == "skip", 0.90).when(use_kw, kc).otherwise(mc)
-    return j.withColumns({"intent": intent, "confidence": conf})
+
+    def decide(k: Column) -> Column:
+        use_kw = valid.isNull() | ((valid == "unknown") & (k["intent"] != "unknown"))
+        return F.when(use_kw, k).otherwise(F.struct(valid.alias("intent"), mc.alias("confidence")))
+    skipped = F.struct(F.when(greet, "greeting").otherwise("acknowledgment").alias("intent"), F.lit(0.90).alias("confidence"))
+    got = F.when(F.col("route") == "skip", skipped).otherwise(let(keyword_intent(F.col("text"), F.col("call_type")), decide))
+    return j.withColumn("_i", got).withColumns({"intent": F.col("_i.intent"), "confidence": F.col("_i.confidence")}).drop("_i")
 
 
 Scorer = Callable[[Iterator["pandas.DataFrame"]], Iterator["pandas.DataFrame"]]  # noqa: F821

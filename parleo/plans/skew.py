@@ -186,8 +186,9 @@ def lookahead(
     wc = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(1, reach)
     nxt = F.flatten(F.collect_list(F.transform("_hs", lambda s: s["_head"])).over(wc))
     carry = first.select(*parts, F.array_join(nxt, " ").alias("_carry"))
-    full = F.concat_ws(" ", F.col("_lt"), F.array_join("_ahead", " "),
-                       F.when(F.size("_ahead") >= reach, F.lit("\u0001")), F.col("_carry"))
+    # parts that are missing must be null: an empty string would add a second blank between the texts
+    full = F.concat_ws(" ", F.col("_lt"), F.when(F.size("_ahead") > 0, F.array_join("_ahead", " ")),
+                       F.when(F.size("_ahead") >= reach, F.lit("\u0001")), F.when(F.col("_carry") != "", F.col("_carry")))
     return (base.withColumn("_ahead", ahead).join(carry, parts)
             .withColumn(out, F.trim(full)).drop("_lt", "_head", "_ahead", "_carry"))
 

@@ -13,6 +13,7 @@ def make_session(app: str = "parleo", cores: int | str = "*", shuffle: int = 8,
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")  # small test data: keep all cores busy
         .config("spark.driver.memory", os.environ.get("PARLEO_DRIVER_MEMORY", memory))
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
