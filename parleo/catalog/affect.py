@@ -1,21 +1,18 @@
 """Queries over emotion, sentiment, routing and model-output policies."""
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import functions as F
 
 from parleo.catalog.base import *  # noqa: F403
 from parleo.catalog.conduct import A49, W9S
-from parleo.catalog.turns import AG
 from parleo.functions.columns import half_up, pick
-from parleo.operators import compliance as comp
 from parleo.operators import emotion as emo
 from parleo.operators import fraud, policy
 from parleo.operators import turns as op
 from parleo.plans.stage import settle
 from parleo.sources import seeds, tables
-from parleo.sources.tables import event_emotions, event_intents, event_sentiment, frames, load, raw_turns, segments, vocal_features
+from parleo.sources.tables import event_emotions, event_sentiment, frames, load, raw_turns, segments, vocal_features
 
 
 def summary_sql(src: str, keys: str) -> str:

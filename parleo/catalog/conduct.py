@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parleo.catalog.base import *  # noqa: F403
-from parleo.catalog.turns import AG, CU, SHARES
+from parleo.catalog.turns import SHARES
 from parleo.functions.columns import half_up
 from parleo.operators import compliance as comp
 from parleo.operators import fraud, matching

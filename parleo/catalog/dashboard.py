@@ -4,18 +4,16 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from parleo.catalog.affect import EVINT, INTENTS, seg_intents, summary_sql
+from parleo.catalog.affect import EVINT, INTENTS, seg_intents
 from parleo.catalog.base import *  # noqa: F403
 from parleo.catalog.conduct import A49, ALLCHECKS
 from parleo.catalog.entities import ENTS, KS, KSV, LAYERS, NOISE, layers
 from parleo.functions.columns import half_up, n_words, pick
 from parleo.operators import compliance as comp
-from parleo.operators import emotion as emo
 from parleo.operators import entities as ent
 from parleo.operators import fraud, policy, rollup
-from parleo.operators import turns as op
 from parleo.plans.skew import exact_quantile
-from parleo.plans.stage import checkpoint_dir, settle
+from parleo.plans.stage import settle
 from parleo.sources import seeds, tables, vocab
 from parleo.sources.tables import calls, checks, event_emotions, event_intents, frames, load, raw_turns, segments, spread, ts_utc
 

@@ -5,7 +5,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parleo.catalog.base import *  # noqa: F403
-from parleo.functions.columns import half_up
 from parleo.operators import entities as ent
 from parleo.sources import seeds, vocab
 from parleo.plans.stage import settle

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 from parleo.catalog.affect import SEN, with_sentiment
 from parleo.catalog.base import *  # noqa: F403
 from parleo.catalog.entities import ENTS, FIXES
-from parleo.functions.columns import half_up, norm, pick, words
+from parleo.functions.columns import norm, words
 from parleo.operators import emotion as emo
 from parleo.operators import entities as ent
 from parleo.operators import mining, names
 from parleo.plans.stage import settle
-from parleo.sources import seeds, tables, vocab
+from parleo.sources import seeds, vocab
 from parleo.sources.sinks import work_path
 from parleo.sources.tables import load, raw_turns, segments, spread
 

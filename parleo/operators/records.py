@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parleo.functions.columns import half_up
 
 SEGMENT = "id bigint, start_ds bigint, end_ds bigint, speaker string, text string"
 INTENT = "segment_id bigint, speaker string, intent string, confidence double"

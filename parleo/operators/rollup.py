@@ -1,14 +1,13 @@
 """Call-level roll-ups: risk, score, review queue, dashboards, insights."""
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parleo.functions.columns import half_up, lookup
 from parleo.operators.entities import keyword_sentiment
-from parleo.plans.skew import attach, scan
+from parleo.plans.skew import scan
 from parleo.sources import seeds
 
 LEVELS = ["low", "medium", "high", "critical"]
