@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parleo.llm import decontaminate, langid, quality, secrets, toxicity
+from parleo.llm import decontaminate, langid, packing, quality, secrets, toxicity, warc
 from parleo.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,18 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents")
     return secrets.scan(docs, secrets.learn(docs))
+
+
+@query("op10_warc", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT page_id, octet_length(h) AS n, sha1(h) AS digest, max(page_id) OVER (PARTITION BY sha1(h)) AS last FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to FROM q""")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.round_trip(load(spark, sf, "pages")).drop("payload")
+
+
+@query("op1_packing")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+    return packing.pack(load(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
