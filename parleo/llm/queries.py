@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parleo.llm import decontaminate, langid, packing, quality, secrets, toxicity, warc
+from parleo.llm import decontaminate, langid, minhash, packing, quality, secret_scan, toxicity, warc
 from parleo.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,7 +80,7 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_secret_scan")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents")
-    return secrets.scan(docs, secrets.learn(docs))
+    return secret_scan.scan(docs, secret_scan.learn(docs))
 
 
 @query("op10_warc", """
@@ -96,3 +96,8 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
     return packing.pack(load(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op5_minhash")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.groups(load(spark, sf, "documents"))
