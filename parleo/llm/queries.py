@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parleo.llm import decontaminate, langid, minhash, packing, quality, secret_scan, toxicity, warc
+from parleo.llm import decontaminate, langid, minhash, packing, quality, secret_scan, suffix_dedup, toxicity, warc
 from parleo.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,8 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_minhash")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.groups(load(spark, sf, "documents"))
+
+
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.deduplicate(load(spark, sf, "documents")).drop("kept")
