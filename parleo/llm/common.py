@@ -4,8 +4,10 @@ from __future__ import annotations
 import uuid
 import zlib
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parleo.plans.stage import checkpoint_dir
 
@@ -57,3 +59,23 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """Total bytes of a text column (one small aggregate)."""
     got = docs.agg(F.sum(F.octet_length(docs[text_col].cast("string")))).first()[0]
     return int(got or 0)
+
+
+@F.pandas_udf(T.BinaryType())
+def deflated(text: pd.Series) -> pd.Series:
+    """Texts compressed before they are shuffled."""
+    return text.map(lambda t: zlib.compress(t, 1))
+
+
+def inflate(packed: pd.Series) -> list[bytes]:
+    return [zlib.decompress(z) for z in packed]
+
+
+_KINDS = {"bigint": "int64", "int": "int32", "short": "int16", "double": "float64", "boolean": "bool"}
+
+
+def frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    """Rows as a pandas frame of a flat schema, also where there are none."""
+    fields = [f.split() for f in schema.split(", ")]
+    cols = list(zip(*rows)) if rows else [[] for _ in fields]
+    return pd.DataFrame({n: pd.Series(list(c), dtype=_KINDS.get(t, "object")) for (n, t), c in zip(fields, cols)})

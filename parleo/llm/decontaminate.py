@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parleo.llm.common import id_text, shared_table
 
@@ -87,46 +88,76 @@ def _frequencies(docs: DataFrame, keys: set[tuple[bytes, ...]]) -> dict[tuple[by
     return defaultdict(int, {names[r["k"]]: r["n"] for r in rows})
 
 
-def _probe(docs: DataFrame, block: list[tuple[str, list[bytes]]]) -> DataFrame:
-    """Hits of one block of items: word spans and items for each document."""
-    spark = docs.sparkSession
+Index = tuple[dict, dict, list[str]]
+
+
+def index(docs: DataFrame, block: list[tuple[str, list[bytes]]]) -> Index:
+    """Prefix shingles of a block of items, the windows behind each, and the items' names."""
     found: dict[tuple[bytes, ...], list[int]] = defaultdict(list)
     for at, (_, item) in enumerate(block):
         for w in windows(item):
             if not found[w] or found[w][-1] != at:
                 found[w].append(at)
-    freq = _frequencies(docs, {s for w in found for s in shingles(w)}) if found else {}
+    freq = _frequencies(docs, {s for w in found for s in shingles(w)})
     prefix: dict[tuple[bytes, ...], list[tuple[int, tuple[bytes, ...], list[int]]]] = defaultdict(list)
     for w, at in found.items():
-        order = [(freq[s], s, i) for i, s in enumerate(shingles(w))]
-        _, rare, place = min(order)
+        _, rare, place = min((freq[s], s, i) for i, s in enumerate(shingles(w)))
         prefix[rare].append((place, w, at))
-    index = spark.sparkContext.broadcast((_by_first(prefix), dict(prefix), [name for name, _ in block]))
+    return _by_first(prefix), dict(prefix), [name for name, _ in block]
+
+
+def occurrences(w: list[bytes], known: Index) -> Iterator[tuple[int, int, list[int]]]:
+    """(first, end, items) of every window of the block that occurs among the words."""
+    by_first, windows_of, _ = known
+    for i, x in enumerate(w):
+        if x in by_first:
+            for k, those in by_first[x].items():
+                s = tuple(w[i:i + k])
+                if s in those:
+                    for place, window, at in windows_of[s]:
+                        a = i - place
+                        if a >= 0 and a + len(window) <= len(w) and tuple(w[a:a + len(window)]) == window:
+                            yield a, a + len(window), at
+
+
+def _probe(docs: DataFrame, block: list[tuple[str, list[bytes]]]) -> DataFrame:
+    """Add the hits of one block of items: word spans and items of each document."""
+    shared = docs.sparkSession.sparkContext.broadcast(index(docs, block))
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by_first, windows_of, names = index.value
+        known = shared.value
         for b in batches:
-            hits, names_hit = [], []
+            hits, names = [], []
             for text, had, of in zip(b["text"], b["hit_spans"], b["items"]):
-                w = words(text)
                 spans, items = {(s["first"], s["last"]) for s in had}, set(of)
-                for i, x in enumerate(w):
-                    if x in by_first:
-                        for k, those in by_first[x].items():
-                            s = tuple(w[i:i + k])
-                            if s in those:
-                                for place, window, at in windows_of[s]:
-                                    a = i - place
-                                    if a >= 0 and a + len(window) <= len(w) and tuple(w[a:a + len(window)]) == window:
-                                        spans.add((a, a + len(window)))
-                                        items.update(names[j] for j in at)
+                for first, end, at in occurrences(words(text), known):
+                    spans.add((first, end))
+                    items.update(known[2][j] for j in at)
                 hits.append([{"first": p, "last": q} for p, q in sorted(spans)])
-                names_hit.append(sorted(items))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text": b["text"], "hit_spans": hits, "items": names_hit})
+                names.append(sorted(items))
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text": b["text"], "hit_spans": hits, "items": names})
 
     return docs.mapInPandas(probe, HITS)
 
 
+def _hits(docs: DataFrame, block: list[tuple[str, list[bytes]]]):
+    """Column function: does a text hold a window of the block?"""
+    shared = docs.sparkSession.sparkContext.broadcast(index(id_text(docs), block))
+
+    @F.pandas_udf(T.BooleanType())
+    def hit(text: pd.Series) -> pd.Series:
+        return pd.Series([next(occurrences(words((t or "").encode()), shared.value), None) is not None for t in text], dtype=bool)
+
+    return hit
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows, with all their columns, that hold no window of any item."""
+    for block in _blocks(benchmark, block_bytes):
+        docs = docs.where(~_hits(docs, block)(docs["text"].cast("string")))
+    return docs
+
+
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, list[bytes]]]]:
     """Items with words in blocks of bounded size, read one partition at a time."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parleo.llm import decontaminate, langid, minhash, packing, quality, secret_scan, suffix_dedup, toxicity, warc
+from parleo.llm import decontaminate, langid, lm_score, minhash, packing, quality, secret_scan, suffix_dedup, toxicity, warc
 from parleo.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,8 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_suffix_dedup")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.deduplicate(load(spark, sf, "documents")).drop("kept")
+
+
+@query("op4_lm_score")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return lm_score.score(load(spark, sf, "documents"))

@@ -33,9 +33,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from parleo.llm.common import id_text, shared_table
+from parleo.llm.common import deflated, frame, id_text, shared_table
 from parleo.llm.minhash import mixed
 
 DEPTH = 200
@@ -160,16 +159,9 @@ def _kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows.append((r["kind"], r["digit"], r["place"], r["windows"], text[r["start"]:r["start"] + r["windows"] - 1 + DEPTH]))
             size += len(found)
             if size > 20_000:
-                yield _frame(rows, _KIND)
+                yield frame(rows, _KIND)
                 rows, size = [], 0
-        yield _frame(rows, _KIND)
-
-
-def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
-    kinds = {"bigint": "int64", "short": "int16", "int": "int32"}
-    fields = [f.split() for f in schema.split(", ")]
-    cols = list(zip(*rows)) if rows else [[] for _ in fields]
-    return pd.DataFrame({n: pd.Series(list(c), dtype=kinds.get(t, "object")) for (n, t), c in zip(fields, cols)})
+        yield frame(rows, _KIND)
 
 
 _BLOCK = "kind bigint, first short, count short, core bigint, whole bigint"
@@ -240,12 +232,7 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             text = zlib.decompress(packed)
             rest, removed, n = cut(text, [] if spans is None else [(s["a"], s["b"]) for s in spans])
             out.append((doc_id, len(text), removed, n, hashlib.sha256(rest).hexdigest(), rest))
-        yield _frame(out, _CUT)
-
-
-@F.pandas_udf(T.BinaryType())
-def _packed(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: zlib.compress(t, 1))
+        yield frame(out, _CUT)
 
 
 def _repeated(at: DataFrame, digit: str, following: str) -> DataFrame:
@@ -301,7 +288,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the remaining bytes of every document."""
-    d = id_text(docs).withColumn("doc_key", F.xxhash64("doc_id", "text")).withColumn("packed", _packed("text"))
+    d = id_text(docs).withColumn("doc_key", F.xxhash64("doc_id", "text")).withColumn("packed", deflated("text"))
     spans = repeated_spans(d).groupBy("doc_key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     rows = d.select("doc_id", "doc_key", "packed").join(spans, "doc_key", "left").select(F.col("doc_id").cast("string").alias("doc_id"), "packed", "spans")
     return rows.mapInPandas(_cut, _CUT).withColumn("doc_id", F.col("doc_id").cast("bigint"))

@@ -32,6 +32,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parleo.llm.common import fold_col, id_text
 
@@ -184,13 +185,13 @@ def train(rows: list[tuple[str, int]], seed: int = 0) -> Machine:
 
     def mapped(strings: list[str]) -> np.ndarray:
         out = np.zeros((len(strings), nystroem.shape[0]))
-        for i in range(0, len(strings), 2000):
-            part = strings[i:i + 2000]
+        for i in range(0, len(strings), 500):
+            part = strings[i:i + 500]
             r, s, v = profile(part, letters)
             on = place[s] >= 0
             x = np.zeros((len(part), len(used)), dtype="float32")
             x[r[on], place[s[on]]] = v[on]
-            out[i:i + 2000] = x @ nystroem.T
+            out[i:i + 500] = x @ nystroem.T
         return out
 
     positive = [d for d, (_, b) in zip(docs, rows) if b and d]
@@ -302,6 +303,17 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     return id_text(docs).withColumn("held_out", fold_col(F.col("doc_id"), parts) == out).mapInPandas(run, SCORED)
 
 
+def clean(docs: DataFrame, machine: Machine) -> DataFrame:
+    """Rows, with all their columns, that are not predicted toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+
+    @F.pandas_udf(T.DoubleType())
+    def probability(text: pd.Series) -> pd.Series:
+        return pd.Series(scores(shared.value, [t or "" for t in text]), dtype="float64")
+
+    return docs.where(probability(docs["text"].cast("string")) < 0.5)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from the labelled documents outside the held-out fold and score all."""
     return score(docs, train(sample(docs, labels)))
