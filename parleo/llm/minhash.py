@@ -1,6 +1,6 @@
 """Near-duplicate documents by min-max hashing.
 
-A document's set holds its distinct shingles of ``WORDS`` words.  Under each of
+A document's set holds its distinct shingles of five words (or as many as asked for).  Under each of
 ``PERMUTATIONS`` random orders both the smallest and the largest element are kept: both
 agree with the probability of the Jaccard similarity, so half as many hash
 evaluations give as many signature values.  A band joins the minima and maxima
@@ -34,14 +34,14 @@ from pyspark.sql import functions as F
 from parleo.llm.common import shared_table, utf8
 from parleo.llm.components import components
 
-WORDS = 4
+WORDS = 5
 NUM, DEN = 80, 100
 PERMUTATIONS = 192
 BANDS = 64
 _PER_BAND = PERMUTATIONS // BANDS
 _rng = np.random.default_rng(20240229)
 _FACTOR = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype="uint64") * np.uint64(2) + np.uint64(1)
-_PLACE = _rng.integers(0, 1 << 63, WORDS, dtype="uint64") * np.uint64(2) + np.uint64(1)
+_PLACE = _rng.integers(0, 1 << 63, 16, dtype="uint64") * np.uint64(2) + np.uint64(1)
 _BAND = _rng.integers(0, 1 << 63, 2 * _PER_BAND, dtype="uint64") * np.uint64(2) + np.uint64(1)
 BLOCK = 1024
 
@@ -56,10 +56,10 @@ def words(text: bytes) -> list[bytes]:
     return text.lower().split()  # bytes fold and split ASCII only
 
 
-def shingles(w: list[bytes]) -> set[tuple[bytes, ...]]:
-    if len(w) < WORDS:
+def shingles(w: list[bytes], size: int = WORDS) -> set[tuple[bytes, ...]]:
+    if len(w) < size:
         return {tuple(w)} if w else set()
-    return set(zip(*(w[i:] for i in range(WORDS))))
+    return set(zip(*(w[i:] for i in range(size))))
 
 
 class _Hashes(dict):
@@ -70,12 +70,12 @@ class _Hashes(dict):
         return h
 
 
-def shingle_hashes(w: list[bytes], known: _Hashes) -> np.ndarray:
+def shingle_hashes(w: list[bytes], known: _Hashes, size: int = WORDS) -> np.ndarray:
     """Distinct 64-bit shingle hashes, sorted."""
     if not w:
         return np.zeros(0, "uint64")
     h = np.fromiter(map(known.__getitem__, w), dtype="uint64", count=len(w))
-    k = min(WORDS, len(w))
+    k = min(size, len(w))
     s = np.full(len(h) - k + 1, k, dtype="uint64")
     for i in range(k):
         s = mixed(s + h[i:len(h) - k + 1 + i] * _PLACE[i])
@@ -102,14 +102,14 @@ def bands(s: np.ndarray) -> np.ndarray:
 _SIGNED = "doc_id string, n bigint, class_a bigint, class_b bigint, bands array<bigint>"
 
 
-def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sign(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
     known = _Hashes()
     for b in batches:
         out = []
         for doc_id, text in zip(b["doc_id"], b["text"]):
             if len(known) > 200_000:
                 known.clear()
-            s = shingle_hashes(words(text), known)
+            s = shingle_hashes(words(text), known, size)
             if len(s):
                 a, c = (mixed(s ^ np.uint64(k)).sum(dtype="uint64").view("int64") for k in (0x51, 0xA3))
                 out.append((doc_id, len(s), a, c, bands(s)))
@@ -124,33 +124,33 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), utf8(docs["text"]).alias("text"))
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, size: int = WORDS) -> DataFrame:
     """doc_id, size, class (128 bits) and bands of every document."""
-    rows = _texts(docs).withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_sign, _SIGNED)
+    rows = _texts(docs).withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(lambda b: _sign(b, size), _SIGNED)
     return rows.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _compare(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
     last, left = None, set()
     for b in batches:
         both, union = [], []
         for p, tp, tx in zip(b["pivot"], b["text_pivot"], b["text"]):
             if (p, tp) != last:
-                last, left = (p, tp), shingles(words(tp))
-            right = shingles(words(tx))
+                last, left = (p, tp), shingles(words(tp), size)
+            right = shingles(words(tx), size)
             k = len(left & right)
             both.append(k)
             union.append(len(left) + len(right) - k)
         yield pd.DataFrame({"pivot": b["pivot"], "node": b["node"], "same": pd.Series(both, dtype="int64"), "all": pd.Series(union, dtype="int64")})
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, size: int = WORDS) -> DataFrame:
     """Exact intersection and union sizes of (pivot, node) pairs."""
     texts = _texts(docs)
     one = pairs.join(texts.withColumnRenamed("doc_id", "node"), "node")
     other = texts.select(F.col("doc_id").alias("pivot"), F.col("text").alias("text_pivot"))
     found = one.join(other, "pivot").select("pivot", "node", "text_pivot", "text")
-    return found.mapInPandas(_compare, "pivot bigint, node bigint, same bigint, all bigint").groupBy("pivot", "node").agg(
+    return found.mapInPandas(lambda b: _compare(b, size), "pivot bigint, node bigint, same bigint, all bigint").groupBy("pivot", "node").agg(
         F.max_by(F.struct("same", "all"), F.col("same") / F.col("all")).alias("s")).select("pivot", "node", "s.same", "s.all")
 
 
@@ -162,9 +162,9 @@ def _close(n: str, m: str) -> F.Column:
     return DEN * F.least(n, m) >= NUM * F.greatest(n, m)
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
-    s = shared_table(signed(docs))
+def groups(docs: DataFrame, size: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row, by shingles of ``size`` words."""
+    s = shared_table(signed(docs, size))
     named = s.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     key = ["class_a", "class_b", "n"]
     classes = shared_table(named.groupBy(*key).agg(F.min("doc_id").alias("rep")))
@@ -174,13 +174,13 @@ def groups(docs: DataFrame) -> DataFrame:
     pivots = pivots.where(F.col("pivot") < F.col("last")).drop("last")
     met = shared_table(spread.join(pivots, "band").select("band", "pivot", "pivot_n", "node", "n"))
     pairs = met.where((F.col("node") != F.col("pivot")) & _close("n", "pivot_n")).select("pivot", "node").distinct()
-    first = shared_table(verified(pairs, docs))
+    first = shared_table(verified(pairs, docs, size))
     # rows of one id in several classes connect them
     spans = named.join(classes, key).groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a > b").select("a", "b")
     links = _linked(first).unionByName(spans)
     found = components(links)
     second = _across(met, first, found)
-    more = shared_table(_linked(verified(second, docs)))
+    more = shared_table(_linked(verified(second, docs, size)))
     if not more.isEmpty():
         found = components(links.unionByName(more))
     of_rep = classes.join(found, classes["rep"] == found["node"], "left").select(*key, F.coalesce("component", "rep").alias("component_id"))

@@ -100,7 +100,7 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op5_minhash")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
-    return minhash.groups(load(spark, sf, "documents"))
+    return minhash.groups(load(spark, sf, "documents"), size=4)
 
 
 @query("op2_suffix_dedup")
