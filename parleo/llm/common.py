@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +29,12 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit("")).cast("binary")
 
 
+def map_texts(rows: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """``mapInPandas`` for rows with a doc_id: ids travel as text, since pandas turns integers beside nulls into floats."""
+    out = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(fn, schema.replace("doc_id bigint", "doc_id string"))
+    return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
 def fold(id_value: int | None, parts: int) -> int:
     """crc32 of the id as text, modulo; a null id counts as the text ''."""
     return zlib.crc32(b"" if id_value is None else str(int(id_value)).encode()) % parts
@@ -38,11 +45,6 @@ def fold_col(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def int_id(value) -> int | None:
-    """Ids arrive from pandas as floats where some are null."""
-    return None if value is None or value != value else int(value)
-
-
 def shared_table(df: DataFrame) -> DataFrame:
     """Write a result to the folder that all executors share and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

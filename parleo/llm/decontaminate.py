@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parleo.llm.common import id_text, shared_table
+from parleo.llm.common import id_text, map_texts, shared_table
 
 WINDOW = 10
 SHINGLE = 3
@@ -137,7 +137,7 @@ def _probe(docs: DataFrame, block: list[tuple[str, list[bytes]]]) -> DataFrame:
                 names.append(sorted(items))
             yield pd.DataFrame({"doc_id": b["doc_id"], "text": b["text"], "hit_spans": hits, "items": names})
 
-    return docs.mapInPandas(probe, HITS)
+    return map_texts(docs, probe, HITS)
 
 
 def _hits(docs: DataFrame, block: list[tuple[str, list[bytes]]]):
@@ -200,4 +200,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     at = id_text(docs).withColumns({"hit_spans": F.expr("cast(array() as array<struct<first:bigint,last:bigint>>)"), "items": F.expr("cast(array() as array<string>)")})
     for i, block in enumerate(_blocks(benchmark, block_bytes)):
         at = _probe(shared_table(at) if i and i % CHAIN == 0 else at, block)
-    return at.mapInPandas(_mark, MARKED)
+    return map_texts(at, _mark, MARKED)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parleo.llm.common import fold_col, id_text
+from parleo.llm.common import fold_col, id_text, map_texts
 
 DOCS_PER_LANG = 300
 WORDS_PER_DOC = 192
@@ -296,7 +296,7 @@ def predict(docs: DataFrame, model: Crf | None) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": [x for x, _ in got], "score": [float(s) for _, s in got]})
 
     rows = id_text(docs).withColumn("held_out", fold_col(F.col("doc_id"), parts) == out)
-    return rows.mapInPandas(run, PREDICTED)
+    return map_texts(rows, run, PREDICTED)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parleo.llm.common import WHITE, id_text
+from parleo.llm.common import WHITE, id_text, map_texts
 
 SYMBOLS = b"#*$%&|<>"
 #: Bytes that do not begin a code point, and white space.
@@ -76,7 +76,7 @@ def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def ledger(docs: DataFrame) -> DataFrame:
     """Measurements and ``fail_bits`` of every document."""
-    m = id_text(docs).mapInPandas(_measured, LEDGER)
+    m = map_texts(id_text(docs), _measured, LEDGER)
     bits: Column = F.lit(0).cast("bigint")
     for name, failing in RULES.items():
         bits = bits + F.when(F.expr(failing), F.lit(BIT[name])).otherwise(0)

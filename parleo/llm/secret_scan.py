@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parleo.llm.common import id_text
+from parleo.llm.common import id_text, map_texts
 
 KINDS = ("assign", "access", "hex")
 ADDED = "format"
@@ -263,7 +263,7 @@ def scan(docs: DataFrame, formats: Formats) -> DataFrame:
             got.insert(0, "doc_id", b["doc_id"].array)
             yield got
 
-    return id_text(docs).mapInPandas(run, SCANNED)
+    return map_texts(id_text(docs), run, SCANNED)
 
 
 def mask(text: str, formats: Formats, token: str = "[SECRET]") -> str:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parleo.llm.common import fold_col, id_text
+from parleo.llm.common import fold_col, id_text, map_texts
 
 ORDER = 4
 DECAY = 0.75
@@ -300,7 +300,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
             p = scores(m, [t.decode("utf-8", "replace") for t in b["text"]])
             yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": p, "predicted": (p >= 0.5).astype("int32")})
 
-    return id_text(docs).withColumn("held_out", fold_col(F.col("doc_id"), parts) == out).mapInPandas(run, SCORED)
+    return map_texts(id_text(docs).withColumn("held_out", fold_col(F.col("doc_id"), parts) == out), run, SCORED)
 
 
 def clean(docs: DataFrame, machine: Machine) -> DataFrame:
