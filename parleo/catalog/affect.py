@@ -119,20 +119,18 @@ def w16(spark, sf):
 
 
 # ---- intents -------------------------------------------------------------------------------
-_rules: dict[str, list[str]] = {}
-for _h, _k in seeds.entries(seeds.INTENT_KEYWORDS):
-    _rules.setdefault(_h, []).append(_k)
+_rules = seeds.INTENT_KEYWORDS
 _LOW = "lower(trim(text, ' '))"
 
 
-def _cond(head: str) -> str:
-    if head.startswith("question"):
+def _cond(head: tuple[str, float]) -> str:
+    if head[0] == "question":
         return "(rtrim({0}, ' ') LIKE '%?' OR ".format(_LOW) + " OR ".join(f"starts_with({_LOW}, {q(k)})" for k in _rules[head]) + ")"
     return "(" + " OR ".join(f"contains({_LOW}, {q(k)})" for k in _rules[head]) + ")"
 
 
-KWI = "CASE " + " ".join(f"WHEN {_cond(h)} THEN {q(h.split('/')[0])}" for h in _rules) + " WHEN call_type = 'general' THEN 'info_request' ELSE 'unknown' END"
-KWC = "CASE " + " ".join(f"WHEN {_cond(h)} THEN {h.split('/')[1]}e0" for h in _rules) + " WHEN call_type = 'general' THEN 0.5e0 ELSE 0.3e0 END"
+KWI = "CASE " + " ".join(f"WHEN {_cond(h)} THEN {q(h[0])}" for h in _rules) + " WHEN call_type = 'general' THEN 'info_request' ELSE 'unknown' END"
+KWC = "CASE " + " ".join(f"WHEN {_cond(h)} THEN {h[1]}e0" for h in _rules) + " WHEN call_type = 'general' THEN 0.5e0 ELSE 0.3e0 END"
 SEN = "s_label AS (SELECT *, ['negative', 'neutral', 'positive'][(conv_id * 3 + turn) % 3 + 1] AS label, (length(text) * 17 + conv_id * 7) % 1001 AS score_m FROM seg)"
 _CLEAN = r"rtrim(regexp_replace(lower(trim(text, ' ')), '\.+$', ''), ' ')"
 ROUTE = f"""CASE WHEN nw <= 3 AND lang = 'en' AND {_CLEAN} IN {inlist([p for _, p in seeds.entries(seeds.TRIVIAL_EN)])} THEN 'skip' WHEN nw <= 2 AND lang <> 'en' THEN 'skip'

@@ -319,7 +319,7 @@ def key_metrics(e, tops):
 
 # ---- corrections and lexicon ---------------------------------------------------------------
 
-FIXES = [tuple(x.strip() for x in e.split(": ")) for e in seeds.CORRECTIONS.strip().split(" | ")]
+FIXES = list(seeds.CORRECTIONS.items())
 
 
 def _fix_sql(x: str) -> str:

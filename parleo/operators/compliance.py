@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parleo.functions.columns import any_contains
-from parleo.operators.matching import call_phrases, first_segment_with, phrase_hits
+from parleo.operators.matching import call_phrases, first_turn_of, phrase_hits
 from parleo.operators.turns import agent_domination, agent_opening, is_customer, opening_text, talk_shares
-from parleo.plans.skew import attach, dim, lookahead
+from parleo.plans.skew import attach, dim, lookahead, salted_join
 from parleo.sources import seeds
 
 COLUMNS = ["call_id", "check_name", "passed", "segment_id", "severity", "regulation", "evidence"]
@@ -20,39 +20,43 @@ def conduct_agent(speaker: Column) -> Column:
 
 
 def severity_map() -> list[tuple[str, str, str]]:
-    return [(ct, *pair.split(" ")) for ct, pair in seeds.entries(seeds.SEVERITY_BY_CALL_TYPE)]
+    return [(ct, raw, shown) for ct, row in seeds.SEVERITY_BY_CALL_TYPE.items() for raw, shown in row.items()]
 
 
 def mapped_severity(call_type: Column, raw: Column) -> Column:
     """Severity by call type; unknown types count as general."""
-    e = F.when(call_type.isin("collections", "kyc", "consent"), raw)
-    soft = F.when(raw == "critical", "high").when(raw == "high", "medium").otherwise("low")
-    return e.when(call_type.isin("complaint", "onboarding"), soft).otherwise(F.lit("low"))
+    pairs = F.create_map(*[F.lit(x) for ct, r, shown in severity_map() for x in (f"{ct}/{r}", shown)])
+    known = F.when(call_type.isin(*seeds.SEVERITY_BY_CALL_TYPE), call_type).otherwise("general")
+    return pairs[F.concat(known, F.lit("/"), raw)]
 
 
 def effective_vocab(vocab: DataFrame, langs: DataFrame) -> DataFrame:
     """Own-language phrases plus the English ones for every language in use, without doubles."""
     cols = ["domain", "call_type", "category", "phrase", "regulation", "rank"]
     used = langs.select("lang").distinct()
-    v, _ = dim(vocab)
-    own = used.join(v, "lang").select("lang", *cols)
-    english = used.withColumn("_e", F.lit("en")).join(v.withColumnRenamed("lang", "_e"), "_e")
-    both = own.unionByName(english.select("lang", *cols))
+    # a row for each language in use: the vocabulary is the large side, languages are few
+    own = vocab.join(used, "lang").select("lang", *cols, F.lit(True).alias("is_own"))
+    english = vocab.where(F.col("lang") == "en").drop("lang").join(used.withColumn("_e", F.lit("en")), F.col("_e") == "en").select("lang", *cols, (F.col("lang") == "en").alias("is_own"))
+    both = own.unionByName(english)
     return both.groupBy("lang", "domain", "category", "phrase", F.coalesce("call_type", F.lit("")).alias("call_type")).agg(
-        F.min("rank").alias("rank"), F.first("regulation", ignorenulls=True).alias("regulation"))
+        F.min("rank").alias("rank"), F.max_by("regulation", F.struct("is_own", "regulation")).alias("regulation"), F.bool_or("is_own").alias("is_own"))
 
 
 def disclosure_checks(seg: DataFrame, vocab: DataFrame) -> DataFrame:
     """One row per required disclosure of a regulated call, looked up in the agent's opening."""
-    v = vocab.where(F.col("domain") == "disclosure").select(
-        F.col("call_type").alias("v_type"), "category", "phrase", "regulation", "lang")
     calls = seg.where(F.col("call_type").isin(*seeds.REGULATED)).select("call_id", "call_type", "lang").distinct()
     opening = opening_text(agent_opening(seg)).select("call_id", F.lower("opening").alias("opening"))
     base = calls.join(opening, "call_id", "left").fillna("", ["opening"])
-    hits = phrase_hits(base, v.select("v_type", "category", "phrase"), ["call_id", "call_type"], "opening").where(
-        F.col("v_type") == F.col("call_type")).select("call_id", F.col("category").alias("check_name")).distinct().withColumn("_hit", F.lit(True))
-    need, _ = dim(v.select(F.col("v_type").alias("call_type"), F.col("category").alias("check_name"), "regulation").distinct())
-    rows = base.join(need, "call_type").join(hits, ["call_id", "check_name"], "left")
+    v = effective_vocab(vocab.where(F.col("domain") == "disclosure"), calls).select(
+        F.col("lang").alias("v_lang"), F.col("call_type").alias("v_type"), "category", "phrase", "regulation", "is_own")
+    hits = phrase_hits(base, v.select("v_lang", "v_type", "category", "phrase"), ["call_id", "call_type", "lang"], "opening").where(
+        (F.col("v_type") == F.col("call_type")) & (F.col("v_lang") == F.col("lang"))).select(
+        "call_id", F.col("category").alias("check_name")).distinct().withColumn("_hit", F.lit(True))
+    # one row for each check of a language: its own regulation before the English one
+    need, small = dim(v.groupBy(F.col("v_lang").alias("lang"), F.col("v_type").alias("call_type"), F.col("category").alias("check_name")).agg(
+        F.max_by("regulation", F.struct("is_own", "regulation")).alias("regulation")))
+    rows = (base.join(need, ["lang", "call_type"]) if small else salted_join(base, need, ["lang", "call_type"], ["call_id"]))
+    rows = rows.join(hits, ["call_id", "check_name"], "left")
     ok = F.coalesce("_hit", F.lit(False))
     return rows.select("call_id", "check_name", ok.alias("passed"), F.lit(None).cast("bigint").alias("segment_id"),
                        mapped_severity(F.col("call_type"), F.when(ok, "low").otherwise("high")).alias("severity"), "regulation",
@@ -66,9 +70,7 @@ def prohibited_phrases(seg: DataFrame, vocab: DataFrame) -> DataFrame:
     hits = call_phrases(spoken, bad, ["call_type", "lang"]).where(
         (F.col("v_lang") == "en") | (F.col("v_lang") == F.col("lang")))
     hits = hits.select("call_id", "call_type", "category", F.lower("phrase").alias("phrase")).distinct()
-    # the turn to show is looked up only among turns of calls and phrases that hit
-    fixed = sorted({p.lower() for block in (seeds.PROHIBITED_EN, seeds.PROHIBITED_HI) for _, p in seeds.entries(block)})
-    first = first_segment_with(seg, fixed)
+    first = first_turn_of(seg, hits)
     raw = F.when(F.col("category").isin("threats", "coercion", "misleading"), "critical").otherwise("high")
     return hits.join(first, ["call_id", "phrase"], "left").select(
         "call_id", F.concat(F.lit("prohibited_"), "category").alias("check_name"), F.lit(False).alias("passed"),
@@ -77,10 +79,9 @@ def prohibited_phrases(seg: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def third_party_disclosure(seg: DataFrame, vocab: DataFrame) -> DataFrame:
-    fixed = [p for _, p in seeds.entries(seeds.THIRD_PARTY)]
     v = vocab.where(F.col("domain") == "third_party").select("category", "phrase")
     hits = call_phrases(seg, v).select("call_id", "phrase").distinct()
-    return hits.join(first_segment_with(seg, fixed), ["call_id", "phrase"], "left").select(
+    return hits.join(first_turn_of(seg, hits), ["call_id", "phrase"], "left").select(
         "call_id", F.lit("third_party_disclosure").alias("check_name"), F.lit(False).alias("passed"),
         F.col("first_segment").alias("segment_id"), F.lit("critical").alias("severity"),
         F.lit("RBI_Fair_Practice_Code_Section_8d").alias("regulation"),
@@ -89,11 +90,11 @@ def third_party_disclosure(seg: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def ignored_end_request(seg: DataFrame, vocab: DataFrame, allowed: int = 3) -> DataFrame:
     """The first listed phrase a customer used to end the call, and the agent turns after it."""
-    v = vocab.where(F.col("domain") == "end_call").select("phrase", "rank", "category")
-    asked = call_phrases(seg.where(is_customer(F.col("speaker"))), v).groupBy("call_id").agg(
-        F.min_by("phrase", "rank").alias("phrase"))
-    fixed = [p for _, p in seeds.entries(seeds.END_CALL_EN)]
-    at = asked.join(first_segment_with(seg, fixed), ["call_id", "phrase"])
+    v = vocab.where(F.col("domain") == "end_call").select(F.col("lang").alias("v_lang"), "phrase", "rank", "category")
+    said = call_phrases(seg.where(is_customer(F.col("speaker"))), v, ["lang"]).where((F.col("v_lang") == "en") | (F.col("v_lang") == F.col("lang")))
+    # the call's own language comes before English
+    asked = said.groupBy("call_id").agg(F.min_by("phrase", F.struct(F.col("v_lang") != F.col("lang"), "rank", "phrase")).alias("phrase"))
+    at = asked.join(first_turn_of(seg, asked), ["call_id", "phrase"])
     agent = seg.where(conduct_agent(F.col("speaker"))).select("call_id", "chunk", "segment_id")
     after = attach(agent, at, ["call_id"], "chunk").where(F.col("segment_id") > F.col("first_segment"))
     n = after.groupBy("call_id", "phrase", "first_segment").agg(F.count(F.lit(1)).alias("n_after")).where(F.col("n_after") > allowed)
@@ -114,7 +115,8 @@ def domination_checks(seg: DataFrame) -> DataFrame:
 
 def general_checks(seg: DataFrame) -> DataFrame:
     """Three keyword checks for unregulated calls, always reported."""
-    hay = lookahead(seg.where(F.col("call_type") == "general"), ["call_id"], "chunk", ["segment_id"], "text", 6, "hay")
+    reach = max(len(k.split()) for _, _, kws in seeds.GENERAL_CHECKS for k in kws)
+    hay = lookahead(seg.where(F.col("call_type") == "general"), ["call_id"], "chunk", ["segment_id"], "text", reach, "hay")
     low = F.lower("hay")
     agg = hay.groupBy("call_id").agg(*[F.bool_or(any_contains(low, kws)).alias(f"c{i}")
                                        for i, (_, _, kws) in enumerate(seeds.GENERAL_CHECKS)])

@@ -7,9 +7,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parleo.functions.columns import constant, explode_once, let, norm
-from parleo.plans.skew import dim, lookahead, salted_join
+from parleo.plans.skew import attach, dim, lookahead, salted_join
 
-REACH = 10  # words of the longest phrase a call-level match can span
+
+def longest(vocab: DataFrame) -> int:
+    """Words of the longest phrase: how far a call-level match can look ahead."""
+    n = vocab.agg(F.max(F.size(F.split(F.trim(F.col("phrase")), r"\s+")))).first()[0]
+    return max(1, n or 1)
 
 
 def with_heads(vocab: DataFrame) -> DataFrame:
@@ -40,8 +44,9 @@ def phrase_hits(rows: DataFrame, vocab: DataFrame, ids: Sequence[str], text: str
     return joined.where(hit).drop("_raw", "_norm", "head", "nphrase")
 
 
-def call_phrases(turns: DataFrame, vocab: DataFrame, extra: Sequence[str] = (), reach: int = REACH) -> DataFrame:
-    """Phrases found in the joined text of the given turns of each call, also across turns."""
+def call_phrases(turns: DataFrame, vocab: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Phrases found in the joined text of the given turns of each call, over as many turns as the longest phrase spans."""
+    reach = longest(vocab)
     hay = lookahead(turns, ["call_id"], "chunk", ["segment_id"], "text", reach, "hay")
     hits = phrase_hits(hay, vocab, ["call_id", "segment_id", *extra], "hay", "text")
     return hits
@@ -60,7 +65,19 @@ def first_segment_with(turns: DataFrame, phrases: Sequence[str]) -> DataFrame:
     return hits.groupBy("call_id", "phrase").agg(F.min("segment_id").alias("first_segment"))
 
 
-def running_hits(turns: DataFrame, phrases: Sequence[tuple[str, str]], reach: int = REACH) -> DataFrame:
+def first_turn_of(turns: DataFrame, hits: DataFrame) -> DataFrame:
+    """First single turn, by any speaker, that contains a phrase found in its call (call_id, phrase).
+
+    Only turns of calls with hits are looked at; the phrases of a call are bounded by the vocabulary.
+    """
+    per_call = hits.groupBy("call_id").agg(F.collect_set("phrase").alias("_ps"))
+    own = attach(turns.select("call_id", "chunk", "segment_id", F.lower("text").alias("_t")), per_call, ["call_id"], "chunk")
+    found = explode_once(own, ["call_id", "segment_id"], F.filter("_ps", lambda p: F.contains(F.col("_t"), F.lower(p))), "phrase")
+    return found.groupBy("call_id", "phrase").agg(F.min("segment_id").alias("first_segment"))
+
+
+def running_hits(turns: DataFrame, phrases: Sequence[tuple[str, str]]) -> DataFrame:
     """Substring matches over the joined text of a call, one row per call, category and phrase."""
+    reach = max((len(p.split()) for _, p in phrases), default=1)
     hay = lookahead(turns, ["call_id"], "chunk", ["segment_id"], "text", reach, "hay")
     return substring_hits(hay, phrases, ["call_id"], "hay").distinct()

@@ -26,13 +26,14 @@ def phrase_counts(docs: DataFrame, label: str, sizes: Sequence[int] = (3, 4, 5))
     return x.groupBy("phrase").agg(F.count_if(F.col("y") == 1).alias("n_scam"), F.count_if(F.col("y") != 1).alias("n_normal"))
 
 
-def over_represented(counts: DataFrame, sizes: DataFrame, categories: Sequence[tuple[str, str]], top: int = 5000) -> DataFrame:
+def over_represented(counts: DataFrame, sizes: DataFrame, categories: Sequence[tuple[str, str]], top: int | None = None) -> DataFrame:
     """Frequent phrases at least twice as common under the label, filed under the first matching category.
 
-    ``sizes`` is one row with the number of documents per label.
+    ``sizes`` is one row with the number of documents per label.  ``top`` limits
+    the phrases looked at, most frequent first; by default all are.
     """
-    j = counts.where("n_scam > 0").orderBy(F.desc("n_scam"), "phrase").limit(top).withColumns({
-        c: sizes.select(c).scalar() for c in ("scam_docs", "normal_docs")})
+    j = counts.where("n_scam > 0")
+    j = (j.orderBy(F.desc("n_scam"), "phrase").limit(top) if top else j).withColumns({c: sizes.select(c).scalar() for c in ("scam_docs", "normal_docs")})
     min_n = F.greatest(F.lit(3).cast("bigint"), F.floor(F.col("scam_docs") / 100))
     ratio = (F.col("n_scam") / F.greatest(F.col("scam_docs"), F.lit(1))) / F.greatest(F.col("n_normal") / F.greatest(F.col("normal_docs"), F.lit(1)), F.lit(1e-4))
     toks = F.split("phrase", " ")
@@ -64,61 +65,95 @@ def short_phrases(turns: DataFrame, max_words: int = 5, max_words_hi: int = 3, m
     return g.where((F.col("lang") == "en") | (F.col("n") >= min_hi))
 
 
-def acronyms(docs: DataFrame, top: int = 100, at_least: int = 2) -> DataFrame:
+def _report(counts: DataFrame, top: int | None) -> DataFrame:
+    """The commonest terms where a report asks for so many, else all."""
+    return counts.orderBy(F.desc("n"), "term").limit(top) if top else counts
+
+
+def acronyms(docs: DataFrame, top: int | None = None, at_least: int = 2) -> DataFrame:
     """Occurrences of finance acronyms, upper case, most frequent first."""
     p = rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:{seeds.FINANCE_PATTERN})(?![\p{{L}}\p{{N}}_])"
     x = explode_once(docs, [], F.regexp_extract_all("text", F.lit(p), F.lit(0)), "m")
-    return x.groupBy(F.upper("m").alias("term")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least).orderBy(F.desc("n"), "term").limit(top)
+    return x.groupBy(F.upper("m").alias("term")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least).transform(_report, top)
 
 
-def document_frequency(docs: DataFrame, terms: Sequence[str], top: int = 50) -> DataFrame:
+def document_frequency(docs: DataFrame, terms: Sequence[str], top: int | None = None) -> DataFrame:
     """Number of texts that contain a term."""
     hit = F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(F.col("text"), t))
-    return explode_once(docs, [], hit, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(top)
+    return explode_once(docs, [], hit, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n")).transform(_report, top)
 
 
 def aligned_pairs(pairs: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """One-to-one substitutions of equally long texts, word by word."""
-    def diff(h: Column, t: Column) -> Column:
-        both = F.zip_with(h, t, lambda a, b: F.when(a != b, F.struct(a.alias("heard"), b.alias("truth"))))
-        return F.when(F.size(h) == F.size(t), F.array_compact(both))
-
-    z = let(F.split(norm(F.col("heard")), " "), lambda h: let(F.split(norm(F.col("truth")), " "), lambda t: diff(h, t)))
-    return explode_once(pairs, ids, z, "p", "pos").select(*ids, F.col("pos").cast("bigint").alias("pos"), "p.heard", "p.truth")
-
-
-def sequence_pairs(pairs: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """Substitutions of texts of any length by longest matching blocks; Arrow batches, one pair per row."""
-    from pyspark.sql import types as T
-
-    src = pairs.select(*ids, norm(F.col("heard")).alias("heard"), norm(F.col("truth")).alias("truth"))
-    keys = list(ids)
+    """One-to-one substitutions of two texts of any lengths, in column expressions.
 
-    def run(batches):
-        import difflib
-
-        import pandas as pd
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                a, b = row.heard.split(), row.truth.split()
-                for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-                    if tag == "replace" and i2 - i1 == j2 - j1:
-                        out += [(*[getattr(row, k) for k in keys], x, y) for x, y in zip(a[i1:i2], b[j1:j2]) if x != y]
-            yield pd.DataFrame(out, columns=[*keys, "heard", "truth"])
-
-    schema = T.StructType([f for f in src.schema.fields if f.name in keys] + [T.StructField("heard", T.StringType()), T.StructField("truth", T.StringType())])
-    return src.mapInPandas(run, schema)
-
-
-def discover_corrections(mismatches: DataFrame, min_count: int = 3, top: int = 200, max_similarity: float = 0.8) -> DataFrame:
-    """Frequent mismatches: all that touch a finance term, and the clearly different ones of the top list."""
+    Words that occur once in either text anchor the alignment; of crossing
+    anchors those that keep the order of both texts stay.  From every anchor the match grows over
+    equal neighbours on both sides; what lies between two matched stretches is a
+    substitution where both texts have as many words there.
+    """
+    h, t = F.split(norm(F.col("heard")), " "), F.split(norm(F.col("truth")), " ")
+    x = pairs.select(*ids, h.alias("_h"), t.alias("_t"))
+    rows = explode_once(x, list(ids), _substitutions(F.col("_h"), F.col("_t")), "p")
+    return rows.select(*ids, F.col("p.pos").cast("bigint").alias("pos"), "p.heard", "p.truth")
+
+
+def _once(words_: Column) -> Column:
+    """Words that occur once, with their places: map word -> place."""
+    def single(at: Column) -> Column:
+        def other(k: Column, s: Column) -> Column:
+            return F.coalesce(F.get(at, k)["w"] != s["w"], F.lit(True))
+        return F.map_from_entries(F.filter(at, lambda s, k: other(k - 1, s) & other(k + 1, s)))
+
+    return let(F.array_sort(F.transform(words_, lambda w, i: F.struct(w.alias("w"), i.cast("int").alias("i")))), single)
+
+
+def _substitutions(h: Column, t: Column) -> Column:
+    """Substitutions between the anchors of two word arrays.  Whatever is used in a loop is evaluated once, by ``let``."""
+    def chain(at: Column) -> Column:
+        # an anchor that crosses both neighbours is a stray; of the others one goes on from the last if both places grow
+        calm = F.filter(at, lambda a, k: F.coalesce(F.get(at, k - 1)["j"] < a["j"], F.lit(True)) & F.coalesce(F.get(at, k + 1)["j"] > a["j"], F.lit(True)))
+        return let(calm, lambda c: F.filter(c, lambda a, k: F.coalesce(F.get(c, k - 1)["j"] < a["j"], F.lit(True))))
+
+    def anchors(hm: Column, tm: Column) -> Column:
+        both = F.transform(F.filter(F.map_entries(hm), lambda e: F.map_contains_key(tm, e["key"])), lambda e: F.struct(e["value"].alias("i"), tm[e["key"]].alias("j")))
+        return let(F.array_sort(both), chain)
+
+    def swaps(i: Column, j: Column, n: Column, m: Column, least: Column, head: Column, tail: Column) -> Column:
+        left = n - head - tail
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(left, F.lit(1))), lambda d: F.struct(
+            (i + head + d).alias("pos"), F.get(h, i + head + d).alias("heard"), F.get(t, j + head + d).alias("truth")))
+        return F.when((left == m - head - tail) & (left > 0), F.filter(pairs, lambda s: s["heard"] != s["truth"])).otherwise(
+            F.expr("cast(array() as array<struct<pos:int,heard:string,truth:string>>)"))
+
+    def between(a: Column, b: Column) -> Column:
+        n, m = b["i"] - a["i"] - 1, b["j"] - a["j"] - 1
+        least = F.least(n, m)
+        steps = F.sequence(F.lit(1), F.greatest(least, F.lit(1)))
+        # equal words next to an anchor, on its diagonal, are matched too
+        head = F.aggregate(steps, F.lit(0), lambda c, d: F.when((d <= least) & (c == d - 1) & (F.get(h, a["i"] + d) == F.get(t, a["j"] + d)), d).otherwise(c))
+
+        def rest(first: Column) -> Column:
+            tail = F.aggregate(steps, F.lit(0), lambda c, d: F.when((d <= least - first) & (c == d - 1) & (F.get(h, b["i"] - d) == F.get(t, b["j"] - d)), d).otherwise(c))
+            return let(tail, lambda last: swaps(a["i"], a["j"], n, m, least, first, last))
+        return let(head, rest)
+
+    def gaps(bounds: Column) -> Column:
+        # neighbouring anchors leave no gap: only real ones are walked
+        real = F.filter(F.sequence(F.lit(0), F.size(bounds) - 2), lambda k: (F.get(bounds, k + 1)["i"] - F.get(bounds, k)["i"] > 1) & (F.get(bounds, k + 1)["j"] - F.get(bounds, k)["j"] > 1))
+        return F.flatten(F.transform(real, lambda k: let(F.get(bounds, k), lambda a: let(F.get(bounds, k + 1), lambda b: between(a, b)))))
+
+    edge = F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"))), F.array(F.struct(F.size(h).alias("i"), F.size(t).alias("j")))
+    return let(_once(h), lambda hm: let(_once(t), lambda tm: let(F.concat(edge[0], anchors(hm, tm), edge[1]), gaps)))
+
+
+def discover_corrections(mismatches: DataFrame, min_count: int = 3, top: int | None = None, max_similarity: float = 0.8) -> DataFrame:
+    """Frequent mismatches: all that touch a finance term, and the clearly different ones (of the ``top`` commonest where given)."""
     c = settle(mismatches.groupBy("heard", "truth").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count))
     fin = F.col("heard").isin(*seeds.FINANCE_TERMS) | F.col("truth").isin(*seeds.FINANCE_TERMS)
     best = F.max_by(F.struct("truth", "n"), F.struct(F.col("n"), F.col("truth")))
     f = c.where(fin).groupBy("heard").agg(best.alias("s")).select("heard", "s.truth", "s.n", F.lit("financial").alias("kind"))
     sim = 1 - F.levenshtein("heard", "truth") / F.greatest(F.length("heard"), F.length("truth"))
-    g = c.orderBy(F.desc("n"), "heard", "truth").limit(top).where((F.length("heard") >= 3) & (F.length("truth") >= 3) & (sim < max_similarity))
+    g = (c.orderBy(F.desc("n"), "heard", "truth").limit(top) if top else c).where((F.length("heard") >= 3) & (F.length("truth") >= 3) & (sim < max_similarity))
     g = g.join(f.select("heard"), "heard", "left_anti").groupBy("heard").agg(best.alias("s")).select("heard", "s.truth", "s.n", F.lit("general").alias("kind"))
     return f.unionByName(g)
 

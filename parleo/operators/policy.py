@@ -60,17 +60,14 @@ def scam_hypothesis(scores: dict[str, Column], threshold_m: int = 700) -> Column
 
 def keyword_intent(text: Column, call_type: Column) -> Column:
     """Ordered keyword rules as (intent, confidence); without any hit info_request in general calls, unknown elsewhere."""
-    rules: dict[str, list[str]] = {}
-    for head, kw in seeds.entries(seeds.INTENT_KEYWORDS):
-        rules.setdefault(head, []).append(kw)
+    rules = seeds.INTENT_KEYWORDS
 
     def pair(name: str, conf: float) -> Column:
         return F.struct(F.lit(name).alias("intent"), F.lit(conf).alias("confidence"))
 
     def first_hit(low: Column) -> Column:
         out = None
-        for head, kws in rules.items():
-            name, c = head.split("/")
+        for (name, c), kws in rules.items():
             hit = any_contains(low, kws)
             if name == "question":
                 hit = F.rtrim(low).endswith("?")

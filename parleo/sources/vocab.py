@@ -24,7 +24,7 @@ def seed_rows() -> list[tuple]:
             ct, cat, reg = split(head) if split else (None, head, None)
             rows.append((lang, domain, ct, cat, phrase, reg, i))
 
-    add("en", "disclosure", seeds.DISCLOSURES_EN, lambda h: tuple(h.split("/")))
+    add("en", "disclosure", seeds.DISCLOSURES_EN, tuple)
     add("en", "prohibited", seeds.PROHIBITED_EN)
     add("hi", "prohibited", seeds.PROHIBITED_HI)
     add("en", "end_call", seeds.END_CALL_EN)
