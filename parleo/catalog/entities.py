@@ -229,11 +229,16 @@ def w21(spark, sf):
                     ent.mask(F.col("c.text"), F.col("c.entity_type")).alias("masked_text"))
 
 
-@query("J6_positional_mask", f"""WITH {PII}, {CLUST}, pv AS (SELECT *, coalesce(lag("end") OVER (PARTITION BY doc_id ORDER BY start), 0) AS prev FROM cs),
+# masking covers every occurrence, not the first of equal ones
+PII_ALL = PII.replace(" FROM pk WHERE k = 1)", " FROM pk)")
+CLUST_ALL = CLUST.replace("(SELECT DISTINCT ON (doc_id, entity_type, text) * FROM pii)", "pii")
+
+
+@query("J6_positional_mask", f"""WITH {PII_ALL}, {CLUST_ALL}, pv AS (SELECT *, coalesce(lag("end") OVER (PARTITION BY doc_id ORDER BY start), 0) AS prev FROM cs),
 m AS (SELECT doc_id, string_agg(substr(d.text, prev + 1, start - prev) || masked_text, '' ORDER BY start) AS head, max("end") AS last_end FROM pv JOIN documents d USING (doc_id) GROUP BY 1)
 SELECT d.doc_id, m.head IS NOT NULL AS pii_masked, coalesce(head || substr(d.text, last_end + 1), d.text) AS text FROM documents d LEFT JOIN m USING (doc_id)""")
 def j6(spark, sf):
-    d = _docs(spark, sf).select("doc_id", "text").withColumn("c", ent.clusters(ent.pii_spans(F.col("text"))))
+    d = _docs(spark, sf).select("doc_id", "text").withColumn("c", ent.clusters(ent.pii_occurrences(F.col("text"))))
     return d.select("doc_id", (F.size("c") > 0).alias("pii_masked"), ent.mask_positions(F.col("text"), F.col("c")).alias("text"))
 
 

@@ -239,7 +239,12 @@ PII_TYPE = "array<struct<start:int,end:int,entity_type:string,text:string,score:
 
 
 def pii_spans(text: Column, threshold: float = 0.5, before: int = 5) -> Column:
-    """All personal data of a text at or above the threshold; first occurrence per type and text.
+    """All personal data of a text at or above the threshold; first occurrence per type and text."""
+    return let(pii_occurrences(text, threshold, before), lambda items: keep_first(items, "entity_type", "text"))
+
+
+def pii_occurrences(text: Column, threshold: float = 0.5, before: int = 5) -> Column:
+    """All personal data of a text at or above the threshold, each occurrence of it.
 
     Every recogniser but e-mail and UPI needs a digit, those two an at sign;
     texts without either skip the patterns altogether.
@@ -250,9 +255,8 @@ def pii_spans(text: Column, threshold: float = 0.5, before: int = 5) -> Column:
         # the match itself is cheap to test; offsets and context are worked out only where it occurs
         parts.append(F.when(gate & text.rlike(p), _spans(text, n, t, p, s, c, before)))
     spans = F.flatten(F.array_compact(F.array(*parts)))
-    ok = F.filter(spans, lambda s: (s["score"] >= threshold) & (
+    return F.filter(spans, lambda s: (s["score"] >= threshold) & (
         (s["entity_type"] != "IN_AADHAAR") | verhoeff_ok(F.regexp_replace(s["text"], r"\s", ""))))
-    return let(ok, lambda items: keep_first(items, "entity_type", "text"))
 
 
 def pii(rows: DataFrame, ids: Sequence[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -233,16 +234,26 @@ def list_audio(spark, path: str) -> DataFrame:
     return f.withColumns({"language": lang, "call_type": ct})
 
 
+QUESTIONS = 1000  # questions of one block
+
+
 def top_similar(vectors: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
-    """Most similar vectors per question by cosine, inside the question's block (label).
+    """Most similar of all vectors per question (label, q_id, q) by cosine.
 
-    Both sides meet on the label; the per-task limit of row_number keeps what
-    is shuffled to k rows per question and task.
+    The questions are a stated set, shared with all tasks in blocks of at most
+    ``QUESTIONS`` rows; vectors stay where they are, and the per-task limit of
+    row_number keeps what is shuffled to k rows per question and task.
     """
+    blocks = max(1, -(-questions.count() // QUESTIONS))
+    parts = [questions.where(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == b) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, [_top_of_block(vectors, p, k) for p in parts])
+
+
+def _top_of_block(vectors: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     dot = F.aggregate(F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
     def sq(c):
         return F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    j = vectors.join(questions, "label").where(F.col("vec_id") != F.col("q_id")).withColumn("sim", half_up(dot / (sq(F.col("embedding")) * sq(F.col("q"))), 6))
+    j = vectors.select("vec_id", "embedding").join(F.broadcast(questions), F.col("vec_id") != F.col("q_id")).withColumn("sim", half_up(dot / (sq(F.col("embedding")) * sq(F.col("q"))), 6))
     w = Window.partitionBy("q_id").orderBy(F.desc("sim"), "vec_id")
     return j.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).select("label", "q_id", "vec_id", "sim", F.col("rn").cast("bigint").alias("rn"))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from parleo.sources import seeds
 
+INDICATORS = "fraud_indicators"  # this file of the folder holds no language
 VOCAB = T.StructType([
     T.StructField(n, T.StringType()) for n in ("lang", "domain", "call_type", "category", "phrase", "regulation")
 ] + [T.StructField("rank", T.IntegerType())])
@@ -57,20 +58,27 @@ def read_vocab_json(spark: SparkSession, path: str, by_folder: bool = False) ->
 
     Simple lists become one row per phrase, ``prohibited_phrases`` one row per
     category and phrase, ``compliance_keywords`` one row per call type, check
-    and keyword.
+    and keyword, ``currency_words`` one row per currency (the category) and
+    word, ``date_words`` one row per kind (months, days, relative) and word,
+    ``financial_terms`` acronyms and corrections (the category is what is meant).
+    The name of a file up to its ending is the language.
     """
     kw = T.MapType(T.StringType(), T.MapType(T.StringType(), T.StructType([
         T.StructField("keywords", T.ArrayType(T.StringType())), T.StructField("regulation", T.StringType())])))
     arr = T.ArrayType(T.StringType())
     schema = T.StructType([
         T.StructField("greetings", arr), T.StructField("trivial_phrases", arr), T.StructField("end_call_phrases", arr),
-        T.StructField("prohibited_phrases", T.MapType(T.StringType(), arr)), T.StructField("compliance_keywords", kw)])
+        T.StructField("prohibited_phrases", T.MapType(T.StringType(), arr)), T.StructField("compliance_keywords", kw),
+        T.StructField("currency_words", T.ArrayType(T.StructType([T.StructField("words", arr), T.StructField("currency", T.StringType())]))),
+        T.StructField("date_words", T.MapType(T.StringType(), arr)),
+        T.StructField("financial_terms", T.StructType([
+            T.StructField("acronyms", arr), T.StructField("corrections", T.MapType(T.StringType(), T.StringType()))]))])
     try:
         if by_folder:
             raw = spark.read.schema(schema.add("lang", T.StringType())).json(path)
         else:
-            raw = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "??.json").json(path)
-            raw = raw.withColumn("lang", F.regexp_extract(F.input_file_name(), r"([a-z]{2})\.json$", 1))
+            raw = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
+            raw = raw.withColumn("lang", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)).where(F.col("lang") != INDICATORS)
     except Exception as e:  # a path that is not there is an empty vocabulary
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -88,19 +96,27 @@ def read_vocab_json(spark: SparkSession, path: str, by_folder: bool = False) ->
               .select("lang", "call_type", F.explode("m").alias("category", "s"))
               .select("lang", F.lit("disclosure").alias("domain"), "call_type", "category",
                       F.posexplode("s.keywords").alias("rank", "phrase"), F.col("s.regulation").alias("regulation")))
+    def listed(of: DataFrame, domain: str) -> DataFrame:
+        """lang, category, list -> rows."""
+        return of.select("lang", F.lit(domain).alias("domain"), none.alias("call_type"), "category", F.posexplode("ps").alias("rank", "phrase"), none.alias("regulation"))
+
+    money = listed(raw.select("lang", F.explode("currency_words").alias("c")).select("lang", F.col("c.currency").alias("category"), F.col("c.words").alias("ps")), "currency")
+    dates = listed(raw.select("lang", F.explode("date_words").alias("category", "ps")), "date")
+    terms = listed(raw.select("lang", F.lit("acronym").alias("category"), F.col("financial_terms.acronyms").alias("ps")), "acronym")
+    heard = raw.select("lang", F.explode("financial_terms.corrections").alias("phrase", "category")).select(
+        "lang", F.lit("correction").alias("domain"), none.alias("call_type"), "category", F.lit(0).alias("rank"), "phrase", none.alias("regulation"))
     parts = [simple("greetings", "greeting"), simple("trivial_phrases", "trivial"), simple("end_call_phrases", "end_call"),
-             bad, checks]
+             bad, checks, money, dates, terms, heard]
     return reduce(DataFrame.unionByName, parts).select(*[f.name for f in VOCAB.fields])
 
 
 def read_indicators_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Scam indicator file: ``category -> phrases`` plus ``scam_type_keywords: type -> phrases``."""
-    cats = sorted({h for h, _ in seeds.entries(seeds.SCAM_EN)})
-    arr = T.ArrayType(T.StringType())
-    schema = T.StructType([T.StructField(c, arr) for c in cats]
-                          + [T.StructField("scam_type_keywords", T.MapType(T.StringType(), arr))])
-    raw = spark.read.schema(schema).option("multiLine", multi_line).json(path)
-    lists = raw.select(F.explode(F.create_map(*[x for c in cats for x in (F.lit(c), F.col(c))])).alias("category", "ps"))
-    types = raw.select(F.explode("scam_type_keywords").alias("category", "ps"))
-    return (lists.withColumn("domain", F.lit("scam")).unionByName(types.withColumn("domain", F.lit("scam_type")))
-            .select("domain", "category", F.posexplode("ps").alias("rank", "phrase")))
+    """Scam indicator file: ``category -> phrases`` for any categories, plus ``scam_type_keywords: type -> phrases``."""
+    text = spark.read.text(path, wholetext=multi_line)
+    # values stay JSON text until their shape is known from the key
+    rows = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("category", "item"))
+    item = F.col("item")
+    is_types = F.col("category") == "scam_type_keywords"
+    lists = rows.where(~is_types).select(F.lit("scam").alias("domain"), "category", F.from_json(item, "array<string>").alias("ps"))
+    types = rows.where(is_types).select(F.lit("scam_type").alias("domain"), F.explode(F.from_json(item, "map<string,array<string>>")).alias("category", "ps"))
+    return lists.unionByName(types).select("domain", "category", F.posexplode("ps").alias("rank", "phrase"))

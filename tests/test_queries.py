@@ -16,7 +16,10 @@ from check import compare, connect  # noqa: E402
 # A cross-section for every run; PARLEO_ALL_QUERIES=1 runs all of them.
 SAMPLE = ["P3_transcript", "W1_agent_opening", "W3_role_map", "W4_merged_turns", "A8_talk_share", "J12_phrase_match", "A55_prohibited_phrases", "W17_ignored_end_request", "A49_scam_rules",
           "X3_money", "J6_positional_mask", "W6_emotion_transitions", "W7_trajectory_trend", "M9_stratified_split", "W12_merge_intervals", "W10_flux_outliers", "J15_interval_subtraction",
-          "A20_risk_rollup", "A46_cross_call_patterns", "J23_review_upsert", "A39_correction_discovery", "A47_name_voting", "T3_live_stats", "T5_activity_sessions", "M10_similar_digests"]
+          "A20_risk_rollup", "A46_cross_call_patterns", "J23_review_upsert", "A39_correction_discovery", "A47_name_voting", "X26_word_alignment", "X26_sequence_alignment", "A36_over_represented", "A50_disclosure_checks", "S3_vocabulary_scan", "S4_indicator_scan", "T3_live_stats", "T5_activity_sessions", "M10_similar_digests"]
+# Queries that other tests compare with brute force, and rules that nothing in the smallest data set breaks.
+OWN_TESTS = ("op", "pipeline")
+MAY_BE_EMPTY = {"W7_trajectory_trend", "J9_emotional_incongruence", "W2_clock_opening"}
 NAMES = list(entry.queries()) if os.environ.get("PARLEO_ALL_QUERIES") else SAMPLE
 CHUNKED = ["P3_transcript", "W1_agent_opening", "W2_clock_opening", "W4_merged_turns", "W17_ignored_end_request", "J9_emotional_incongruence"]
 
@@ -35,13 +38,13 @@ def test_all_surveyed_ids_are_registered():
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_sql(spark, con, name):
     status, _, _, msg = compare(spark, con, SF, name, entry.queries()[name], entry.oracle_sql().get(name))
-    assert status in ("ok", "EMPTY", "rows-only"), msg
+    assert status == "ok" or name.startswith(OWN_TESTS) and status == "rows-only" or name in MAY_BE_EMPTY and status == "EMPTY", (status, msg)
 
 
 @pytest.mark.parametrize("name", CHUNKED)
 def test_query_does_not_depend_on_chunks(small_chunks, con, name):
     status, _, _, msg = compare(small_chunks, con, SF, name, entry.queries()[name], entry.oracle_sql()[name])
-    assert status in ("ok", "EMPTY"), msg
+    assert status == "ok" or name in MAY_BE_EMPTY and status == "EMPTY", (status, msg)
 
 
 def test_flagship_runs(spark):

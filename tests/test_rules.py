@@ -193,3 +193,71 @@ def test_merged_turn_parts_and_context(spark):
     full = "[agent] (0s): aaaa bbbb cccc\n[customer] (15s): dd\n[agent] (20s): ee"
     assert turns.context_text(whole).first().context == full
     assert turns.context_text(whole, max_chars=20).first().context == full[:20] + "\n... (truncated)"
+
+
+def _call(spark, lines, lang="en", call_type="collections"):
+    rows = [(1, 0, i, s, t, lang, call_type, 10 * i, 10 * i + 10, 10) for i, (s, t) in enumerate(lines)]
+    return spark.createDataFrame(rows, "call_id bigint, chunk bigint, segment_id bigint, speaker string, text string, lang string, call_type string, start_ds bigint, end_ds bigint, dur_ds bigint")
+
+
+def _vocab(spark, rows):
+    return spark.createDataFrame(rows, "lang string, domain string, call_type string, category string, phrase string, regulation string, rank int")
+
+
+def test_long_phrase_over_three_turns(spark):
+    from parleo.operators import matching
+    phrase = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    seg = _call(spark, [("agent", "well one two three four five"), ("agent", "six seven eight"), ("agent", "nine ten eleven twelve thirteen bye")])
+    v = _vocab(spark, [("en", "prohibited", None, "threats", phrase, None, 0)]).select("category", "phrase")
+    assert [r.segment_id for r in matching.call_phrases(seg, v).collect()] == [0]
+    assert matching.running_hits(seg, [("threats", phrase)]).count() == 1
+
+
+def test_vocabulary_phrase_ends_the_call(spark):
+    from parleo.operators import compliance
+    lines = [("customer", "मुझे परेशान मत करो please")] + [("agent", "but listen")] * 7
+    v = _vocab(spark, [("hi", "end_call", None, "end_call", "मुझे परेशान मत करो", None, 0)])
+    r = compliance.ignored_end_request(_call(spark, lines, "hi"), v).collect()
+    assert [(x.segment_id, x.evidence.count("7 more")) for x in r] == [(0, 1)]
+    assert compliance.ignored_end_request(_call(spark, lines, "ta"), v).count() == 0
+
+
+def test_one_disclosure_row_per_check_and_own_regulation(spark):
+    from parleo.operators import compliance
+    v = _vocab(spark, [("en", "disclosure", "kyc", "consent", "do you agree", "R_en", 0), ("hi", "disclosure", "kyc", "consent", "सहमति", "R_hi", 0)])
+    lines = [("agent", "सहमति चाहिए"), ("customer", "ok")]
+    hi = compliance.disclosure_checks(_call(spark, lines, "hi", "kyc"), v).collect()
+    en = compliance.disclosure_checks(_call(spark, lines, "en", "kyc"), v).collect()
+    assert [(r.passed, r.regulation) for r in hi] == [(True, "R_hi")] and [(r.passed, r.regulation) for r in en] == [(False, "R_en")]
+
+
+def test_prohibited_phrase_of_any_vocabulary_shows_its_turn(spark):
+    from parleo.operators import compliance
+    v = _vocab(spark, [("en", "prohibited", None, "threats", "we will repaint your fence", None, 0)])
+    r = compliance.prohibited_phrases(_call(spark, [("agent", "hello"), ("agent", "we will repaint your fence"), ("agent", "we will repaint your fence")]), v).collect()
+    assert [x.segment_id for x in r] == [1]
+
+
+def test_every_occurrence_is_masked(spark):
+    from pyspark.sql import functions as F
+
+    from parleo.operators import entities
+    d = spark.createDataFrame([("pan ABCDE1234F again ABCDE1234F",)], "text string")
+    t = d.select(entities.mask_positions(F.col("text"), entities.clusters(entities.pii_occurrences(F.col("text")))).alias("t")).first().t
+    assert "ABCDE1234F" not in t and t.count("XXXXX1234X") == 2
+
+
+def test_alignment_of_unequal_texts(spark):
+    from parleo.operators import mining
+    rows = [(1, "please pay the emmy today sir", "please pay the emi today"), (2, "a b c d", "a x c d"), (3, "the loan of kayak was good", "well the loan of kyc was very good"),
+            (4, "", "word"), (5, "same same same", "same same same"), (6, "a q c", "a r s c")]
+    d = spark.createDataFrame(rows, "i int, heard string, truth string")
+    got = sorted((r.i, r.pos, r.heard, r.truth) for r in mining.aligned_pairs(d, ["i"]).collect())
+    assert got == [(1, 3, "emmy", "emi"), (2, 1, "b", "x"), (3, 3, "kayak", "kyc")] or got[:3] == [(1, 3, "emmy", "emi"), (2, 1, "b", "x"), (3, 3, "kayak", "kyc")] and {g[0] for g in got[3:]} <= {4}
+
+
+def test_similar_over_all_vectors(spark):
+    from parleo.operators import mining
+    v = spark.createDataFrame([(0, "a", [1.0, 0.0]), (1, "b", [1.0, 0.1]), (2, "a", [0.0, 1.0]), (3, "c", [0.9, 0.0])], "vec_id bigint, label string, embedding array<float>")
+    q = v.where("vec_id = 0").selectExpr("label", "vec_id AS q_id", "embedding AS q")
+    assert [(r.vec_id, r.rn) for r in mining.top_similar(v, q, 2).orderBy("rn").collect()] == [(3, 1), (1, 2)]

@@ -54,3 +54,14 @@ def test_audio_listing_reads_names_only(spark, tmp_path):
 def test_text_column_fallback(spark):
     df = spark.createDataFrame([("t", 1)], "sentence string, y int")
     assert mining.text_column(df).first().text == "t"
+
+
+def test_vocabulary_of_any_language_and_kind(spark, tmp_path):
+    (tmp_path / "kok.json").write_text(json.dumps({"end_call_phrases": ["phon"], "currency_words": [{"words": ["rupayo", "rs"], "currency": "INR"}],
+        "date_words": {"months": ["janer"]}, "financial_terms": {"acronyms": ["EMI"], "corrections": {"emmy": "EMI"}}}))
+    (tmp_path / "fraud_indicators.json").write_text(json.dumps({"brand_new": ["act now"], "scam_type_keywords": {"loan": ["fee"]}}))
+    got = {(r.lang, r.domain, r.category, r.phrase) for r in vocab.read_vocab_json(spark, str(tmp_path)).collect()}
+    assert got == {("kok", "end_call", "end_call", "phon"), ("kok", "currency", "INR", "rupayo"), ("kok", "currency", "INR", "rs"), ("kok", "date", "months", "janer"),
+                   ("kok", "acronym", "acronym", "EMI"), ("kok", "correction", "EMI", "emmy")}
+    ind = {(r.domain, r.category, r.phrase) for r in vocab.read_indicators_json(spark, str(tmp_path / "fraud_indicators.json")).collect()}
+    assert ind == {("scam", "brand_new", "act now"), ("scam_type", "loan", "fee")}
