@@ -79,23 +79,23 @@ OPENING = "op AS (SELECT call_id, string_agg(lower(text), ' ' ORDER BY segment_i
 A50 = f"""{OPENING}, cl AS (SELECT DISTINCT call_id, call_type FROM seg WHERE call_type IN {REG}), {DISC},
 a50 AS (SELECT c.call_id, d.category AS check_name, coalesce(bool_or({token_hit('opening', 'd.phrase')}), false) AS passed, min(c.call_type) AS call_type, min(d.regulation) AS regulation, min(coalesce(opening, '')) AS opening
  FROM cl c JOIN disc d ON d.call_type = c.call_type LEFT JOIN op ON op.call_id = c.call_id GROUP BY 1, 2),
-f50 AS (SELECT call_id, check_name, passed, CAST(NULL AS BIGINT) AS segment_id, {sev('call_type', "(CASE WHEN passed THEN 'low' ELSE 'high' END)")} AS severity, regulation, CASE WHEN NOT passed THEN left(opening, 200) END AS evidence FROM a50)"""
+f50 AS (SELECT call_id, check_name, passed, CASE WHEN NOT passed THEN 'missing_disclosure' END AS violation_type, CAST(NULL AS BIGINT) AS segment_id, {sev('call_type', "(CASE WHEN passed THEN 'low' ELSE 'high' END)")} AS severity, regulation, CASE WHEN NOT passed THEN left(opening, 200) END AS evidence FROM a50)"""
 A55 = f"""{full('sp', f"call_type NOT IN {REG} OR speaker = 'agent'")}, {BAD},
 h55 AS (SELECT call_id, call_type, category, phrase FROM sp, bad WHERE (v_lang = 'en' OR v_lang = lang) AND {token_hit('t', 'phrase')}),
 s55 AS (SELECT h.*, (SELECT min(segment_id) FROM seg WHERE seg.call_id = h.call_id AND contains(lower(seg.text), h.phrase)) AS segment_id, CASE WHEN category IN ('threats', 'coercion', 'misleading') THEN 'critical' ELSE 'high' END AS raw FROM h55 h),
-f55 AS (SELECT call_id, 'prohibited_' || category AS check_name, false AS passed, segment_id, {sev('call_type', 'raw')} AS severity, 'RBI_Fair_Practice_Code' AS regulation, 'Agent said: "' || phrase || '"' AS evidence FROM s55)"""
+f55 AS (SELECT call_id, 'prohibited_' || category AS check_name, false AS passed, 'prohibited_language' AS violation_type, segment_id, {sev('call_type', 'raw')} AS severity, 'RBI_Fair_Practice_Code' AS regulation, 'Agent said: "' || phrase || '"' AS evidence FROM s55)"""
 A56 = f"""{full('al')}, {THIRD},
-f56 AS (SELECT call_id, 'third_party_disclosure' AS check_name, false AS passed, (SELECT min(segment_id) FROM seg WHERE seg.call_id = al.call_id AND contains(lower(seg.text), phrase)) AS segment_id, 'critical' AS severity, 'RBI_Fair_Practice_Code_Section_8d' AS regulation,
+f56 AS (SELECT call_id, 'third_party_disclosure' AS check_name, false AS passed, 'privacy_violation' AS violation_type, (SELECT min(segment_id) FROM seg WHERE seg.call_id = al.call_id AND contains(lower(seg.text), phrase)) AS segment_id, 'critical' AS severity, 'RBI_Fair_Practice_Code_Section_8d' AS regulation,
  'Possible third-party disclosure: "' || phrase || '"' AS evidence FROM al, third WHERE {token_hit('t', 'phrase')})"""
 W17 = f"""{full('cu', "speaker = 'customer'")}, {ENDC},
 h17 AS (SELECT call_id, arg_min(phrase, rank) AS phrase FROM cu, endc WHERE {token_hit('t', 'phrase')} GROUP BY 1),
 p17 AS (SELECT h.*, (SELECT min(segment_id) FROM seg WHERE seg.call_id = h.call_id AND contains(lower(seg.text), h.phrase)) AS segment_id FROM h17 h),
 n17 AS (SELECT p.call_id, phrase, p.segment_id, count(*) AS n FROM p17 p JOIN seg s ON s.call_id = p.call_id AND s.segment_id > p.segment_id AND s.speaker = 'agent' GROUP BY 1, 2, 3),
-f17 AS (SELECT call_id, 'ignored_call_end_request' AS check_name, false AS passed, segment_id, 'high' AS severity, 'RBI_Fair_Practice_Code_Section_8c' AS regulation, 'Customer said: "' || phrase || '" but agent continued (' || n || ' more segments)' AS evidence FROM n17 WHERE n > 3)"""
+f17 AS (SELECT call_id, 'ignored_call_end_request' AS check_name, false AS passed, 'improper_collection' AS violation_type, segment_id, 'high' AS severity, 'RBI_Fair_Practice_Code_Section_8c' AS regulation, 'Customer said: "' || phrase || '" but agent continued (' || n || ' more segments)' AS evidence FROM n17 WHERE n > 3)"""
 A51 = f"""{full('ge', "call_type = 'general'")},
-f51 AS ({' UNION ALL '.join(f"SELECT call_id, {q(n)} AS check_name, ({' OR '.join(f'contains(t, {q(k)})' for k in kws)}) AS passed, CAST(NULL AS BIGINT) AS segment_id, 'low' AS severity, {q(r)} AS regulation, CAST(NULL AS VARCHAR) AS evidence FROM ge" for n, r, kws in seeds.GENERAL_CHECKS)})"""
+f51 AS ({' UNION ALL '.join(f"SELECT call_id, {q(n)} AS check_name, p AS passed, CASE WHEN NOT p THEN 'missing_disclosure' END AS violation_type, CAST(NULL AS BIGINT) AS segment_id, 'low' AS severity, {q(r)} AS regulation, CASE WHEN NOT p THEN {q(why)} END AS evidence FROM (SELECT call_id, ({' OR '.join(f'contains(t, {q(k)})' for k in kws)}) AS p FROM ge)" for n, r, kws, why in seeds.GENERAL_CHECKS)})"""
 A9F = f"""{SHARES}, x9 AS (SELECT call_id, CASE WHEN agent_ds + customer_ds > 0 THEN agent_ds / (agent_ds + customer_ds) ELSE 0e0 END AS s FROM sh WHERE call_type = 'collections'),
-f9 AS (SELECT call_id, 'agent_domination' AS check_name, false AS passed, CAST(NULL AS BIGINT) AS segment_id, 'medium' AS severity, 'RBI_Fair_Practice_Code_Section_8' AS regulation, 'Agent spoke ' || CAST(floor({hu('s', 4)} * 100 + 0.5) AS BIGINT) || '% of call' AS evidence FROM x9 WHERE s > 0.75e0)"""
+f9 AS (SELECT call_id, 'agent_domination' AS check_name, false AS passed, 'improper_collection' AS violation_type, CAST(NULL AS BIGINT) AS segment_id, 'medium' AS severity, 'RBI_Fair_Practice_Code_Section_8' AS regulation, 'Agent spoke ' || CAST(floor({hu('s', 4)} * 100 + 0.5) AS BIGINT) || '% of call' AS evidence FROM x9 WHERE s > 0.75e0)"""
 ALLCHECKS = f"{A50}, {A55}, {A56}, {W17}, {A51}, {A9F}, allc AS (SELECT * FROM f50 UNION ALL SELECT * FROM f55 UNION ALL SELECT * FROM f56 UNION ALL SELECT * FROM f17 UNION ALL SELECT * FROM f51 UNION ALL SELECT * FROM f9)"
 
 

@@ -12,7 +12,7 @@ from parleo.functions.columns import half_up, n_words, pick
 from parleo.operators import compliance as comp
 from parleo.operators import entities as ent
 from parleo.operators import fraud, policy, rollup
-from parleo.plans.skew import exact_quantile
+from parleo.plans.skew import exact_quantile, salted_join
 from parleo.plans.stage import settle
 from parleo.sources import seeds, tables, vocab
 from parleo.sources.tables import calls, checks, event_emotions, event_intents, frames, load, raw_turns, segments, spread, ts_utc
@@ -309,7 +309,7 @@ def j2(spark, sf):
 @query("J20_customer_link", f"WITH {CALLS}, l AS (SELECT l_orderkey AS call_id, count(*) FILTER (WHERE l_linestatus = 'O') AS n_customer_obligations FROM lineitem GROUP BY 1) SELECT c_custkey AS customer_id, c.call_id, call_type, coalesce(n_customer_obligations, 0) AS n_customer_obligations, 'CUSTOMER CALL — ' || call_type || ' call, ID ' || c.call_id AS digest FROM calls c JOIN customer ON c_custkey = customer_id LEFT JOIN l ON l.call_id = c.call_id")
 def j20(spark, sf):
     ob = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("call_id")).agg(F.count_if(F.col("l_linestatus") == "O").alias("n_customer_obligations"))
-    c = calls(spark, sf).join(load(spark, sf, "customer").select(F.col("c_custkey").alias("customer_id")), "customer_id").join(ob, "call_id", "left")
+    c = salted_join(calls(spark, sf), load(spark, sf, "customer").select(F.col("c_custkey").alias("customer_id")), ["customer_id"], ["call_id"]).join(ob, "call_id", "left")
     return c.select("customer_id", "call_id", "call_type", F.coalesce("n_customer_obligations", F.lit(0).cast("bigint")).alias("n_customer_obligations"),
                     F.concat(F.lit("CUSTOMER CALL — "), "call_type", F.lit(" call, ID "), F.col("call_id").cast("string")).alias("digest"))
 

@@ -12,7 +12,10 @@ from parleo.operators.turns import agent_domination, agent_opening, is_customer,
 from parleo.plans.skew import attach, dim, lookahead, salted_join
 from parleo.sources import seeds
 
-COLUMNS = ["call_id", "check_name", "passed", "segment_id", "severity", "regulation", "evidence"]
+COLUMNS = ["call_id", "check_name", "passed", "violation_type", "segment_id", "severity", "regulation", "evidence"]
+
+# Kinds of violation.
+MISSING, LANGUAGE, COLLECTION, PRIVACY = "missing_disclosure", "prohibited_language", "improper_collection", "privacy_violation"
 
 
 def conduct_agent(speaker: Column) -> Column:
@@ -58,7 +61,7 @@ def disclosure_checks(seg: DataFrame, vocab: DataFrame) -> DataFrame:
     rows = (base.join(need, ["lang", "call_type"]) if small else salted_join(base, need, ["lang", "call_type"], ["call_id"]))
     rows = rows.join(hits, ["call_id", "check_name"], "left")
     ok = F.coalesce("_hit", F.lit(False))
-    return rows.select("call_id", "check_name", ok.alias("passed"), F.lit(None).cast("bigint").alias("segment_id"),
+    return rows.select("call_id", "check_name", ok.alias("passed"), F.when(~ok, MISSING).alias("violation_type"), F.lit(None).cast("bigint").alias("segment_id"),
                        mapped_severity(F.col("call_type"), F.when(ok, "low").otherwise("high")).alias("severity"), "regulation",
                        F.when(~ok, F.substring("opening", 1, 200)).alias("evidence"))
 
@@ -73,7 +76,7 @@ def prohibited_phrases(seg: DataFrame, vocab: DataFrame) -> DataFrame:
     first = first_turn_of(seg, hits)
     raw = F.when(F.col("category").isin("threats", "coercion", "misleading"), "critical").otherwise("high")
     return hits.join(first, ["call_id", "phrase"], "left").select(
-        "call_id", F.concat(F.lit("prohibited_"), "category").alias("check_name"), F.lit(False).alias("passed"),
+        "call_id", F.concat(F.lit("prohibited_"), "category").alias("check_name"), F.lit(False).alias("passed"), F.lit(LANGUAGE).alias("violation_type"),
         F.col("first_segment").alias("segment_id"), mapped_severity(F.col("call_type"), raw).alias("severity"),
         F.lit("RBI_Fair_Practice_Code").alias("regulation"), F.concat(F.lit('Agent said: "'), "phrase", F.lit('"')).alias("evidence"))
 
@@ -82,7 +85,7 @@ def third_party_disclosure(seg: DataFrame, vocab: DataFrame) -> DataFrame:
     v = vocab.where(F.col("domain") == "third_party").select("category", "phrase")
     hits = call_phrases(seg, v).select("call_id", "phrase").distinct()
     return hits.join(first_turn_of(seg, hits), ["call_id", "phrase"], "left").select(
-        "call_id", F.lit("third_party_disclosure").alias("check_name"), F.lit(False).alias("passed"),
+        "call_id", F.lit("third_party_disclosure").alias("check_name"), F.lit(False).alias("passed"), F.lit(PRIVACY).alias("violation_type"),
         F.col("first_segment").alias("segment_id"), F.lit("critical").alias("severity"),
         F.lit("RBI_Fair_Practice_Code_Section_8d").alias("regulation"),
         F.concat(F.lit('Possible third-party disclosure: "'), "phrase", F.lit('"')).alias("evidence"))
@@ -98,7 +101,7 @@ def ignored_end_request(seg: DataFrame, vocab: DataFrame, allowed: int = 3) -> D
     agent = seg.where(conduct_agent(F.col("speaker"))).select("call_id", "chunk", "segment_id")
     after = attach(agent, at, ["call_id"], "chunk").where(F.col("segment_id") > F.col("first_segment"))
     n = after.groupBy("call_id", "phrase", "first_segment").agg(F.count(F.lit(1)).alias("n_after")).where(F.col("n_after") > allowed)
-    return n.select("call_id", F.lit("ignored_call_end_request").alias("check_name"), F.lit(False).alias("passed"),
+    return n.select("call_id", F.lit("ignored_call_end_request").alias("check_name"), F.lit(False).alias("passed"), F.lit(COLLECTION).alias("violation_type"),
                     F.col("first_segment").alias("segment_id"), F.lit("high").alias("severity"),
                     F.lit("RBI_Fair_Practice_Code_Section_8c").alias("regulation"),
                     F.concat(F.lit('Customer said: "'), "phrase", F.lit('" but agent continued ('), F.col("n_after").cast("string"),
@@ -107,7 +110,7 @@ def ignored_end_request(seg: DataFrame, vocab: DataFrame, allowed: int = 3) -> D
 
 def domination_checks(seg: DataFrame) -> DataFrame:
     d = agent_domination(talk_shares(seg)).where("violated")
-    return d.select("call_id", F.lit("agent_domination").alias("check_name"), F.lit(False).alias("passed"),
+    return d.select("call_id", F.lit("agent_domination").alias("check_name"), F.lit(False).alias("passed"), F.lit(COLLECTION).alias("violation_type"),
                     F.lit(None).cast("bigint").alias("segment_id"), F.lit("medium").alias("severity"),
                     F.lit("RBI_Fair_Practice_Code_Section_8").alias("regulation"),
                     F.concat(F.lit("Agent spoke "), F.floor(F.col("agent_share") * 100 + 0.5).cast("string"), F.lit("% of call")).alias("evidence"))
@@ -115,16 +118,16 @@ def domination_checks(seg: DataFrame) -> DataFrame:
 
 def general_checks(seg: DataFrame) -> DataFrame:
     """Three keyword checks for unregulated calls, always reported."""
-    reach = max(len(k.split()) for _, _, kws in seeds.GENERAL_CHECKS for k in kws)
+    reach = max(len(k.split()) for _, _, kws, _ in seeds.GENERAL_CHECKS for k in kws)
     hay = lookahead(seg.where(F.col("call_type") == "general"), ["call_id"], "chunk", ["segment_id"], "text", reach, "hay")
     low = F.lower("hay")
     agg = hay.groupBy("call_id").agg(*[F.bool_or(any_contains(low, kws)).alias(f"c{i}")
-                                       for i, (_, _, kws) in enumerate(seeds.GENERAL_CHECKS)])
-    rows = F.array(*[F.struct(F.lit(n).alias("check_name"), F.lit(r).alias("regulation"), F.col(f"c{i}").alias("passed"))
-                     for i, (n, r, _) in enumerate(seeds.GENERAL_CHECKS)])
+                                       for i, (_, _, kws, _) in enumerate(seeds.GENERAL_CHECKS)])
+    rows = F.array(*[F.struct(F.lit(n).alias("check_name"), F.lit(r).alias("regulation"), F.col(f"c{i}").alias("passed"),
+                              F.when(~F.col(f"c{i}"), why).alias("evidence")) for i, (n, r, _, why) in enumerate(seeds.GENERAL_CHECKS)])
     return agg.select("call_id", F.explode(rows).alias("r")).select(
-        "call_id", "r.check_name", "r.passed", F.lit(None).cast("bigint").alias("segment_id"), F.lit("low").alias("severity"),
-        "r.regulation", F.lit(None).cast("string").alias("evidence"))
+        "call_id", "r.check_name", "r.passed", F.when(~F.col("r.passed"), MISSING).alias("violation_type"), F.lit(None).cast("bigint").alias("segment_id"),
+        F.lit("low").alias("severity"), "r.regulation", "r.evidence")
 
 
 def all_checks(seg: DataFrame, vocab: DataFrame) -> DataFrame:

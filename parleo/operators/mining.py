@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parleo.functions.columns import explode_once, half_up, let, n_words, ngrams, norm, words
-from parleo.plans.skew import dim
+from parleo.plans.skew import dim, salted_join
 from parleo.plans.stage import settle
 from parleo.sources import seeds
 
@@ -167,8 +167,11 @@ def overlay_dictionary(seed: DataFrame, found: DataFrame) -> DataFrame:
 
 def remap_labels(rows: DataFrame, mapping: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     """Rows with a mapped label, and the ten commonest labels without mapping."""
-    m, _ = dim(mapping)
-    return rows.join(m, label), rows.join(m, label, "left_anti").groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(10)
+    m, small = dim(mapping)
+    spread = [c for c in rows.columns if c != label]
+    mapped = rows.join(m, label) if small else salted_join(rows, m, [label], spread)
+    missing = rows.join(m, label, "left_anti") if small else salted_join(rows, m, [label], spread, how="left_anti")
+    return mapped, missing.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(10)
 
 
 def class_metrics(rows: DataFrame) -> DataFrame:

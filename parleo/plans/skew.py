@@ -130,6 +130,9 @@ def attach(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], chunk: str,
     return rows.join(spread, parts)
 
 
+LEAST = 2.0 ** -24  # measures below 1 (scores, loudness) have as many bins as those above
+
+
 def exact_quantile(
     df: DataFrame, keys: Sequence[str], value: str, p: float, out: str, fine: int = 64,
 ) -> DataFrame:
@@ -140,7 +143,7 @@ def exact_quantile(
     """
     keys = list(keys)
     vc = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-          .withColumn("_bin", F.floor(F.log2(F.col("_v") + 1) * fine)))
+          .withColumn("_bin", F.floor(F.log2(F.col("_v") + LEAST) * fine)))
     hist = vc.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_hc"))
     wk = Window.partitionBy(*keys)
     hist = hist.withColumns({
