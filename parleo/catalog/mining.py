@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from parleo.catalog.affect import SEN, with_sentiment
 from parleo.catalog.base import *  # noqa: F403
 from parleo.catalog.entities import ENTS, FIXES
-from parleo.functions.columns import norm, words
+from parleo.functions.columns import norm, pick, words
 from parleo.operators import emotion as emo
 from parleo.operators import entities as ent
 from parleo.operators import mining, names
@@ -257,10 +257,18 @@ def s4(spark, sf):
     return vocab.read_indicators_json(spark, path, multi_line=False).select("domain", "category", "phrase")
 
 
-@query("S7_input_listing", r"SELECT url, CASE WHEN regexp_extract(url, '/(en|ru|pl|fr|de|es|pt)(?:/|$)', 1) = '' THEN 'en' ELSE regexp_extract(url, '/(en|ru|pl|fr|de|es|pt)(?:/|$)', 1) END AS language, CASE WHEN contains(lower(url), 'billing') OR contains(lower(url), 'account') THEN 'collections' WHEN contains(lower(url), 'sale') THEN 'general' WHEN contains(lower(url), 'support') OR contains(lower(url), 'customer service') THEN 'complaint' ELSE 'general' END AS call_type FROM pages")
+# Folders are named after the page, some with a mark of the language in brackets.
+MARKS = ["", " (EN set)", " (RU)", " (PL calls)", " (FR)", " (DE set)", " (Portuguese set)"]
+_FOLDER = f"(SELECT page_id, replace(url, 'page', ['billing', 'sales', 'support', 'misc'][page_id % 4 + 1]) || {lst(MARKS)}[page_id % 7 + 1] || '/a.mp3' AS path FROM pages)"
+_LANG = "CASE " + " ".join(f"WHEN contains(path, {q('(' + m + ' ')}) OR contains(path, {q('(' + m + ')')}) THEN {q(c)}" for m, c in mining.FOLDER_LANGUAGES.items()) + " ELSE 'en' END"
+
+
+@query("S7_input_listing", f"SELECT page_id, path, {_LANG} AS language, CASE WHEN contains(lower(path), 'billing') OR contains(lower(path), 'account') THEN 'collections' WHEN contains(lower(path), 'sale') THEN 'general' WHEN contains(lower(path), 'support') OR contains(lower(path), 'customer service') THEN 'complaint' ELSE 'general' END AS call_type FROM {_FOLDER}")
 def s7(spark, sf):
-    lang, ct = mining.from_folder(F.col("url"))
-    return load(spark, sf, "pages").select("url", lang.alias("language"), ct.alias("call_type"))
+    path = F.concat(F.replace(F.col("url"), F.lit("page"), pick(F.col("page_id") % 4, ["billing", "sales", "support", "misc"])), pick(F.col("page_id") % 7, MARKS), F.lit("/a.mp3"))
+    p = load(spark, sf, "pages").select("page_id", path.alias("path"))
+    lang, ct = mining.from_folder(F.col("path"))
+    return p.select("page_id", "path", lang.alias("language"), ct.alias("call_type"))
 
 
 @query("X20_language_guess", r"""WITH d AS (SELECT doc_id, lang, text, list_distinct(string_split(trim(regexp_replace(lower(text), '[\p{P}\p{S}\s]+', ' ', 'g')), ' ')) AS t FROM documents),

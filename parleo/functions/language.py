@@ -21,4 +21,4 @@ def guess_language(text: Column, fallback: str = "en") -> Column:
     scores = F.array(*[F.struct(F.size(F.array_intersect(toks, F.array(*[F.lit(w) for w in ws.split()]))).alias("n"), F.lit(-i).alias("i"), F.lit(l).alias("l"))
                        for i, (l, ws) in enumerate(STOP_WORDS.items())])
     best = F.array_max(scores)
-    return F.when(text.rlike("[ऀ-ॿ]"), "hi").when(best["n"] == 0, fallback).otherwise(best["l"])
+    return F.when(text.rlike("[ऀ-ॿ]"), "hi").when(best["n"] == 0, fallback).otherwise(normalise_code(best["l"]))

@@ -218,10 +218,16 @@ def regroup_tokens(tokens: DataFrame, keys: Sequence[str]) -> DataFrame:
     return g.select(*keys, F.array_join(F.transform("s", lambda x: x["token"]), " ").alias("tokens"), F.array_join(F.transform("s", lambda x: x["label"].cast("string")), " ").alias("labels"))
 
 
+# Marks of a language in a folder name, in order of precedence.
+FOLDER_LANGUAGES = {"EN": "en", "RU": "ru", "PL": "pl", "FR": "fr", "DE": "de", "ES": "es", "Portuguese": "pt"}
+
+
 def from_folder(path: Column) -> tuple[Column, Column]:
-    """Language and call type from a folder name."""
+    """Language, from a mark in brackets such as ``(FR set)`` or ``(FR)``, and call type from a folder name."""
     low = F.lower(path)
-    lang = F.regexp_extract(path, r"/(en|ru|pl|fr|de|es|pt)(?:/|$)", 1)
+    lang = F.lit("")
+    for mark, code in reversed(FOLDER_LANGUAGES.items()):
+        lang = F.when(path.contains(f"({mark} ") | path.contains(f"({mark})"), code).otherwise(lang)
     ct = (F.when(low.contains("billing") | low.contains("account"), "collections").when(low.contains("sale"), "general")
           .when(low.contains("support") | low.contains("customer service"), "complaint").otherwise("general"))
     return F.when(lang == "", "en").otherwise(lang), ct

@@ -43,7 +43,7 @@ def test_unknown_format(spark, tmp_path):
 
 
 def test_audio_listing_reads_names_only(spark, tmp_path):
-    d = tmp_path / "support" / "de"
+    d = tmp_path / "support (DE set)"
     d.mkdir(parents=True)
     (d / "a.mp3").write_bytes(b"x")
     (d / "b.txt").write_bytes(b"x")
