@@ -34,7 +34,9 @@ from parleo.llm.minhash import mixed
 
 HELD_OUT = (7, 2)
 STRENGTH = 200.0
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
+#: Words whose hashes a worker keeps.
+CACHE = 150_000
 _U = np.uint64
 _START = _U(0x5851F42D4C957F2D)
 _FACTOR = _U(0x2545F4914F6CDD1D)
@@ -60,7 +62,7 @@ def _stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     parts = []
     for t in texts:
         parts.append(tokens(t, known))
-        if len(known) > 400_000:
+        if len(known) > CACHE:
             known.clear()
     size = np.array([len(p) for p in parts], dtype="int64")
     word = np.concatenate(parts) if parts else np.zeros(0, "uint64")
@@ -75,7 +77,29 @@ def counts(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray
     order = np.argsort(keys, kind="stable")
     k = keys[order]
     head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, "int64")
-    return k[head], np.add.reduceat(weight[order].astype("int64"), head) if len(k) else np.zeros(0, "int64")
+    return k[head], np.add.reduceat(weight[order], head, dtype="int64") if len(k) else np.zeros(0, "int64")
+
+
+def narrow(x: np.ndarray) -> bytes:
+    """Unsigned integers in as few bytes as the largest needs, one byte position after the other."""
+    w = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([w]) + np.ascontiguousarray(x.astype("<u8").view("u1").reshape(-1, 8)[:, :w].T).tobytes()
+
+
+def widen(b: bytes) -> np.ndarray:
+    cols = np.frombuffer(b, "u1", offset=1).reshape(b[0], -1)
+    out = np.zeros((cols.shape[1], 8), "u1")
+    out[:, :b[0]] = cols.T
+    return out.reshape(-1).view("<u8")
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as the distances between them."""
+    return narrow(np.diff(keys, prepend=_U(0)))
+
+
+def unpack_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(widen(b), dtype="uint64")
 
 
 def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -111,10 +135,10 @@ def _first(batches: Iterator[pd.DataFrame], ranges: int) -> Iterator[pd.DataFram
             parts.append(np.unique(x := tokens(t, known)))
             n += len(x)
             texts += 1
-            if len(known) > 400_000:
+            if len(known) > CACHE:
                 known.clear()
         seen = np.unique(np.concatenate([seen, *parts]))
-    yield _by_range(seen, ranges, lambda r, part: (r, part.tobytes(), n if r == 0 else 0, texts if r == 0 else 0), _SEEN)
+    yield _by_range(seen, ranges, lambda r, part: (r, pack_keys(part), n if r == 0 else 0, texts if r == 0 else 0), _SEEN)
 
 
 _SEEN = "part bigint, keys binary, n bigint, texts bigint"
@@ -127,7 +151,7 @@ def _by_range(keys: np.ndarray, ranges: int, row, schema: str) -> pd.DataFrame:
 
 
 def _distinct(g: pd.DataFrame) -> pd.DataFrame:
-    keys = np.unique(np.concatenate([np.frombuffer(k, "uint64") for k in g["keys"]]))
+    keys = np.unique(np.concatenate([unpack_keys(k) for k in g["keys"]]))
     return frame([(int(g["n"].sum()), len(keys), int(g["texts"].sum()))], "n bigint, v bigint, texts bigint")
 
 
@@ -144,7 +168,7 @@ _LOCAL = "part bigint, block bigint, keys binary, counts binary"
 def _block(packed: pd.Series, train: pd.Series):
     texts = inflate(packed)
     word, context, pair, size = _stream(texts)
-    weight = np.repeat(train.to_numpy(dtype="int64"), size)
+    weight = np.repeat(train.to_numpy(dtype="int32"), size)
     return word, context, pair, size, weight
 
 
@@ -157,7 +181,7 @@ def _count(g: pd.DataFrame, ranges: int) -> pd.DataFrame:
 
     def row(r: int, part: np.ndarray):
         at[0] += len(part)
-        return r, block, part.tobytes(), n[at[0] - len(part):at[0]].astype("uint32").tobytes()
+        return r, block, pack_keys(part), narrow(n[at[0] - len(part):at[0]])
 
     return _by_range(keys, ranges, row, _LOCAL)
 
@@ -167,15 +191,15 @@ _TOTAL = "block bigint, keys binary, counts binary"
 
 def _total(g: pd.DataFrame) -> pd.DataFrame:
     """Totals of one range of n-grams, for the blocks whose own count is another."""
-    keys = [np.frombuffer(k, "uint64") for k in g["keys"]]
-    own = [np.frombuffer(c, "uint32") for c in g["counts"]]
+    keys = [unpack_keys(k) for k in g["keys"]]
+    own = [widen(c).view("int64") for c in g["counts"]]
     every, total = counts(np.concatenate(keys), np.concatenate(own))
     rows = []
     for block, k, c in zip(g["block"], keys, own):
         t = total[np.searchsorted(every, k)]
         on = t != c
         if on.any():
-            rows.append((block, k[on].tobytes(), t[on].tobytes()))
+            rows.append((block, pack_keys(k[on]), narrow(t[on])))
     return frame(rows, _TOTAL)
 
 
@@ -186,8 +210,8 @@ def _score(docs: pd.DataFrame, back: pd.DataFrame, n: int, v: int, starts: int)
     if not len(docs):
         return frame([], _SCORED)
     word, context, pair, size, weight = _block(docs["packed"], docs["train"])
-    k = np.concatenate([np.frombuffer(x, "uint64") for x in back["keys"]]) if len(back) else np.zeros(0, "uint64")
-    t = np.concatenate([np.frombuffer(x, "int64") for x in back["counts"]]) if len(back) else np.zeros(0, "int64")
+    k = np.concatenate([unpack_keys(x) for x in back["keys"]]) if len(back) else np.zeros(0, "uint64")
+    t = np.concatenate([widen(x).view("int64") for x in back["counts"]]) if len(back) else np.zeros(0, "int64")
     order = np.argsort(k, kind="stable")
     k, t = k[order], t[order]
 
