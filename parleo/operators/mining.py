@@ -98,14 +98,34 @@ def aligned_pairs(pairs: DataFrame, ids: Sequence[str]) -> DataFrame:
     return rows.select(*ids, F.col("p.pos").cast("bigint").alias("pos"), "p.heard", "p.truth")
 
 
-def _once(words_: Column) -> Column:
-    """Words that occur once, with their places: map word -> place."""
-    def single(at: Column) -> Column:
-        def other(k: Column, s: Column) -> Column:
-            return F.coalesce(F.get(at, k)["w"] != s["w"], F.lit(True))
-        return F.map_from_entries(F.filter(at, lambda s, k: other(k - 1, s) & other(k + 1, s)))
+PLACES = 23  # bits of a word's place; the rest of a long is its hash and the side
 
-    return let(F.array_sort(F.transform(words_, lambda w, i: F.struct(w.alias("w"), i.cast("int").alias("i")))), single)
+
+def _anchors(h: Column, t: Column) -> Column:
+    """Places (i, j) of the words that occur once in either array, by place in the first.  One sort of longs, no look-ups."""
+    low = (1 << PLACES + 1) - 1
+
+    def marked(words_: Column, side: int) -> Column:
+        return F.transform(words_, lambda w, i: F.xxhash64(w).bitwiseAND(~low).bitwiseOR(F.lit(side << PLACES).cast("bigint").bitwiseOR(i.cast("bigint"))))
+
+    def word(x: Column) -> Column:
+        return F.shiftright(x, PLACES + 1)
+
+    def place(x: Column) -> Column:
+        return x.bitwiseAND((1 << PLACES) - 1).cast("int")
+
+    def pairs(at: Column) -> Column:
+        def other(k: Column, x: Column) -> Column:
+            return F.coalesce(word(F.get(at, k)) != word(x), F.lit(True))
+
+        def pair(x: Column, k: Column) -> Column:
+            twin = F.get(at, k + 1)
+            first, second = x.bitwiseAND(1 << PLACES) == 0, twin.bitwiseAND(1 << PLACES) != 0
+            alone = first & second & (word(twin) == word(x)) & other(k - 1, x) & other(k + 2, x)
+            return F.when(alone & (F.get(h, place(x)) == F.get(t, place(twin))), F.struct(place(x).alias("i"), place(twin).alias("j")))
+        return F.array_sort(F.array_compact(F.transform(at, pair)))
+
+    return let(F.sort_array(F.concat(marked(h, 0), marked(t, 1))), pairs)
 
 
 def _substitutions(h: Column, t: Column) -> Column:
@@ -115,10 +135,6 @@ def _substitutions(h: Column, t: Column) -> Column:
         calm = F.filter(at, lambda a, k: F.coalesce(F.get(at, k - 1)["j"] < a["j"], F.lit(True)) & F.coalesce(F.get(at, k + 1)["j"] > a["j"], F.lit(True)))
         return let(calm, lambda c: F.filter(c, lambda a, k: F.coalesce(F.get(c, k - 1)["j"] < a["j"], F.lit(True))))
 
-    def anchors(hm: Column, tm: Column) -> Column:
-        both = F.transform(F.filter(F.map_entries(hm), lambda e: F.map_contains_key(tm, e["key"])), lambda e: F.struct(e["value"].alias("i"), tm[e["key"]].alias("j")))
-        return let(F.array_sort(both), chain)
-
     def swaps(i: Column, j: Column, n: Column, m: Column, least: Column, head: Column, tail: Column) -> Column:
         left = n - head - tail
         pairs = F.transform(F.sequence(F.lit(1), F.greatest(left, F.lit(1))), lambda d: F.struct(
@@ -144,7 +160,7 @@ def _substitutions(h: Column, t: Column) -> Column:
         return F.flatten(F.transform(real, lambda k: let(F.get(bounds, k), lambda a: let(F.get(bounds, k + 1), lambda b: between(a, b)))))
 
     edge = F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"))), F.array(F.struct(F.size(h).alias("i"), F.size(t).alias("j")))
-    return let(_once(h), lambda hm: let(_once(t), lambda tm: let(F.concat(edge[0], anchors(hm, tm), edge[1]), gaps)))
+    return let(F.concat(edge[0], let(_anchors(h, t), chain), edge[1]), gaps)
 
 
 def discover_corrections(mismatches: DataFrame, min_count: int = 3, top: int | None = None, max_similarity: float = 0.8) -> DataFrame:
