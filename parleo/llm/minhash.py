@@ -107,7 +107,7 @@ def _sign(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
         for doc_id, text in zip(b["doc_id"], b["text"]):
-            if len(known) > 200_000:
+            if len(known) > 60_000:
                 known.clear()
             s = shingle_hashes(words(text), known, size)
             if len(s):
@@ -169,17 +169,22 @@ def groups(docs: DataFrame, size: int = WORDS) -> DataFrame:
     key = ["class_a", "class_b", "n"]
     classes = shared_table(named.groupBy(*key).agg(F.min("doc_id").alias("rep")))
     reps = named.join(classes.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi")
-    spread = reps.select(F.col("doc_id").alias("node"), "n", F.explode("bands").alias("band"))
-    pivots = spread.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.min(F.struct("node", "n")).getField("n").alias("pivot_n"))
-    pivots = pivots.where(F.col("pivot") < F.col("last")).drop("last")
-    met = shared_table(spread.join(pivots, "band").select("band", "pivot", "pivot_n", "node", "n"))
+    spread = reps.select(F.col("doc_id").alias("node"), "n", F.posexplode("bands").alias("place", "band"))
+    sizes = spread.groupBy("place", "band").agg(F.count("*").alias("members")).where("members > 1")
+    shared = shared_table(spread.join(sizes, ["place", "band"]))
+    # the pivot of a bucket meets most others in all its buckets: of copies with edits, most likely their source
+    company = shared.groupBy("node").agg(F.sum("members").alias("company"))
+    ranked = shared.join(company, "node")
+    pivots = ranked.groupBy("place", "band").agg(F.max(F.struct("company", (-F.col("node")).alias("node"), "n")).alias("p"))
+    pivots = pivots.select("place", "band", (-F.col("p.node")).alias("pivot"), F.col("p.n").alias("pivot_n"))
+    met = shared_table(shared.drop("members").join(pivots, ["place", "band"]))
     pairs = met.where((F.col("node") != F.col("pivot")) & _close("n", "pivot_n")).select("pivot", "node").distinct()
     first = shared_table(verified(pairs, docs, size))
     # rows of one id in several classes connect them
     spans = named.join(classes, key).groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a > b").select("a", "b")
     links = _linked(first).unionByName(spans)
     found = components(links)
-    second = _across(met, first, found)
+    second = _across(met, first, found, named, reps, docs, size)
     more = shared_table(_linked(verified(second, docs, size)))
     if not more.isEmpty():
         found = components(links.unionByName(more))
@@ -190,15 +195,47 @@ def groups(docs: DataFrame, size: int = WORDS) -> DataFrame:
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _across(met: DataFrame, first: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of a bucket that its pivot could not settle: other components, and distances to the pivot that allow a link."""
+def _lists(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    known = _Hashes()
+    for b in batches:
+        for node, text in zip(b["node"], b["text"]):
+            if len(known) > 60_000:
+                known.clear()
+            h = shingle_hashes(words(text), known, size)
+            yield pd.DataFrame({"node": np.full(len(h), node, "int64"), "h": h.view("int64")})
+
+
+def _own(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(node, own): shingles of a node that no other of the given nodes holds, so that no link can share them."""
+    texts = _texts(docs).withColumnRenamed("doc_id", "node")
+    lists = texts.join(nodes, "node").mapInPandas(lambda b: _lists(b, size), "node bigint, h bigint")
+    once = lists.groupBy("h").agg(F.count("*").alias("times"), F.min("node").alias("node")).where("times = 1")
+    return once.groupBy("node").agg(F.count("*").alias("own"))
+
+
+def _across(met: DataFrame, first: DataFrame, found: DataFrame, named: DataFrame, reps: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """Pairs of a bucket that its pivot could not settle: in other components, with distances to the pivot that allow a link.
+
+    What a node shares with another is at most its set without the shingles that
+    only it has; where that is too little for the similarity no pair is made (of a
+    group of copies with many edits each, hardly any).  A pair is met in the first
+    band that it shares, so it is made once.
+    """
+    key = ["place", "band"]
     split = met.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("pivot_n")
-    mixed_ = split.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    here = split.join(mixed_, "band", "left_semi").join(first, ["pivot", "node"], "left")
-    own = here.withColumn("measured", F.col("same").isNotNull() | (F.col("node") == F.col("pivot")))
-    far = F.when(F.col("node") == F.col("pivot"), F.lit(0.0)).otherwise(1 - F.col("same") / F.col("all"))
-    own = own.withColumn("far", F.when(F.col("measured"), far)).select("band", "node", "n", "component", "far").where(F.col("node") != F.col("pivot"))
-    a = own.select("band", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("component").alias("pc"), F.col("far").alias("pf"))
+    several = split.groupBy(*key).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(*key)
+    here = split.join(several, key, "left_semi").where(F.col("node") != F.col("pivot")).join(first, ["pivot", "node"], "left")
+    here = here.select(*key, "node", "n", "component", (1 - F.col("same") / F.col("all")).alias("far"))
+    several_texts = named.groupBy(F.col("doc_id").alias("node")).agg(F.min("class_a").alias("x"), F.max("class_a").alias("y")).where("x <> y").select("node", F.lit(0).cast("bigint").alias("none"))
+    here = shared_table(here)
+    own = _own(here.select("node").distinct(), docs, size).join(several_texts, "node", "left").select("node", F.coalesce("none", "own").alias("own"))
+    here = here.join(own, "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
+    here = here.where(DEN * F.col("most") >= NUM * F.col("n"))  # else nothing can be similar enough
+    here = here.join(reps.select(F.col("doc_id").alias("node"), "bands"), "node")
+    a = here.select(*key, F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("component").alias("pc"), F.col("far").alias("pf"), F.col("bands").alias("pb"), F.col("most").alias("pm"))
     apart = F.coalesce(F.abs(F.col("far") - F.col("pf")) <= 1 - NUM / DEN + 1e-9, F.lit(True))
-    pairs = a.join(own, "band").where((F.col("pivot") < F.col("node")) & (F.col("pc") != F.col("component")) & _close("n", "pn") & apart)
+    earlier = F.exists(F.slice(F.zip_with("bands", "pb", lambda x, y: x == y), F.lit(1), F.col("place")), lambda e: e)
+    share = F.least("most", "pm")
+    enough = DEN * share >= NUM * (F.col("n") + F.col("pn") - share)
+    pairs = a.join(here, key).where(enough & (F.col("pivot") < F.col("node")) & (F.col("pc") != F.col("component")) & _close("n", "pn") & apart & ~earlier)
     return pairs.select("pivot", "node").distinct()
