@@ -16,6 +16,7 @@ gives no pieces; other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import os
 import random
 import zlib
 from collections.abc import Iterator
@@ -36,40 +37,57 @@ POPULATION = 4
 CHILDREN = 12
 FULL = 0.995
 MERGE = 32
-#: Words whose ids a worker keeps.
-CACHE = 300_000
+#: Chunks whose ids a worker keeps in each generation.
+CACHE = 200_000
+#: Runs of these after a letter are tokens of their own.
+PUNCTUATION = b".,*%#&$!?;:"
 
 
 class _Words:
-    """Ids of white-space separated chunks: the tokenizer drops white space, so a text's ids are those of its chunks."""
+    """Ids of white-space separated chunks: the tokenizer drops white space, so a text's ids are those of its chunks.
+
+    Two generations of chunks are kept: when the young one is full it becomes the
+    old one, and what is met again moves on; frequent chunks are encoded once.
+    """
 
     def __init__(self):
-        self.path, self.tokenizer, self.ids, self.cores, self.marks = None, None, {}, {}, {}
+        self.path, self.tokenizer, self.ids, self.old, self.marks = None, None, {}, {}, {}
 
     @staticmethod
     def _core(w: bytes) -> tuple[bytes, bytes]:
-        """A chunk without the point or comma after its last letter: the tokenizer splits there, and it folds ASCII case."""
-        last = w[:-1].decode("utf-8", "replace")[-1:] if w[-1:] in (b".", b",") else ""
-        mark = w[-1:] if last.isalpha() and len(last.lower()) == 1 else b""
-        core = w[:-1] if mark else w
-        return core.lower() if core.isalpha() else core, mark
+        """A chunk and the punctuation after its last letter: the tokenizer splits there, and it folds ASCII case."""
+        core = w.rstrip(PUNCTUATION)
+        last = core[-4:].decode("utf-8", "ignore")[-1:]
+        if len(core) == len(w) or not (last.isalpha() and len(last.lower()) == 1):
+            core = w
+        return core.lower() if core.isalpha() else core, w[len(core):]
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
 
     def encode(self, path: str, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if self.path != path:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library would start threads for all
             from tokenizers import Tokenizer
-            self.path, self.tokenizer, self.ids, self.cores = path, Tokenizer.from_file(path), {}, {}
-            self.marks = {m: np.array(self.tokenizer.encode(m.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes() for m in (b"", b".", b",")}
-        if len(self.ids) + len(self.cores) > CACHE:
-            self.ids, self.cores = {}, {}
+            self.path, self.tokenizer, self.ids, self.old, self.marks = path, Tokenizer.from_file(path), {}, {}, {b"": b""}
+        if len(self.ids) > CACHE:
+            self.ids, self.old = {}, self.ids
+        if len(self.marks) > 1000:
+            self.marks = {b"": b""}
         chunks = [t.split() for t in texts]
-        new = {w: self._core(w) for w in {w for c in chunks for w in c}.difference(self.ids)}
-        cores = list({x for x, _ in new.values()}.difference(self.cores))
+        new = set().union(*chunks).difference(self.ids)
+        again = new & self.old.keys()
+        self.ids.update((w, self.old[w]) for w in again)
+        parts = {w: self._core(w) for w in new - again}
+        known = {x: self.ids.get(x) or self.old.get(x) for x, _ in parts.values()}
+        cores = [x for x, v in known.items() if v is None]
         for i in range(0, len(cores), 5000):
-            part = cores[i:i + 5000]
-            got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.cores.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, got))
-        self.ids.update((w, self.cores[x] + self.marks[mark]) for w, (x, mark) in new.items())
+            known.update(zip(cores[i:i + 5000], self._encode(cores[i:i + 5000])))
+        marks = list({m for _, m in parts.values()}.difference(self.marks))
+        self.marks.update(zip(marks, self._encode(marks)))
+        self.ids.update((w, known[x] + self.marks[m]) for w, (x, m) in parts.items())
         get = self.ids.__getitem__
         return [b"".join(map(get, c)) for c in chunks]
 
@@ -160,12 +178,12 @@ def evolve(size: list[int], seeds: list[Bins], capacity: int = SEQUENCE, seed: i
     least = -(-sum(size) // capacity)
     people = [[list(b) for b in s] for s in seeds]
     spread = 0.0
-    while len(people) < population:
+    while len(people) < population and not any(len(p) <= least for p in people):
         people.append(best_fit(sorted(range(len(size)), key=lambda i: (-size[i] * rng.uniform(1 - spread, 1.0), i)), size, [], capacity))
         spread = 0.2
     rated = sorted(((fitness(p, size, capacity), k, p) for k, p in enumerate(people)), reverse=True)
     for k in range(children):
-        if -rated[0][0][0] <= least:
+        if -rated[0][0][0] <= least or len(rated) < 2:
             break
         a, b = rng.sample(rated, 2)
         child = crossover(a[2], b[2], size, capacity, rng)
