@@ -4,8 +4,9 @@ Base patterns (assignment, access key, hexadecimal run) are always reported.
 The values they label become prefix trees, one per kind; states whose
 continuations do not differ by more than a Hoeffding bound are merged, which
 gives one probabilistic automaton per kind.  An automaton of ordinary words is
-learned the same way.  Every other candidate of a text (a long run of credential
-characters that mixes digits with letters) is scored by its log-likelihood per character
+learned the same way.  Every other candidate of a text (a run of at least ``LEAST_RUN``
+credential characters that base spans do not cover wholly; dots at its ends are
+punctuation) is scored by its log-likelihood per character
 under the best format against that of ordinary text, and added as kind ``format``
 where it exceeds ``THRESHOLD``.
 
@@ -37,7 +38,8 @@ KEYWORD = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so shorter ones can be skipped
 LEAST = {"assign": 12, "access": 18}
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST_RUN = 12
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST_RUN},}}")
 SAMPLE = 1500
 WORDS = 3000
 ALPHA = 0.02
@@ -200,17 +202,20 @@ class Formats:
 
 
 def added_spans(text: str, base: list[Span], formats: Formats) -> list[Span]:
-    """Candidates outside the base spans that look like a credential."""
+    """Candidates that base spans do not cover wholly and that look like a credential."""
     out = []
     for m in CANDIDATE.finditer(text):
-        c = m[0]
-        letters, digits = sum(map(str.isalpha, c)), sum(map(str.isdigit, c))
-        if letters < 3 or digits < 3 or letters + digits < 16:
+        c = m[0].strip(".")
+        if len(c) < LEAST_RUN:
             continue
-        if any(a < m.end() and m.start() < b for a, _, b in base):
-            continue
-        if formats.score(c) >= THRESHOLD:
-            out.append((m.start(), ADDED, m.end()))
+        start = m.start() + m[0].index(c)
+        end = start + len(c)
+        at = start  # base spans are ordered: the first character that none of them covers
+        for a, _, b in base:
+            if a <= at < b:
+                at = b
+        if at < end and formats.score(c) >= THRESHOLD:
+            out.append((start, ADDED, end))
     return out
 
 

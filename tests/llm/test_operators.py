@@ -357,6 +357,22 @@ def test_grammar_finds_credentials_without_keyword():
     assert [found[a:b] for a, _, b in spans] == [hexes[0][:20].upper() + "q7Z"]
 
 
+def test_all_candidates_are_scored():
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(rng.choice(letters + "0123456789") for _ in range(20)) for _ in range(400)]
+    plain = ["".join(rng.choice(["th", "an", "er", "on", "re"]) for _ in range(rng.randint(1, 5))) for _ in range(500)]
+    f = secret_scan.Formats({"assign": keys[:200], "hex": [hashlib.sha256(k.encode()).hexdigest() for k in keys[:200]]}, plain)
+    few = [k for k in keys[200:] if sum(map(str.isdigit, k)) < 3]
+    assert len(few) > 30
+    for k in (*few, keys[300][:12], f"{keys[301]}.{keys[302]}"):
+        assert secret_scan.added_spans(f"see {k}.", [], f) == [(4, "format", 4 + len(k))]
+    assert secret_scan.added_spans("theanreonththeroner", [], f) == []
+    text = "key sk_live_9f86d081884c7d659a2fXQ7 end"
+    assert secret_scan.mask(text, f) == "key [SECRET] end"
+    assert secret_scan.added_spans("9f86d081884c7d659a2f", secret_scan.base_spans("9f86d081884c7d659a2f"), f) == []
+
+
 def test_secret_odd_rows(odd, none):
     f = secret_scan.learn(odd)
     got = {r["doc_id"]: r for r in secret_scan.scan(odd, f).collect() if r["doc_id"] is not None}
