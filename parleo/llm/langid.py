@@ -1,6 +1,7 @@
 """Language of each word, and of each text, by a linear-chain conditional random field.
 
-Words carry affix, character n-gram and lexicon features; transitions between
+Words are runs of letters, those of more than ``LONGEST`` cut into consecutive
+parts.  They carry affix, character n-gram and lexicon features; transitions between
 the labels of neighbouring words are learned with them.  Training reads a
 bounded sample of labelled texts (``docs_per_lang`` documents of each language,
 ``words_per_doc`` words of each in chains of ``CHAIN`` words); labels of words are those
@@ -35,7 +36,9 @@ LEXICON = 200
 BITS = 16
 EPOCHS = 4
 HELD_OUT = (4, 2)
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: A longer run of letters (scripts without blanks) is several words.
+LONGEST = 40
+_LETTERS = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
 #: Words whose scores a worker keeps.
 CACHE = 200_000
 
@@ -58,7 +61,7 @@ class Features:
     """Hashed affix, n-gram and lexicon features of a list of words, column by column."""
 
     def __init__(self, words_: list[str], lexicon: dict[str, int]):
-        shown = [f"^{w[:40]}$" for w in words_]
+        shown = [f"^{w}$" for w in words_]
         codes = np.frombuffer("".join(shown).encode("utf-32-le"), dtype="<u4").astype("uint64")
         size = np.array([len(w) for w in shown])
         self.starts = np.concatenate([[0], np.cumsum(size)[:-1]])

@@ -318,6 +318,14 @@ def test_language_held_out_and_code_switching(spark, none):
     assert langid.identify(none).collect() == []
 
 
+def test_long_runs_of_letters_count_whole():
+    model = langid.train([("kakikokuta" * 3, "xx"), ("scheiungerge" * 3, "yy")] * 20)
+    text = "kakikokuta" * 4 + "scheiungerge" * 40
+    words = langid.label(model, [text], per_word=True)[0]
+    assert "".join(w for w, _, _ in words) == text and max(len(w) for w, _, _ in words) <= 40
+    assert langid.label(model, [text])[0][0] == "yy"
+
+
 def test_marginals_are_those_of_all_paths():
     import itertools
 
