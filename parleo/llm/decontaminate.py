@@ -12,8 +12,9 @@ The corpus is never shuffled.  Items are taken in blocks of at most
 blocks, each a pass over the documents, and the result does not change.
 
 Defined results: null and empty documents have no words and no hits; items
-without words have no windows; equal items all count; repeated documents and
-null ids are judged row by row; with no items every document is clean; other
+without words have no windows; equal items all count; items with a null id hit
+like any other, count as one item in ``n_items`` however many there are, and
+have no name in ``items``; repeated documents and null ids are judged row by row; with no items every document is clean; other
 columns are ignored.
 """
 from __future__ import annotations
@@ -88,10 +89,10 @@ def _frequencies(docs: DataFrame, keys: set[tuple[bytes, ...]]) -> dict[tuple[by
     return defaultdict(int, {names[r["k"]]: r["n"] for r in rows})
 
 
-Index = tuple[dict, dict, list[str]]
+Index = tuple[dict, dict, list[str | None]]
 
 
-def index(docs: DataFrame, block: list[tuple[str, list[bytes]]]) -> Index:
+def index(docs: DataFrame, block: list[tuple[str | None, list[bytes]]]) -> Index:
     """Prefix shingles of a block of items, the windows behind each, and the items' names."""
     found: dict[tuple[bytes, ...], list[int]] = defaultdict(list)
     for at, (_, item) in enumerate(block):
@@ -120,7 +121,7 @@ def occurrences(w: list[bytes], known: Index) -> Iterator[tuple[int, int, list[i
                             yield a, a + len(window), at
 
 
-def _probe(docs: DataFrame, block: list[tuple[str, list[bytes]]]) -> DataFrame:
+def _probe(docs: DataFrame, block: list[tuple[str | None, list[bytes]]]) -> DataFrame:
     """Add the hits of one block of items: word spans and items of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(index(docs, block))
 
@@ -134,13 +135,13 @@ def _probe(docs: DataFrame, block: list[tuple[str, list[bytes]]]) -> DataFrame:
                     spans.add((first, end))
                     items.update(known[2][j] for j in at)
                 hits.append([{"first": p, "last": q} for p, q in sorted(spans)])
-                names.append(sorted(items))
+                names.append(sorted(items, key=lambda x: (x is not None, x or "")))
             yield pd.DataFrame({"doc_id": b["doc_id"], "text": b["text"], "hit_spans": hits, "items": names})
 
     return map_texts(docs, probe, HITS)
 
 
-def _hits(docs: DataFrame, block: list[tuple[str, list[bytes]]]):
+def _hits(docs: DataFrame, block: list[tuple[str | None, list[bytes]]]):
     """Column function: does a text hold a window of the block?"""
     shared = docs.sparkSession.sparkContext.broadcast(index(id_text(docs), block))
 
@@ -158,13 +159,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
     return docs
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """Items with words in blocks of bounded size, read one partition at a time."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     block, size = [], 0
     for r in rows.toLocalIterator():
         item = words(bytes(r["text"]))
-        if not item or r["item_id"] is None:
+        if not item:
             continue
         block.append((r["item_id"], item))
         size += len(r["text"])
@@ -184,10 +185,10 @@ def _mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 hit += max(0, s["last"] - max(end, s["first"]))
                 end = max(end, s["last"])
             n_hit.append(hit)
-        items = [sorted(x) for x in b["items"]]
+        items = [sorted(n for n in x if n is not None) for x in b["items"]]
         yield pd.DataFrame({
             "doc_id": b["doc_id"], "n_words": pd.Series([len(words(t)) for t in b["text"]], dtype="int64"), "n_hit": pd.Series(n_hit, dtype="int64"),
-            "n_items": pd.Series([len(x) for x in items], dtype="int64"), "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items],
+            "n_items": pd.Series([len(x) for x in b["items"]], dtype="int64"), "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items],
             "contaminated": [n > 0 for n in n_hit], "items": items, "hit_spans": b["hit_spans"]})
 
 

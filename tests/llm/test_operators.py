@@ -297,6 +297,15 @@ def test_decontamination_empty(odd, none):
     assert decontaminate.contamination(none, items).collect() == []
 
 
+def test_items_without_id_contaminate(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "x y z"), (3, "a b c x y z"), (4, "clean")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(None, "b c"), (None, "x y"), (7, "x y z")], "item_id bigint, text string")
+    for block_bytes in (1, 1 << 20):
+        got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items"], r["contaminated"]) for r in decontaminate.contamination(docs, items, block_bytes).collect()}
+        assert got == {1: (2, 1, [], True), 2: (3, 2, ["7"], True), 3: (5, 2, ["7"], True), 4: (0, 0, [], False)}
+        assert [r["doc_id"] for r in decontaminate.clean(docs, items, block_bytes).collect()] == [4]
+
+
 # ---- 8 language
 
 def test_language_held_out_and_code_switching(spark, none):
