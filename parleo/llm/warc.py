@@ -8,10 +8,13 @@ writer puts the members into files of bounded size on any file system: a row is
 a member without its last byte, and the line separator is that byte (the high
 byte of the member's length, zero below 16 MiB; larger records are followed by an empty member).
 
-Reading: a member that fails its checks (gzip header, checksum, length, WARC
+Reading: whatever fails its checks (gzip header, checksum, length, WARC
 version line, record length, payload digest) is quarantined; the reader looks for the next
-place where a valid member, or in plain files a version line, begins, goes on
-from there and logs the gap in bytes.
+place where a valid member, or in plain files and inside a member's content a version line,
+begins, goes on from there and logs the gap in bytes (of a sound member, its
+bytes in the file and the range in its content).  Of a member that is cut off
+the whole records before the cut are kept; of one that is corrupt those whose
+payload digest proves them.
 
 Defined results: null html is an empty payload; a null page id is kept as null
 and never referred to; pages that share the largest id and the payload are all
@@ -20,6 +23,7 @@ archive; extra columns are ignored.
 """
 from __future__ import annotations
 
+import contextlib
 import gzip
 import hashlib
 import zlib
@@ -90,6 +94,7 @@ class Damage(Exception):
 
 
 STEP = 1 << 18
+FINE = 1 << 10
 
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
@@ -107,6 +112,31 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(out), min(at, len(data)) - len(d.unused_data)
 
 
+def _remains(data: bytes, at: int) -> tuple[bytes, int, bool, list[tuple[int, int]]]:
+    """Of a damaged member: content before the error, where the error shows, whether it is only cut off, and (byte, content so far) marks."""
+    d = zlib.decompressobj(31)
+    out, size, step, marks, view = [], 0, FINE, [(at, 0)], memoryview(data)
+    while at < len(data):
+        last = d.copy()
+        try:
+            out.append(d.decompress(view[at:at + step]))
+        except zlib.error:
+            d = last
+            if step > 1:
+                step = max(1, step // 32)
+                continue
+            with contextlib.suppress(zlib.error):  # the byte that shows the error: what comes out before it, one at a time
+                rest = bytes(view[at:at + 1])
+                while x := d.decompress(rest, 1):
+                    out.append(x)
+                    rest = d.unconsumed_tail
+            return b"".join(out), at, False, marks
+        size += len(out[-1])
+        at = min(at + step, len(data))
+        marks.append((at, size))
+    return b"".join(out), at, True, marks
+
+
 def parse(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the record at ``at``."""
     if not raw.startswith(b"WARC/1.", at):
@@ -140,38 +170,90 @@ def checked(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     return head, block, end
 
 
+def _proven(head: dict[str, str]) -> bool:
+    """Did ``checked`` compare a digest?"""
+    return head.get("warc-type") == "response" and head.get("warc-payload-digest", "").startswith("sha1:")
+
+
+def _records(raw: bytes, sure: bool) -> tuple[list[tuple[dict[str, str], bytes]], int, list[tuple[int, int, str]]]:
+    """Intact records of a member's content, where the last of them ends, and the ranges between them.  If not ``sure``, a digest has to prove a record."""
+    kept, lost, i, end = [], [], 0, 0
+    while i < len(raw):
+        why = "not proven by a digest"
+        try:
+            head, block, j = checked(raw, i)
+            if sure or _proven(head):
+                kept.append((head, block))
+                i = end = j
+                continue
+        except Damage as e:
+            why = str(e)
+            with contextlib.suppress(Damage):  # a record of the right length ends where the next begins
+                j = parse(raw, i)[2]
+            if why != "payload has another digest" or not (j == len(raw) or raw.startswith(b"WARC/1.", j)):
+                j = raw.find(b"WARC/1.", i + 1)
+                j = len(raw) if j < 0 else j
+        if lost and lost[-1][1] == i:
+            lost[-1] = (lost[-1][0], j, lost[-1][2])
+        else:
+            lost.append((i, j, why))
+        i = j
+    return kept, end, lost
+
+
 Found = tuple[str, int, int, dict[str, str] | None, bytes, str]
 
 
 def salvage(data: bytes) -> Iterator[Found]:
     """(what, first byte, end, headers, block, reason) for every record and every quarantined gap of one file."""
     at, gap, why, n = 0, None, "", len(data)
+    seen, until = set(), 0  # records kept of the damaged member, which reaches to ``until``: stored blocks hold them once more
     while at < n:
+        lost: list[tuple[int, int, str]] = []
         try:
             if data.startswith(MAGIC, at):
                 raw, end = _inflate(data, at)
-                got = []
-                i = 0
-                while i < len(raw):
-                    head, block, i = checked(raw, i)
-                    got.append((head, block))
+                got, _, lost = _records(raw, True)
             else:
                 head, block, end = checked(data, at)
                 got = [(head, block)]
         except Damage as e:
+            if data.startswith(MAGIC, at):
+                raw, stop, cut, marks = _remains(data, at)
+                got, whole, _ = _records(raw, cut)
+                if got:
+                    if gap is not None:
+                        yield "gap", gap, at, None, b"", why
+                    for head, block in got:
+                        yield "record", at, stop, head, block, ""
+                    gap, why = max(a for a, size in marks if size <= whole), str(e)
+                    seen, until = {hashlib.sha1(repr(x).encode()).digest() for x in got}, stop
             if gap is None:
                 gap, why = at, str(e)
             at += 1
             places = [x for x in (data.find(MAGIC, at), data.find(b"WARC/1.", at)) if x >= 0]
             at = min(places, default=n)
             continue
+        if at < until:
+            got = [x for x in got if hashlib.sha1(repr(x).encode()).digest() not in seen]
+            if not got:
+                at = end
+                continue
+        if lost and not got:  # nothing of this member can be read
+            if gap is None:
+                gap, why = at, lost[0][2]
+            at = end
+            continue
         if gap is not None:
-            yield "gap", gap, at, None, b"", why
+            if gap < at:
+                yield "gap", gap, at, None, b"", why
             gap = None
         for head, block in got:
             yield "record", at, end, head, block, ""
+        for a, b, reason in lost:
+            yield "gap", at, end, None, b"", f"{reason} (bytes {a} to {b} of the member's content)"
         at = end
-    if gap is not None:
+    if gap is not None and gap < n:
         yield "gap", gap, n, None, b"", why
 
 

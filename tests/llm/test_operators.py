@@ -443,6 +443,29 @@ def test_salvage_skips_damage_and_logs_gaps(packed):
     assert gaps[0] == (0, 4) and gaps[1] == (at, at + len(broken)) and len(gaps) == 4 and gaps[-1][1] == len(data)
 
 
+def test_salvage_inside_members():
+    rng = random.Random(1)
+    raw = [warc.record(i, f"http://x/{i}", rng.randbytes(900) + b"payload %d " % i * 40, None, False) for i in range(6)]
+    revisit = warc.record(9, "http://x/9", b"p", 1, True)
+
+    def found(data):
+        rows = list(warc.salvage(data))
+        return [warc._page(f[3]["warc-record-id"]) for f in rows if f[0] == "record"], [f[1:3] for f in rows if f[0] == "gap"]
+    digest, length = bytearray(raw[2]), raw[2].replace(b"Content-Length: ", b"Content-Length: 9")
+    digest[-20] ^= 1
+    for bad in (bytes(digest), length):
+        packed = gzip.compress(b"".join([*raw[:2], bad, *raw[3:], revisit]))
+        assert found(packed) == (["0", "1", "3", "4", "5", "9"], [(0, len(packed))])
+        assert found(gzip.compress(raw[0]) + gzip.compress(bad) + gzip.compress(raw[1]))[0] == ["0", "1"]
+    for level in (0, 6):
+        packed = gzip.compress(b"".join([raw[0], revisit, *raw[1:]]), level)
+        ids, gaps = found(packed[:len(packed) * 3 // 5])
+        assert ids == ["0", "9", "1", "2"] and len(gaps) == 1 and 0 < gaps[0][0] < gaps[0][1] == len(packed) * 3 // 5
+        broken = bytearray(packed)
+        broken[-6] ^= 1  # length of the content
+        assert found(bytes(broken) + gzip.compress(revisit))[0] == ["0", "1", "2", "3", "4", "5", "9"] or level == 0
+
+
 def test_reader_reports_quarantine(spark, tmp_path):
     raw = [warc.record(i, "http://x", b"p" * 50, None, False) for i in range(3)]
     data = bytearray(b"".join(map(warc.member, raw)))
