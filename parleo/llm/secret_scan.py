@@ -10,8 +10,11 @@ punctuation) is scored by its log-likelihood per character
 under the best format against that of ordinary text, and added as kind ``format``
 where it exceeds ``THRESHOLD``.
 
-Learning reads a bounded sample (``SAMPLE`` labelled values of each kind and as
-many words, those first by hash); scanning covers whole texts.
+Learning reads a bounded sample: of each kind ``SAMPLE`` labelled values, those
+first by hash, whole up to ``VALUE`` characters; and ``WORDS`` ordinary tokens outside base
+spans, with or without digits, half of any length and half as long as candidates.
+Each text offers ``DRAWN`` of both, from places that a hash picks over its whole
+length, and those first by a hash are taken.  Scanning covers whole texts.
 
 Defined results: null and empty texts have no spans; without any labelled value
 only base spans are reported; repeated rows and null ids are scanned row by row;
@@ -29,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parleo.llm.common import id_text, map_texts
+from parleo.llm.common import id_text, map_texts, shared_table
 
 KINDS = ("assign", "access", "hex")
 ADDED = "format"
@@ -43,7 +46,8 @@ CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST_RUN},}}")
 SAMPLE = 1500
 WORDS = 3000
 ALPHA = 0.02
-DEPTH = 24
+VALUE = 4096
+DRAWN = 8
 THRESHOLD = 0.6
 
 Span = tuple[int, str, int]
@@ -97,7 +101,7 @@ class Automaton:
 
     def add(self, word: str) -> None:
         s = 0
-        for ch in map(symbol, word[:DEPTH]):
+        for ch in map(symbol, word):
             self.count[s][ch] += 1
             if ch not in self.arc[s]:
                 self.arc[s][ch] = len(self.arc)
@@ -219,7 +223,24 @@ def added_spans(text: str, base: list[Span], formats: Formats) -> list[Span]:
     return out
 
 
-_FOUND = "kind string, value string"
+_FOUND = "kind string, value string, place binary"
+_TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+")
+_ORDINARY = {"word": 1, "long": LEAST_RUN}
+
+
+def _drawn(text: str, base: list[Span]) -> Iterator[tuple[str, str, bytes]]:
+    """Ordinary tokens of a text, from places over its whole length; a text that is repeated draws the same."""
+    out, end = [], 0
+    for a, _, e in base:
+        out.append(text[end:max(a, end)])
+        end = max(e, end)
+    tokens = [w for w in _TOKEN.findall(" ".join([*out, text[end:]])) if w.strip(".")]
+    seed = hashlib.md5(text.encode("utf-8", "replace")).digest()
+    for kind, least in _ORDINARY.items():
+        fit = [w.strip(".") for w in tokens if len(w) >= least]
+        for i in range(min(DRAWN, len(fit))):
+            place = hashlib.md5(seed + b"%d" % i).digest()
+            yield kind, fit[int.from_bytes(place[:8], "big") % len(fit)][:VALUE], place
 
 
 def _labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,24 +248,26 @@ def _labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = set()
         for raw in b["text"]:
             text = raw.decode("utf-8", "replace")
-            for a, k, e in base_spans(text):
-                rows.add((k, ASSIGN.match(text, a)[2][:200] if k == "assign" else text[a:e][:200]))
-            rows.update(("word", w[:40]) for w in text.split()[:40] if w.isalpha())
+            base = base_spans(text)
+            for a, k, e in base:
+                value = (ASSIGN.match(text, a)[2] if k == "assign" else text[a:e])[:VALUE]
+                rows.add((k, value, hashlib.md5(value.encode()).digest()))
+            rows.update(_drawn(text, base))
         keep = defaultdict(list)
-        for k, v in sorted(rows, key=lambda r: (hashlib.md5(r[1].encode()).digest(), r)):
-            if len(keep[k]) < (WORDS if k == "word" else SAMPLE):
-                keep[k].append((k, v))
-        yield pd.DataFrame([x for v in keep.values() for x in v], columns=["kind", "value"], dtype="object")
+        for r in sorted(rows, key=lambda r: (r[2], r)):
+            if len(keep[r[0]]) < (WORDS // 2 if r[0] in _ORDINARY else SAMPLE):
+                keep[r[0]].append(r)
+        yield pd.DataFrame([x for v in keep.values() for x in v], columns=["kind", "value", "place"], dtype="object")
 
 
 def learn(docs: DataFrame) -> Formats:
     """Automata from a bounded sample of the values that the base patterns label."""
-    found = id_text(docs).select("text").mapInPandas(_labelled, _FOUND).distinct()
+    found = shared_table(id_text(docs).select("text").mapInPandas(_labelled, _FOUND).distinct())
     got: dict[str, list[str]] = {}
-    for k in (*KINDS, "word"):
-        order = [F.md5("value"), F.col("value")]
-        got[k] = [r["value"] for r in found.where(F.col("kind") == k).orderBy(*order).limit(WORDS if k == "word" else SAMPLE).collect()]
-    words = got.pop("word")
+    for k in (*KINDS, *_ORDINARY):
+        rows = found.where(F.col("kind") == k).orderBy("place", "value").limit(WORDS // 2 if k in _ORDINARY else SAMPLE)
+        got[k] = [r["value"] for r in rows.collect()]
+    words = [w for k in _ORDINARY for w in got.pop(k)]
     return Formats(got, words)
 
 
@@ -253,7 +276,7 @@ SCANNED = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_s
 
 def scan(docs: DataFrame, formats: Formats) -> DataFrame:
     """Spans of every document, base ones and added ones."""
-    shared = docs.sparkSession.sparkContext.broadcast(formats)  # bounded by SAMPLE and DEPTH
+    shared = docs.sparkSession.sparkContext.broadcast(formats)  # bounded by SAMPLE and VALUE
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = shared.value

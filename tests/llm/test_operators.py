@@ -390,6 +390,21 @@ def test_all_candidates_are_scored():
     assert secret_scan.added_spans("9f86d081884c7d659a2f", secret_scan.base_spans("9f86d081884c7d659a2f"), f) == []
 
 
+def test_formats_of_whole_values(spark):
+    rng = random.Random(6)
+    digits, capitals = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    values = ["".join(rng.choice(digits) for _ in range(30)) + "".join(rng.choice(capitals) for _ in range(30)) for _ in range(200)]
+    a = secret_scan.infer(values)
+    assert secret_scan.likelihood(a, values[0][30:]) < secret_scan.likelihood(a, values[0]) > -4
+    rows = []
+    for i in range(60):
+        words = ["".join(rng.choice(["th", "an", "er", "on", "re"]) for _ in range(3)) for _ in range(60)]
+        rows.append((i, " ".join([*words, f"v{i}.{rng.randint(10, 99)}.2024-11-{rng.randint(10, 30)}", hashlib.sha1(b"%d" % i).hexdigest(), *words])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = secret_scan.scan(docs, secret_scan.learn(docs)).collect()
+    assert all(r["n_hex"] == 1 and "format" not in r["spans"] for r in got)
+
+
 def test_secret_odd_rows(odd, none):
     f = secret_scan.learn(odd)
     got = {r["doc_id"]: r for r in secret_scan.scan(odd, f).collect() if r["doc_id"] is not None}
