@@ -1,18 +1,22 @@
-"""Toxicity by a subsequence string-kernel machine with Nystroem landmarks.
+"""Toxicity by subsequence string-kernel machines with Nystroem landmarks.
 
-Two strings are similar if they share subsequences of four characters, each
+Two strings are similar if they share subsequences of four or three characters, each
 weighted by ``DECAY`` to the power of the span it covers (at most ``SPAN``), so
 an insult keeps most of its kernel value when characters are inserted or left
-out.  Landmarks are words of labelled sentences; the kernel matrix of the
-landmarks gives the Nystroem map, on which a linear support vector machine is
-trained.  Sentences of documents marked toxic are labelled by their witness, the
-unit that the machine scores highest; the rest of them says nothing.  Since the kernel is a dot
-product of subsequence weights, landmarks and machine fold into one table of
-subsequences, and a unit is scored by adding up its entries.
+out.  Subsequences are hashed, so characters of any script count.  One machine
+sees words between marks of their ends (short insults), the other windows
+of the running text without anything between the letters (insults that are spelled out,
+cut into parts or made of ordinary words).  The kernel matrix of landmarks gives
+the Nystroem map, on which a linear support vector machine is trained.  Documents marked
+toxic are labelled by their witness, the unit that the machine scores highest;
+the rest of them says nothing.  Since the kernel is a dot product of subsequence
+weights, landmarks and machine fold into one table of subsequences, and a unit
+is scored by adding up its entries.
 
 Training reads a bounded sample (``TRAIN_DOCS`` documents of each label, those
 first by a hash of their id, outside the held-out fold); every text is scored
-whole: its score is that of its highest unit, by a logistic fit.
+whole: its score is that of its highest word and window, by a logistic fit on a
+quarter of the sample that the machines have not seen.
 
 Defined results: null and empty texts score as a text without any insult;
 without both labels in the training rows every score is the share of toxic
@@ -25,7 +29,7 @@ import itertools
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,10 +41,14 @@ from pyspark.sql import types as T
 from parleo.llm.common import fold_col, id_text, map_texts
 
 ORDER = 4
+SHORT = 0.5
 DECAY = 0.75
 SPAN = 7
-ALPHABET = 40
+BITS = 20
 LANDMARKS = 160
+#: A window: the subsequences that begin within so many characters of running text.
+WINDOW = 16
+WINDOW_LANDMARKS = 96
 TRAIN_DOCS = 1500
 HELD_OUT = (5, 0)
 PENALTY = 4.0
@@ -51,8 +59,11 @@ UNIT = 48
 
 _SPACED = re.compile(r"\b(?:\w[ .*_-]){2,}\w\b")
 _INSERTED = re.compile(r"[^\w\s]+")
-#: (positions after the first, weight) of every subsequence shape.
+_BREAK = re.compile(r"[\W_]+")
+#: (positions after the first, weight) of every subsequence shape; those of three characters serve short words.
 SHAPES = [((a, a + b, a + b + c), DECAY ** (a + b + c + 1)) for a, b, c in itertools.product(range(1, SPAN), repeat=3) if a + b + c < SPAN]
+SHAPES += [((a, a + b), SHORT * DECAY ** (a + b + 1)) for a, b in itertools.product(range(1, SPAN), repeat=2) if a + b < SPAN]
+_MIX = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)]
 
 
 def units(text: str) -> list[str]:
@@ -61,74 +72,106 @@ def units(text: str) -> list[str]:
     return _INSERTED.sub("", t).split()
 
 
-def sentences(text: str) -> list[list[str]]:
-    return [u for u in (units(s) for s in re.split(r"[.!?]\s|\n", text)) if u]
-
-
 def pieces(unit: str) -> list[str]:
-    """Very long units in overlapping pieces, so that nothing inside is missed."""
+    """A unit between marks of its ends; very long ones in overlapping pieces, so that nothing inside is missed."""
+    unit = f"\2{unit}\3"
     return [unit] if len(unit) <= UNIT else [unit[i:i + UNIT] for i in range(0, len(unit) - SPAN, UNIT - SPAN)]
 
 
-def codes(strings: list[str], letters: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Letter numbers of all strings with gaps between them (0), and where each begins."""
-    gap = "\0" * SPAN
-    flat = np.frombuffer(gap.join(strings).encode("utf-32-le") + b"\0\0\0\0" * (2 * SPAN), dtype="<u4")
-    table = np.zeros(max([0x250, *(ord(c) + 1 for c in letters)]), dtype="int64")
-    for c, i in letters.items():
-        table[ord(c)] = i
-    starts = np.cumsum([0, *(len(s) + SPAN for s in strings[:-1])]) if strings else np.zeros(0, "int64")
-    return np.where(flat < len(table), table[np.minimum(flat, len(table) - 1)], 0), starts
+def running(text: str) -> str:
+    """Letters and digits of a text without anything between them."""
+    return _BREAK.sub("", text.lower())
 
 
-def subsequences(c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """Per shape: start positions, number of the subsequence, weight.  Any letter outside the alphabet breaks a match."""
-    n = len(c) - SPAN
-    first = np.flatnonzero(c[:n])
-    for (i, j, k), weight in SHAPES:
-        x, y, z = c[first + i], c[first + j], c[first + k]
-        on = (x > 0) & (y > 0) & (z > 0)
-        at = first[on]
-        yield at, ((c[at] * ALPHABET + x[on]) * ALPHABET + y[on]) * ALPHABET + z[on], weight
+def codes(strings: list[str], gap: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every character of all strings with gaps between them, characters left to the end of the string (0 in gaps), and where each begins."""
+    flat = np.frombuffer(("\0" * gap).join(strings).encode("utf-32-le", "replace") + b"\0\0\0\0" * (gap + SPAN), dtype="<u4")
+    size = np.array([len(s) for s in strings], dtype="int64")
+    starts = np.concatenate([[0], np.cumsum(size + gap)[:-1]]) if strings else np.zeros(0, "int64")
+    left = np.zeros(len(flat), "int32")
+    own = np.repeat(np.arange(len(size)), size)
+    k = np.arange(len(own))
+    left[k + gap * own] = np.cumsum(size)[own] - k
+    c = (flat + np.uint32(1)) * _MIX[0]
+    return c ^ (c >> np.uint32(15)), left, starts
 
 
-def profile(strings: list[str], letters: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, subsequence, weight) entries of the kernel's feature map."""
-    c, starts = codes(strings, letters)
-    parts = [(np.searchsorted(starts, at, side="right") - 1, s, np.full(len(at), w)) for at, s, w in subsequences(c)]
-    row, sub, val = (np.concatenate(x) for x in zip(*parts))
-    key, inverse = np.unique(row.astype("int64") * ALPHABET ** ORDER + sub, return_inverse=True)
-    return key // ALPHABET ** ORDER, key % ALPHABET ** ORDER, np.bincount(inverse, val, len(key))
+def subsequences(c: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """Per shape and start position: number of the subsequence (hashed), whether it ends inside the string, weight."""
+    n = len(c) - SPAN
+    mixed = [c * m for m in _MIX]
+    for far, weight in SHAPES:
+        x = mixed[0][:n] + np.uint32(len(far) * 0x61C88647 & 0xFFFFFFFF)
+        for k, i in enumerate(far):
+            x += mixed[k + 1][i:n + i]
+        yield x >> np.uint32(32 - BITS), left[:n] > far[-1], weight
+
+
+def totals(c: np.ndarray, left: np.ndarray, table: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+    """Weight of the subsequences that begin at each position."""
+    out = np.zeros(len(c), "float32")
+    for i in range(0, len(c) - SPAN, block):
+        j = min(len(c), i + block + SPAN)
+        part = out[i:j - SPAN]
+        for s, on, w in subsequences(c[i:j], left[i:j]):
+            part += np.float32(w) * (table.take(s) * on)
+    return out
+
+
+def profile(strings: list[str], starting: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, subsequence, weight) entries of the kernel's feature map, of the first ``starting`` positions only where given."""
+    c, left, starts = codes(strings)
+    row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(c))))
+    near = np.arange(len(c)) - starts[row] < (starting or len(c))
+    parts = []
+    for s, on, w in subsequences(c, left):
+        at = np.flatnonzero(on & near[:len(on)])
+        parts.append((row[at] << BITS | s[at], np.full(len(at), w)))
+    key, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return key >> BITS, key & (1 << BITS) - 1, np.bincount(inverse, np.concatenate([w for _, w in parts]), len(key))
 
 
 def kernel(a: str, b: str) -> float:
     """Value of the string kernel, not normalised."""
-    letters = {ch: i + 1 for i, ch in enumerate(sorted({*a, *b})[:ALPHABET - 1])}
-    x, y = ({s: w for s, w in zip(*profile([t], letters)[1:])} for t in (a, b))
+    x, y = ({s: w for s, w in zip(*profile([t])[1:])} for t in (a, b))
     return float(sum(w * y[s] for s, w in x.items() if s in y))
 
 
+def _widest(total: np.ndarray, left: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Highest window of each string and its position; gaps are as wide as a window."""
+    upto = np.concatenate([[0.0], np.cumsum(total, dtype="float64")])
+    n = len(total) - WINDOW
+    w = np.where(left[:n] > 0, upto[WINDOW:WINDOW + n] - upto[:n], -np.inf)
+    top = np.maximum.reduceat(w, starts)
+    ends = np.append(starts[1:], n)
+    return np.where(np.isinf(top), 0.0, top), np.array([a + int(w[a:b].argmax()) for a, b in zip(starts, ends)]) - starts
+
+
 @dataclass
 class Machine:
-    letters: dict[str, int]
-    table: np.ndarray | None  # weight of every subsequence
+    table: np.ndarray | None  # weight of every subsequence of words
     bias: float
-    slope: float
-    shift: float
+    wide: np.ndarray | None = None  # and of windows
+    wide_bias: float = 0.0
+    fits: Sequence[tuple[float, float, float]] = ((1.0, 0.0, 0.0),)  # slope of words, slope of windows, shift
     tag: str = ""
     constant: float = 0.0
 
     def margins(self, strings: list[str]) -> np.ndarray:
         if not strings:
             return np.zeros(0)
-        c, starts = codes(strings, self.letters)
-        total = np.zeros(len(c))
-        for at, s, w in subsequences(c):
-            total[at] += w * self.table[s]
-        return np.add.reduceat(total, starts) + self.bias
+        c, left, starts = codes(strings)
+        return np.add.reduceat(totals(c, left, self.table), starts).astype("float64") + self.bias
+
+    def windows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Margin and place of the highest window of each running text."""
+        c, left, starts = codes(texts, WINDOW)
+        top, at = _widest(totals(c, left, self.wide), left, starts)
+        return top + self.wide_bias, at
 
-    def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
+    def probability(self, word: np.ndarray, window: np.ndarray) -> np.ndarray:
+        top = np.max([a * word + b * window + c for a, b, c in self.fits], axis=0)
+        return 1 / (1 + np.exp(-np.clip(top, -40, 40)))
 
 
 def _svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
@@ -147,91 +190,180 @@ def _svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, fl
     return w[:-1], float(w[-1])
 
 
-def train(rows: list[tuple[str, int]], seed: int = 0) -> Machine:
-    """Fit on (text, label) pairs."""
-    rows = sorted((t or "", int(y)) for t, y in rows if y is not None)
-    y = np.array([b for _, b in rows], dtype=float)
-    if not len(y) or y.min() == y.max():
-        return Machine({}, None, 0.0, 1.0, 0.0, "none", float(min(0.49, y.mean()) if len(y) and y.max() == 0 else y.mean() if len(y) else 0.0))
-    docs = [sorted({p for s in sentences(t) for u in s for p in pieces(u)}) for t, _ in rows]
-    count = [Counter(), Counter()]
-    for d, (_, b) in zip(docs, rows):
-        count[b].update(d)
-    letter = Counter()
-    for c in count:
-        for w, n in c.items():
-            for ch in w:
-                letter[ch] += n
-    letters = {ch: i + 1 for i, (ch, _) in enumerate(sorted(letter.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET - 1])}
-    total = [max(1, sum(1 for _, b in rows if b == k)) for k in (0, 1)]
-    odds = {w: np.log((count[1][w] + 0.2) / (count[0][w] + 0.2) * total[0] / total[1]) for w in count[1]}
-    worth = {w: count[1][w] ** 0.5 * v for w, v in odds.items()}
-    rng = np.random.default_rng(seed)
-    plain = sorted(count[0])
-    near = [w for w in sorted(worth, key=lambda w: (-worth[w], w)) if len(w) >= ORDER][:LANDMARKS // 2]
-    common = sorted((w for w in plain if len(w) >= ORDER), key=lambda w: (-count[0][w], w))[:LANDMARKS // 4]
-    rest = [plain[i] for i in rng.permutation(len(plain))[:LANDMARKS]]
-    marks = list(dict.fromkeys([*near, *common, *(w for w in rest if len(w) >= ORDER)]))[:LANDMARKS]
-    row, sub, val = profile(marks, letters)
+def _landmarks(marks: list[str], starting: int | None = None):
+    """Nystroem map of the landmarks: function from strings to coordinates, and from weights of coordinates to a table."""
+    row, sub, val = profile(marks, starting)
     used, column = np.unique(sub, return_inverse=True)
-    base = np.zeros((len(marks), len(used)))
+    base = np.zeros((len(marks), len(used)), "float32")
     base[row, column] = val
     base /= np.maximum(1e-9, np.sqrt((base ** 2).sum(1)))[:, None]
-    values, vectors = np.linalg.eigh(base @ base.T)
-    keep = values > 1e-6
-    nystroem = (vectors[:, keep] / np.sqrt(values[keep])).T @ base  # landmark coordinates of a profile
-    place = np.full(ALPHABET ** ORDER, -1, dtype="int32")
+    values, vectors = np.linalg.eigh((base @ base.T).astype("float64"))
+    keep = values > 1e-5
+    nystroem = ((vectors[:, keep] / np.sqrt(values[keep])).T @ base).astype("float32")  # landmark coordinates of a profile
+    place = np.full(1 << BITS, -1, dtype="int32")
     place[used] = np.arange(len(used))
 
     def mapped(strings: list[str]) -> np.ndarray:
         out = np.zeros((len(strings), nystroem.shape[0]))
-        for i in range(0, len(strings), 500):
-            part = strings[i:i + 500]
-            r, s, v = profile(part, letters)
+        step = max(20, 8_000_000 // max(1, len(used)))
+        for i in range(0, len(strings), step):
+            part = strings[i:i + step]
+            r, s, v = profile(part, starting)
             on = place[s] >= 0
             x = np.zeros((len(part), len(used)), dtype="float32")
             x[r[on], place[s[on]]] = v[on]
-            out[i:i + 500] = x @ nystroem.T
+            out[i:i + step] = x @ nystroem.T
         return out
 
+    def table(w: np.ndarray) -> np.ndarray:
+        out = np.zeros(1 << BITS, dtype="float32")
+        out[used] = w @ nystroem
+        return out
+    return mapped, table
+
+
+def _worth(count: list[Counter], rows: list[tuple[str, int]]) -> dict:
+    """How much a unit speaks for the toxic label."""
+    total = [max(1, sum(1 for _, b in rows if b == k)) for k in (0, 1)]
+    return {w: n ** 0.5 * np.log((n + 0.2) / (count[0][w] + 0.2) * total[0] / total[1]) for w, n in count[1].items()}
+
+
+def _split(fit, chosen: Counter, others: list[str], mapped) -> tuple[np.ndarray, float]:
+    strings = [*chosen, *others]
+    labels = np.array([1.0] * len(chosen) + [-1.0] * len(others))
+    even = max(1.0, 0.1 * len(others) / max(1, sum(chosen.values())))  # few insults against many other units
+    cost = np.array([PENALTY * even * n for n in chosen.values()] + [PENALTY] * len(others))
+    return fit(mapped(strings), labels, cost)
+
+
+def _train_words(m: Machine, rows: list[tuple[str, int]], rng: np.random.Generator) -> None:
+    docs = [_pieces_of(t) for t, _ in rows]
+    count = [Counter(), Counter()]
+    for d, (_, b) in zip(docs, rows):
+        count[b].update(d)
+    worth = _worth(count, rows)
+    plain = sorted(count[0])
+    near = sorted(worth, key=lambda w: (-worth[w], w))[:LANDMARKS // 2]
+    common = sorted(plain, key=lambda w: (-count[0][w], w))[:LANDMARKS // 4]
+    rest = [plain[i] for i in rng.permutation(len(plain))[:LANDMARKS]]
+    marks = list(dict.fromkeys([*near, *common, *rest]))[:LANDMARKS]
+    if not marks:
+        m.table = np.zeros(1 << BITS, "float32")
+        return
+    mapped, table = _landmarks(marks)
     positive = [d for d, (_, b) in zip(docs, rows) if b and d]
     witness = [max(d, key=lambda w: (worth[w], w)) for d in positive]
     hard = [plain[i] for i in rng.permutation(len(plain))[:12_000]]
-    machine = None
     for turn in range(ROUNDS):
-        chosen = [w for w, d in zip(witness, positive) if machine is None or turn < 2 or worth[w] > 0]
-        many = Counter(chosen)
-        strings = [*many, *dict.fromkeys([*common, *hard])]
-        labels = np.array([1.0] * len(many) + [-1.0] * (len(strings) - len(many)))
-        even = max(1.0, 0.1 * (len(strings) - len(many)) / max(1, len(chosen)))  # few insults against many other words
-        cost = np.array([PENALTY * even * n for n in many.values()] + [PENALTY] * (len(strings) - len(many)))
-        w, bias = _svm(mapped(strings), labels, cost)
-        table = np.zeros(ALPHABET ** ORDER, dtype="float32")
-        table[used] = w @ nystroem
-        machine = Machine(letters, table, bias, 1.0, 0.0)
-        scored = machine.margins(plain)
-        worst = np.argsort(-scored, kind="stable")[:6000]
+        chosen = Counter(w for w in witness if turn < 2 or worth[w] > 0)
+        w, m.bias = _split(_svm, chosen, list(dict.fromkeys([*common, *hard])), mapped)
+        m.table = table(w)
+        worst = np.argsort(-m.margins(plain), kind="stable")[:6000]
         hard = [*(plain[i] for i in worst), *(plain[i] for i in rng.permutation(len(plain))[:6000])]
-        flat = machine.margins([u for d in positive for u in d])
-        at = 0
+        flat, at = m.margins([u for d in positive for u in d]), 0
         witness = []
         for d in positive:
             witness.append(d[int(flat[at:at + len(d)].argmax())])
             at += len(d)
-    top = np.array([machine.margins(d).max() if d else machine.bias for d in docs])
-    a, b = 1.0, 0.0
-    for _ in range(50):  # logistic fit of the label on the margin of the highest unit
-        p = 1 / (1 + np.exp(-np.clip(a * top + b, -30, 30)))
-        g = np.array([((p - y) * top).sum() + 1e-2 * a, (p - y).sum()])
-        q = p * (1 - p) + 1e-6
-        h = np.array([[(q * top * top).sum() + 1e-2, (q * top).sum()], [(q * top).sum(), q.sum()]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
+
+
+def _train_windows(m: Machine, rows: list[tuple[str, int]], rng: np.random.Generator) -> None:
+    texts = [running(t) for t, _ in rows]
+    size, n = WINDOW + SPAN - 1, 6
+
+    def cut(t: str, at: int) -> str:
+        return t[at:at + size]
+    count = [Counter(), Counter()]
+    for t, (_, b) in zip(texts, rows):
+        if b:
+            count[1].update({t[i:i + n] for i in range(max(1, len(t) - n + 1))})
+    for t, (_, b) in zip(texts, rows):
+        if not b:
+            count[0].update({t[i:i + n] for i in range(max(1, len(t) - n + 1))} & count[1].keys())
+    worth = _worth(count, rows)
+    positive = [t for t, (_, b) in zip(texts, rows) if b and t]
+    negative = [t for t, (_, b) in zip(texts, rows) if not b and t]
+    m.wide = np.zeros(1 << BITS, "float32")
+    if not positive or not negative:
+        return
+    witness = []
+    for t in positive:  # the window around the passage that speaks most for the label
+        best = max(range(max(1, len(t) - n + 1)), key=lambda i: (worth[t[i:i + n]], -i))
+        witness.append(cut(t, max(0, best - (WINDOW - n) // 2)))
+    places = [(negative[i], int(rng.integers(0, max(1, len(negative[i]) - WINDOW)))) for i in rng.integers(0, len(negative), 6000)]
+    plain = list(dict.fromkeys(cut(t, i) for t, i in places))
+    near = [w for w, _ in Counter(witness).most_common(WINDOW_LANDMARKS // 2)]
+    mapped, table = _landmarks(list(dict.fromkeys([*near, *plain[:WINDOW_LANDMARKS - len(near)]])), WINDOW)
+    hard: list[str] = []
+    for _ in range(3):
+        w, m.wide_bias = _split(_svm, Counter(witness), list(dict.fromkeys([*plain[:4000], *hard])), mapped)
+        m.wide = table(w)
+        hard += [cut(t, i) for t, i in zip(negative, _batched(m, negative)[1])]
+        witness = [cut(t, i) for t, i in zip(positive, _batched(m, positive)[1])]
+
+
+def _pieces_of(text: str) -> list[str]:
+    return sorted({p for u in units(text) for p in pieces(u)})
+
+
+def _batched(m: Machine, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``windows`` of many texts, a bounded number of characters at a time."""
+    got, at = [], 0
+    while at < len(texts):
+        held, size = [], 0
+        while at < len(texts) and (not held or size < 1 << 20):
+            held.append(texts[at])
+            size += len(texts[at])
+            at += 1
+        got.append(m.windows(held))
+    return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, use: list[int]) -> tuple[float, float, float]:
+    """(slope of words, slope of windows, shift) of the label on some of the margins; none speaks against the label."""
+    scale = np.maximum(1e-6, x.std(1))
+    z = np.vstack([x[use] / scale[use, None], np.ones(len(y))])
+    w = np.zeros(len(z))
+    ridge = np.array([*[1e-1] * len(use), 1e-6])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(w @ z, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p) + 1e-6)) @ z.T + np.diag(ridge), z @ (p - y) + ridge * w)
+        w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-7:
             break
-    machine.slope, machine.shift = float(max(a, 1e-3)), float(b)
-    machine.tag = f"{zlib.crc32(machine.table.tobytes())}:{bias}"
-    return machine
+    if len(use) > 1 and min(w[:-1]) < 0:
+        return _logistic(x, y, [use[int(w[:-1].argmax())]])
+    slopes = [0.0, 0.0]
+    for k, v in zip(use, w):
+        slopes[k] = max(float(v / scale[k]), 0.0)
+    return slopes[0], slopes[1], float(w[-1])
+
+
+def train(rows: list[tuple[str, int]], seed: int = 0) -> Machine:
+    """Fit on (text, label) pairs."""
+    rows = sorted((t or "", int(y)) for t, y in rows if y is not None)
+    y = np.array([b for _, b in rows], dtype=float)
+    if not len(y) or y.min() == y.max():
+        return Machine(None, 0.0, tag="none", constant=float(min(0.49, y.mean()) if len(y) and y.max() == 0 else y.mean() if len(y) else 0.0))
+    apart = [zlib.crc32(t.encode("utf-8", "replace")) % 4 == 0 for t, _ in rows]  # one in four fits the logistic only
+    fitted, judged = ([r for r, x in zip(rows, apart) if x == k] for k in (False, True))
+    if min(Counter(b for _, b in part).get(k, 0) for part in (fitted, judged) for k in (0, 1)) < 5:
+        fitted = judged = rows
+    rng = np.random.default_rng(seed)
+    m = Machine(None, 0.0)
+    _train_words(m, fitted, rng)
+    _train_windows(m, fitted, rng)
+    y = np.array([b for _, b in judged], dtype=float)
+    docs = [_pieces_of(t) for t, _ in judged]
+    known = {u: i for i, u in enumerate(sorted({u for d in docs for u in d}))}
+    margin = m.margins(list(known))
+    x = np.array([[max((margin[known[u]] for u in d), default=m.bias) for d in docs], _batched(m, [running(t) for t, _ in judged])[0]])
+    word, window, both = (_logistic(x, y, use) for use in ([0], [1], [0, 1]))
+    # either margin can be reason enough, unless that errs more often than both together
+    errors = [((Machine(None, 0.0, fits=f).probability(*x) >= 0.5) != y).sum() for f in ([word, window], [both])]
+    m.fits = [word, window] if errors[0] <= errors[1] else [both]
+    m.tag = f"{zlib.crc32(m.table.tobytes())}:{m.bias}"
+    return m
 
 
 class _Known:
@@ -262,6 +394,7 @@ def scores(m: Machine, texts: list[str]) -> np.ndarray:
         return np.full(len(texts), m.constant)
     top: list[float] = []
     at = 0
+    wide: list[np.ndarray] = []
     while at < len(texts):
         size, held = 0, []
         while at < len(texts) and (not held or size < 1 << 20):
@@ -269,7 +402,8 @@ def scores(m: Machine, texts: list[str]) -> np.ndarray:
             size += len(texts[at])
             at += 1
         top += _known.top(m, held)
-    return m.probability(np.array(top))
+        wide.append(m.windows([running(t) for t in held])[0] if any(b > 0 for _, b, _ in m.fits) else np.zeros(len(held)))
+    return m.probability(np.array(top), np.concatenate([*wide, np.zeros(0)]))
 
 
 def sample(docs: DataFrame, labels: DataFrame, docs_per_label: int = TRAIN_DOCS) -> list[tuple[str, int]]:
@@ -292,7 +426,7 @@ SCORED = "doc_id bigint, held_out boolean, score double, predicted int"
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     parts, out = HELD_OUT
-    shared = docs.sparkSession.sparkContext.broadcast(machine)  # ALPHABET ** ORDER weights, whatever the data
+    shared = docs.sparkSession.sparkContext.broadcast(machine)  # 2 << BITS weights, whatever the data
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value

@@ -158,6 +158,23 @@ def test_toxicity_held_out(spark):
     assert sum(r["predicted"] == y[r["doc_id"]] for r in out) >= 0.9 * len(out)
 
 
+@pytest.mark.parametrize("insults, unseen", [
+    (["zq", "vxk"], ["zq", "vxk"]), (["плонкер", "мапет"], ["плонкер", "плонxкер"]),
+    (["gobshite", "muppet", "plonker"], ["gob shite", "mup  pet", "p, l, o, n, k, e, r", "m - u - p - p - e - t", "plon\nker"]),
+    (["thou stan thele ounner", "lest anre onou erth"], ["thou stan thele ounner", "lest anre  onou, erth"])])
+def test_toxicity_of_whole_texts(insults, unseen):
+    rng = random.Random(3)
+    plain = sorted({"".join(rng.choice(["th", "an", "er", "on", "re", "st", "ou", "le"]) for _ in range(rng.randint(1, 4))) for _ in range(400)} | {"thou", "stan", "thele", "ounner", "lest", "anre", "onou", "erth"})
+
+    def text(insult):
+        w = rng.choices(plain, k=60)
+        return " ".join([*w[:30], insult, *w[30:]] if insult else w)
+    m = toxicity.train([(text(rng.choice(insults) if i % 4 == 0 else None), int(i % 4 == 0)) for i in range(800)])
+    found = toxicity.scores(m, [text(unseen[i % len(unseen)]) for i in range(60)]) >= 0.5
+    clean = toxicity.scores(m, [text(None) for _ in range(60)]) < 0.5
+    assert found.sum() >= 54 and clean.sum() >= 54
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1), (99, None), (7, 0), (8, 1)], "doc_id bigint, toxic int")
     got = toxicity.toxicity(odd, labels).collect()
