@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parleo.llm import decontaminate, langid, lm_score, minhash, packing, quality, secret_scan, suffix_dedup, toxicity, warc
+from parleo.llm import decontaminate, langid, lm_score, minhash, packing, quality, secret_scan, suffix_dedup, toxicity, warc, whitening
 from parleo.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,8 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 @query("op4_lm_score")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return lm_score.score(load(spark, sf, "documents"))
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(load(spark, sf, "embeddings"))
