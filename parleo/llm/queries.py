@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parleo.llm import decontaminate, langid, lm_score, minhash, packing, quality, secret_scan, suffix_dedup, toxicity, warc, whitening
+from parleo.llm import decontaminate, langid, lm_score, minhash, packing, quality, secret_scan, simhash, suffix_dedup, toxicity, warc, whitening
 from parleo.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,8 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 @query("op13_whitening")
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     return whitening.whiten(load(spark, sf, "embeddings"))
+
+
+@query("op12_simhash")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.groups(load(spark, sf, "documents")).drop("kept")
