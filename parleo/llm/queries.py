@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parleo.llm import decontaminate, langid, lm_score, minhash, packing, quality, secret_scan, simhash, suffix_dedup, toxicity, warc, whitening
+from parleo.llm import decontaminate, langid, lm_score, minhash, packing, prefix_trie, quality, secret_scan, simhash, suffix_dedup, toxicity, warc, whitening
 from parleo.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,33 @@ def op13(spark: SparkSession, sf: str) -> DataFrame:
 @query("op12_simhash")
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.groups(load(spark, sf, "documents")).drop("kept")
+
+
+OP11 = """
+WITH RECURSIVE c AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, 0 AS i, 4294967295::BIGINT AS v FROM c
+  UNION ALL SELECT conv_id, s, i + 1, CASE WHEN u & 1 = 1 THEN xor(u >> 1, 3988292384) ELSE u >> 1 END
+    FROM (SELECT conv_id, s, i, CASE WHEN i % 8 = 0 THEN xor(v, ascii(substr(s, i // 8 + 1, 1))::BIGINT) ELSE v END AS u FROM crc WHERE i < 8 * length(s))),
+h AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(v, 4294967295) % 6 AS h FROM crc WHERE i = 8 * length(s)),
+t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+        sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT h.conv_id, h.h, h.base, least(h.h, coalesce(n.n, 0)) AS k FROM h LEFT JOIN (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id) n ON n.conv_id = h.base),
+re AS (SELECT k.conv_id, t.p AS d, r, x FROM k JOIN t ON t.conv_id = k.base AND t.p <= k.k
+  UNION ALL SELECT t.conv_id, k.k + t.p - k.h, r, x FROM t JOIN k ON k.conv_id = t.conv_id WHERE t.p > k.h),
+pre AS (SELECT conv_id, d, x, list({'r': r, 'x': x}) OVER (PARTITION BY conv_id ORDER BY d) AS path FROM re),
+node AS (SELECT d, path, min(conv_id) AS conv_id, count(*) AS n, any_value(length(x)) AS len FROM pre GROUP BY d, path
+  UNION ALL SELECT 0, CAST([] AS STRUCT(r VARCHAR, x VARCHAR)[]), min(conv_id), count(*), 0 FROM c HAVING count(*) > 0),
+kids AS (SELECT path[1:d - 1] AS path, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+leafy AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids ON kids.path = node.path),
+sub AS (SELECT path[1:up] AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n - 1) * len) AS saved
+        FROM (SELECT path, n, len, n_children, unnest(range(0, d + 1)) AS up FROM leafy) GROUP BY 1),
+e AS (SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+      FROM (SELECT c.conv_id, coalesce(q.path, CAST([] AS STRUCT(r VARCHAR, x VARCHAR)[])) AS path FROM c LEFT JOIN (SELECT conv_id, arg_max(path, d) AS path FROM pre GROUP BY conv_id) q ON q.conv_id = c.conv_id) GROUP BY path)
+SELECT v.conv_id, v.d::BIGINT AS depth, u.conv_id AS parent_conv_id, v.n::BIGINT AS n_convs, v.n_children::BIGINT AS n_children, sub.n_leaves::BIGINT AS n_leaves,
+  sub.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM leafy v JOIN sub ON sub.path = v.path LEFT JOIN e ON e.path = v.path LEFT JOIN node u ON v.d > 0 AND u.path = v.path[1:v.d - 1]"""
+
+
+@query("op11_prefix_trie", OP11)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.trie(load(spark, sf, "conversations"))
