@@ -114,6 +114,27 @@ def x26b(spark, sf):
     return mining.aligned_pairs(p, ["conv_id", "turn"]).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.min("truth").alias("first_truth"), F.max("heard").alias("last_heard"))
 
 
+# Words repeat here as they do in speech; what is misheard or put in occurs in no text and lies apart from drops, so the substitutions are known.
+REPEATED = """tr AS (SELECT conv_id, turn, string_split(%s, ' ') AS ws FROM conversations), ex AS (SELECT conv_id, turn, unnest(ws) AS w, unnest(range(0, len(ws))) AS i FROM tr),
+mk AS (SELECT *, (i + turn) %% 19 = 3 AS gone, (i + conv_id) %% 11 = 0 AND (i + turn) %% 19 NOT IN (0, 1, 2, 3, 4, 5, 6, 10, 11, 12, 13, 14) AND i > 0 AS bad FROM ex)
+SELECT conv_id, count(*) AS n, CAST(sum(i) AS BIGINT) AS places, min(w) AS first_truth, max(w || 'qq') AS last_heard FROM mk WHERE bad GROUP BY 1""" % norm_sql("text")
+
+
+@query("X26_repeated_words", f"WITH {REPEATED}")
+def x26c(spark, sf):
+    """Repeated words, dropped words, inserted words and misheard ones apart from those."""
+    c = load(spark, sf, "conversations").select("conv_id", "turn", norm(F.col("text")).alias("truth"))
+
+    def said(w, i):
+        at = i + F.col("turn")
+        bad = ((i + F.col("conv_id")) % 11 == 0) & ~(at % 19).isin(0, 1, 2, 3, 4, 5, 6, 10, 11, 12, 13, 14) & (i > 0)
+        return F.when(at % 19 == 3, "").when(bad, F.concat(w, F.lit("qq"))).when(at % 19 == 12, F.concat(w, F.lit(" uhmq"))).otherwise(w)
+
+    heard = F.array_join(F.filter(F.transform(F.split("truth", " "), said), lambda w: w != ""), " ")
+    p = mining.aligned_pairs(c.withColumn("heard", heard), ["conv_id", "turn"], with_truth_place=True)
+    return p.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sum("truth_pos").alias("places"), F.min("truth").alias("first_truth"), F.max("heard").alias("last_heard"))
+
+
 @query("A39_correction_discovery", f"WITH {PAIRS}, {CORR} SELECT * FROM corr")
 def a39(spark, sf):
     return mining.discover_corrections(mining.aligned_pairs(heard_pairs(spark, sf), ["doc_id"]))

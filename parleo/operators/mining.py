@@ -4,9 +4,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from parleo.functions import align
 from parleo.functions.columns import explode_once, half_up, let, n_words, ngrams, norm, words
 from parleo.plans.skew import dim, salted_join
 from parleo.plans.stage import settle
@@ -84,83 +87,29 @@ def document_frequency(docs: DataFrame, terms: Sequence[str], top: int | None =
     return explode_once(docs, [], hit, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n")).transform(_report, top)
 
 
-def aligned_pairs(pairs: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """One-to-one substitutions of two texts of any lengths, in column expressions.
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _swap_places(heard: pd.Series, truth: pd.Series) -> pd.Series:
+    """Places of one-to-one substitutions, the first text's in the high and the second's in the low 32 bits."""
+    out = []
+    for h, t in zip(heard, truth):
+        number: dict[str, int] = {}
+        a, b = ([number.setdefault(w, len(number)) for w in text.split(" ")] if isinstance(text, str) else [] for text in (h, t))
+        out.append([i << 32 | j for i, j in align.swaps(a, b)])
+    return pd.Series(out)
 
-    Words that occur once in either text anchor the alignment; of crossing
-    anchors those that keep the order of both texts stay.  From every anchor the match grows over
-    equal neighbours on both sides; what lies between two matched stretches is a
-    substitution where both texts have as many words there.
-    """
-    h, t = F.split(norm(F.col("heard")), " "), F.split(norm(F.col("truth")), " ")
-    x = pairs.select(*ids, h.alias("_h"), t.alias("_t"))
-    rows = explode_once(x, list(ids), _substitutions(F.col("_h"), F.col("_t")), "p")
-    return rows.select(*ids, F.col("p.pos").cast("bigint").alias("pos"), "p.heard", "p.truth")
-
-
-PLACES = 23  # bits of a word's place; the rest of a long is its hash and the side
-
-
-def _anchors(h: Column, t: Column) -> Column:
-    """Places (i, j) of the words that occur once in either array, by place in the first.  One sort of longs, no look-ups."""
-    low = (1 << PLACES + 1) - 1
-
-    def marked(words_: Column, side: int) -> Column:
-        return F.transform(words_, lambda w, i: F.xxhash64(w).bitwiseAND(~low).bitwiseOR(F.lit(side << PLACES).cast("bigint").bitwiseOR(i.cast("bigint"))))
-
-    def word(x: Column) -> Column:
-        return F.shiftright(x, PLACES + 1)
-
-    def place(x: Column) -> Column:
-        return x.bitwiseAND((1 << PLACES) - 1).cast("int")
-
-    def pairs(at: Column) -> Column:
-        def other(k: Column, x: Column) -> Column:
-            return F.coalesce(word(F.get(at, k)) != word(x), F.lit(True))
 
-        def pair(x: Column, k: Column) -> Column:
-            twin = F.get(at, k + 1)
-            first, second = x.bitwiseAND(1 << PLACES) == 0, twin.bitwiseAND(1 << PLACES) != 0
-            alone = first & second & (word(twin) == word(x)) & other(k - 1, x) & other(k + 2, x)
-            return F.when(alone & (F.get(h, place(x)) == F.get(t, place(twin))), F.struct(place(x).alias("i"), place(twin).alias("j")))
-        return F.array_sort(F.array_compact(F.transform(at, pair)))
+def aligned_pairs(pairs: DataFrame, ids: Sequence[str], with_truth_place: bool = False) -> DataFrame:
+    """One-to-one substitutions of two texts of any lengths (``functions.align``).
 
-    return let(F.sort_array(F.concat(marked(h, 0), marked(t, 1))), pairs)
-
-
-def _substitutions(h: Column, t: Column) -> Column:
-    """Substitutions between the anchors of two word arrays.  Whatever is used in a loop is evaluated once, by ``let``."""
-    def chain(at: Column) -> Column:
-        # an anchor that crosses both neighbours is a stray; of the others one goes on from the last if both places grow
-        calm = F.filter(at, lambda a, k: F.coalesce(F.get(at, k - 1)["j"] < a["j"], F.lit(True)) & F.coalesce(F.get(at, k + 1)["j"] > a["j"], F.lit(True)))
-        return let(calm, lambda c: F.filter(c, lambda a, k: F.coalesce(F.get(c, k - 1)["j"] < a["j"], F.lit(True))))
-
-    def swaps(i: Column, j: Column, n: Column, m: Column, least: Column, head: Column, tail: Column) -> Column:
-        left = n - head - tail
-        pairs = F.transform(F.sequence(F.lit(1), F.greatest(left, F.lit(1))), lambda d: F.struct(
-            (i + head + d).alias("pos"), F.get(h, i + head + d).alias("heard"), F.get(t, j + head + d).alias("truth")))
-        return F.when((left == m - head - tail) & (left > 0), F.filter(pairs, lambda s: s["heard"] != s["truth"])).otherwise(
-            F.expr("cast(array() as array<struct<pos:int,heard:string,truth:string>>)"))
-
-    def between(a: Column, b: Column) -> Column:
-        n, m = b["i"] - a["i"] - 1, b["j"] - a["j"] - 1
-        least = F.least(n, m)
-        steps = F.sequence(F.lit(1), F.greatest(least, F.lit(1)))
-        # equal words next to an anchor, on its diagonal, are matched too
-        head = F.aggregate(steps, F.lit(0), lambda c, d: F.when((d <= least) & (c == d - 1) & (F.get(h, a["i"] + d) == F.get(t, a["j"] + d)), d).otherwise(c))
-
-        def rest(first: Column) -> Column:
-            tail = F.aggregate(steps, F.lit(0), lambda c, d: F.when((d <= least - first) & (c == d - 1) & (F.get(h, b["i"] - d) == F.get(t, b["j"] - d)), d).otherwise(c))
-            return let(tail, lambda last: swaps(a["i"], a["j"], n, m, least, first, last))
-        return let(head, rest)
-
-    def gaps(bounds: Column) -> Column:
-        # neighbouring anchors leave no gap: only real ones are walked
-        real = F.filter(F.sequence(F.lit(0), F.size(bounds) - 2), lambda k: (F.get(bounds, k + 1)["i"] - F.get(bounds, k)["i"] > 1) & (F.get(bounds, k + 1)["j"] - F.get(bounds, k)["j"] > 1))
-        return F.flatten(F.transform(real, lambda k: let(F.get(bounds, k), lambda a: let(F.get(bounds, k + 1), lambda b: between(a, b)))))
-
-    edge = F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"))), F.array(F.struct(F.size(h).alias("i"), F.size(t).alias("j")))
-    return let(F.concat(edge[0], let(_anchors(h, t), chain), edge[1]), gaps)
+    What lies between two words aligned as equal is a substitution where both
+    texts have as many words there.  Texts are not shuffled; only places come
+    back from the workers.  A null text has no substitutions.
+    """
+    x = pairs.select(*ids, norm(F.col("heard")).alias("_h"), norm(F.col("truth")).alias("_t"))
+    x = x.withColumn("_p", _swap_places("_h", "_t")).withColumns({"_h": F.split("_h", " "), "_t": F.split("_t", " ")})
+    i, j = (lambda p: F.shiftright(p, 32)), (lambda p: p.bitwiseAND(0xFFFFFFFF))
+    found = F.transform("_p", lambda p: F.struct(i(p).alias("pos"), F.get("_h", i(p).cast("int")).alias("heard"), F.get("_t", j(p).cast("int")).alias("truth"), j(p).alias("truth_pos")))
+    return explode_once(x, list(ids), found, "p").select(*ids, "p.pos", "p.heard", "p.truth", *(["p.truth_pos"] if with_truth_place else []))
 
 
 def discover_corrections(mismatches: DataFrame, min_count: int = 3, top: int | None = None, max_similarity: float = 0.8) -> DataFrame:
