@@ -140,7 +140,7 @@ MLABELS = ["payment_promise", "Info Request", "unknown", "bogus label", "refusal
 MODEL = f"ml AS (SELECT call_id, segment_id, {lst(MLABELS)}[(conv_id * 11 + turn * 3) % 7 + 1] AS model_label, CASE WHEN turn % 4 = 0 THEN NULL ELSE ((conv_id * 17 + turn * 29) % 130) / 100e0 END AS model_conf FROM seg WHERE (conv_id + turn) % 3 = 0)"
 _RAW = "replace(lower(trim(model_label, ' ')), ' ', '_')"
 INTENTS = f"""{ROUTED}, {MODEL}, im AS (SELECT rt.*, model_label, model_conf, CASE WHEN {_RAW} IN {inlist(policy.VALID_INTENTS)} THEN {_RAW} WHEN model_label IS NOT NULL THEN 'unknown' END AS vl, {KWI} AS kw, {KWC} AS kc FROM rt LEFT JOIN ml USING (call_id, segment_id) WHERE trim(text, ' ') <> ''),
-intents AS (SELECT call_id, segment_id, speaker, call_type, text, lang, CASE WHEN route = 'skip' THEN CASE WHEN {_CLEAN} IN {inlist([p for _, p in seeds.entries(seeds.GREETINGS_EN)])} THEN 'greeting' ELSE 'acknowledgment' END WHEN vl IS NULL OR (vl = 'unknown' AND kw <> 'unknown') THEN kw ELSE vl END AS intent,
+intents AS (SELECT call_id, segment_id, speaker, call_type, text, lang, CASE WHEN route = 'skip' THEN CASE WHEN lang = 'en' AND {_CLEAN} IN {inlist([p for _, p in seeds.entries(seeds.GREETINGS_EN)])} THEN 'greeting' ELSE 'acknowledgment' END WHEN vl IS NULL OR (vl = 'unknown' AND kw <> 'unknown') THEN kw ELSE vl END AS intent,
  CASE WHEN route = 'skip' THEN 0.9e0 WHEN vl IS NULL OR (vl = 'unknown' AND kw <> 'unknown') THEN kc ELSE greatest(0e0, least(1e0, coalesce(model_conf, 0.7e0))) END AS confidence FROM im)"""
 
 
@@ -149,9 +149,13 @@ def with_sentiment(seg):
                             "score_m": (F.length("text") * 17 + F.col("conv_id") * 7) % 1001})
 
 
-def seg_intents(seg):
-    r = with_sentiment(seg)
-    r = r.withColumn("route", policy.route(F.col("text"), F.col("lang"), F.col("label"), F.col("score_m")))
+def routed(seg, vocabulary):
+    r = policy.phrase_flags(with_sentiment(seg), vocabulary)
+    return r.withColumn("route", policy.route(F.col("text"), F.col("lang"), F.col("label"), F.col("score_m"), F.col("is_trivial"), F.col("lang_known")))
+
+
+def seg_intents(seg, vocabulary=None):
+    r = routed(seg, vocab.seed_vocab(seg.sparkSession) if vocabulary is None else vocabulary)
     ml = seg.where((F.col("conv_id") + F.col("turn")) % 3 == 0).select(
         "call_id", "segment_id", pick((F.col("conv_id") * 11 + F.col("turn") * 3) % 7, MLABELS).alias("model_label"),
         F.when(F.col("turn") % 4 != 0, ((F.col("conv_id") * 17 + F.col("turn") * 29) % 130) / 100).alias("model_conf"))
@@ -166,8 +170,32 @@ def x12(spark, sf):
 
 @query("X13_routing", f"WITH {SEG}, {ROUTED} SELECT conv_id, turn, route FROM rt")
 def x13(spark, sf):
-    r = with_sentiment(raw_turns(spark, sf))
-    return r.select("conv_id", "turn", policy.route(F.col("text"), F.col("lang"), F.col("label"), F.col("score_m")).alias("route"))
+    return routed(raw_turns(spark, sf), vocab.seed_vocab(spark)).select("conv_id", "turn", "route")
+
+
+# A vocabulary as it stands in files: two languages of the turns, none for Tamil.
+FILES = {
+    "en": {"trivial_phrases": [p for _, p in seeds.entries(seeds.TRIVIAL_EN)], "greetings": [p for _, p in seeds.entries(seeds.GREETINGS_EN)]},
+    "hi": {"trivial_phrases": ["हाँ", "ठीक है", "नमस्ते"], "greetings": ["नमस्ते"]},
+}
+SAID = ["नमस्ते.", "हाँ", "ठीक है", "बिल्कुल सही", "Hello"]
+SHORTSEG = f"seg AS (SELECT * REPLACE (CASE WHEN (conv_id + turn) % 4 = 0 THEN {lst(SAID)}[(conv_id + turn * 3) % 5 + 1] ELSE text END AS text) FROM seg0)"
+SEG0 = SEG.replace("\nseg AS (", "\nseg0 AS (") + ", " + SHORTSEG
+_IN = lambda d: " OR ".join(f"(lang = {q(l)} AND {_CLEAN} IN {inlist(v[d])})" for l, v in FILES.items())
+VROUTE = f"""CASE WHEN nw <= 3 AND ({_IN('trivial_phrases')}) THEN 'skip' WHEN nw <= 2 AND lang NOT IN ('en', 'hi') THEN 'skip'
+ WHEN label = 'negative' AND score_m > 850 THEN 'negative_subset' WHEN label = 'neutral' AND score_m > 900 AND nw <= 5 THEN 'skip' ELSE 'full' END"""
+
+
+def short_turns(spark, sf):
+    t = raw_turns(spark, sf)
+    return t.withColumn("text", F.when((F.col("conv_id") + F.col("turn")) % 4 == 0, pick((F.col("conv_id") + F.col("turn") * 3) % 5, SAID)).otherwise(F.col("text")))
+
+
+@query("X13_vocabulary_routing", f"WITH {SEG0}, {ROUTED.replace(ROUTE, VROUTE)} SELECT conv_id, turn, lang, route, route = 'skip' AND ({_IN('greetings')}) AS greets FROM rt")
+def x13b(spark, sf):
+    """Routing by vocabulary files that the query writes and reads back."""
+    r = routed(short_turns(spark, sf), vocab.round_trip(spark, FILES))
+    return r.select("conv_id", "turn", "lang", "route", ((F.col("route") == "skip") & F.col("is_greeting")).alias("greets"))
 
 
 @query("M7_intent_assembly", f"WITH {SEG}, {INTENTS} SELECT call_id, segment_id, speaker, intent, {hu('confidence', 2)} AS confidence FROM intents")

@@ -5,6 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parleo.catalog.base import *  # noqa: F403
+from parleo.functions.columns import lookup
 from parleo.operators import entities as ent
 from parleo.sources import seeds, vocab
 from parleo.plans.stage import settle
@@ -25,11 +26,33 @@ def _money_parts(src: str, ids: str) -> list[str]:
         sp = p.replace(r"(?<![A-Za-z0-9])", r"\b").replace(r"(?!\d|[-/])", "")
         out.append(f"SELECT {ids}, {n} AS pn, mi, 'payment_amount' AS entity_type, printf('%.2f {cur}', {_num('raw', sp)} * {_mag('raw', sp)}) AS value, trim(raw) AS raw_text, 0.95e0 AS confidence FROM (SELECT {ids}, unnest(regexp_extract_all(text, {q(sp)})) AS raw, generate_subscripts(regexp_extract_all(text, {q(sp)}), 1) AS mi FROM {src})")
     n = 3
-    for code, ws in [("hi", ent.WORD_MONEY["hi"]), ("en", ent.WORD_MONEY["en"])]:
-        for alt, cur, k in ws:
-            p = rf"(?i)(\d+(?:\.\d+)?)\s*(?:{alt})" if k else rf"(?i)(\d{{1,3}}(?:,\d{{2,3}})*)\s*(?:{alt})"
+    for code in ("hi", "ta", "en"):
+        units = seeds.CURRENCY_WORDS[code]
+        for scaled, frame in ((False, ent.PLAIN_MONEY), (True, ent.SCALED_MONEY)):
+            ws = [(w, u) for u, listed in units.items() if (u in ent.UNITS) == scaled for w in listed]
+            p = frame % "|".join(w for w, _ in ws)
+            unit = f"regexp_extract(raw, {q(p)}, 2)"
+            factor = "CASE " + " ".join(f"WHEN lower({unit}) = {q(w)} THEN {int(ent.UNITS[u][1]) if scaled else 1}e0" for w, u in ws) + " END"
+            cur = "CASE " + " ".join(f"WHEN lower({unit}) = {q(w)} THEN {q(ent.UNITS[u][0] if scaled else u)}" for w, u in ws) + " END"
             cond = "" if code == "en" else f" WHERE lang = '{code}'"
-            out.append(f"SELECT {ids}, {n} AS pn, mi, 'payment_amount', printf('%.2f {cur}', {_num('raw', p)} * {k or 1}e0), trim(raw), 0.95e0 FROM (SELECT {ids}, unnest(regexp_extract_all(text, {q(p)})) AS raw, generate_subscripts(regexp_extract_all(text, {q(p)}), 1) AS mi FROM {src}{cond})".replace("100000.0e0", "100000e0").replace("10000000.0e0", "10000000e0").replace("1000.0e0", "1000e0"))
+            out.append(f"SELECT {ids}, {n} AS pn, mi, 'payment_amount', printf('%.2f ', {_num('raw', p)} * {factor}) || {cur}, trim(raw), 0.95e0 FROM (SELECT {ids}, unnest(regexp_extract_all(text, {q(p)})) AS raw, generate_subscripts(regexp_extract_all(text, {q(p)}), 1) AS mi FROM {src}{cond})")
+            n += 1
+    return out
+
+
+def _date_parts(src: str, ids: str, lang: bool) -> list[str]:
+    """RE2 has no look-around: every character beside words is doubled, so that neighbours can each use up one."""
+    edge = r"[^\p{L}\p{M}\p{N}_]"
+    twice = rf"regexp_replace(text, '({edge})', '\1\1', 'g')"
+    out = _pat_parts(src, ids, [(ent.NUMERIC_DATE, "due_date")], 20, "0.9e0")
+    n = 21
+    for code in ("hi", "ta", "en") if lang else ("en",):
+        for k, frame in ent.WORD_DATES.items():
+            core = frame.replace(",?", ",{0,2}") % "|".join(w.replace(" ", r"\s+") for w in seeds.DATE_WORDS[code][ent.DATE_LISTS[k]])
+            p = rf"(?i)(?:^|{edge})({core})(?:$|{edge})"
+            cond = f" WHERE lang = '{code}'" if code != "en" else " WHERE lang NOT IN ('hi', 'ta')" if lang and k not in ("month", "next_day") else ""
+            v = "replace(replace(replace(replace(raw, '  ', ' '), ',,', ','), chr(10) || chr(10), chr(10)), chr(9) || chr(9), chr(9))"
+            out.append(f"SELECT {ids}, {n} AS pn, mi, 'due_date' AS entity_type, {v} AS value, trim({v}) AS raw_text, 0.9e0 AS confidence FROM (SELECT {ids}, unnest(regexp_extract_all({twice}, {q(p)}, 1)) AS raw, generate_subscripts(regexp_extract_all({twice}, {q(p)}, 1), 1) AS mi FROM {src}{cond})")
             n += 1
     return out
 
@@ -48,11 +71,11 @@ def ent_cte(src: str, ids: str, kinds=("money", "date", "id", "term")) -> str:
     if "money" in kinds:
         parts += _money_parts(src, ids)
     if "date" in kinds:
-        parts += _pat_parts(src, ids, [(p, "due_date") for p in ent.DATE_PATTERNS], 20, "0.9e0")
+        parts += _date_parts(src, ids, src.startswith("seg"))
     if "id" in kinds:
-        parts += _pat_parts(src, ids, ent.ID_PATTERNS[:3], 30, "0.9e0")
+        parts += _pat_parts(src, ids, ent.ID_PATTERNS[:3], 40, "0.9e0")
     if "term" in kinds:
-        parts += _pat_parts(src, ids, ent.TERM_PATTERNS, 40, "0.85e0", True)
+        parts += _pat_parts(src, ids, ent.TERM_PATTERNS, 50, "0.85e0", True)
     return f"""eraw AS ({' UNION ALL '.join(parts)}),
 efst AS (SELECT *, row_number() OVER (PARTITION BY {ids}, entity_type, value ORDER BY pn, mi) AS k FROM eraw),
 ents AS (SELECT {ids}, CAST(row_number() OVER (PARTITION BY {ids} ORDER BY pn, mi) - 1 AS BIGINT) AS item, entity_type, value, raw_text, confidence FROM efst WHERE k = 1)"""
@@ -80,6 +103,29 @@ def x4(spark, sf):
     return _shown(ent.entities(spread(load(spark, sf, "documents").select("doc_id", "text")), ["doc_id"], kinds=("date",)), "doc_id")
 
 
+# Every third turn also names amounts and days in the language of its call.
+LOCAL = {"en": "pay 4 lakh or 250 dollars by end of week or on May 5, 2026", "hi": "5 लाख और 250 रुपये कल या मार्च 12 या next friday", "ta": "3 லட்சம் அல்லது 700 ரூபாய் நாளை அல்லது ஜனவரி 9 or jan 4"}
+SEGL = f"segl AS (SELECT * REPLACE (CASE WHEN turn % 3 = 0 THEN text || ' ' || {case('lang', LOCAL)} ELSE text END AS text) FROM seg)"
+
+
+def local_entities(spark, sf, kinds):
+    """Entities by a lexicon made of vocabulary files that are written and read back."""
+    s = segments(spark, sf)
+    s = s.withColumn("text", F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" "), lookup(F.col("lang"), LOCAL))).otherwise(F.col("text")))
+    files = {lang: {"currency_words": [{"words": ws, "currency": u} for u, ws in units.items()], "date_words": seeds.DATE_WORDS[lang]} for lang, units in seeds.CURRENCY_WORDS.items()}
+    return ent.entities(s, SEGIDS.split(", "), F.col("lang"), kinds, ent.lexicon(vocab.round_trip(spark, files)))
+
+
+@query("X3_vocabulary_money", f"WITH {SEG}, {SEGL}, {ent_cte('segl', SEGIDS, ('money',))} SELECT * FROM ents")
+def x3b(spark, sf):
+    return _shown(local_entities(spark, sf, ("money",)), "call_id", "segment_id")
+
+
+@query("X4_vocabulary_dates", f"WITH {SEG}, {SEGL}, {ent_cte('segl', SEGIDS, ('date',))} SELECT * FROM ents")
+def x4b(spark, sf):
+    return _shown(local_entities(spark, sf, ("date",)), "call_id", "segment_id")
+
+
 @query("X5_identifiers", f"WITH {ent_cte('documents', 'doc_id', ('id',))} SELECT * FROM ents")
 def x5(spark, sf):
     return _shown(ent.entities(spread(load(spark, sf, "documents").select("doc_id", "text")), ["doc_id"], kinds=("id",)), "doc_id")

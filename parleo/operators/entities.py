@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parleo.functions.columns import explode_once, half_up, let, words
+from parleo.plans.skew import dim, salted_join
 from parleo.plans.stage import settle
-from parleo.sources import seeds
+from parleo.sources import seeds, vocab
 
 # Currency patterns with the word that scales them.
 SYMBOL_MONEY = [
@@ -24,18 +25,17 @@ SYMBOL_MONEY = [
 ]
 MAGNITUDE = {"million": 1e6, "mn": 1e6, "m": 1e6, "billion": 1e9, "bn": 1e9, "b": 1e9, "thousand": 1e3, "k": 1e3,
              "crore": 1e7, "cr": 1e7, "lakh": 1e5}
-# Currency words (en and hi), with the factor of the unit.
-WORD_MONEY = {
-    "en": [("rupees|rupee|rs", "INR", None), ("dollars|dollar", "USD", None), ("euros|euro", "EUR", None),
-           ("pounds|pound", "GBP", None), ("lakh|lac", "INR", 1e5), ("crore", "INR", 1e7)],
-    "hi": [("रुपये|रुपया|रुपए|रू", "INR", None), ("लाख", "INR", 1e5), ("करोड़", "INR", 1e7), ("हजार", "INR", 1e3)],
-}
-# Date words, identifier and term patterns.
-MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec"
-DAYS = "monday|tuesday|wednesday|thursday|friday|saturday|sunday"
-RELATIVE = "tomorrow|today|yesterday|next week|next month|by end of week|by end of month|by end of day"
-DATE_PATTERNS = [r"\b(\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4})\b", rf"(?i)\b((?:{MONTHS})\s+\d{{1,2}}(?:,?\s*\d{{4}})?)\b",
-                 rf"(?i)\b(next\s+(?:{DAYS}))\b", rf"(?i)\b(this\s+(?:{DAYS}))\b", rf"(?i)\b((?:by\s+)?(?:{RELATIVE}))\b"]
+# Units that scale an amount, with their currency.
+UNITS = {"INR_LAKH": ("INR", 1e5), "INR_CRORE": ("INR", 1e7), "INR_THOUSAND": ("INR", 1e3)}
+# Patterns of a number beside a currency or unit word, and of dates; %s stands for the words of a language.
+PLAIN_MONEY = r"(?i)(\d{1,3}(?:,\d{2,3})*)\s*(%s)"
+SCALED_MONEY = r"(?i)(\d+(?:\.\d+)?)\s*(%s)"
+NUMERIC_DATE = r"\b(\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4})\b"
+WORD_DATES = {"month": r"(?:%s)\s+\d{1,2}(?:,?\s*\d{4})?", "next_day": r"next\s+(?:%s)", "this_day": r"this\s+(?:%s)", "relative": r"(?:by\s+)?(?:%s)"}
+DATE_LISTS = {"month": "months", "next_day": "days", "this_day": "days", "relative": "relative"}
+#: A date word stands alone: no letter, mark, digit or underscore beside it, in any script.
+ALONE = r"(?i)(?<![\p{L}\p{M}\p{N}_])(%s)(?![\p{L}\p{M}\p{N}_])"
+# Identifier and term patterns.
 ID_PATTERNS = [(r"\b(\d{10,16})\b", "account_number"), (r"(?i)\b([A-Z]{5}\d{4}[A-Z])\b", "pan_number"),
                (r"(?i)\b([A-Z]{4}0\d{6})\b", "ifsc_code"),
                (r"(?i)(?:ref(?:erence)?|ticket|case|complaint)\s*(?:#|no\.?|number)?\s*:?\s*([A-Z0-9\-]{6,20}(?=[A-Z])(?=.*\d))", "reference_number")]
@@ -54,32 +54,73 @@ def _found(text: Column, pattern: str, make) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), make)
 
 
-def money_items(text: Column, lang: Column) -> Column:
-    """Amounts by symbol and by word; lakh and crore scale every match."""
+LEXICON = ["plain", "scaled", *WORD_DATES]
+
+
+def lexicon(vocabulary: DataFrame) -> DataFrame:
+    """One row per language: patterns made of its currency and date words (null where it has none) and its words with their units.
+
+    Any vocabulary table will do; what is listed per language is a dictionary, not data.
+    """
+    word = F.regexp_replace(F.regexp_replace(F.lower("phrase"), r"([\\.\[\]{}()*+?^$|])", r"\\$1"), " ", r"\\s+")
+    v = vocabulary.where(F.col("domain").isin("currency", "date") & (F.trim("phrase") != "")).withColumn("_w", word)
+    money, scaled = F.col("domain") == "currency", F.col("category").isin(*UNITS)
+
+    def words_of(cond: Column) -> Column:
+        listed = F.array_sort(F.collect_list(F.when(cond, F.struct("rank", "_w"))))
+        return F.nullif(F.array_join(F.transform(listed, lambda x: x["_w"]), "|"), F.lit(""))
+
+    units = F.array_sort(F.collect_list(F.when(money, F.struct("rank", F.lower("phrase").alias("word"), F.col("category").alias("unit")))))
+    lists = {"plain": words_of(money & ~scaled), "scaled": words_of(money & scaled)} | {k: words_of((F.col("domain") == "date") & (F.col("category") == c)) for k, c in DATE_LISTS.items()}
+    frames = {"plain": PLAIN_MONEY, "scaled": SCALED_MONEY} | {k: ALONE % p for k, p in WORD_DATES.items()}
+
+    def framed(k: str) -> Column:
+        head, tail = frames[k].split("%s")
+        return F.concat(F.lit(head), F.col(k), F.lit(tail))
+    return v.groupBy("lang").agg(units.alias("units"), *[c.alias(k) for k, c in lists.items()]).select("lang", "units", *[framed(k).alias(k) for k in lists])
+
+
+def with_lexicon(rows: DataFrame, lang: Column, lex: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """Rows with the patterns of their language, and those of English, which apply to every language.
+
+    The table has one row per language; it is broadcast after it was counted to be small.
+    """
+    own, small = dim(lex.where("lang <> 'en'").select(F.col("lang").alias("_lang"), F.struct("units", *LEXICON).alias("_own")))
+    x = rows.withColumn("_lang", lang)
+    x = x.join(own, "_lang", "left") if small else salted_join(x, own, ["_lang"], rows.columns, how="left")
+    english = lex.where("lang = 'en'").groupBy().agg(F.first(F.struct("units", *LEXICON)).alias("s")).scalar()
+    return x.withColumn("_en", english), F.col("_own"), F.col("_en")
+
+
+def money_items(text: Column, own: Column, english: Column) -> Column:
+    """Amounts by symbol, then by the words of the turn's language, then by English ones; units scale every match."""
     def number(raw: Column, p: str) -> Column:
         return F.regexp_replace(F.regexp_extract(raw, p, 1), ",", "").cast("double")
 
-    def shown(v: Column, cur: str) -> Column:
+    def shown(v: Column, cur: Column) -> Column:
         # beyond 2^53 the formatter would pad the shortest digits with zeros; split the double exactly instead
         high = F.floor(v / float(1 << 40))
         exact = high.cast("decimal(20,0)") * F.lit(1 << 40).cast("decimal(15,0)") + (v - high * float(1 << 40)).cast("decimal(20,0)")
-        return F.when(v < 1e15, F.format_string("%.2f %s", v, F.lit(cur))).otherwise(
-            F.concat(exact.cast("string"), F.lit(f".00 {cur}")))
+        return F.when(v < 1e15, F.format_string("%.2f %s", v, cur)).otherwise(F.concat(exact.cast("string"), F.lit(".00 "), cur))
 
     def symbol(p: str, cur: str) -> Column:
         def make(raw):
             mag = F.lower(F.regexp_extract(raw, p, 2))
             k = reduce(lambda e, m: e.when(mag == m[0], m[1]), list(MAGNITUDE.items())[1:], F.when(mag == "million", 1e6)).otherwise(1.0)
-            return _item("payment_amount", shown(number(raw, p) * k, cur), raw, 0.95)
+            return _item("payment_amount", shown(number(raw, p) * k, F.lit(cur)), raw, 0.95)
         return _found(text, p, make)
 
-    def word(alt: str, cur: str, factor: float | None) -> Column:
-        p = rf"(?i)(\d+(?:\.\d+)?)\s*(?:{alt})" if factor else rf"(?i)(\d{{1,3}}(?:,\d{{2,3}})*)\s*(?:{alt})"
-        return _found(text, p, lambda raw: _item("payment_amount", shown(number(raw, p) * (factor or 1.0), cur), raw, 0.95))
-
-    english = [word(*w) for w in WORD_MONEY["en"]]
-    own = [F.when(lang == code, word(*w)) for code, ws in WORD_MONEY.items() if code != "en" for w in ws]
-    parts = [symbol(*s) for s in SYMBOL_MONEY] + own + english
+    def worded(lex: Column, k: str) -> Column:
+        def make(raw):
+            said = F.lower(F.regexp_replace(F.regexp_replace(raw, r"^[0-9.,]+\s*", ""), r"\s+", " "))
+            unit = F.get(F.filter(lex["units"], lambda u: u["word"] == said), F.lit(0))["unit"]
+            factor = reduce(lambda e, u: e.when(unit == u[0], u[1][1]), UNITS.items(), F.when(F.lit(False), 1.0)).otherwise(1.0)
+            currency = reduce(lambda e, u: e.when(unit == u[0], u[1][0]), UNITS.items(), F.when(F.lit(False), "")).otherwise(unit)
+            amount = F.regexp_replace(F.regexp_extract(raw, r"^[0-9.,]+", 0), ",", "").cast("double")
+            return _item("payment_amount", shown(amount * factor, currency), raw, 0.95)
+        return F.transform(F.regexp_extract_all(text, lex[k], F.lit(0)), make)
+
+    parts = [symbol(*s) for s in SYMBOL_MONEY] + [worded(x, k) for x in (own, english) for k in ("plain", "scaled")]
     return F.flatten(F.array_compact(F.array(*parts)))
 
 
@@ -92,14 +133,21 @@ def _by_pattern(text: Column, patterns, conf: float, strip: bool = False) -> Col
     return F.flatten(F.array(*[one(p, t) for p, t in patterns]))
 
 
-def date_items(text: Column) -> Column:
-    return _by_pattern(text, [(p, "due_date") for p in DATE_PATTERNS], 0.90)
+def date_items(text: Column, own: Column, english: Column) -> Column:
+    """Numeric dates, then by the words of the turn's language; of English ones beside another language only months and next days."""
+    def worded(p: Column) -> Column:
+        return F.transform(F.regexp_extract_all(text, p, F.lit(1)), lambda v: _item("due_date", v, v, 0.90))
+
+    own_parts = [worded(own[k]) for k in WORD_DATES]
+    en_parts = [worded(english[k]) if k in ("month", "next_day") else F.when(own.isNull(), worded(english[k])) for k in WORD_DATES]
+    return F.flatten(F.array_compact(F.array(_by_pattern(text, [(NUMERIC_DATE, "due_date")], 0.90), *own_parts, *en_parts)))
 
 
 def reference_items(text: Column) -> Column:
-    """Reference numbers need context around the match, so the whole text is searched once more for group 1."""
+    """Reference numbers; the pattern looks beyond its match, so the whole text is searched for match and number alike."""
     p, t = ID_PATTERNS[3]
-    return F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda v: _item(t, v, v, 0.90))
+    numbers = F.regexp_extract_all(text, F.lit(p), F.lit(1))
+    return F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda m, i: _item(t, F.get(numbers, i), m, 0.90))
 
 
 def id_items(text: Column) -> Column:
@@ -118,17 +166,19 @@ def keep_first(items: Column, *fields: str) -> Column:
     return F.filter(items, lambda s, i: F.array_position(keys, key(s)) == i + 1)
 
 
-def entities(rows: DataFrame, ids: Sequence[str], lang: Column | None = None, kinds: Sequence[str] = ("money", "date", "id", "term")) -> DataFrame:
+def entities(rows: DataFrame, ids: Sequence[str], lang: Column | None = None, kinds: Sequence[str] = ("money", "date", "id", "term"), lex: DataFrame | None = None) -> DataFrame:
     """Pattern entities of each text, first occurrence of a (type, value) only.
 
-    Texts without a digit skip every pattern that needs one.
+    ``lex`` is the ``lexicon`` of a vocabulary table, the built-in one by
+    default.  Texts without a digit skip every pattern that needs one.
     """
     t = F.coalesce("text", F.lit(""))
-    lg = lang if lang is not None else F.lit("en")
+    lex = lexicon(vocab.seed_vocab(rows.sparkSession)) if lex is None else lex
+    rows, own, english = with_lexicon(rows, lang if lang is not None else F.lit("en"), lex) if {"money", "date"} & set(kinds) else (rows, F.lit(None), F.lit(None))
     empty = F.array().cast("array<struct<entity_type:string,value:string,raw_text:string,confidence:double>>")
     digit = t.rlike("[0-9]")
-    parts = {"money": F.when(digit, money_items(t, lg)), "date": date_items(t), "id": F.when(digit, id_items(t)), "term": F.when(digit, term_items(t))}
-    both = F.concat(*[F.coalesce(parts[k], empty) for k in kinds])
+    parts = {"money": (lambda: F.when(digit, money_items(t, own, english))), "date": (lambda: date_items(t, own, english)), "id": (lambda: F.when(digit, id_items(t))), "term": (lambda: F.when(digit, term_items(t)))}
+    both = F.concat(*[F.coalesce(parts[k](), empty) for k in kinds])
     found = let(both, lambda items: keep_first(items, "entity_type", "value"))
     return explode_once(rows, ids, found, "e", "item").select(*ids, "item", "e.entity_type", "e.value", "e.raw_text", "e.confidence")
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from parleo.functions.columns import any_contains, let, n_words
 from parleo.operators.turns import is_agent
+from parleo.plans.skew import dim, salted_join
 from parleo.sources import seeds
 
 VALID_INTENTS = ["agreement", "refusal", "request_extension", "payment_promise", "complaint", "consent_given", "consent_denied", "info_request",
@@ -79,21 +80,43 @@ def keyword_intent(text: Column, call_type: Column) -> Column:
     return let(F.lower(F.trim(text)), first_hit)
 
 
-def route(text: Column, lang: Column, label: Column, score_m: Column) -> Column:
-    """skip, negative_subset or full: which turns need the expensive model."""
+def short_form(text: Column) -> Column:
+    """A turn as it stands in the phrase lists: lower case, without blanks around and full stops at the end."""
+    return F.rtrim(F.regexp_replace(F.lower(F.trim(text)), r"\.+$", ""))
+
+
+def phrase_flags(turns: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``is_trivial`` and ``is_greeting``: whether the whole turn is such a phrase of its language; ``lang_known``: whether the language lists any trivial phrase."""
+    v = vocabulary.where(F.col("domain").isin("trivial", "greeting"))
+    listed = v.groupBy(F.col("lang").alias("_l"), F.lower(F.trim("phrase")).alias("_p")).agg(
+        F.bool_or(F.col("domain") == "trivial").alias("is_trivial"), F.bool_or(F.col("domain") == "greeting").alias("is_greeting"))
+    known = v.where("domain = 'trivial'").select(F.col("lang").alias("_l"), F.lit(True).alias("lang_known")).distinct()
+    x = turns.withColumns({"_l": F.col("lang"), "_p": short_form(F.col("text"))})
+    for side, on in ((listed, ["_l", "_p"]), (known, ["_l"])):
+        d, small = dim(side)
+        x = x.join(d, on, "left") if small else salted_join(x, d, on, [c for c in turns.columns], how="left")
+    return x.drop("_l", "_p").fillna(False, ["is_trivial", "is_greeting", "lang_known"])
+
+
+def route(text: Column, lang: Column, label: Column, score_m: Column, trivial: Column | None = None, known: Column | None = None) -> Column:
+    """skip, negative_subset or full: which turns need the expensive model.
+
+    ``trivial`` and ``known`` come from ``phrase_flags``; without them the English list counts.
+    """
     n = n_words(text)
-    clean = F.rtrim(F.regexp_replace(F.lower(F.trim(text)), r"\.+$", ""))
-    trivial = clean.isin(*[p for _, p in seeds.entries(seeds.TRIVIAL_EN)])
-    known = lang == "en"
+    trivial = short_form(text).isin(*[p for _, p in seeds.entries(seeds.TRIVIAL_EN)]) & (lang == "en") if trivial is None else trivial
+    known = lang == "en" if known is None else known | (lang == "en")
     return (F.when((n <= 3) & known & trivial, "skip").when((n <= 2) & ~known, "skip")
             .when((label == "negative") & (score_m > 850), "negative_subset")
             .when((label == "neutral") & (score_m > 900) & (n <= 5), "skip").otherwise("full"))
 
 
 def assemble_intents(turns: DataFrame, labels: DataFrame) -> DataFrame:
-    """Routed-away turns by phrase list, valid model labels as they are, everything else by keywords."""
-    clean = F.regexp_replace(F.lower(F.trim("text")), r"\.+$", "")
-    greet = clean.isin(*[p for _, p in seeds.entries(seeds.GREETINGS_EN)])
+    """Routed-away turns by phrase list, valid model labels as they are, everything else by keywords.
+
+    Greetings are those of ``phrase_flags`` where the turns carry them, else the English list.
+    """
+    greet = F.col("is_greeting") if "is_greeting" in turns.columns else short_form(F.col("text")).isin(*[p for _, p in seeds.entries(seeds.GREETINGS_EN)])
     j = turns.where(F.trim("text") != "").join(labels, ["call_id", "segment_id"], "left")
     raw = F.regexp_replace(F.lower(F.trim("model_label")), " ", "_")
     valid = F.when(raw.isin(*VALID_INTENTS), raw).when(raw.isNotNull(), "unknown")

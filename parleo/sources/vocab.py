@@ -1,6 +1,7 @@
 """Vocabulary as a long table: lang, domain, call_type, category, phrase, regulation, rank."""
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parleo.sources import seeds
+from parleo.sources.sinks import work_path
 
 INDICATORS = "fraud_indicators"  # this file of the folder holds no language
 VOCAB = T.StructType([
@@ -34,6 +36,10 @@ def seed_rows() -> list[tuple]:
     add("en", "call_type", seeds.CALL_TYPE_SIGNALS)
     add("en", "trivial", seeds.TRIVIAL_EN)
     add("en", "greeting", seeds.GREETINGS_EN)
+    for lang, units in seeds.CURRENCY_WORDS.items():
+        add(lang, "currency", units)
+    for lang, kinds in seeds.DATE_WORDS.items():
+        add(lang, "date", kinds)
     return rows
 
 
@@ -100,7 +106,10 @@ def read_vocab_json(spark: SparkSession, path: str, by_folder: bool = False) ->
         """lang, category, list -> rows."""
         return of.select("lang", F.lit(domain).alias("domain"), none.alias("call_type"), "category", F.posexplode("ps").alias("rank", "phrase"), none.alias("regulation"))
 
-    money = listed(raw.select("lang", F.explode("currency_words").alias("c")).select("lang", F.col("c.currency").alias("category"), F.col("c.words").alias("ps")), "currency")
+    # the order of the currencies counts too: it is the upper part of the rank
+    money = raw.select("lang", F.posexplode("currency_words").alias("at", "c")).select(
+        "lang", F.lit("currency").alias("domain"), none.alias("call_type"), F.col("c.currency").alias("category"), "at", F.posexplode("c.words").alias("rank", "phrase"), none.alias("regulation"))
+    money = money.withColumn("rank", F.col("at") * 1000 + F.col("rank")).drop("at")
     dates = listed(raw.select("lang", F.explode("date_words").alias("category", "ps")), "date")
     terms = listed(raw.select("lang", F.lit("acronym").alias("category"), F.col("financial_terms.acronyms").alias("ps")), "acronym")
     heard = raw.select("lang", F.explode("financial_terms.corrections").alias("phrase", "category")).select(
@@ -110,6 +119,14 @@ def read_vocab_json(spark: SparkSession, path: str, by_folder: bool = False) ->
     return reduce(DataFrame.unionByName, parts).select(*[f.name for f in VOCAB.fields])
 
 
+def round_trip(spark: SparkSession, files: dict[str, dict]) -> DataFrame:
+    """Write one vocabulary file per language in the layout of ``read_vocab_json`` and read them back."""
+    path = work_path(spark, "vocabulary")
+    rows = local_table(spark, [(lang, json.dumps(body, ensure_ascii=False)) for lang, body in files.items()], "lang string, value string")
+    rows.write.partitionBy("lang").text(path)
+    return read_vocab_json(spark, path, by_folder=True)
+
+
 def read_indicators_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Scam indicator file: ``category -> phrases`` for any categories, plus ``scam_type_keywords: type -> phrases``."""
     text = spark.read.text(path, wholetext=multi_line)
