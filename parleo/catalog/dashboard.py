@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from parleo.catalog.affect import EVINT, INTENTS, seg_intents
 from parleo.catalog.base import *  # noqa: F403
 from parleo.catalog.conduct import A49, ALLCHECKS
-from parleo.catalog.entities import ENTS, KS, KSV, LAYERS, NOISE, layers
+from parleo.catalog.entities import ENTS, KS, KSV, LAYERS, NOISE, OBL, SEGOB, layers, pii_cte, promising
 from parleo.functions.columns import half_up, n_words, pick
 from parleo.operators import compliance as comp
 from parleo.operators import entities as ent
 from parleo.operators import fraud, policy, rollup
+from parleo.operators import obligations as obl
 from parleo.plans.skew import exact_quantile, salted_join
 from parleo.plans.stage import settle
 from parleo.sources import seeds, tables, vocab
@@ -24,6 +25,10 @@ sc1 AS (SELECT *, CASE WHEN (has_critical AND w >= 1) OR n_violations * w >= 3 O
  CAST(greatest(0, 100 - n_violations * floor(15 * w)) AS BIGINT) AS compliance_score FROM sc0),
 scored AS (SELECT *, CASE WHEN risk = 'critical' THEN 1 WHEN risk = 'high' THEN 2 WHEN n_fraud > 0 OR n_violations > 0 THEN 3 ELSE 5 END AS review_priority, risk IN ('high', 'critical') AS requires_review FROM sc1)"""
 
+# Turns with promises in them under the name that the other fragments read.
+PSEG = SEG.replace("seg AS (", "seg0 AS (") + ", " + SEGOB.replace("segob AS", "seg AS").replace("FROM seg)", "FROM seg0)")
+POBL = OBL.replace(SEGOB, "segob AS (SELECT * FROM seg)")
+
 
 def scored(spark, sf):
     return rollup.score_calls(calls(spark, sf), checks(spark, sf))
@@ -342,13 +347,14 @@ def a46(spark, sf):
 
 
 # ---- reports and digests ---------------------------------------------------------------------------------
-@query("P5_entities_report", f"WITH {SEG}, {ENTS} SELECT call_id, 'financial' AS source, entity_type, value, count(*) AS n FROM ents GROUP BY ALL UNION ALL SELECT call_id, 'pii', 'IN_PAN', text, count(*) FROM (SELECT call_id, unnest(list_distinct(regexp_extract_all(text, '\\b[A-Z]{{5}}[0-9]{{4}}[A-Z]\\b'))) AS text FROM seg) GROUP BY ALL UNION ALL SELECT call_id, 'obligation', 'promise', 'i will pay', count(*) FROM seg WHERE contains(lower(text), 'i will pay') GROUP BY ALL")
+@query("P5_entities_report", f"WITH {SEG}, {OBL}, {pii_cte('segob', 'call_id, segment_id')} SELECT call_id, 'financial' AS source, entity_type, value, count(*) AS n FROM ents GROUP BY ALL UNION ALL SELECT call_id, 'pii', entity_type, masked_text, count(*) FROM pii GROUP BY ALL UNION ALL SELECT call_id, 'obligation', obligation_type, strength || coalesce(' ' || amount_raw, '') || coalesce(' by ' || date_referenced, ''), count(*) FROM obls GROUP BY ALL")
 def p5(spark, sf):
-    seg = settle(segments(spark, sf))
+    seg = settle(promising(segments(spark, sf)))
     fin = ent.entities(seg, ["call_id", "segment_id"], F.col("lang")).select("call_id", F.lit("financial").alias("source"), "entity_type", "value")
-    pan = seg.select("call_id", F.lit("pii").alias("source"), F.lit("IN_PAN").alias("entity_type"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[A-Z]{5}[0-9]{4}[A-Z]\b"), F.lit(0)))).alias("value"))
-    ob = seg.where(F.contains(F.lower("text"), F.lit("i will pay"))).select("call_id", F.lit("obligation").alias("source"), F.lit("promise").alias("entity_type"), F.lit("i will pay").alias("value"))
-    return fin.unionByName(pan).unionByName(ob).groupBy("call_id", "source", "entity_type", "value").agg(F.count(F.lit(1)).alias("n"))
+    pii = ent.pii(seg, ["call_id", "segment_id"]).select("call_id", F.lit("pii").alias("source"), "entity_type", F.col("masked_text").alias("value"))
+    said = F.concat("strength", F.coalesce(F.concat(F.lit(" "), F.col("amount.raw_text")), F.lit("")), F.coalesce(F.concat(F.lit(" by "), "date_referenced"), F.lit("")))
+    ob = obl.obligations(seg, F.col("lang")).select("call_id", F.lit("obligation").alias("source"), F.col("obligation_type").alias("entity_type"), said.alias("value"))
+    return fin.unionByName(pii).unionByName(ob).groupBy("call_id", "source", "entity_type", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("P6_compliance_report", f"WITH {SEG}, {ALLCHECKS}, {A49}, v AS (SELECT call_id, count(*) AS n_checks, count(*) FILTER (WHERE NOT passed) AS n_failed FROM allc GROUP BY 1), f AS (SELECT call_id, count(*) AS n_fraud, string_agg(signal_type, ',' ORDER BY signal_type) AS signals FROM f49 GROUP BY 1) SELECT call_id, coalesce(n_checks, 0) AS n_checks, coalesce(n_failed, 0) AS n_failed, coalesce(n_fraud, 0) AS n_fraud, coalesce(signals, '') AS signals FROM (SELECT DISTINCT call_id FROM seg) LEFT JOIN v USING (call_id) LEFT JOIN f USING (call_id)")
@@ -359,19 +365,62 @@ def p6(spark, sf):
     return seg.select("call_id").distinct().join(v, "call_id", "left").join(f, "call_id", "left").fillna(0, ["n_checks", "n_failed", "n_fraud"]).fillna("", ["signals"])
 
 
-@query("P11_audit_summary", f"WITH {SEG}, {ALLCHECKS} SELECT call_id, check_name, severity, regulation, count(*) AS n FROM allc WHERE NOT passed GROUP BY ALL")
+@query("P11_audit_summary", f"WITH {PSEG}, {ALLCHECKS}, {POBL} SELECT call_id, 'violation' AS kind, check_name AS name, severity, regulation AS detail, count(*) AS n FROM allc WHERE NOT passed GROUP BY ALL UNION ALL SELECT call_id, 'obligation', obligation_type, strength, coalesce(amount_raw, ''), count(*) FROM obls WHERE legally_significant GROUP BY ALL")
 def p11(spark, sf):
-    c = comp.all_checks(settle(segments(spark, sf)), vocab.seed_vocab(spark))
-    return c.where(~F.col("passed")).groupBy("call_id", "check_name", "severity", "regulation").agg(F.count(F.lit(1)).alias("n"))
+    """Failed checks and legally significant obligations of each call."""
+    seg = settle(promising(segments(spark, sf)))
+    c = comp.all_checks(seg, vocab.seed_vocab(spark)).where(~F.col("passed")).select("call_id", F.lit("violation").alias("kind"), F.col("check_name").alias("name"), "severity", F.col("regulation").alias("detail"))
+    o = obl.obligations(seg, F.col("lang")).where("legally_significant").select(
+        "call_id", F.lit("obligation").alias("kind"), F.col("obligation_type").alias("name"), F.col("strength").alias("severity"), F.coalesce("amount.raw_text", F.lit("")).alias("detail"))
+    return c.unionByName(o).groupBy("call_id", "kind", "name", "severity", "detail").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("P12_utterance_document", f"WITH {SEG}, {INTENTS}, {ENTS}, e AS (SELECT call_id, segment_id, string_agg(entity_type || '=' || value, '; ' ORDER BY item) AS entities FROM ents GROUP BY 1, 2) SELECT i.call_id, i.segment_id, text, speaker AS speaker_role, intent, coalesce(entities, '') AS entities FROM intents i LEFT JOIN e USING (call_id, segment_id)")
+@query("P12_utterance_document", f"WITH {PSEG}, {INTENTS}, {POBL}, e AS (SELECT call_id, segment_id, string_agg(entity_type || '=' || value, '; ' ORDER BY item) AS entities FROM ents GROUP BY 1, 2), o AS (SELECT call_id, segment_id, string_agg(obligation_type || ' [' || strength || ']' || coalesce(' ' || amount_raw, ''), '; ' ORDER BY item) AS obligations FROM obls GROUP BY 1, 2) SELECT i.call_id, i.segment_id, text, speaker AS speaker_role, intent, {hu('confidence', 2)} AS intent_confidence, coalesce(entities, '') AS entities, coalesce(obligations, '') AS obligations FROM intents i LEFT JOIN e USING (call_id, segment_id) LEFT JOIN o USING (call_id, segment_id)")
 def p12(spark, sf):
-    seg = settle(segments(spark, sf))
-    e = ent.entities(seg, ["call_id", "segment_id"], F.col("lang")).groupBy("call_id", "segment_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item", "entity_type", "value"))), lambda x: F.concat(x["entity_type"], F.lit("="), x["value"])), "; ").alias("entities"))
-    i = seg_intents(seg).select("call_id", "segment_id", "text", F.col("speaker").alias("speaker_role"), "intent")
-    return i.join(e, ["call_id", "segment_id"], "left").fillna("", ["entities"])
+    seg = settle(promising(segments(spark, sf)))
+
+    def listed(rows, shown, name):
+        items = F.sort_array(F.collect_list(F.struct("item", shown.alias("shown"))))  # those of one turn
+        return rows.groupBy("call_id", "segment_id").agg(F.array_join(F.transform(items, lambda x: x["shown"]), "; ").alias(name))
+
+    e = listed(ent.entities(seg, ["call_id", "segment_id"], F.col("lang")), F.concat("entity_type", F.lit("="), "value"), "entities")
+    o = listed(obl.obligations(seg, F.col("lang")), F.concat("obligation_type", F.lit(" ["), "strength", F.lit("]"), F.coalesce(F.concat(F.lit(" "), F.col("amount.raw_text")), F.lit(""))), "obligations")
+    i = seg_intents(seg).select("call_id", "segment_id", "text", F.col("speaker").alias("speaker_role"), "intent", half_up(F.col("confidence"), 2).alias("intent_confidence"))
+    return i.join(e, ["call_id", "segment_id"], "left").join(o, ["call_id", "segment_id"], "left").fillna("", ["entities", "obligations"])
+
+
+CDIG = f"""{PSEG}, {ALLCHECKS}, {A49}, {INTENTS}, {POBL},
+vs AS (SELECT call_id, 'VIOLATIONS (' || CAST(sum(n) AS BIGINT) || '): ' || string_agg(check_name || ' [' || severity || '] x' || n, '; ' ORDER BY check_name, severity) AS t FROM (SELECT call_id, check_name, severity, count(*) AS n FROM allc WHERE NOT passed GROUP BY ALL) GROUP BY 1),
+os AS (SELECT call_id, 'OBLIGATIONS (' || CAST(sum(n) AS BIGINT) || '): ' || string_agg(k || ' x' || n, '; ' ORDER BY k) AS t FROM (SELECT call_id, speaker || ': ' || obligation_type || ' [' || strength || ']' AS k, count(*) AS n FROM obls GROUP BY ALL) GROUP BY 1),
+es AS (SELECT call_id, 'ENTITIES: ' || string_agg(entity_type || '=' || value, ', ' ORDER BY segment_id, item) AS t FROM (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY segment_id, item) AS k FROM ents) WHERE k <= 10 GROUP BY 1),
+fs AS (SELECT call_id, 'FRAUD SIGNALS: ' || string_agg(signal_type || ' (conf=' || printf('%.2f', confidence) || ')', '; ' ORDER BY signal_type) AS t FROM f49 GROUP BY 1),
+ins AS (SELECT call_id, 'INTENTS: ' || string_agg(intent || ' x' || n, ', ' ORDER BY intent) AS t FROM (SELECT call_id, intent, count(*) AS n FROM intents GROUP BY ALL) GROUP BY 1),
+h AS (SELECT call_id, min(call_type) AS call_type, min(lang) AS lang, max(end_ds) // 10 AS secs FROM seg GROUP BY 1)"""
+
+
+@query("X18_call_digest", f"WITH {CDIG} SELECT call_id, concat_ws(chr(10), 'CALL RECORD — ID: ' || call_id, 'Type: ' || call_type, 'Duration: ' || secs || 's', 'Language: ' || lang, vs.t, os.t, es.t, fs.t, ins.t) AS digest FROM h LEFT JOIN vs USING (call_id) LEFT JOIN os USING (call_id) LEFT JOIN es USING (call_id) LEFT JOIN fs USING (call_id) LEFT JOIN ins USING (call_id)")
+def x18b(spark, sf):
+    """Digest of a call from its children; repeated ones show once with their number, so a digest stays short."""
+    seg = settle(promising(segments(spark, sf)))
+
+    def counted(rows, shown, head, sep, total=True):
+        n = rows.groupBy("call_id", shown.alias("k")).agg(F.count(F.lit(1)).alias("n"))
+        g = n.groupBy("call_id").agg(F.sum("n").alias("all"), F.array_sort(F.collect_list(F.struct("k", "n"))).alias("l"))
+        start = F.concat(F.lit(f"{head} ("), F.col("all").cast("string"), F.lit("): ")) if total else F.lit(f"{head}: ")
+        return g.select("call_id", F.concat(start, F.array_join(F.transform("l", lambda x: F.concat(x["k"], F.lit(" x"), x["n"].cast("string"))), sep)).alias(head))
+
+    v = counted(comp.all_checks(seg, vocab.seed_vocab(spark)).where(~F.col("passed")), F.concat("check_name", F.lit(" ["), "severity", F.lit("]")), "VIOLATIONS", "; ")
+    o = counted(obl.obligations(seg, F.col("lang")), F.concat("speaker", F.lit(": "), "obligation_type", F.lit(" ["), "strength", F.lit("]")), "OBLIGATIONS", "; ")
+    i = counted(seg_intents(seg), F.col("intent"), "INTENTS", ", ", total=False)
+    w = Window.partitionBy("call_id").orderBy("segment_id", "item")
+    first = ent.entities(seg, ["call_id", "segment_id"], F.col("lang")).withColumn("k", F.row_number().over(w)).where("k <= 10")
+    e = first.groupBy("call_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.concat("entity_type", F.lit("="), "value").alias("s")))), lambda x: x["s"]), ", ").alias("s"))
+    f = fraud.scam_signals(seg).groupBy("call_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("signal_type", F.lit(" (conf="), F.format_string("%.2f", "confidence"), F.lit(")")))), "; ").alias("f"))
+    h = seg.groupBy("call_id").agg(F.min("call_type").alias("call_type"), F.min("lang").alias("lang"), F.floor(F.max("end_ds") / 10).alias("secs"))
+    for d in (v, o, e, f, i):
+        h = h.join(d, "call_id", "left")
+    return h.select("call_id", F.concat_ws("\n", F.concat(F.lit("CALL RECORD — ID: "), F.col("call_id").cast("string")), F.concat(F.lit("Type: "), "call_type"), F.concat(F.lit("Duration: "), F.col("secs").cast("string"), F.lit("s")),
+                                           F.concat(F.lit("Language: "), "lang"), "VIOLATIONS", "OBLIGATIONS", F.concat(F.lit("ENTITIES: "), "s"), F.concat(F.lit("FRAUD SIGNALS: "), "f"), "INTENTS").alias("digest"))
 
 
 @query("X18_record_digest", f"""WITH {SCORED}, b AS (SELECT call_id, check_name, severity, count(*) AS n FROM checks WHERE NOT passed GROUP BY 1, 2, 3), v AS (SELECT call_id, sum(n) AS nv, string_agg(check_name || ' [' || severity || '] x' || n, '; ' ORDER BY check_name, severity) AS vs FROM b GROUP BY 1)

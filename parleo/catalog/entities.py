@@ -5,8 +5,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parleo.catalog.base import *  # noqa: F403
-from parleo.functions.columns import lookup
+from parleo.functions.columns import lookup, pick
 from parleo.operators import entities as ent
+from parleo.operators import obligations as obl
 from parleo.sources import seeds, vocab
 from parleo.plans.stage import settle
 from parleo.sources.tables import load, raw_turns, segments, spread
@@ -141,6 +142,47 @@ def w19(spark, sf):
     return _shown(seg_entities(spark, sf), "call_id", "segment_id")
 
 
+# ---- obligations -------------------------------------------------------------------------
+# Every fifth turn also says one of these.
+PROMISES = ["I will pay Rs 2,500 by tomorrow", "i promise to pay 3 lakh on 05/06/2025 if my salary comes", "maybe I will clear it next week", "i authorize the debit of Rs 900 and Rs 70", "I agree to the new terms",
+            "we will waive the fee of $30 today", "this is not my loan, i never took 5 crore", "i already paid on 31/02/2025, then i will transfer Rs 40 on 1/2/2026"]
+SEGOB = f"segob AS (SELECT * REPLACE (CASE WHEN turn % 5 = 1 THEN text || ' ' || {lst(PROMISES)}[(conv_id + turn) % 8 + 1] ELSE text END AS text) FROM seg)"
+_CUES = [(w, k) for k, ws in obl.CUES.items() for w in ws]
+_AT = r"(?i)^(?:%s)(?:$|[^\p{L}\p{M}\p{N}_])"
+_ANY = r"(?i)(?:^|[^\p{L}\p{M}\p{N}_])(?:%s)(?:$|[^\p{L}\p{M}\p{N}_])"
+
+
+def _near(kind: str) -> str:
+    """Nearest entity of a kind to each cue: every place its text stands at, fewest characters between, then the earlier."""
+    return f"""{kind}_at AS (SELECT c.call_id, c.segment_id, c.i, e.value, e.raw_text, s.s, greatest(s.s - c.e, c.i - s.s - length(e.raw_text), 0) AS gap
+  FROM cue c JOIN ents e ON e.call_id = c.call_id AND e.segment_id = c.segment_id AND e.entity_type = '{'payment_amount' if kind == 'money' else 'due_date'}' JOIN segob g ON g.call_id = c.call_id AND g.segment_id = c.segment_id,
+  (SELECT unnest(range(1, 6000)) AS s) s WHERE s.s <= length(g.text) AND substr(g.text, s.s, length(e.raw_text)) = e.raw_text),
+{kind}_near AS (SELECT call_id, segment_id, i, value, raw_text FROM (SELECT *, row_number() OVER (PARTITION BY call_id, segment_id, i ORDER BY gap, s, value) AS k FROM {kind}_at) WHERE k = 1)"""
+
+
+OBL = f"""{SEGOB}, {ent_cte('segob', SEGIDS)},
+cue AS (SELECT call_id, segment_id, speaker, text, start_ds, i, i + length(m) AS e, regexp_replace(lower(m), '\\s+', ' ', 'g') AS m FROM (SELECT call_id, segment_id, speaker, text, start_ds, i, regexp_extract(substr(text, i), {q(_AT.replace('(?:%s)', '(%s)') % '|'.join(w.replace(' ', chr(92) + 's+') for w, _ in _CUES))}, 1) AS m
+  FROM (SELECT *, unnest(range(1, length(text) + 1)) AS i FROM segob) WHERE i = 1 OR NOT regexp_matches(substr(text, i - 1, 1), '[\\p{{L}}\\p{{M}}\\p{{N}}_]')) WHERE m <> ''),
+{_near('money')}, {_near('date')},
+ob0 AS (SELECT c.*, {case('m', dict(_CUES))} AS obligation_type, a.value AS av, a.raw_text AS amount_raw, d.value AS dv FROM cue c LEFT JOIN money_near a USING (call_id, segment_id, i) LEFT JOIN date_near d USING (call_id, segment_id, i)),
+ob1 AS (SELECT *, CASE WHEN obligation_type IN ('denial', 'dispute') THEN 'denial' WHEN obligation_type IN {inlist(obl.FIRM)} THEN 'binding' WHEN regexp_matches(text, {q(_ANY % '|'.join(obl.CONDITIONS))}) THEN 'conditional'
+  WHEN regexp_matches(text, {q(_ANY % '|'.join(obl.HEDGES))}) THEN 'vague' WHEN av IS NOT NULL AND dv IS NOT NULL THEN 'binding' ELSE 'promise' END AS strength FROM ob0),
+obls AS (SELECT call_id, CAST(row_number() OVER (PARTITION BY call_id, segment_id ORDER BY i) - 1 AS BIGINT) AS item, segment_id, speaker, text, obligation_type, strength, CAST(string_split(av, ' ')[1] AS DOUBLE) AS amount, string_split(av, ' ')[2] AS currency, amount_raw,
+  CASE WHEN regexp_matches(dv, '^[0-9]{{1,2}}[-/.][0-9]{{1,2}}[-/.][0-9]{{4}}$') THEN coalesce(CAST(try_strptime(replace(replace(dv, '-', '/'), '.', '/'), '%-d/%-m/%Y') AS DATE)::VARCHAR, dv) ELSE dv END AS date_referenced, start_ds,
+  strength IN ('binding', 'denial') OR obligation_type IN {inlist(obl.FIRM)} AS legally_significant FROM ob1)"""
+
+
+def promising(seg):
+    return seg.withColumn("text", F.when(F.col("turn") % 5 == 1, F.concat("text", F.lit(" "), pick((F.col("conv_id") + F.col("turn")) % 8, PROMISES))).otherwise(F.col("text")))
+
+
+@query("X27_obligations", f"WITH {SEG}, {OBL} SELECT * FROM obls")
+def x27(spark, sf):
+    o = obl.obligations(promising(segments(spark, sf)), F.col("lang"))
+    return o.select("call_id", F.col("item").cast("bigint").alias("item"), "segment_id", "speaker", "text", "obligation_type", "strength", F.col("amount.value").alias("amount"), F.col("amount.currency").alias("currency"),
+                    F.col("amount.raw_text").alias("amount_raw"), "date_referenced", "start_ds", "legally_significant")
+
+
 # ---- layers ------------------------------------------------------------------------------
 # Stand-in model outputs: capitalised pairs as named entities, short acronyms and numbers as a second tagger.
 NER_P, SPACY_P = r"[A-Z][a-z]+ [A-Z][a-z]+", r"\b[A-Z]{2,5}\b|\b[0-9]+\b"
