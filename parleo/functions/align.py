@@ -15,6 +15,8 @@ import numpy as np
 
 #: Cells of a distance table held at once; larger stretches are halved first.
 CELLS = 1 << 22
+#: Cells of a stretch that is aligned by edit distance at once.
+SMALL = 64
 
 
 def matches(a: Sequence[int], b: Sequence[int]) -> Iterator[tuple[int, int]]:
@@ -28,7 +30,10 @@ def matches(a: Sequence[int], b: Sequence[int]) -> Iterator[tuple[int, int]]:
         while i < n and j < m and a[n - 1] == b[m - 1]:
             n, m = n - 1, m - 1
             yield n, m
-        if i == n or j == m:
+        if i == n or j == m or n - i == m - j == 1:
+            continue
+        if (n - i) * (m - j) <= SMALL:
+            yield from _small(a, b, i, n, j, m)
             continue
         chain = _rising(_anchors(a, b, i, n, j, m))
         if not chain:
@@ -36,7 +41,8 @@ def matches(a: Sequence[int], b: Sequence[int]) -> Iterator[tuple[int, int]]:
             continue
         for x, y in chain:
             yield x, y
-            todo.append((i, x, j, y))
+            if i < x and j < y:
+                todo.append((i, x, j, y))
             i, j = x + 1, y + 1
         todo.append((i, n, j, m))
 
@@ -99,6 +105,33 @@ def _rows(a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
         yield row
 
 
+def _back(table, same, k: int, c: int) -> Iterator[tuple[int, int]]:
+    """Matches of the cheapest way through a table of edit distances, from its end; a swap comes before a gap."""
+    while k and c:
+        here, equal = table[k][c], same(k - 1, c - 1)
+        if here == table[k - 1][c - 1] + (not equal):
+            k, c = k - 1, c - 1
+            if equal:
+                yield k, c
+        elif here == table[k - 1][c] + 1:
+            k -= 1
+        else:
+            c -= 1
+
+
+def _small(a, b, i: int, n: int, j: int, m: int) -> Iterator[tuple[int, int]]:
+    row = list(range(m - j + 1))
+    table = [row]
+    for x in range(i, n):
+        new, word = [x - i + 1], a[x]
+        for y in range(m - j):
+            new.append(min(row[y + 1] + 1, new[y] + 1, row[y] + (word != b[j + y])))
+        table.append(new)
+        row = new
+    for k, c in _back(table, lambda k, c: a[i + k] == b[j + c], n - i, m - j):
+        yield i + k, j + c
+
+
 def _by_distance(a, b, i: int, n: int, j: int, m: int) -> Iterator[tuple[int, int]]:
     x, y = np.asarray(a[i:n]), np.asarray(b[j:m])
     if len(x) == 1 or len(y) == 1:  # the ends differ, so one word meets at most one equal one inside
@@ -119,15 +152,5 @@ def _by_distance(a, b, i: int, n: int, j: int, m: int) -> Iterator[tuple[int, in
             if i1 < n1 and j1 < m1:
                 yield from _by_distance(a, b, i1, n1, j1, m1)
         return
-    table = list(_rows(x, y))
-    k, c = len(x), len(y)
-    while k and c:
-        here, same = table[k][c], x[k - 1] == y[c - 1]
-        if here == table[k - 1][c - 1] + (not same):
-            k, c = k - 1, c - 1
-            if same:
-                yield i + k, j + c
-        elif here == table[k - 1][c] + 1:
-            k -= 1
-        else:
-            c -= 1
+    for k, c in _back(list(_rows(x, y)), lambda k, c: x[k] == y[c], len(x), len(y)):
+        yield i + k, j + c

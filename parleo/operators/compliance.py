@@ -1,15 +1,17 @@
 """Conduct and disclosure rules; every rule family yields the same columns."""
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parleo.functions.columns import any_contains
-from parleo.operators.matching import call_phrases, first_turn_of, phrase_hits
+from parleo.operators.matching import first_turn_of, longest, phrase_hits
 from parleo.operators.turns import agent_domination, agent_opening, is_customer, opening_text, talk_shares
 from parleo.plans.skew import attach, dim, lookahead, salted_join
+from parleo.plans.stage import settle
 from parleo.sources import seeds
 
 COLUMNS = ["call_id", "check_name", "passed", "violation_type", "segment_id", "severity", "regulation", "evidence"]
@@ -49,9 +51,9 @@ def disclosure_checks(seg: DataFrame, vocab: DataFrame) -> DataFrame:
     """One row per required disclosure of a regulated call, looked up in the agent's opening."""
     calls = seg.where(F.col("call_type").isin(*seeds.REGULATED)).select("call_id", "call_type", "lang").distinct()
     opening = opening_text(agent_opening(seg)).select("call_id", F.lower("opening").alias("opening"))
-    base = calls.join(opening, "call_id", "left").fillna("", ["opening"])
-    v = effective_vocab(vocab.where(F.col("domain") == "disclosure"), calls).select(
-        F.col("lang").alias("v_lang"), F.col("call_type").alias("v_type"), "category", "phrase", "regulation", "is_own")
+    base = settle(calls.join(opening, "call_id", "left").fillna("", ["opening"]))  # one bounded text a call, read twice
+    v = settle(effective_vocab(vocab.where(F.col("domain") == "disclosure"), base).select(
+        F.col("lang").alias("v_lang"), F.col("call_type").alias("v_type"), "category", "phrase", "regulation", "is_own"))
     hits = phrase_hits(base, v.select("v_lang", "v_type", "category", "phrase"), ["call_id", "call_type", "lang"], "opening").where(
         (F.col("v_type") == F.col("call_type")) & (F.col("v_lang") == F.col("lang"))).select(
         "call_id", F.col("category").alias("check_name")).distinct().withColumn("_hit", F.lit(True))
@@ -66,38 +68,56 @@ def disclosure_checks(seg: DataFrame, vocab: DataFrame) -> DataFrame:
                        F.when(~ok, F.substring("opening", 1, 200)).alias("evidence"))
 
 
-def prohibited_phrases(seg: DataFrame, vocab: DataFrame) -> DataFrame:
+#: Turns that a kind of phrase is looked for in: agent turns in regulated calls and all turns elsewhere, any turn, the customer's turns.
+STREAMS = {
+    "prohibited": lambda: ~F.col("call_type").isin(*seeds.REGULATED) | conduct_agent(F.col("speaker")),
+    "third_party": lambda: F.lit(True),
+    "end_call": lambda: is_customer(F.col("speaker")),
+}
+
+
+def phrase_pass(seg: DataFrame, vocab: DataFrame, domains: Sequence[str] = tuple(STREAMS)) -> DataFrame:
+    """Phrases of several kinds found in one pass: each kind reads the running text of its own turns.
+
+    One row per call, kind and phrase with the first single turn that contains it;
+    phrases count in the call's own language and in English.
+    """
+    v = vocab.where(F.col("domain").isin(*domains)).select(F.col("domain").alias("v_domain"), F.col("lang").alias("v_lang"), "category", "phrase", "rank")
+    kinds = F.array_compact(F.array(*[F.when(STREAMS[d](), F.lit(d)) for d in domains]))
+    rows = seg.select("call_id", "chunk", "segment_id", "call_type", "lang", "text", F.explode(kinds).alias("domain"))
+    hay = lookahead(rows, ["call_id", "domain"], "chunk", ["segment_id"], "text", longest(v), "hay")
+    hits = phrase_hits(hay, v, ["call_id", "segment_id", "domain", "call_type", "lang"], "hay", "text").where(
+        (F.col("v_domain") == F.col("domain")) & ((F.col("v_lang") == "en") | (F.col("v_lang") == F.col("lang"))))
+    shown = F.when(F.col("domain") == "prohibited", F.lower("phrase")).otherwise(F.col("phrase"))
+    found = settle(hits.withColumn("phrase", shown).groupBy("call_id", "call_type", "lang", "domain", "v_lang", "category", "phrase").agg(F.min("rank").alias("rank")))
+    return found.join(first_turn_of(seg, found), ["call_id", "phrase"], "left")
+
+
+def prohibited_phrases(seg: DataFrame, vocab: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """One failed check per forbidden phrase: agent turns in regulated calls, all turns elsewhere."""
-    bad = vocab.where(F.col("domain") == "prohibited").select(F.col("lang").alias("v_lang"), "category", "phrase")
-    spoken = seg.where(~F.col("call_type").isin(*seeds.REGULATED) | conduct_agent(F.col("speaker")))
-    hits = call_phrases(spoken, bad, ["call_type", "lang"]).where(
-        (F.col("v_lang") == "en") | (F.col("v_lang") == F.col("lang")))
-    hits = hits.select("call_id", "call_type", "category", F.lower("phrase").alias("phrase")).distinct()
-    first = first_turn_of(seg, hits)
+    hits = phrase_pass(seg, vocab, ["prohibited"]) if hits is None else hits.where("domain = 'prohibited'")
     raw = F.when(F.col("category").isin("threats", "coercion", "misleading"), "critical").otherwise("high")
-    return hits.join(first, ["call_id", "phrase"], "left").select(
+    return hits.select("call_id", "call_type", "category", "phrase", "first_segment").distinct().select(
         "call_id", F.concat(F.lit("prohibited_"), "category").alias("check_name"), F.lit(False).alias("passed"), F.lit(LANGUAGE).alias("violation_type"),
         F.col("first_segment").alias("segment_id"), mapped_severity(F.col("call_type"), raw).alias("severity"),
         F.lit("RBI_Fair_Practice_Code").alias("regulation"), F.concat(F.lit('Agent said: "'), "phrase", F.lit('"')).alias("evidence"))
 
 
-def third_party_disclosure(seg: DataFrame, vocab: DataFrame) -> DataFrame:
-    v = vocab.where(F.col("domain") == "third_party").select("category", "phrase")
-    hits = call_phrases(seg, v).select("call_id", "phrase").distinct()
-    return hits.join(first_turn_of(seg, hits), ["call_id", "phrase"], "left").select(
+def third_party_disclosure(seg: DataFrame, vocab: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    hits = phrase_pass(seg, vocab, ["third_party"]) if hits is None else hits.where("domain = 'third_party'")
+    return hits.select("call_id", "phrase", "first_segment").distinct().select(
         "call_id", F.lit("third_party_disclosure").alias("check_name"), F.lit(False).alias("passed"), F.lit(PRIVACY).alias("violation_type"),
         F.col("first_segment").alias("segment_id"), F.lit("critical").alias("severity"),
         F.lit("RBI_Fair_Practice_Code_Section_8d").alias("regulation"),
         F.concat(F.lit('Possible third-party disclosure: "'), "phrase", F.lit('"')).alias("evidence"))
 
 
-def ignored_end_request(seg: DataFrame, vocab: DataFrame, allowed: int = 3) -> DataFrame:
+def ignored_end_request(seg: DataFrame, vocab: DataFrame, allowed: int = 3, hits: DataFrame | None = None) -> DataFrame:
     """The first listed phrase a customer used to end the call, and the agent turns after it."""
-    v = vocab.where(F.col("domain") == "end_call").select(F.col("lang").alias("v_lang"), "phrase", "rank", "category")
-    said = call_phrases(seg.where(is_customer(F.col("speaker"))), v, ["lang"]).where((F.col("v_lang") == "en") | (F.col("v_lang") == F.col("lang")))
+    said = phrase_pass(seg, vocab, ["end_call"]) if hits is None else hits.where("domain = 'end_call'")
     # the call's own language comes before English
-    asked = said.groupBy("call_id").agg(F.min_by("phrase", F.struct(F.col("v_lang") != F.col("lang"), "rank", "phrase")).alias("phrase"))
-    at = asked.join(first_turn_of(seg, asked), ["call_id", "phrase"])
+    asked = said.groupBy("call_id").agg(F.min_by(F.struct("phrase", "first_segment"), F.struct(F.col("v_lang") != F.col("lang"), "rank", "phrase")).alias("p"))
+    at = asked.select("call_id", "p.phrase", "p.first_segment").where("first_segment is not null")
     agent = seg.where(conduct_agent(F.col("speaker"))).select("call_id", "chunk", "segment_id")
     after = attach(agent, at, ["call_id"], "chunk").where(F.col("segment_id") > F.col("first_segment"))
     n = after.groupBy("call_id", "phrase", "first_segment").agg(F.count(F.lit(1)).alias("n_after")).where(F.col("n_after") > allowed)
@@ -131,9 +151,10 @@ def general_checks(seg: DataFrame) -> DataFrame:
 
 
 def all_checks(seg: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Union of the rule families."""
-    parts = [disclosure_checks(seg, vocab), prohibited_phrases(seg, vocab), third_party_disclosure(seg, vocab),
-             domination_checks(seg), ignored_end_request(seg, vocab), general_checks(seg)]
+    """Union of the rule families; their phrases are looked for in one pass."""
+    hits = settle(phrase_pass(seg, vocab))
+    parts = [disclosure_checks(seg, vocab), prohibited_phrases(seg, vocab, hits), third_party_disclosure(seg, vocab, hits),
+             domination_checks(seg), ignored_end_request(seg, vocab, hits=hits), general_checks(seg)]
     return reduce(DataFrame.unionByName, [p.select(*COLUMNS) for p in parts])
 
 

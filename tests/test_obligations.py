@@ -17,7 +17,7 @@ def found(spark, text, lang="en"):
     ("Rs 900 was due, i will pay Rs 40 on 1/2/2025", [("payment_promise", "binding", (40.0, "Rs 40"), "2025-02-01", True)]),
     ("Rs 900 i will  PAY and much later perhaps Rs 40", [("payment_promise", "vague", (900.0, "Rs 900"), None, False)]),
     ("i will pay if they call", [("payment_promise", "conditional", None, None, False)]),
-    ("i will pay 30/02/2025 Rs 1", [("payment_promise", "binding", (1.0, "Rs 1"), "30/02/2025", True)]),
+    ("i will pay 30/02/2025, Rs 1", [("payment_promise", "binding", (1.0, "Rs 1"), "30/02/2025", True)]),
     ("i agree to this and i refuse to that", [("consent", "binding", None, None, True), ("denial", "denial", None, None, True)]),
     ("hi will payments", []), ("", []), (None, []),
     ("Rs 7 Rs 7 i will pay Rs 7", [("payment_promise", "promise", (7.0, "Rs 7"), None, False)]),
