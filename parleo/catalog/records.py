@@ -1,18 +1,24 @@
 """Queries that build, write, read and export call records."""
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import functions as F
 
 from parleo.catalog.affect import INTENTS, seg_intents, summary_sql
 from parleo.catalog.base import *  # noqa: F403
 from parleo.catalog.conduct import A49, ALLCHECKS
-from parleo.catalog.dashboard import W
-from parleo.catalog.entities import ENTS
+from parleo.catalog.dashboard import POBL, W
+from parleo.catalog.entities import pii_cte
+from parleo.catalog.series import TAMP, _tamper as tamper_signals
 from parleo.functions.columns import half_up
 from parleo.operators import compliance as comp
 from parleo.operators import emotion as emo
 from parleo.operators import entities as ent
-from parleo.operators import fraud, records, rollup
+from parleo.operators import fraud, policy, records, rollup
+from parleo.operators import obligations as obl
+from parleo.operators import series as ser
 from parleo.operators import turns as op
 from parleo.plans.skew import chunk_rows
 from parleo.plans.stage import settle
@@ -20,49 +26,84 @@ from parleo.sources import sinks, tables, vocab
 from parleo.sources.tables import segments
 
 
-def call_records(spark, sf):
-    """All stages on the scripted turns, put together as nested records."""
-    seg = settle(segments(spark, sf))
-    intents = seg_intents(seg).withColumn("confidence", half_up(F.col("confidence"), 2))
-    entities = ent.entities(seg, ["call_id", "segment_id"], F.col("lang"))
-    checks = settle(comp.all_checks(seg, vocab.seed_vocab(spark)))
-    signals = settle(fraud.scam_signals(seg))
-    n_fraud = signals.groupBy("call_id").agg(F.count(F.lit(1)).alias("n_fraud"))
-    shares = op.talk_shares(seg)
+def children_of(seg) -> dict:
+    """Child tables of the calls, one row per child."""
+    checks = settle(comp.all_checks(seg, vocab.seed_vocab(seg.sparkSession)))
+    return {"intents": seg_intents(seg).withColumn("confidence", half_up(F.col("confidence"), 2)), "checks": checks, "signals": settle(fraud.scam_signals(seg)),
+            "obligations": obl.obligations(seg, F.col("lang"))}
+
+
+# Stand-ins for the seven scores of a toxicity model, in thousandths.
+SCORES = {"toxicity": (7919, 31, 1001), "severe_toxicity": (31, 7, 601), "obscene": (13, 3, 801), "identity_attack": (17, 5, 751), "insult": (19, 11, 901), "threat": (23, 13, 851), "sexual_explicit": (29, 3, 721)}
+
+
+def call_headers(seg, kids, tamper):
+    """One row per call: header fields and numbers of children.
+
+    What belongs to a turn is counted in its row, and only the counts are
+    grouped; no child is nested and no text leaves its row for it.
+    """
+    scores = {k: (F.col("conv_id") * a + F.col("turn") * b) % m for k, (a, b, m) in SCORES.items()}
+    toxic = reduce(or_, [scores[k] >= least for k, least in policy.TOXIC])
+    x, found = ent.entity_arrays(seg, F.col("lang"))
+    own = x.select("call_id", "call_type", F.size(found).alias("n_ent"), F.size(ent.pii_spans(F.coalesce("text", F.lit("")))).alias("n_pii"), toxic.cast("int").alias("tox"), ((F.col("conv_id") * 1777 + F.col("turn") * 911) % 1001).alias("conf_m"))
+    turns = own.groupBy("call_id").agg(F.count(F.lit(1)).alias("num_segments"), F.sum("n_ent").alias("num_entities"), F.sum("n_pii").alias("pii_count"), F.sum("tox").alias("num_toxicity_flags"),
+                                       half_up(F.sum("conf_m") / (F.count(F.lit(1)) * 1000.0), 3).alias("overall_transcript_confidence"))
+    intents = kids["intents"].groupBy("call_id").agg(F.count(F.lit(1)).alias("num_intents"), F.count_if(F.col("intent") == "payment_promise").alias("num_promises"), F.bool_or(F.col("intent") == "escalation").alias("by_intent"))
+    promised = kids["obligations"].groupBy("call_id").agg(F.count(F.lit(1)).alias("num_obligations"), F.count_if(F.col("strength") == "binding").alias("num_binding_obligations"))
+    bad = kids["checks"].groupBy("call_id").agg(F.count(F.lit(1)).alias("num_compliance_checks"), F.count_if(~F.col("passed")).alias("n_violations"), F.count_if(~F.col("passed") & (F.col("severity") == "critical")).alias("num_critical_violations"))
+    signals = kids["signals"].groupBy("call_id").agg(F.count(F.lit(1)).alias("n_fraud"))
     mood = emo.emotion_summary(tables.segment_emotions(seg), ["call_id"]).select("call_id", F.col("dominant").alias("customer_emotion_dominant"))
-    bad = checks.groupBy("call_id").agg(F.count_if(~F.col("passed")).alias("n_violations"), F.coalesce(F.bool_or(~F.col("passed") & (F.col("severity") == "critical")), F.lit(False)).alias("has_critical"))
+    mix = op.language_mix(seg, "call_id").select("call_id", F.col("primary_language").alias("detected_language"), "has_code_switching")
     speakers = op.speaker_counts(seg).select("call_id", F.col("n_speakers").alias("num_speakers"))
-    lang = seg.groupBy("call_id").agg(F.min("lang").alias("language"))
-    h = shares.join(lang, "call_id").join(speakers, "call_id", "left").join(mood, "call_id", "left").join(bad, "call_id", "left").join(n_fraud, "call_id", "left").fillna(
-        0, ["n_violations", "n_fraud", "num_speakers"]).fillna(False, ["has_critical"])
-    h = rollup.with_risk(h)
+    h = op.talk_shares(seg).join(turns, "call_id").join(mix, "call_id")
+    for d in (intents, promised, bad, signals, mood, speakers, tamper.select("call_id", "tamper_risk")):
+        h = h.join(d, "call_id", "left")
+    h = h.fillna(0, ["num_intents", "num_promises", "num_obligations", "num_binding_obligations", "num_compliance_checks", "n_violations", "num_critical_violations", "n_fraud", "num_speakers"]).fillna(False, ["by_intent"]).fillna("none", ["tamper_risk"])
+    h = rollup.with_risk(h.withColumn("has_critical", F.col("num_critical_violations") > 0))
     cid = F.col("call_id").cast("string")
-    header = h.select(
-        "call_id", F.concat(F.lit("calls/2024/call_"), cid, F.lit(".wav")).alias("audio_file"), (F.col("total_ds") / 10).alias("duration_seconds"), "language",
-        F.when(F.col("call_id") % 3 != 0, F.col("language")).alias("detected_language"), "call_type", (40 + F.col("call_id") * 7 % 60).alias("audio_quality_score"), "num_speakers",
-        F.col("agent_pct").alias("agent_talk_percentage"), F.col("customer_pct").alias("customer_talk_percentage"), "compliance_score", F.col("risk").alias("overall_risk_level"),
-        F.col("requires_review").alias("requires_human_review"), "review_priority", "customer_emotion_dominant", F.lit("none").alias("tamper_risk"), F.lit(0).cast("bigint").alias("pii_count"),
-        F.concat(F.lit("Call "), cid, F.lit(" of type "), "call_type", F.lit(": "), F.repeat(F.lit("summary "), 40)).alias("call_summary"))
-    return records.build(seg, header, intents, entities, checks, signals, chunk_rows(spark))
+    score = 40 + F.col("call_id") * 7 % 60  # of the audio front end, as is the noise ratio
+    return h.withColumns({
+        "audio_file": F.concat(F.lit("calls/2024/call_"), cid, F.lit(".wav")), "duration_seconds": F.col("total_ds") / 10, "language": F.col("detected_language"), "audio_quality_score": score,
+        "snr_db": half_up(score / F.lit(3.0), 1), "agent_talk_percentage": F.col("agent_pct"), "customer_talk_percentage": F.col("customer_pct"), "overall_risk_level": F.col("risk"),
+        "requires_human_review": F.col("requires_review"), "escalation_detected": F.col("by_intent") | F.coalesce(F.col("customer_emotion_dominant").isin("angry", "frustrated"), F.lit(False)),
+        "num_compliance_violations": F.col("n_violations"), "num_fraud_signals": F.col("n_fraud"), "call_summary": F.concat(F.lit("Call "), cid, F.lit(" of type "), "call_type", F.lit(": "), F.repeat(F.lit("summary "), 40))})
+
+
+def flat_calls(spark, sf):
+    seg = settle(segments(spark, sf))
+    return records.flat_row(call_headers(seg, children_of(seg), ser.tamper_risk(tamper_signals(spark, sf))))
+
+
+def call_records(spark, sf):
+    """All stages on the scripted turns, put together as nested records."""
+    seg = settle(segments(spark, sf))
+    kids = children_of(seg)
+    return records.build(seg, call_headers(seg, kids, ser.tamper_risk(tamper_signals(spark, sf))), kids["intents"], ent.entities(seg, ["call_id", "segment_id"], F.col("lang")), kids["checks"], kids["signals"], chunk_rows(spark), kids["obligations"])
 
 
-RECS = f"""{INTENTS}, {ENTS}, {ALLCHECKS}, {A49}, {EMO}, {summary_sql('emo', 'call_id')},
-ni AS (SELECT call_id, count(*) AS num_intents, count(*) FILTER (WHERE intent = 'payment_promise') AS num_promises FROM intents GROUP BY 1), nen AS (SELECT call_id, count(*) AS num_entities FROM ents GROUP BY 1),
+_TOXIC = " OR ".join(f"(conv_id * {SCORES[k][0]} + turn * {SCORES[k][1]}) % {SCORES[k][2]} >= {least}" for k, least in policy.TOXIC)
+RECS = f"""{INTENTS}, {POBL}, {ALLCHECKS}, {A49}, {EMO}, {summary_sql('emo', 'call_id')}, {pii_cte('seg', 'call_id, segment_id')}, {TAMP},
+ni AS (SELECT call_id, count(*) AS num_intents, count(*) FILTER (WHERE intent = 'payment_promise') AS num_promises, bool_or(intent = 'escalation') AS by_intent FROM intents GROUP BY 1), nen AS (SELECT call_id, count(*) AS num_entities FROM ents GROUP BY 1),
 nc AS (SELECT call_id, count(*) AS num_compliance_checks, count(*) FILTER (WHERE NOT passed) AS nv, count(*) FILTER (WHERE NOT passed AND severity = 'critical') AS ncr FROM allc GROUP BY 1), nf AS (SELECT call_id, count(*) AS num_fraud_signals FROM f49 GROUP BY 1),
-cc AS (SELECT call_id, min(call_type) AS call_type, min(lang) AS lang, count(*) AS num_segments, count(DISTINCT speaker) AS num_speakers, {W} AS w FROM seg GROUP BY 1, call_type),
-rr AS (SELECT cc.*, coalesce(num_intents, 0) AS num_intents, coalesce(num_promises, 0) AS num_promises, coalesce(num_entities, 0) AS num_entities, coalesce(num_compliance_checks, 0) AS num_compliance_checks, coalesce(nv, 0) AS nv, coalesce(ncr, 0) AS ncr, coalesce(num_fraud_signals, 0) AS nfs, total_ds, agent_ds, customer_ds, dominant
- FROM cc LEFT JOIN ni USING (call_id) LEFT JOIN nen USING (call_id) LEFT JOIN nc USING (call_id) LEFT JOIN nf USING (call_id) JOIN sh USING (call_id) LEFT JOIN es2 USING (call_id)),
+nob AS (SELECT call_id, count(*) AS num_obligations, count(*) FILTER (WHERE strength = 'binding') AS num_binding_obligations FROM obls GROUP BY 1), npi AS (SELECT call_id, count(*) AS pii_count FROM pii GROUP BY 1),
+tmp AS (SELECT call_id, CASE WHEN n_types >= 3 AND n_high >= 2 THEN 'high' WHEN n_types >= 2 AND (n_high >= 1 OR n_signals >= 4) THEN 'medium' ELSE 'low' END AS tamper_risk FROM (SELECT call_id, count(DISTINCT signal_type) AS n_types, count(*) FILTER (WHERE severity = 'high') AS n_high, count(*) AS n_signals FROM tp GROUP BY 1)),
+lm0 AS (SELECT call_id, CASE WHEN length(trim(text, ' ')) < 15 THEN 'en' ELSE lang END AS l, count(*) AS n FROM seg GROUP BY ALL), lm AS (SELECT call_id, arg_max(l, struct_pack(n := n, l := l)) AS primary_language, (sum(n) - max(n)) / sum(n) > 0.10 AS has_code_switching FROM lm0 GROUP BY 1),
+cc AS (SELECT call_id, min(call_type) AS call_type, count(*) AS num_segments, count(DISTINCT speaker) AS num_speakers, count(*) FILTER (WHERE {_TOXIC}) AS num_toxicity_flags, {hu('sum((conv_id * 1777 + turn * 911) % 1001) / (count(*) * 1000e0)', 3)} AS transcript_confidence, {W} AS w FROM seg GROUP BY 1, call_type),
+rr AS (SELECT cc.*, primary_language, has_code_switching, coalesce(by_intent, false) OR coalesce(dominant IN ('angry', 'frustrated'), false) AS escalation_detected, coalesce(tamper_risk, 'none') AS tamper_risk, coalesce(pii_count, 0) AS pii_count, coalesce(num_obligations, 0) AS num_obligations, coalesce(num_binding_obligations, 0) AS num_binding_obligations,
+ coalesce(num_intents, 0) AS num_intents, coalesce(num_promises, 0) AS num_promises, coalesce(num_entities, 0) AS num_entities, coalesce(num_compliance_checks, 0) AS num_compliance_checks, coalesce(nv, 0) AS nv, coalesce(ncr, 0) AS ncr, coalesce(num_fraud_signals, 0) AS nfs, total_ds, agent_ds, customer_ds, dominant
+ FROM cc JOIN lm USING (call_id) LEFT JOIN ni USING (call_id) LEFT JOIN nen USING (call_id) LEFT JOIN nc USING (call_id) LEFT JOIN nf USING (call_id) LEFT JOIN nob USING (call_id) LEFT JOIN npi USING (call_id) LEFT JOIN tmp USING (call_id) JOIN sh USING (call_id) LEFT JOIN es2 USING (call_id)),
 rk AS (SELECT *, CASE WHEN (ncr > 0 AND w >= 1) OR nv * w >= 3 OR nfs * w >= 2 THEN 'critical' WHEN nv * w >= 2 OR nfs * w >= 1 THEN 'high' WHEN nv * w >= 1 THEN 'medium' ELSE 'low' END AS risk FROM rr),
-flat AS (SELECT call_id, 'call_' || call_id || '.wav' AS audio_file, total_ds / 10e0 AS duration_sec, lang AS language, false AS has_code_switching, call_type, 40 + call_id * 7 % 60 AS audio_quality_score,
- CASE WHEN 40 + call_id * 7 % 60 >= 70 THEN 'TRUSTWORTHY' WHEN 40 + call_id * 7 % 60 >= 40 THEN 'DEGRADED' ELSE 'UNRELIABLE' END AS audio_quality_flag, num_speakers, {hu('agent_ds * 10e0 / greatest(total_ds / 10e0, 0.01e0)', 1)} AS agent_talk_pct, {hu('customer_ds * 10e0 / greatest(total_ds / 10e0, 0.01e0)', 1)} AS customer_talk_pct,
- CAST(0 AS BIGINT) AS pii_count, 'none' AS tamper_risk, CAST(greatest(0, 100 - nv * floor(15 * w)) AS BIGINT) AS compliance_score, risk AS risk_level, dominant AS customer_emotion, risk IN ('high', 'critical') AS requires_review,
+flat AS (SELECT call_id, 'call_' || call_id || '.wav' AS audio_file, total_ds / 10e0 AS duration_sec, primary_language AS language, has_code_switching, call_type, 40 + call_id * 7 % 60 AS audio_quality_score,
+ CASE WHEN 40 + call_id * 7 % 60 >= 70 THEN 'TRUSTWORTHY' WHEN 40 + call_id * 7 % 60 >= 40 THEN 'DEGRADED' ELSE 'UNRELIABLE' END AS audio_quality_flag, {hu('(40 + call_id * 7 % 60) / 3e0', 1)} AS snr_db, transcript_confidence, num_speakers, {hu('agent_ds * 10e0 / greatest(total_ds / 10e0, 0.01e0)', 1)} AS agent_talk_pct, {hu('customer_ds * 10e0 / greatest(total_ds / 10e0, 0.01e0)', 1)} AS customer_talk_pct,
+ pii_count, num_toxicity_flags, tamper_risk, CAST(greatest(0, 100 - nv * floor(15 * w)) AS BIGINT) AS compliance_score, risk AS risk_level, dominant AS customer_emotion, escalation_detected, risk IN ('high', 'critical') AS requires_review,
  CASE WHEN risk = 'critical' THEN 1 WHEN risk = 'high' THEN 2 WHEN nfs > 0 OR nv > 0 THEN 3 ELSE 5 END AS review_priority, left('Call ' || call_id || ' of type ' || call_type || ': ' || repeat('summary ', 40), 200) AS call_summary,
- num_segments, num_intents, num_entities, num_compliance_checks, nv AS num_compliance_violations, ncr AS num_critical_violations, nfs AS num_fraud_signals, num_promises FROM rk)"""
+ num_segments, num_intents, num_entities, num_obligations, num_binding_obligations, num_compliance_checks, nv AS num_compliance_violations, ncr AS num_critical_violations, nfs AS num_fraud_signals, num_promises FROM rk)"""
 
 
 @query("P1_flat_record", f"WITH {SEG}, {RECS} SELECT * FROM flat")
 def p1(spark, sf):
-    return records.flatten(settle(call_records(spark, sf)))
+    return flat_calls(spark, sf)
 
 
 @query("S2_record_sink", f"WITH {SEG}, {RECS} SELECT call_type, count(*) AS n_calls, CAST(sum(num_segments) AS BIGINT) AS n_segments, CAST(sum(num_compliance_checks) AS BIGINT) AS n_checks FROM flat GROUP BY 1")
@@ -88,7 +129,7 @@ def s1(spark, sf):
 
 
 def _back(spark, sf, fmt):
-    flat = records.flatten(settle(call_records(spark, sf)))
+    flat = flat_calls(spark, sf)
     path = sinks.export(flat, fmt, sinks.work_path(spark, fmt))
     if fmt == "csv":
         return spark.read.option("header", True).option("escape", '"').schema(flat.schema).csv(path)
@@ -105,11 +146,12 @@ def s9(spark, sf):
     return _back(spark, sf, "parquet")
 
 
-@query("S10_jsonl_export", f"WITH {SEG}, {RECS} SELECT call_id, num_segments, num_intents FROM flat")
+@query("S10_jsonl_export", f"WITH {SEG}, {RECS}, am AS (SELECT call_id, sum(amount) AS promised FROM obls GROUP BY 1) SELECT call_id, num_segments, num_intents, num_obligations, coalesce(promised, 0e0) AS promised FROM flat LEFT JOIN am USING (call_id)")
 def s10(spark, sf):
     path = sinks.export(call_records(spark, sf), "jsonl", sinks.work_path(spark, "jsonl"))
     good, _ = records.scan(spark, path)
-    return good.groupBy("call_id").agg(F.sum(F.size("transcript_segments")).alias("num_segments"), F.sum(F.size("intents")).alias("num_intents"))
+    amounts = F.aggregate("obligations", F.lit(0.0), lambda a, o: a + F.coalesce(o["amount"]["value"], F.lit(0.0)))
+    return good.groupBy("call_id").agg(F.sum(F.size("transcript_segments")).alias("num_segments"), F.sum(F.size("intents")).alias("num_intents"), F.sum(F.size("obligations")).alias("num_obligations"), F.sum(amounts).alias("promised"))
 
 
 def child_outputs(rec, seg_text):
@@ -154,7 +196,7 @@ def s12(spark, sf):
 
 @query("S13_export_dispatch", f"WITH {SEG}, {RECS} SELECT f.format, count(*) AS n_rows, CAST(sum(compliance_score) AS BIGINT) AS score_sum FROM flat, (SELECT unnest(['csv', 'parquet', 'jsonl']) AS format) f GROUP BY 1")
 def s13(spark, sf):
-    flat = settle(records.flatten(settle(call_records(spark, sf))))
+    flat = settle(flat_calls(spark, sf))
     out = None
     for fmt in sinks.FORMATS:
         path = sinks.export(flat, fmt, sinks.work_path(spark, fmt))

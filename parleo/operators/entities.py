@@ -167,11 +167,17 @@ def keep_first(items: Column, *fields: str) -> Column:
 
 
 def entities(rows: DataFrame, ids: Sequence[str], lang: Column | None = None, kinds: Sequence[str] = ("money", "date", "id", "term"), lex: DataFrame | None = None) -> DataFrame:
-    """Pattern entities of each text, first occurrence of a (type, value) only.
+    """Pattern entities of each text, first occurrence of a (type, value) only: one row each.
 
     ``lex`` is the ``lexicon`` of a vocabulary table, the built-in one by
     default.  Texts without a digit skip every pattern that needs one.
     """
+    rows, found = entity_arrays(rows, lang, kinds, lex)
+    return explode_once(rows, ids, found, "e", "item").select(*ids, "item", "e.entity_type", "e.value", "e.raw_text", "e.confidence")
+
+
+def entity_arrays(rows: DataFrame, lang: Column | None = None, kinds: Sequence[str] = ("money", "date", "id", "term"), lex: DataFrame | None = None) -> tuple[DataFrame, Column]:
+    """The rows with what the column of their entities needs, and that column: for counts that never leave the row."""
     t = F.coalesce("text", F.lit(""))
     lex = lexicon(vocab.seed_vocab(rows.sparkSession)) if lex is None else lex
     rows, own, english = with_lexicon(rows, lang if lang is not None else F.lit("en"), lex) if {"money", "date"} & set(kinds) else (rows, F.lit(None), F.lit(None))
@@ -180,7 +186,7 @@ def entities(rows: DataFrame, ids: Sequence[str], lang: Column | None = None, ki
     parts = {"money": (lambda: F.when(digit, money_items(t, own, english))), "date": (lambda: date_items(t, own, english)), "id": (lambda: F.when(digit, id_items(t))), "term": (lambda: F.when(digit, term_items(t)))}
     both = F.concat(*[F.coalesce(parts[k](), empty) for k in kinds])
     found = let(both, lambda items: keep_first(items, "entity_type", "value"))
-    return explode_once(rows, ids, found, "e", "item").select(*ids, "item", "e.entity_type", "e.value", "e.raw_text", "e.confidence")
+    return rows, found
 
 
 def merge_layers(*layers: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ def make_session(app: str = "parleo", cores: int | str = "*", shuffle: int = 8,
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",  # small test data: keep all cores busy
         "spark.driver.memory": os.environ.get("PARLEO_DRIVER_MEMORY", memory),
         "spark.ui.enabled": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # a stack walk for every column expression
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }.items():
