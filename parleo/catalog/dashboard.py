@@ -242,7 +242,15 @@ def p18(spark, sf):
 # ---- lists and queues -----------------------------------------------------------------------------
 @query("K1_call_page", f"WITH {CALLS} SELECT call_id, call_type, ingested_at FROM calls ORDER BY ingested_at DESC, call_id LIMIT 50 OFFSET 100")
 def k1(spark, sf):
-    return calls(spark, sf).select("call_id", "call_type", "ingested_at").orderBy(F.desc("ingested_at"), "call_id").offset(100).limit(50)
+    return rollup.page(calls(spark, sf).select("call_id", "call_type", "ingested_at"), limit=50, offset=100)
+
+
+@query("K1_next_page", f"WITH {CALLS} SELECT call_id, call_type, ingested_at FROM calls ORDER BY ingested_at DESC, call_id LIMIT 50 OFFSET 50")
+def k1b(spark, sf):
+    """The second page, found from the last row of the first."""
+    c = calls(spark, sf).select("call_id", "call_type", "ingested_at")
+    last = rollup.page(c, 50).collect()[-1]
+    return rollup.page(c, 50, after=(last["ingested_at"], last["call_id"]))
 
 
 @query("P2_call_list", f"WITH {SCORED} SELECT call_id, call_type, coalesce(CASE WHEN call_id % 3 = 0 THEN NULL ELSE 'hi' END, 'en') AS language, risk, compliance_score, requires_review, review_priority, coalesce(CASE WHEN call_id % 5 = 0 THEN NULL ELSE 'low' END, 'none') AS tamper_risk FROM scored")
@@ -289,6 +297,12 @@ def p4(spark, sf):
     return first.unionByName(second).groupBy("call_id").agg(F.min_by("location", "prio").alias("location"))
 
 
+@query("P4_single_lookup", "SELECT o_orderkey AS call_id, CASE WHEN o_orderstatus = 'F' THEN 'processed' ELSE 'batch_results' END AS location FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)")
+def p4b(spark, sf):
+    o = load(spark, sf, "orders").withColumnRenamed("o_orderkey", "call_id")
+    return rollup.lookup_record(o.agg(F.max("call_id")).first()[0], ("processed", o.where("o_orderstatus = 'F'")), ("batch_results", o))
+
+
 @query("P15_transcript_gate", f"WITH {SEG}, c AS (SELECT call_id, sum((conv_id * 1777 + turn * 911) % 1001) / (count(*) * 1000e0) AS conf FROM seg GROUP BY 1) SELECT call_id, {hu('conf', 3)} AS confidence, conf >= 0.55e0 AS extract FROM c")
 def p15(spark, sf):
     c = raw_turns(spark, sf).groupBy("call_id").agg((F.sum((F.col("conv_id") * 1777 + F.col("turn") * 911) % 1001) / (F.count(F.lit(1)) * 1000.0)).alias("conf"))

@@ -182,6 +182,6 @@ def a42(spark, sf):
     return ser.quality(fr, st, ser.activity(r), F.col("call_id") % 20 - 2)
 
 
-@query("A58_downsample", f"WITH {FR}, p AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY t_ms, event_id) - 1 AS pos, count(*) OVER (PARTITION BY call_id) AS n FROM fr), g AS (SELECT call_id, pos * 20 // n AS block, sum(abs(v100)) / count(*) AS m FROM p GROUP BY 1, 2) SELECT call_id, block, {hu('m / greatest(max(m) OVER (PARTITION BY call_id), 0.001e0)', 4)} AS height FROM g")
+@query("A58_downsample", f"WITH {FR}, p AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY t_ms, event_id) - 1 AS pos, count(*) OVER (PARTITION BY call_id) AS n FROM fr), g AS (SELECT call_id, pos * 200 // n AS block, sum(abs(v100)) / count(*) AS m FROM p GROUP BY 1, 2) SELECT call_id, block, {hu('m / greatest(max(m) OVER (PARTITION BY call_id), 0.001e0)', 4)} AS height FROM g")
 def a58(spark, sf):
-    return ser.downsample(frames(spark, sf), 20)
+    return ser.downsample(frames(spark, sf))

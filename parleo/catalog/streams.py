@@ -27,6 +27,7 @@ def t1(spark, sf):
     rec = settle(call_records(spark, sf))
     rec.where("call_id % 2 = 0").write.mode("append").json(src)
     rec.where("call_id % 2 = 1").write.mode("append").json(src)
+    rec.where("call_id % 3 = 0").write.mode("append").json(src)  # offered again, in files of their own
     stream = spark.readStream.schema(records.record_schema()).option("maxFilesPerTrigger", 4).json(src)
     jobs.ingest_records(stream, {"intents": "intents", "compliance_checks": "checks"}, out, ck).awaitTermination()
     parts = [spark.read.option("basePath", f"{out}/{t}").parquet(f"{out}/{t}").groupBy("call_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("child"), "call_id", "n") for t in ("intents", "checks")]

@@ -181,12 +181,12 @@ def a16(spark, sf):
 
 @query("W20_subsample", f"""WITH {SEG}, v AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY segment_id) - 1 AS pos, count(*) OVER (PARTITION BY call_id) AS n FROM seg WHERE dur_ds >= 5),
 l AS (SELECT *, lag(speaker) OVER w AS ps, lead(speaker) OVER w AS ns FROM v WINDOW w AS (PARTITION BY call_id ORDER BY pos)),
-k AS (SELECT *, (pos < 2 OR pos >= n - 2 OR coalesce(ps <> speaker, false) OR coalesce(ns <> speaker, false)) AS kept FROM l),
+k AS (SELECT *, (pos < 5 OR pos >= n - 5 OR coalesce(ps <> speaker, false) OR coalesce(ns <> speaker, false)) AS kept FROM l),
 c AS (SELECT *, count(*) FILTER (WHERE kept) OVER (PARTITION BY call_id) AS nk, count(*) FILTER (WHERE NOT kept) OVER (PARTITION BY call_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS rest FROM k),
-s AS (SELECT *, CASE WHEN nk < 30 THEN greatest(1, (n - nk) // (30 - nk)) END AS step FROM c)
-SELECT call_id, segment_id, pos, speaker, n AS n_valid FROM s WHERE n <= 12 OR kept OR (nk < 30 AND coalesce(rest, 0) % step = 0 AND coalesce(rest, 0) // step < 30 - nk)""")
+s AS (SELECT *, CASE WHEN nk < 60 THEN greatest(1, (n - nk) // (60 - nk)) END AS step FROM c)
+SELECT call_id, segment_id, pos, speaker, n AS n_valid FROM s WHERE n <= 100 OR kept OR (nk < 60 AND coalesce(rest, 0) % step = 0 AND coalesce(rest, 0) // step < 60 - nk)""")
 def w20(spark, sf):
-    return op.subsample(segments(spark, sf), limit=12, edge=2, target=30)
+    return op.subsample(segments(spark, sf))
 
 
 @query("A52_word_count", rf"""SELECT page_id, CAST(len({words_sql("regexp_replace(html, '<[^>]*>', ' ', 'g')")}) AS BIGINT) AS n_words FROM pages""")

@@ -193,3 +193,30 @@ def cross_call_patterns(calls: DataFrame, failed: DataFrame) -> DataFrame:
     return g.join(rep, "customer_id", "left").select(
         "customer_id", "n_calls", "unfulfilled_promises", half_up(slope, 3).alias("sentiment_slope"), F.coalesce(slope < 0, F.lit(False)).alias("worsening"),
         F.coalesce("repeated_violations", F.lit(0).cast("bigint")).alias("repeated_violations"), "consent_reversals")
+
+
+def page(calls: DataFrame, limit: int = 50, offset: int = 0, after: tuple | None = None) -> DataFrame:
+    """One page of calls, newest first, by offset or after the last row (ingested_at, call_id) of the page before.
+
+    Going on after a row reads no earlier page again.  A limit outside 1 to 500 or
+    a negative offset is an error; calls without a time come last.
+    """
+    if not 1 <= limit <= 500:
+        raise ValueError("limit must be from 1 to 500")
+    if offset < 0:
+        raise ValueError("offset must not be negative")
+    if after is not None:
+        ts, call_id = F.lit(after[0]), F.lit(after[1])
+        older = F.col("ingested_at").isNull() & (ts.isNotNull() | (F.col("call_id") > call_id)) | (F.col("ingested_at") < ts) | (F.col("ingested_at") == ts) & (F.col("call_id") > call_id)
+        calls = calls.where(older)
+    rows = calls.orderBy(F.desc_nulls_last("ingested_at"), "call_id")
+    return (rows.offset(offset) if offset else rows).limit(limit)
+
+
+def lookup_record(call_id: int, *places: tuple[str, DataFrame]) -> DataFrame:
+    """The record of one call from the first of several named tables that has it; the id reaches every scan as a filter."""
+    found = [df.where(F.col("call_id") == call_id).select("call_id", F.lit(n).alias("_n"), F.lit(name).alias("location")) for n, (name, df) in enumerate(places)]
+    out = found[0]
+    for d in found[1:]:
+        out = out.unionByName(d)
+    return out.groupBy("call_id").agg(F.min_by("location", "_n").alias("location"))

@@ -7,8 +7,9 @@ watermark are dropped.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -29,13 +30,50 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
     q.awaitTermination()
 
 
+BUCKETS = 16
+
+
+def bucket_of(key: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def folders(spark: SparkSession, path: str, name: str) -> dict[int, str]:
+    """Number -> folder of the committed ``name=<number>`` folders (a writer leaves ``_SUCCESS`` last)."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return {}
+    found = [f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith(f"{name}=")]
+    return {int(f.getName().split("=")[1]): f.toString() for f in found if fs.exists(hadoop.Path(f, "_SUCCESS"))}
+
+
+def drop_folders(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ingest_records(stream: DataFrame, children: dict[str, str], folder: str, checkpoint: str) -> StreamingQuery:
-    """New records into one table per child; a batch that is repeated overwrites its own files only."""
+    """New records into one table per child.
+
+    A record part counts once: keys of earlier batches stand in a manifest by
+    bucket, and what is listed there is left out, also when a file is offered
+    again.  A batch looks at the manifests before its own only, and writes its
+    manifest last, so a batch that is repeated writes the same files again.
+    """
     def write(batch: DataFrame, epoch: int) -> None:
-        batch = batch.dropDuplicates(["call_id", "part"]).persist()
+        spark = batch.sparkSession
+        batch = batch.dropDuplicates(["call_id", "part"]).withColumn("bucket", bucket_of(F.col("call_id")))
+        before = [p for n, p in folders(spark, f"{folder}/_manifest", "batch").items() if n < epoch]
+        if before:
+            known = spark.read.option("basePath", f"{folder}/_manifest").parquet(*before).select("bucket", "call_id", "part")
+            batch = batch.join(known, ["bucket", "call_id", "part"], "left_anti")
+        batch = batch.persist()
         try:
             for name, table in children.items():
                 batch.select("call_id", F.explode(name).alias("c")).select("call_id", "c.*").write.mode("overwrite").parquet(f"{folder}/{table}/batch={epoch}")
+            batch.select("bucket", "call_id", "part").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/_manifest/batch={epoch}")
         finally:
             batch.unpersist()
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -48,19 +86,47 @@ def current_progress(events: DataFrame, delay: str = "1 hour") -> DataFrame:
         "call_id", "p.stage", "p.ts", "p.event_id", "n")
 
 
-def upsert_batches(updates: DataFrame, folder: str, checkpoint: str, key: str, order: list[str]) -> StreamingQuery:
-    """Keep the latest row per key: each batch appends its changes under its number, readers take the last."""
+COMPACT_EVERY = 10
+
+
+def upsert_batches(updates: DataFrame, folder: str, checkpoint: str, key: str, order: list[str], compact_every: int = COMPACT_EVERY, buckets: int = BUCKETS) -> StreamingQuery:
+    """Keep the latest row per key as a base and deltas, both by bucket of the key.
+
+    Each batch writes its changes as a delta under its number; every
+    ``compact_every`` batches base and deltas become a new base, which counts from
+    the moment its ``_SUCCESS`` is there.  Files that only superseded bases need are
+    removed one compaction later, so a reader that began before it still finds them.
+    """
     def write(batch: DataFrame, epoch: int) -> None:
-        cols = [c for c in batch.columns if c != key]
-        batch.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("s")).select(key, "s.*").write.mode("overwrite").parquet(f"{folder}/batch={epoch}")
+        spark = batch.sparkSession
+        _newest(batch, key, order).withColumn("bucket", bucket_of(F.col(key), buckets)).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/delta/batch={epoch}")
+        if (epoch + 1) % compact_every:
+            return
+        bases = folders(spark, f"{folder}/base", "version")
+        merged = latest(spark, folder, key, order).withColumn("bucket", bucket_of(F.col(key), buckets))
+        merged.repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/base/version={epoch}")
+        last = max((v for v in bases if v < epoch), default=-1)  # the base before this one stays with the deltas after it
+        old = [p for v, p in bases.items() if v < last] + [p for n, p in folders(spark, f"{folder}/delta", "batch").items() if n <= last]
+        drop_folders(spark, old)
     return updates.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, folder: str, key: str, order: list[str]) -> DataFrame:
-    """Current table behind ``upsert_batches``."""
-    d = spark.read.option("basePath", folder).parquet(folder).drop("batch")
-    cols = [c for c in d.columns if c != key]
-    return d.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("s")).select(key, "s.*")
+def _newest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    cols = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("s")).select(key, "s.*")
+
+
+def latest(spark: SparkSession, folder: str, key: str, order: list[str], only: object = None, buckets: int = BUCKETS) -> DataFrame:
+    """Current table behind ``upsert_batches``; with ``only`` the row of one key, from one bucket."""
+    bases, deltas = folders(spark, f"{folder}/base", "version"), folders(spark, f"{folder}/delta", "batch")
+    base = max(bases, default=-1)
+    fresh = [p for n, p in sorted(deltas.items()) if n > base]
+    parts = [spark.read.option("basePath", f"{folder}/{at}").parquet(*paths).drop(number) for at, number, paths in (("base", "version", [bases[base]] if bases else []), ("delta", "batch", fresh)) if paths]
+    d = reduce(DataFrame.unionByName, parts)
+    if only is not None:
+        one = F.lit(only).cast(d.schema[key].dataType)
+        d = d.where((F.col("bucket") == bucket_of(one, buckets)) & (F.col(key) == one))
+    return _newest(d.drop("bucket"), key, order)
 
 
 def live_stats(events: DataFrame, delay: str = "10 minutes", size: str = "1 hour") -> DataFrame:
