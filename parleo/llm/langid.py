@@ -4,7 +4,8 @@ Words are runs of letters, those of more than ``LONGEST`` cut into consecutive
 parts.  They carry affix, character n-gram and lexicon features; transitions between
 the labels of neighbouring words are learned with them.  Training reads a
 bounded sample of labelled texts (``docs_per_lang`` documents of each language,
-``words_per_doc`` words of each in chains of ``CHAIN`` words); labels of words are those
+``WORDS_PER_DOC`` words of each in chains of ``CHAIN`` words, drawn by hash from the
+whole text); labels of words are those
 of their document.  Prediction runs forward-backward over every chain of the
 whole text, so that each word of code-switched text gets its own marginals; the
 document's language has the largest sum of them.
@@ -26,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parleo.llm.common import fold_col, id_text, map_texts
 
@@ -47,6 +49,21 @@ def words(text: str) -> list[str]:
     return _LETTERS.findall(text.lower())
 
 
+def drawn(w: list[str]) -> list[str]:
+    """At most ``WORDS_PER_DOC`` words in whole chains, drawn by hash from all of the text."""
+    chains = [w[i:i + CHAIN] for i in range(0, len(w), CHAIN)]
+    most = WORDS_PER_DOC // CHAIN
+    if len(chains) <= most:
+        return w
+    kept = sorted(sorted(range(len(chains)), key=lambda i: (zlib.crc32(f"{i} {' '.join(chains[i])}".encode("utf-8", "replace")), i))[:most])
+    return [x for i in kept for x in chains[i]]
+
+
+@F.pandas_udf(T.StringType())
+def _drawn_text(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: " ".join(drawn(words(t))))
+
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(64 - BITS)
 
@@ -153,7 +170,7 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 0) -> C
     counts = {x: Counter() for x in langs}
     chains: list[tuple[list[str], int]] = []
     for lang, text in rows:
-        w = words(text)[:WORDS_PER_DOC]
+        w = drawn(words(text))
         counts[lang].update(w)
         chains += [(w[i:i + CHAIN], langs.index(lang)) for i in range(0, len(w), CHAIN)]
     lexicon: dict[str, int] = {}
@@ -272,13 +289,14 @@ def _posterior(em: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.nda
 
 
 def sample(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> list[tuple[str, str]]:
-    """Bounded training sample: the documents of each language that come first by a hash of their id."""
+    """Bounded training sample: the documents of each language that come first by a hash of their id, and of each at most
+    ``WORDS_PER_DOC`` words drawn from its whole text where it lies."""
     parts, out = HELD_OUT
     d = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["text"].cast("string").alias("text"))
     d = d.where(d.lang.isNotNull() & d.doc_id.isNotNull() & (fold_col(d.doc_id, parts) != out))
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = [r[0] for r in d.select("doc_id", "lang").withColumn("r", order).where(F.col("r") <= docs_per_lang).select("doc_id").distinct().collect()]
-    rows = d.where(d.doc_id.isin(ids)).where(d.text.isNotNull()).select(F.substring_index(d.text, " ", 4 * WORDS_PER_DOC).alias("text"), "lang").collect() if ids else []
+    rows = d.where(d.doc_id.isin(ids)).where(d.text.isNotNull()).select(_drawn_text(d.text).alias("text"), "lang").collect() if ids else []
     return sorted((r["text"], r["lang"]) for r in rows)
 
 

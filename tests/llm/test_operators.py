@@ -507,3 +507,14 @@ def test_reader_reports_quarantine(spark, tmp_path):
     assert {r["page_id"] for r in warc.records(rows).collect()} == {0, 2}
     gap = warc.quarantine(rows).collect()
     assert len(gap) == 1 and gap[0]["end_byte"] - gap[0]["first_byte"] == len(warc.member(raw[1]))
+
+
+def test_language_training_draws_from_whole_texts(spark):
+    w = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(langid.CHAIN * 40 + 7)]
+    got = langid.drawn(w)
+    starts = [w.index(got[i]) for i in range(0, len(got), langid.CHAIN)]
+    assert len(got) <= langid.WORDS_PER_DOC and starts == sorted(starts) and max(starts) >= langid.WORDS_PER_DOC
+    assert langid.drawn(w[:langid.WORDS_PER_DOC]) == w[:langid.WORDS_PER_DOC]
+    rows = [(i, "x" if i % 2 else "y", " ".join(w)) for i in range(40)] + [(50, "x", ""), (51, None, "a"), (None, "x", "a")]
+    sample = langid.sample(spark.createDataFrame(rows, "doc_id bigint, lang string, text string"))
+    assert {t for t, _ in sample} <= {" ".join(got), ""} and {lang for _, lang in sample} == {"x", "y"}
