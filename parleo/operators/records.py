@@ -12,14 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parleo.operators.obligations import OBLIGATION
 
 SEGMENT = "id bigint, start_ds bigint, end_ds bigint, speaker string, text string"
 INTENT = "segment_id bigint, speaker string, intent string, confidence double"
 ENTITY = "segment_id bigint, entity_type string, value string, raw_text string, confidence double"
 CHECK = "check_name string, passed boolean, segment_id bigint, severity string, regulation string, evidence string"
 FRAUD = "signal_type string, segment_id bigint, confidence double"
-OBLIGATION = ("segment_id bigint, speaker string, text string, obligation_type string, strength string, amount struct<value:double,currency:string,raw_text:string>, "
-              "date_referenced string, start_ds bigint, legally_significant boolean")
 HEADER = ("audio_file string, duration_seconds double, language string, detected_language string, call_type string, audio_quality_score bigint, "
           "num_speakers bigint, agent_talk_percentage double, customer_talk_percentage double, compliance_score bigint, overall_risk_level string, "
           "requires_human_review boolean, review_priority bigint, customer_emotion_dominant string, tamper_risk string, pii_count bigint, call_summary string, "
