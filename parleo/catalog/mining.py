@@ -378,10 +378,22 @@ def a47(spark, sf):
 
 
 # ---- retrieval -------------------------------------------------------------------------------------------------
-@query("M10_similar_digests", """WITH qs AS (SELECT label, min(vec_id) AS q_id FROM embeddings GROUP BY 1), qv AS (SELECT e.label, q_id, embedding AS qe FROM qs JOIN embeddings e ON e.vec_id = q_id),
+NEAREST = """WITH qs AS (SELECT label, min(vec_id) AS q_id FROM embeddings GROUP BY 1), qv AS (SELECT e.label, q_id, embedding AS qe FROM qs JOIN embeddings e ON e.vec_id = q_id),
 s AS (SELECT qv.label, q_id, v.vec_id, floor(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(qe AS DOUBLE[])) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(qe AS DOUBLE[]), CAST(qe AS DOUBLE[])))) * 1000000e0 + 0.5e0) / 1000000e0 AS sim FROM embeddings v JOIN qv ON v.vec_id <> q_id)
-SELECT label, q_id, vec_id, sim, rn FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, vec_id) AS rn FROM s) WHERE rn <= 5""")
+SELECT label, q_id, vec_id, sim, rn FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, vec_id) AS rn FROM s) WHERE rn <= 5"""
+
+
+def _questions(v):
+    return v.groupBy("label").agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("q")).select("label", F.col("q.vec_id").alias("q_id"), F.col("q.embedding").alias("q"))
+
+
+@query("M10_similar_digests", NEAREST)
 def m10(spark, sf):
     v = load(spark, sf, "embeddings")
-    qn = v.groupBy("label").agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("q")).select("label", F.col("q.vec_id").alias("q_id"), F.col("q.embedding").alias("q"))
-    return mining.top_similar(v, qn)
+    return mining.top_similar(v, _questions(v))
+
+
+@query("M10_indexed_digests", NEAREST)
+def m10_indexed(spark, sf):
+    v = load(spark, sf, "embeddings")
+    return mining.top_indexed(*mining.vector_index(v), _questions(v))

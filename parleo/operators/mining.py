@@ -2,12 +2,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from parleo.functions import align
 from parleo.functions.columns import explode_once, half_up, let, n_words, ngrams, norm, words
@@ -208,26 +211,138 @@ def list_audio(spark, path: str) -> DataFrame:
     return f.withColumns({"language": lang, "call_type": ct})
 
 
-QUESTIONS = 1000  # questions of one block
+QUESTIONS = 1000  # at most so many questions travel to the vectors
+PIVOTS = 16  # cells of the vector index; more of them cut deeper and cost more when vectors are filed
+SLACK = 2e-6  # similarities are compared after rounding to six digits
+
+
+def _matrix(col: pa.ListArray) -> np.ndarray:
+    """Vectors of an Arrow column as rows of a matrix; null entries become NaN."""
+    if len(pc.unique(pc.list_value_length(col))) > 1:
+        raise ValueError("vectors of different lengths")
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
+
+
+def _chords(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the rows of x and the chords between their directions and the pivots.
+
+    Unlike the cosine the chord obeys the triangle inequality.
+    """
+    with np.errstate(all="ignore"):
+        n = np.sqrt((x * x).sum(axis=1))
+        return n, np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ pivots.T) / n[:, None]))
+
+
+def _filed(rows: DataFrame, col: str, pivots: np.ndarray, keep: Sequence[str], nearest: bool) -> DataFrame:
+    """Rows with a direction: ``keep``, the vector, its length, and (cell, chord to its pivot) for the nearest or for every pivot."""
+    def run(batches):
+        for b in batches if len(pivots) else ():  # no pivot: no vector at all
+            x = _matrix(b.column(col))
+            n, d = _chords(x, pivots)
+            ok = np.flatnonzero((n > 0) & np.isfinite(n))
+            d = d[ok]
+            cell = d.argmin(axis=1)[:, None] if nearest and len(ok) else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+            reps = np.repeat(ok, cell.shape[1]) if len(ok) else ok
+            out = b.take(pa.array(reps))
+            yield pa.RecordBatch.from_arrays(
+                [*[out.column(c) for c in keep], out.column(col), pa.array(n[reps]), pa.array(cell.ravel().astype(np.int32)),
+                 pa.array(np.take_along_axis(d, cell, 1).ravel())], [*keep, col, "norm", "cell", "d"])
+    schema = rows.schema
+    kinds = T.StructType([schema[c] for c in (*keep, col)]).add("norm", "double").add("cell", "integer").add("d", "double")
+    return rows.where(F.col(col).isNotNull() & F.col(keep[-1]).isNotNull()).select(*keep, col).mapInArrow(run, kinds)
+
+
+def vector_index(vectors: DataFrame, pivots: int = PIVOTS) -> tuple[DataFrame, np.ndarray]:
+    """Vectors (vec_id, embedding) filed under their nearest pivot with the distance to it, and the pivots.
+
+    The pivots are directions of the ``pivots`` vectors with the smallest hash of
+    their id; the choice bears on speed alone.  Vectors that are null, hold a null
+    or a non-finite entry, or have length zero, have no direction and are left
+    out; vectors of different lengths are an error.
+    """
+    some = vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots)
+    x = [np.array(r["embedding"], dtype=np.float64) for r in some.select("embedding").collect()]  # at most ``pivots`` rows
+    p = [v / np.linalg.norm(v) for v in x if np.isfinite(np.linalg.norm(v)) and v.any()] or [np.eye(len(v))[0] for v in x[:1]]
+    at = np.stack(p) if p else np.empty((0, 0))
+    return settle(_filed(vectors, "embedding", at, ["vec_id"], nearest=True)), at
 
 
 def top_similar(vectors: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
-    """Most similar of all vectors per question (label, q_id, q) by cosine.
+    """The ``k`` most similar of all vectors per question (label, q_id, q) by cosine, ties to the smaller vec_id; exact.
 
-    The questions are a stated set, shared with all tasks in blocks of at most
-    ``QUESTIONS`` rows; vectors stay where they are, and the per-task limit of
-    row_number keeps what is shuffled to k rows per question and task.
+    Up to ``QUESTIONS`` questions go to the vectors: one pass, a matrix product
+    per batch, of which k rows per question stay.  More of them go through the index.
+    Vectors and questions without a direction have no row.
     """
-    blocks = max(1, -(-questions.count() // QUESTIONS))
-    parts = [questions.where(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == b) for b in range(blocks)]
-    return reduce(DataFrame.unionByName, [_top_of_block(vectors, p, k) for p in parts])
+    few = questions.where("q_id is not null and q is not null").limit(QUESTIONS + 1).collect()
+    if len(few) > QUESTIONS:
+        return top_indexed(*vector_index(vectors), questions, k)
+    asked = [(r["label"], r["q_id"], v, n) for r in few for v in [np.array(r["q"], dtype=np.float64)] for n in [np.linalg.norm(v)] if n > 0 and np.isfinite(n)]
+    kinds = T.StructType([questions.schema["label"], questions.schema["q_id"], vectors.schema["vec_id"]]).add("sim", "double")
+    names = kinds.names
+
+    def best(batches):
+        qs, qn = np.stack([v for _, _, v, _ in asked]), np.array([n for *_, n in asked])
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, x = b.column("vec_id").to_numpy(), _matrix(b.column("embedding"))
+            with np.errstate(all="ignore"):
+                xn = np.sqrt((x * x).sum(axis=1))
+                ids, x, xn = (z[(xn > 0) & np.isfinite(xn)] for z in (ids, x, xn))
+                sims = np.floor((qs @ x.T) / (qn[:, None] * xn) * 1e6 + 0.5) / 1e6
+            rows = []
+            for (label, q_id, _, _), sim in zip(asked, sims):
+                least = np.partition(sim, len(sim) - k - 1)[len(sim) - k - 1] if len(sim) > k + 1 else -np.inf  # one may be the question itself
+                at = np.flatnonzero((sim >= least) & (ids != q_id))
+                at = at[np.lexsort((ids[at], -sim[at]))[:k]]
+                rows += [(label, q_id, i, s) for i, s in zip(ids[at].tolist(), sim[at].tolist())]
+            yield from pa.Table.from_pylist([dict(zip(names, r)) for r in rows], schema=to_arrow_schema(kinds)).to_batches()
+
+    if not asked:
+        return questions.sparkSession.createDataFrame([], T.StructType(kinds.fields).add("rn", "long"))
+    found = vectors.where("vec_id is not null and embedding is not null").select("vec_id", "embedding").mapInArrow(best, kinds)
+    w = Window.partitionBy("q_id").orderBy(F.desc("sim"), "vec_id")
+    return found.withColumn("rn", F.row_number().over(w).cast("bigint")).where(F.col("rn") <= k)
 
 
-def _top_of_block(vectors: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    dot = F.aggregate(F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def top_indexed(index: DataFrame, at: np.ndarray, questions: DataFrame, k: int = 5) -> DataFrame:
+    """``top_similar`` for any number of questions over the index of ``vector_index``.
 
-    def sq(c):
-        return F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    j = vectors.select("vec_id", "embedding").join(F.broadcast(questions), F.col("vec_id") != F.col("q_id")).withColumn("sim", half_up(dot / (sq(F.col("embedding")) * sq(F.col("q"))), 6))
+    A question first meets its own cell.  The k-th best there (or, in a small
+    cell, the distance within which the cells hold enough vectors for certain)
+    bounds how far a result can be; by the triangle inequality a cell, and a
+    vector in it, whose distance to the pivot differs by more is left out.
+    Vectors meet questions by an equi-join on the cell, and the per-task limit
+    of row_number keeps what is shuffled to k rows per question and task.
+    """
+    cells = index.groupBy("cell").agg(F.max("d").alias("reach"), F.count(F.lit(1)).alias("n"))  # one row per pivot
+    asked = _filed(questions, "q", at, ["label", "q_id"], nearest=False).withColumnsRenamed({"norm": "qn", "d": "qd"}).join(F.broadcast(cells), "cell")
+    per = Window.partitionBy("q_id")
+    far = F.col("qd") + F.col("reach")
+    asked = asked.withColumn("sum_n", F.sum("n").over(per.orderBy(far, "cell")))  # one of them may be the question itself
+    asked = settle(asked.withColumns({
+        "sure": F.coalesce(F.min(F.when(F.col("sum_n") > k, far)).over(per), F.lit(2.0)), "turn": F.row_number().over(per.orderBy("qd", "cell"))}).drop("sum_n", "n"))
+    home = _best_in(index, asked.where("turn = 1"), k)
+    bound = home.groupBy("q_id").agg(F.count(F.lit(1)).alias("have"), F.min("sim").alias("kth"))
+    seen = F.sqrt(F.greatest(F.lit(0.0), F.lit(2.0) - 2.0 * (F.col("kth") - SLACK)))
+    rest = asked.where("turn > 1").join(bound, "q_id", "left").withColumn(
+        "sure", F.when(F.col("have") >= k, F.least("sure", seen)).otherwise(F.col("sure")))
+    rest = rest.where(F.col("qd") - F.col("reach") <= F.col("sure") + SLACK).drop("have", "kth")
+    both = home.unionByName(_best_in(index, rest, k))
+    w = Window.partitionBy("q_id").orderBy(F.desc("sim"), "vec_id")
+    return both.withColumn("rn", F.row_number().over(w).cast("bigint")).where(F.col("rn") <= k)
+
+
+def _best_in(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Best ``k`` of the cells that each question asks."""
+    def cosines(batches):
+        for b in batches:
+            dots = np.einsum("ij,ij->i", _matrix(b.column("embedding")), _matrix(b.column("q"))) if b.num_rows else np.empty(0)
+            cos = dots / (b.column("norm").to_numpy() * b.column("qn").to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("q_id"), b.column("vec_id"), pa.array(cos)], ["label", "q_id", "vec_id", "sim"])
+    j = index.join(asked, "cell").where((F.abs(F.col("d") - F.col("qd")) <= F.col("sure") + SLACK) & (F.col("vec_id") != F.col("q_id")))
+    kinds = T.StructType([asked.schema["label"], asked.schema["q_id"], index.schema["vec_id"]]).add("sim", "double")
+    j = j.select("label", "q_id", "vec_id", "embedding", "q", "norm", "qn").mapInArrow(cosines, kinds).withColumn("sim", half_up(F.col("sim"), 6))
     w = Window.partitionBy("q_id").orderBy(F.desc("sim"), "vec_id")
-    return j.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).select("label", "q_id", "vec_id", "sim", F.col("rn").cast("bigint").alias("rn"))
+    return j.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
