@@ -146,18 +146,23 @@ def a48(spark, sf):
     return comp.detect_call_type(op.clock_opening(segments(spark, sf)))
 
 
-_rules = values_cte("rules", "category, signal_type, need, base, step, cap, shown", [r for r in fraud.SCAM_RULES])
+_rules = values_cte("rules", "category, signal_type, need, base, step, cap, shown, said", [r for r in fraud.SCAM_RULES])
 A49 = f"""{full('fa')}, {SCAM}, {_rules},
 h49 AS (SELECT call_id, category, phrase, rank FROM fa, scam WHERE contains(t, phrase)),
 g49 AS (SELECT call_id, category, count(*) AS n_hits, list(phrase ORDER BY rank) AS ps FROM h49 GROUP BY 1, 2),
-s49 AS (SELECT call_id, signal_type, n_hits, {hu('least(CAST(cap AS DOUBLE), CAST(base AS DOUBLE) + n_hits * CAST(step AS DOUBLE))', 4)} AS confidence, array_to_string(ps[1:shown], ', ') AS phrases, ps[1] AS phrase
+s49 AS (SELECT call_id, signal_type, n_hits, {hu('least(CAST(cap AS DOUBLE), CAST(base AS DOUBLE) + n_hits * CAST(step AS DOUBLE))', 4)} AS confidence, array_to_string(ps[1:shown], ', ') AS phrases, ps[1] AS phrase, replace(replace(said, '{{n}}', CAST(n_hits AS VARCHAR)), '{{phrases}}', array_to_string(ps[1:shown], ', ')) AS description
  FROM g49 JOIN rules USING (category) WHERE n_hits >= need),
-f49 AS (SELECT call_id, signal_type, n_hits, confidence, phrases, CASE WHEN signal_type = 'remote_access_request' THEN coalesce((SELECT min(segment_id) FROM seg WHERE seg.call_id = s49.call_id AND contains(lower(seg.text), s49.phrase)), 0) ELSE 0 END AS segment_id FROM s49)"""
+f49 AS (SELECT call_id, signal_type, n_hits, confidence, phrases, description, CASE WHEN signal_type = 'remote_access_request' THEN coalesce((SELECT min(segment_id) FROM seg WHERE seg.call_id = s49.call_id AND contains(lower(seg.text), s49.phrase)), 0) ELSE 0 END AS segment_id FROM s49)"""
 
 
 @query("A49_scam_rules", f"WITH {SEG}, {A49} SELECT * FROM f49")
 def a49(spark, sf):
-    return fraud.scam_signals(segments(spark, sf))
+    """The indicator lists as a file of the indicator layout, read back as a table."""
+    lists = {}
+    for c, p in seeds.entries(seeds.SCAM_EN):
+        lists.setdefault(c, []).append(p)
+    table = vocab.round_trip_indicators(spark, lists)
+    return fraud.scam_signals(segments(spark, sf), table)
 
 
 VOC = """voc AS (SELECT call_id, segment_id, speaker, start_ds, 100 + (conv_id * 31 + turn * 17 + length(text)) % 150 AS pitch, 5 + (turn * 7 + length(text)) % 30 AS pitch_sd,

@@ -6,40 +6,51 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parleo.functions.columns import any_contains, half_up
+from parleo.functions.columns import any_contains, constant, half_up
 from parleo.operators.compliance import conduct_agent
-from parleo.operators.matching import first_segment_with, running_hits
+from parleo.operators.matching import first_turn_of, running_table_hits
 from parleo.plans.skew import attach, with_halo
+from parleo.plans.stage import settle
 from parleo.sources import seeds
+from parleo.sources.vocab import seed_vocab
 
-# Category, signal, hits needed, base and step and cap of the confidence, phrases shown.
+# Category, signal, hits needed, base and step and cap of the confidence, phrases shown, description.
+# In a description {phrases} are the phrases shown and {n} is the number of hits.
 SCAM_RULES = [
-    ("remote_access_tools", "remote_access_request", 1, 0.85, 0.0, 0.85, 1),
-    ("urgency_pressure", "urgency_pressure", 2, 0.5, 0.1, 0.9, 5),
-    ("credential_requests", "credential_request", 1, 0.75, 0.0, 0.75, 1),
-    ("authority_impersonation", "authority_impersonation", 1, 0.80, 0.0, 0.80, 1),
-    ("vague_identity", "vague_identity", 1, 0.6, 0.0, 0.6, 1),
-    ("financial_threats", "financial_threat", 1, 0.6, 0.1, 0.9, 3),
-    ("social_engineering", "social_engineering", 2, 0.5, 0.1, 0.85, 3),
+    ("remote_access_tools", "remote_access_request", 1, 0.85, 0.0, 0.85, 1, "Remote access tool request detected: '{phrases}'. Common in tech support scams."),
+    ("urgency_pressure", "urgency_pressure", 2, 0.5, 0.1, 0.9, 5, "Multiple urgency/pressure phrases ({n}): {phrases}."),
+    ("credential_requests", "credential_request", 1, 0.75, 0.0, 0.75, 1, "Credential/access request detected: '{phrases}'."),
+    ("authority_impersonation", "authority_impersonation", 1, 0.80, 0.0, 0.80, 1, "Authority impersonation detected: '{phrases}'. Scammers impersonate government agencies."),
+    ("vague_identity", "vague_identity", 1, 0.6, 0.0, 0.6, 1, "Vague organizational identity: '{phrases}'. Legitimate callers identify specifically."),
+    ("financial_threats", "financial_threat", 1, 0.6, 0.1, 0.9, 3, "Financial threats detected: {phrases}."),
+    ("social_engineering", "social_engineering", 2, 0.5, 0.1, 0.85, 3, "Social engineering patterns ({n}): {phrases}."),
 ]
+RULE_FIELDS = "category:string,signal:string,need:int,base:double,step:double,cap:double,show:int,said:string"
 
 
-def scam_signals(seg: DataFrame, phrases: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Scam rules over the whole text of a call; a phrase counts once per call."""
-    phrases = phrases or seeds.entries(seeds.SCAM_EN)
-    hits = running_hits(seg, phrases)
+def scam_signals(seg: DataFrame, indicators: DataFrame | None = None) -> DataFrame:
+    """Scam rules over the whole text of a call; a phrase counts once per call.
+
+    ``indicators`` is any table of phrases (domain, category, phrase, rank), such as
+    ``read_indicators_json`` gives; without one the built-in lists count.  Rows of
+    other domains and of categories without a rule give nothing.
+    """
+    table = seed_vocab(seg.sparkSession) if indicators is None else indicators
+    known = [r[0] for r in SCAM_RULES]
+    table = table.where((F.col("domain") == "scam") & F.col("category").isin(known) & (F.trim("phrase") != ""))
+    hits = running_table_hits(seg, table)
     per = hits.groupBy("call_id", "category").agg(
         F.count(F.lit(1)).alias("n_hits"), F.sort_array(F.collect_list(F.struct("rank", "phrase"))).alias("ps"))
-    rules = F.create_map(*[x for r in SCAM_RULES for x in (F.lit(r[0]), F.struct(
-        F.lit(r[1]).alias("signal"), F.lit(r[2]).alias("need"), F.lit(r[3]).alias("base"), F.lit(r[4]).alias("step"),
-        F.lit(r[5]).alias("cap"), F.lit(r[6]).alias("show")))])
-    per = per.withColumn("r", rules[F.col("category")]).where(F.col("n_hits") >= F.col("r.need"))
+    rules = constant([dict(zip([f.split(":")[0] for f in RULE_FIELDS.split(",")], r)) for r in SCAM_RULES], RULE_FIELDS)
+    per = per.withColumn("r", F.filter(rules, lambda r: r["category"] == F.col("category"))[0]).where(F.col("n_hits") >= F.col("r.need"))
     conf = half_up(F.least(F.col("r.cap"), F.col("r.base") + F.col("n_hits") * F.col("r.step")), 4)
-    out = per.select("call_id", F.col("r.signal").alias("signal_type"), "n_hits", conf.alias("confidence"),
-                     F.array_join(F.transform(F.slice("ps", 1, F.col("r.show")), lambda s: s["phrase"]), ", ").alias("phrases"),
-                     F.col("ps")[0]["phrase"].alias("phrase"))
-    remote = [p for c, p in phrases if c == "remote_access_tools"]
-    first = first_segment_with(seg, remote).withColumn("signal_type", F.lit("remote_access_request"))
+    shown = F.array_join(F.transform(F.slice("ps", 1, F.col("r.show")), lambda s: s["phrase"]), ", ")
+    per = per.withColumn("phrases", shown)
+    said = F.replace(F.replace(F.col("r.said"), F.lit("{n}"), F.col("n_hits").cast("string")), F.lit("{phrases}"), F.col("phrases"))
+    out = settle(per.select("call_id", F.col("r.signal").alias("signal_type"), "n_hits", conf.alias("confidence"), "phrases",
+                            F.col("ps")[0]["phrase"].alias("phrase"), said.alias("description")))
+    remote = out.where("signal_type = 'remote_access_request'").select("call_id", "phrase")
+    first = first_turn_of(seg, remote).withColumn("signal_type", F.lit("remote_access_request"))
     return out.join(first, ["call_id", "phrase", "signal_type"], "left").withColumn(
         "segment_id", F.coalesce("first_segment", F.lit(0).cast("bigint"))).drop("first_segment", "phrase")
 

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,3 +82,23 @@ def running_hits(turns: DataFrame, phrases: Sequence[tuple[str, str]]) -> DataFr
     reach = max((len(p.split()) for _, p in phrases), default=1)
     hay = lookahead(turns, ["call_id"], "chunk", ["segment_id"], "text", reach, "hay")
     return substring_hits(hay, phrases, ["call_id"], "hay").distinct()
+
+
+LIST_ROWS = 2_000  # phrases that one array filter looks for
+
+
+def running_table_hits(turns: DataFrame, table: DataFrame) -> DataFrame:
+    """``running_hits`` for a table (category, phrase, rank) of any size: one array filter per ``LIST_ROWS`` phrases.
+
+    A phrase listed twice in a category counts once, at its first place.
+    """
+    hay = lookahead(turns, ["call_id"], "chunk", ["segment_id"], "text", longest(table), "hay").select("call_id", F.lower("hay").alias("hay"))
+    blocks = max(1, -(-table.count() // LIST_ROWS))
+
+    def block(b: int) -> DataFrame:
+        part = table.where(F.pmod(F.xxhash64("category", "phrase"), F.lit(blocks)) == b)
+        one = part.agg(F.collect_list(F.struct("category", F.lower("phrase").alias("phrase"), F.col("rank").cast("int").alias("rank")))).scalar()
+        found = F.filter(F.col("_listed"), lambda s: F.contains(F.col("hay"), s["phrase"]))
+        return explode_once(hay.withColumn("_listed", one), ["call_id"], found, "h").select("call_id", "h.category", "h.phrase", "h.rank")
+    hits = reduce(DataFrame.unionByName, [block(b) for b in range(blocks)])
+    return hits.groupBy("call_id", "category", "phrase").agg(F.min("rank").alias("rank"))

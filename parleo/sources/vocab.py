@@ -137,3 +137,10 @@ def read_indicators_json(spark: SparkSession, path: str, multi_line: bool = True
     lists = rows.where(~is_types).select(F.lit("scam").alias("domain"), "category", F.from_json(item, "array<string>").alias("ps"))
     types = rows.where(is_types).select(F.lit("scam_type").alias("domain"), F.explode(F.from_json(item, "map<string,array<string>>")).alias("category", "ps"))
     return lists.unionByName(types).select("domain", "category", F.posexplode("ps").alias("rank", "phrase"))
+
+
+def round_trip_indicators(spark: SparkSession, lists: dict) -> DataFrame:
+    """Write one indicator file in the layout of ``read_indicators_json`` and read it back."""
+    path = work_path(spark, "indicator-file")
+    local_table(spark, [(json.dumps(lists, ensure_ascii=False),)], "value string").write.text(path)
+    return read_indicators_json(spark, path, multi_line=False)

@@ -2,7 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from parleo.operators import compliance, emotion, entities, fraud, policy, series, turns
+from parleo.operators import compliance, emotion, entities, fraud, matching, policy, series, turns
 from parleo.sources import vocab
 from parleo.streaming.jobs import transition_rows
 
@@ -261,3 +261,16 @@ def test_similar_over_all_vectors(spark):
     v = spark.createDataFrame([(0, "a", [1.0, 0.0]), (1, "b", [1.0, 0.1]), (2, "a", [0.0, 1.0]), (3, "c", [0.9, 0.0])], "vec_id bigint, label string, embedding array<float>")
     q = v.where("vec_id = 0").selectExpr("label", "vec_id AS q_id", "embedding AS q")
     assert [(r.vec_id, r.rn) for r in mining.top_similar(v, q, 2).orderBy("rn").collect()] == [(3, 1), (1, 2)]
+
+
+def test_scam_rules_from_a_table(spark, monkeypatch):
+    monkeypatch.setattr(matching, "LIST_ROWS", 2)  # three blocks of phrases
+    rows = [("scam", "urgency_pressure", "quick quick", 0), ("scam", "urgency_pressure", "Today Only", 1), ("scam", "urgency_pressure", "quick quick", 2),
+            ("scam", "financial_threats", "jail", 0), ("scam", "no_rule", "hello", 0), ("scam_type", "urgency_pressure", "hello", 0), ("scam", "remote_access_tools", "farview", 0)]
+    table = spark.createDataFrame(rows, "domain string, category string, phrase string, rank int")
+    s = seg(spark, [("agent", "hello quick"), ("agent", "quick or jail"), ("customer", "today only on farview")])
+    got = {r.signal_type: (r.segment_id, r.n_hits, r.description) for r in fraud.scam_signals(s, table).collect()}
+    assert got == {"urgency_pressure": (0, 2, "Multiple urgency/pressure phrases (2): quick quick, today only."),
+                   "financial_threat": (0, 1, "Financial threats detected: jail."),
+                   "remote_access_request": (2, 1, "Remote access tool request detected: 'farview'. Common in tech support scams.")}
+    assert fraud.scam_signals(s, table.where("false")).count() == 0
