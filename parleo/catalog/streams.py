@@ -72,12 +72,29 @@ def t7(spark, sf):
     return _run(spark, jobs.escalation_alerts(jobs.event_stream(spark, sf)), "t7")
 
 
-@query("T8_transition_machine", ORACLES["W6_emotion_transitions"].split("SELECT call_id, speaker, st AS from_emotion")[0].replace("WHERE n >= 3 AND (rn = 1", "WHERE (rn < n OR n = 1 OR rn = 1) AND (rn = 1") + "SELECT call_id, speaker, st AS from_emotion, emotion AS to_emotion, event_id AS at_segment, fr_at AS from_segment FROM q2 WHERE rn > 1")
+IDLE_H = 48  # hours of silence that end a speaker's state
+T8 = ORACLES["W6_emotion_transitions"].split(", cf AS")[0]
+
+
+@query("T8_transition_machine", f"""{T8}, ex AS (SELECT ee.*, e.ts FROM ee JOIN events e USING (event_id) WHERE score_bp >= 4000),
+gp AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY call_id, speaker ORDER BY t_ms, event_id) > INTERVAL {IDLE_H} HOUR THEN 1 ELSE 0 END AS brk FROM ex),
+rn AS (SELECT *, sum(brk) OVER (PARTITION BY call_id, speaker ORDER BY t_ms, event_id) AS run FROM gp),
+cf AS (SELECT *, row_number() OVER w AS rn, lead(emotion) OVER w AS nxt, count(*) OVER r AS n, last_value(ts) OVER (PARTITION BY call_id, speaker, run ORDER BY t_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS run_end,
+ max(run) OVER (PARTITION BY call_id, speaker) AS last_run FROM rn WINDOW w AS (PARTITION BY call_id, speaker, run ORDER BY t_ms, event_id), r AS (PARTITION BY call_id, speaker, run)),
+q0 AS (SELECT * FROM cf WHERE n >= 3 AND (rn = 1 OR nxt = emotion OR score_bp >= 7000) AND (rn < n OR run < last_run OR run_end + INTERVAL {IDLE_H} HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE)),
+q1 AS (SELECT *, lag(emotion) OVER (PARTITION BY call_id, speaker, run ORDER BY rn) AS st FROM q0),
+q2 AS (SELECT *, lag(event_id) OVER (PARTITION BY call_id, speaker, run ORDER BY rn) AS fr_at FROM q1 WHERE rn = 1 OR st <> emotion)
+SELECT call_id, speaker, st AS from_emotion, emotion AS to_emotion, event_id AS at_segment, fr_at AS from_segment FROM q2 WHERE rn > 1""")
 def t8(spark, sf):
-    """All rows but the pending last one of each speaker match the batch result."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Two days of silence end a speaker's state; only last rows within it of the watermark are pending."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     e = jobs.event_stream(spark, sf)
     secs = F.unix_micros("ts") - F.unix_micros(F.lit(tables.EPOCH).cast("timestamp"))
-    x = e.select("call_id", F.when(F.col("event_id") % 2 == 0, "agent").otherwise("customer").alias("speaker"), F.col("event_id").alias("segment_id"), F.floor(secs / 36_000_000).alias("t_ms"),
+    x = e.select("call_id", F.when(F.col("event_id") % 2 == 0, "agent").otherwise("customer").alias("speaker"), F.col("event_id").alias("segment_id"), F.floor(secs / 36_000_000).alias("t_ms"), "ts",
                  tables._map("event_type", tables.EVENT_EMOTION).alias("emotion"), F.least(F.floor(F.col("value") * 100 + 0.5), F.lit(10000)).alias("score_bp"))
-    return _run(spark, jobs.emotion_transitions(x), "t8")
+    try:
+        return _run(spark, jobs.emotion_transitions(x, idle_ms=IDLE_H * 3_600_000), "t8")
+    finally:
+        spark.conf.set(key, before)

@@ -176,35 +176,78 @@ def transition_rows(rows: Iterator[tuple], state: tuple | None) -> tuple[list[tu
     return out, (acc, acc_seg, p_seg, p_emo, p_score, seen)
 
 
+def settled_at_end(state: tuple) -> list[tuple]:
+    """The pending last row when nothing follows any more: it counts by its score alone, and only for a speaker with three rows."""
+    acc, acc_seg, p_seg, p_emo, p_score, seen = state
+    return [(acc, p_emo, p_seg, acc_seg)] if seen >= 3 and p_emo is not None and p_emo != acc and p_score >= 7000 else []
+
+
+def idle_runs(rows: Iterator[tuple], state: tuple | None, last: int | None, idle_us: int) -> tuple[list[tuple], tuple | None, int | None]:
+    """``transition_rows`` over ordered rows (segment, emotion, score_bp, microseconds); more than ``idle_us`` of silence ends a run and the next row starts afresh."""
+    out: list[tuple] = []
+    run: list[tuple] = []
+
+    def close_run(state):
+        found, state = transition_rows(run, state)
+        out.extend(found)
+        run.clear()
+        return state
+    for seg, emo, score, at in rows:
+        if last is not None and at - last > idle_us:
+            state = close_run(state)
+            if state:
+                out.extend(settled_at_end(state))
+            state = None
+        run.append((seg, emo, score))
+        last = at
+    return out, (close_run(state) if run else state), last
+
+
 TRANSITION_SCHEMA = "call_id bigint, speaker string, from_emotion string, to_emotion string, at_segment bigint, from_segment bigint"
-STATE_SCHEMA = "acc string, acc_seg bigint, p_seg bigint, p_emo string, p_score bigint, seen bigint"
+STATE_SCHEMA = "acc string, acc_seg bigint, p_seg bigint, p_emo string, p_score bigint, seen bigint, last_us bigint"
 
 
-def emotion_transitions(emotions: DataFrame) -> DataFrame:
-    """Emotion changes per call and speaker as segments arrive in order; state is one small row per speaker.
+def emotion_transitions(emotions: DataFrame, delay: str = "10 minutes", idle_ms: int = 30 * 60_000) -> DataFrame:
+    """Emotion changes per call and speaker as segments (with time ``ts``) arrive in order; state is one small row per speaker.
 
-    The last row of a speaker stays pending until another one follows.
+    A row is settled by the one that follows it.  A timer in event time settles the
+    last row of a speaker who has been silent for ``idle_ms`` and ends the state;
+    what the speaker says after that starts afresh, however the rows fell into
+    batches.  Speakers with fewer than three confident rows have no transition.  A task
+    holds the rows of one speaker in one batch, which the source's rate limit bounds.
     """
     import pandas as pd
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+    names = ["call_id", "speaker", "from_emotion", "to_emotion", "at_segment", "from_segment"]
+
     class Machine(StatefulProcessor):
         def init(self, handle):
+            self.handle = handle
             self.state = handle.getValueState("transition", STATE_SCHEMA)
 
-        def handleInputRows(self, key, rows, timer_values):
-            frames = list(rows)
-            pdf = pd.concat(frames) if frames else pd.DataFrame(columns=["segment_id", "emotion", "score_bp", "t_ms"])
-            pdf = pdf.sort_values(["t_ms", "segment_id"])
-            old = self.state.get() if self.state.exists() else None
-            ordered = zip(pdf["segment_id"].tolist(), pdf["emotion"].tolist(), pdf["score_bp"].tolist())
-            out, new = transition_rows(ordered, old)
-            self.state.update(new)
-            yield pd.DataFrame([(key[0], key[1], *o) for o in out], columns=["call_id", "speaker", "from_emotion", "to_emotion", "at_segment", "from_segment"])
+        def handleInputRows(self, key, rows, timerValues):
+            pdf = pd.concat(list(rows)).sort_values(["t_ms", "segment_id"])
+            old = tuple(self.state.get()) if self.state.exists() else (*[None] * 6, None)
+            ordered = zip(*(pdf[c].tolist() for c in ("segment_id", "emotion", "score_bp", "us")))
+            out, new, last = idle_runs(ordered, old[:6] if old[5] else None, old[6], idle_ms * 1000)
+            self.state.update((*new, last))
+            self.handle.registerTimer(last // 1000 + idle_ms)
+            yield pd.DataFrame([(key[0], key[1], *o) for o in out], columns=names)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            out = []
+            if self.state.exists():
+                *held, last = self.state.get()
+                if last // 1000 + idle_ms <= expiredTimerInfo.getExpiryTimeInMs():  # else a later row has set another timer
+                    out = settled_at_end(tuple(held))
+                    self.state.clear()
+            yield pd.DataFrame([(key[0], key[1], *o) for o in out], columns=names)
 
         def close(self):
             pass
 
-    conf = emotions.where("score_bp >= 4000").select("call_id", "speaker", "segment_id", "t_ms", "emotion", "score_bp")
+    timed = emotions.withWatermark("ts", delay).where("score_bp >= 4000")
+    conf = timed.select("call_id", "speaker", "segment_id", "t_ms", "emotion", "score_bp", "ts", F.unix_micros("ts").alias("us"))
     return conf.groupBy("call_id", "speaker").transformWithStateInPandas(
-        statefulProcessor=Machine(), outputStructType=TRANSITION_SCHEMA, outputMode="Append", timeMode="None")
+        statefulProcessor=Machine(), outputStructType=TRANSITION_SCHEMA, outputMode="Append", timeMode="EventTime")
