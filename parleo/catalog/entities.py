@@ -276,7 +276,7 @@ def pii_cte(src: str = "documents", ids: str = "doc_id") -> str:
     return f"""pr AS ({' UNION ALL '.join(parts)}),
 pc AS (SELECT * EXCLUDE (base), {lead} AS lw, base FROM pr),
 ps AS (SELECT {ids}, rank, entity_type, text, start, start + length(text) AS "end", i, {hu("CASE WHEN len(list_filter(lw[greatest(len(lw) - 4, 1):len(lw)], lambda w: len(list_filter(lambda_ctx, lambda k: contains(w, k))) > 0)) > 0 THEN least(1e0, greatest(base + 0.35e0, 0.4e0)) ELSE base END", 3)} AS score FROM pc),
-pk AS (SELECT *, row_number() OVER (PARTITION BY {ids}, entity_type, text ORDER BY rank, start) AS k FROM ps WHERE score >= 0.5e0 AND (entity_type <> 'IN_AADHAAR' OR {verhoeff_sql("regexp_replace(text, '[^0-9]', '', 'g')")})),
+pk AS (SELECT *, row_number() OVER (PARTITION BY {ids}, entity_type, text ORDER BY rank, start) AS k FROM ps WHERE score >= CASE WHEN entity_type = 'DATE_TIME' THEN 0.7e0 ELSE 0.5e0 END AND (entity_type <> 'IN_AADHAAR' OR {verhoeff_sql("regexp_replace(text, '[^0-9]', '', 'g')")})),
 pii AS (SELECT {ids}, entity_type, text, start, "end", score, rank, {_mask_sql('text', 'entity_type')} AS masked_text FROM pk WHERE k = 1)"""
 
 

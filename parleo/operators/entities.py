@@ -212,6 +212,7 @@ def drop_noise(ent: DataFrame) -> DataFrame:
 
 # ---- personal data --------------------------------------------------------------------
 
+MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
 # Recognisers as (type, pattern, base score, single context words).
 RECOGNISERS = [
     ("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 1.0, "email mail"),
@@ -228,7 +229,10 @@ RECOGNISERS = [
     ("IN_BANK_ACCOUNT", r"\b[0-9]{9,18}\b", 0.3, "account a/c savings current bank deposit credit debit"),
     ("CREDIT_CARD", r"\b[0-9]{4}[\s-][0-9]{4}[\s-][0-9]{4}[\s-][0-9]{4}\b", 0.8, "card credit debit visa mastercard rupay cvv expiry"),
     ("CREDIT_CARD", r"\b[0-9]{16}\b", 0.4, "card credit debit visa mastercard rupay cvv expiry"),
+    ("DATE_TIME", rf"\b(?:[0-9]{{1,2}}[/.-][0-9]{{1,2}}[/.-](?:[0-9]{{4}}|[0-9]{{2}})|[0-9]{{4}}[/.-][0-9]{{1,2}}[/.-][0-9]{{1,2}}|[0-9]{{1,2}}[ -](?i:{MONTHS})[a-z]*,?[ -][0-9]{{4}})\b", 0.6, "date birthday birth dob"),
 ]
+# Types that need a higher score than the threshold; a bare date is seldom personal.
+HIGHER = {"DATE_TIME": 0.7}
 CONTEXT_GAIN, CONTEXT_FLOOR = 0.35, 0.4
 
 
@@ -300,7 +304,7 @@ def pii_spans(text: Column, threshold: float = 0.5, before: int = 5) -> Column:
 
 
 def pii_occurrences(text: Column, threshold: float = 0.5, before: int = 5) -> Column:
-    """All personal data of a text at or above the threshold, each occurrence of it.
+    """All personal data of a text at or above the threshold (dates: 0.7 at least, so only with a word of context), each occurrence of it.
 
     Every recogniser but e-mail and UPI needs a digit, those two an at sign;
     texts without either skip the patterns altogether.
@@ -311,7 +315,12 @@ def pii_occurrences(text: Column, threshold: float = 0.5, before: int = 5) -> Co
         # the match itself is cheap to test; offsets and context are worked out only where it occurs
         parts.append(F.when(gate & text.rlike(p), _spans(text, n, t, p, s, c, before)))
     spans = F.flatten(F.array_compact(F.array(*parts)))
-    return F.filter(spans, lambda s: (s["score"] >= threshold) & (
+    def needed(etype: Column) -> Column:
+        e = F.lit(threshold)
+        for t, least in HIGHER.items():
+            e = F.when(etype == t, max(threshold, least)).otherwise(e)
+        return e
+    return F.filter(spans, lambda s: (s["score"] >= needed(s["entity_type"])) & (
         (s["entity_type"] != "IN_AADHAAR") | verhoeff_ok(F.regexp_replace(s["text"], r"\s", ""))))
 
 
