@@ -101,8 +101,9 @@ def subtract(iv: DataFrame, blockers: DataFrame, min_ms: int = 100, width_ms: in
     def buckets(df: DataFrame, s: str, e: str) -> DataFrame:
         return df.withColumn("_bk", F.explode(F.sequence(F.floor(F.col(s) / width_ms), F.floor(F.col(e) / width_ms))))
 
+    first_shared = F.floor(F.greatest("start", "bs") / width_ms)  # a pair counts in the first bucket that both lie in
     pairs = buckets(iv, "start", "end").join(buckets(b.drop("chunk"), "bs", "be"), ["call_id", "_bk"]).where(
-        (F.col("bs") < F.col("end")) & (F.col("be") > F.col("start"))).drop("_bk").distinct()
+        (F.col("bs") < F.col("end")) & (F.col("be") > F.col("start")) & (F.col("_bk") == first_shared)).drop("_bk")
     pairs = settle(pairs)
     front = pairs.select("call_id", F.greatest("start", "pe").alias("start"), F.col("bs").alias("end"))
     last = pairs.groupBy("call_id", "start", "end").agg(F.max("be").alias("be")).select("call_id", F.col("be").alias("start"), "end")
