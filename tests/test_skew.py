@@ -95,3 +95,11 @@ def test_attach_and_salted_join_keep_all_rows(rows):
     assert attach(df, per, ["k"], "chunk").count() == len(data)
     assert salted_join(df, per, ["k"], ["pos"]).count() == len(data)
     assert dim(per)[1] and not dim(per, 3)[1]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
+def test_salted_join_sends_no_repeated_rows_through_the_driver(rows, how):
+    df, _ = rows
+    j = salted_join(df, df.select("k").distinct(), ["k"], ["pos"], how=how)
+    j.collect()
+    assert "Broadcast" not in j._jdf.queryExecution().executedPlan().toString()
