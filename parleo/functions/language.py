@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parleo.functions.columns import lookup, norm
+from parleo.functions.columns import let, lookup, norm
 
 # Stop words per language, in order of precedence, and code variants.
 STOP_WORDS = {"en": "the of and to that with", "de": "der die und ein ich zu", "fr": "le la que un et ou", "es": "el los del y una por"}
@@ -17,8 +17,9 @@ def normalise_code(code: Column) -> Column:
 
 def guess_language(text: Column, fallback: str = "en") -> Column:
     """Devanagari decides first, then the language with most of its stop words, the fallback without any."""
-    toks = F.array_distinct(F.split(norm(text), " "))
-    scores = F.array(*[F.struct(F.size(F.array_intersect(toks, F.array(*[F.lit(w) for w in ws.split()]))).alias("n"), F.lit(-i).alias("i"), F.lit(l).alias("l"))
-                       for i, (l, ws) in enumerate(STOP_WORDS.items())])
-    best = F.array_max(scores)
-    return F.when(text.rlike("[ऀ-ॿ]"), "hi").when(best["n"] == 0, fallback).otherwise(normalise_code(best["l"]))
+    # every step once per row: the stop words met (distinct), their numbers per language, the best of them
+    listed = {l: F.array(*[F.lit(w) for w in ws.split()]) for l, ws in STOP_WORDS.items()}
+    met = F.array_intersect(F.split(norm(text), " "), F.array(*[F.lit(w) for ws in STOP_WORDS.values() for w in ws.split()]))
+    best = let(met, lambda m: F.array_max(F.array(*[F.struct(F.size(F.array_intersect(m, ws)).alias("n"), F.lit(-i).alias("i"), F.lit(l).alias("l")) for i, (l, ws) in enumerate(listed.items())])))
+    named = let(best, lambda b: F.when(b["n"] == 0, fallback).otherwise(normalise_code(b["l"])))
+    return F.when(text.rlike("[ऀ-ॿ]"), "hi").otherwise(named)
