@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parleo.catalog.base import *  # noqa: F403
-from parleo.functions.columns import half_up, mmss, n_words, norm, words
+from parleo.functions.columns import half_up, let, mmss, n_words, norm, words
 from parleo.operators import turns as op
 from parleo.plans.stage import settle
 from parleo.sources import seeds
@@ -129,10 +129,10 @@ def a19(spark, sf):
 @query("X19_logprob_timing", f"""WITH {SEG}, w AS (SELECT *, greatest(0e0, least(1e0, 1 - (length(text) % 150) / 100e0)) AS conf, len({words_sql('text')}) AS n FROM seg)
 SELECT call_id, segment_id, {hu('conf', 3)} AS confidence, array_to_string([CAST(floor(start_ds * 100 + (i * dur_ds * 100e0) / n + 0.5) AS BIGINT) for i in range(0, n)], ' ') AS word_starts_ms FROM w""")
 def x19(spark, sf):
-    n = n_words(F.col("text"))
     conf = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - (F.length("text") % 150) / F.lit(100.0)))
-    starts = F.transform(words(F.col("text")), lambda w, i: F.floor(F.col("start_ds") * 100 + (i * F.col("dur_ds") * F.lit(100.0)) / F.col("n") + 0.5).cast("string"))
-    return segments(spark, sf).withColumn("n", n).select("call_id", "segment_id", half_up(conf, 3).alias("confidence"), F.array_join(starts, " ").alias("word_starts_ms"))
+    # the words are split once per turn: a count named outside the loop would be put into it and split the text again for every word
+    starts = let(words(F.col("text")), lambda ws: F.transform(ws, lambda w, i: F.floor(F.col("start_ds") * 100 + (i * F.col("dur_ds") * F.lit(100.0)) / F.size(ws) + 0.5).cast("string")))
+    return segments(spark, sf).select("call_id", "segment_id", half_up(conf, 3).alias("confidence"), F.array_join(starts, " ").alias("word_starts_ms"))
 
 
 SHARES = f"""sh AS (SELECT call_id, call_type, CAST(sum(CASE WHEN speaker = 'agent' THEN dur_ds ELSE 0 END) AS BIGINT) AS agent_ds,
