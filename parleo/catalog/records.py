@@ -41,11 +41,13 @@ def call_headers(seg, kids, tamper):
     """One row per call: header fields and numbers of children.
 
     What belongs to a turn is counted in its row, and only the counts are
-    grouped; no child is nested and no text leaves its row for it.
+    grouped; no child is nested and no text leaves its row for it.  Where the
+    entities are listed for the records anyway, the list is counted.
     """
     scores = {k: (F.col("conv_id") * a + F.col("turn") * b) % m for k, (a, b, m) in SCORES.items()}
     toxic = reduce(or_, [scores[k] >= least for k, least in policy.TOXIC])
-    x, found = ent.entity_arrays(seg, F.col("lang"))
+    listed = kids.get("entities")
+    x, found = (seg, F.array()) if listed is not None else ent.entity_arrays(seg, F.col("lang"))
     own = x.select("call_id", "call_type", F.size(found).alias("n_ent"), F.size(ent.pii_spans(F.coalesce("text", F.lit("")))).alias("n_pii"), toxic.cast("int").alias("tox"), ((F.col("conv_id") * 1777 + F.col("turn") * 911) % 1001).alias("conf_m"))
     turns = own.groupBy("call_id").agg(F.count(F.lit(1)).alias("num_segments"), F.sum("n_ent").alias("num_entities"), F.sum("n_pii").alias("pii_count"), F.sum("tox").alias("num_toxicity_flags"),
                                        half_up(F.sum("conf_m") / (F.count(F.lit(1)) * 1000.0), 3).alias("overall_transcript_confidence"))
@@ -56,6 +58,8 @@ def call_headers(seg, kids, tamper):
     mood = emo.emotion_summary(tables.segment_emotions(seg), ["call_id"]).select("call_id", F.col("dominant").alias("customer_emotion_dominant"))
     mix = op.language_mix(seg, "call_id").select("call_id", F.col("primary_language").alias("detected_language"), "has_code_switching")
     speakers = op.speaker_counts(seg).select("call_id", F.col("n_speakers").alias("num_speakers"))
+    if listed is not None:
+        turns = turns.drop("num_entities").join(listed.groupBy("call_id").agg(F.count(F.lit(1)).alias("num_entities")), "call_id", "left").fillna(0, ["num_entities"])
     h = op.talk_shares(seg).join(turns, "call_id").join(mix, "call_id")
     for d in (intents, promised, bad, signals, mood, speakers, tamper.select("call_id", "tamper_risk")):
         h = h.join(d, "call_id", "left")
@@ -78,8 +82,11 @@ def flat_calls(spark, sf):
 def call_records(spark, sf):
     """All stages on the scripted turns, put together as nested records."""
     seg = settle(segments(spark, sf))
-    kids = children_of(seg)
-    return records.build(seg, call_headers(seg, kids, ser.tamper_risk(tamper_signals(spark, sf))), kids["intents"], ent.entities(seg, ["call_id", "segment_id"], F.col("lang")), kids["checks"], kids["signals"], chunk_rows(spark), kids["obligations"])
+    # header and record both read the children: each is worked out once and written
+    kids = children_of(seg) | {"entities": ent.entities(seg, ["call_id", "segment_id"], F.col("lang"))}
+    kids["intents"] = kids["intents"].select("call_id", "segment_id", "speaker", "intent", "confidence")
+    kids |= {k: settle(kids[k]) for k in ("intents", "entities", "obligations")}
+    return records.build(seg, call_headers(seg, kids, ser.tamper_risk(tamper_signals(spark, sf))), kids["intents"], kids["entities"], kids["checks"], kids["signals"], chunk_rows(spark), kids["obligations"])
 
 
 _TOXIC = " OR ".join(f"(conv_id * {SCORES[k][0]} + turn * {SCORES[k][1]}) % {SCORES[k][2]} >= {least}" for k, least in policy.TOXIC)
