@@ -27,10 +27,35 @@ def text_column(df: DataFrame, candidates: Sequence[str] = ("utterance", "text",
 
 
 def phrase_counts(docs: DataFrame, label: str, sizes: Sequence[int] = (3, 4, 5)) -> DataFrame:
-    """How often each word n-gram occurs under either label; counted before the shuffle."""
-    toks = words(F.lower("text"))
-    x = explode_once(docs.select(F.col(label).alias("y"), "text"), ["y"], let(toks, lambda t: F.flatten(F.array(*[ngrams(t, n) for n in sizes]))), "phrase")
-    return x.groupBy("phrase").agg(F.count_if(F.col("y") == 1).alias("n_scam"), F.count_if(F.col("y") != 1).alias("n_normal"))
+    """How often each word n-gram occurs under either label.
+
+    One row per place is shuffled, not one per place and size: the longest
+    n-gram that begins there, dealt by its first words (those of the smallest
+    size).  Every shorter n-gram is the beginning of such rows, so all sizes
+    are counted where the rows lie.
+    """
+    sizes = sorted(set(sizes))
+    keys = [f"_k{j}" for j in range(len(sizes))]
+    steps = list(zip(sizes[1:], sizes))
+
+    def starting(t: Column, i: Column) -> Column:
+        more = [F.when(F.size(t) >= i + n - 1, F.array_join(F.slice(t, i + m, n - m), " ")) for n, m in steps]
+        return F.struct(F.array_join(F.slice(t, i, sizes[0]), " ").alias(keys[0]), *[c.alias(k) for c, k in zip(more, keys[1:])])
+
+    places = let(words(F.lower("text")), lambda t: F.when(F.size(t) >= sizes[0], F.transform(F.sequence(F.lit(1), F.size(t) - sizes[0] + 1), lambda i: starting(t, i))))
+    x = explode_once(docs.select(F.col(label).alias("y"), "text"), ["y"], places, "p").select("y", "p.*").repartition(keys[0])
+    n = ["n_scam", "n_normal"]
+    own = x.groupBy(*keys).agg(F.count_if(F.col("y") == 1).alias(n[0]), F.count_if(F.col("y") != 1).alias(n[1]))
+    found, sums = [], {}
+    for j in range(len(keys)):
+        same, rest = keys[:j + 1], keys[j + 1:]
+        if rest:
+            w = Window.partitionBy(*same).orderBy(*rest)
+            whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            sums |= {f"_f{j}": F.row_number().over(w) == 1} | {f"_{c}{j}": F.sum(c).over(whole) for c in n}
+        counted = F.struct(F.concat_ws(" ", *same).alias("phrase"), *[F.col(f"_{c}{j}" if rest else c).alias(c) for c in n])
+        found.append(F.when((F.col(f"_f{j}") if rest else F.lit(True)) & F.col(keys[j]).isNotNull(), counted))
+    return own.withColumns(sums).select(F.inline(F.array_compact(F.array(*found)))) if sums else own.withColumnRenamed(keys[0], "phrase")
 
 
 def over_represented(counts: DataFrame, sizes: DataFrame, categories: Sequence[tuple[str, str]], top: int | None = None) -> DataFrame:
