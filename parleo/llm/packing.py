@@ -16,6 +16,7 @@ gives no pieces; other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import random
 import zlib
@@ -23,6 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,20 +41,46 @@ CHILDREN = 12
 FULL = 0.995
 MERGE = 32
 #: Chunks whose ids a worker keeps in each generation.
-CACHE = 200_000
+CACHE = 250_000
+#: Bytes of text that are cut into chunks at once.
+UNIT = 1 << 23
 #: Runs of these after a letter are tokens of their own.
 PUNCTUATION = b".,*%#&$!?;:"
+#: Bytes of the letters A to Z and U+00C0 to U+00FF.
+_LATIN = bytes([*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)])
+#: A tokenizer of these steps gives a run of Latin letters, in lower case, to its model as one word, byte by byte.
+_STEPS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+)
+#: How the byte-level step writes bytes: printable ones as themselves, the others as the characters from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_LEVEL = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PRINTED)}
 
 
 class _Words:
     """Ids of white-space separated chunks: the tokenizer drops white space, so a text's ids are those of its chunks.
 
-    Two generations of chunks are kept: when the young one is full it becomes the
-    old one, and what is met again moves on; frequent chunks are encoded once.
+    Arrow cuts texts into chunks and numbers the distinct ones; each of these is
+    looked up once a call, and numpy lays out their ids.  Two generations of
+    chunks are kept: when the young one is full it becomes the old one, and what
+    is met again moves on.  Chunks of Latin letters go straight to the
+    tokenizer's model where its other steps are those of ``_STEPS``.
     """
 
     def __init__(self):
-        self.path, self.tokenizer, self.ids, self.old, self.marks = None, None, {}, {}, {}
+        self.path, self.tokenizer, self.model, self.four, self.ids, self.old, self.marks = None, None, None, [], {}, {}, {}
+
+    def _open(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library would start threads for all
+        from tokenizers import Tokenizer
+        self.path, self.tokenizer, self.ids, self.old, self.marks = path, Tokenizer.from_file(path), {b"": b""}, {}, {b"": b""}
+        steps = tuple(json.loads(x.__getstate__()) if x else None for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
+        added = any(t.content.isalpha() for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.model = self.tokenizer.model if steps == _STEPS and not added else None
+        self.four = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
 
     @staticmethod
     def _core(w: bytes) -> tuple[bytes, bytes]:
@@ -66,30 +95,67 @@ class _Words:
         got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
 
+    @staticmethod
+    def _latin(core: bytes) -> bytes | None:
+        """A chunk of Latin letters in lower case; None for any other."""
+        if core.isalpha():
+            return core.lower()
+        if not core or core.translate(None, _LATIN):
+            return None
+        text = core.decode("utf-8", "replace")
+        return text.lower().encode() if text.isalpha() else None
+
+    def _add(self, new: list[bytes]) -> None:
+        """Ids of chunks that are in neither generation."""
+        ids, old, four, parts = self.ids, self.old, self.four, {}
+        for w in new:
+            core = w.rstrip(PUNCTUATION)
+            marks = w[len(core):]
+            core = self._latin(core) if self.model else None
+            if core is None:
+                parts[w] = self._core(w)
+                continue
+            got = ids.get(core) or old.get(core)
+            if got is None:
+                word = core.decode("latin-1")
+                got = ids[core] = b"".join([four[t.id] for t in self.model.tokenize(word if core.isascii() else word.translate(_LEVEL))])
+            if marks and marks not in self.marks:
+                self.marks[marks] = self._encode([marks])[0]
+            ids[w] = got + self.marks[marks]
+        known = {x: ids.get(x) or old.get(x) for x, _ in parts.values()}
+        cores = [x for x, v in known.items() if v is None]
+        for i in range(0, len(cores), 5000):
+            known.update(zip(cores[i:i + 5000], self._encode(cores[i:i + 5000])))
+        marks = list({m for _, m in parts.values()}.difference(self.marks))
+        self.marks.update(zip(marks, self._encode(marks)))
+        ids.update((w, known[x] + self.marks[m]) for w, (x, m) in parts.items())
+
     def encode(self, path: str, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if self.path != path:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library would start threads for all
-            from tokenizers import Tokenizer
-            self.path, self.tokenizer, self.ids, self.old, self.marks = path, Tokenizer.from_file(path), {}, {}, {b"": b""}
+            self._open(path)
         if len(self.ids) > CACHE:
-            self.ids, self.old = {}, self.ids
+            self.ids, self.old = {b"": b""}, self.ids
         if len(self.marks) > 1000:
             self.marks = {b"": b""}
-        chunks = [t.split() for t in texts]
-        new = set().union(*chunks).difference(self.ids)
-        again = new & self.old.keys()
-        self.ids.update((w, self.old[w]) for w in again)
-        parts = {w: self._core(w) for w in new - again}
-        known = {x: self.ids.get(x) or self.old.get(x) for x, _ in parts.values()}
-        cores = [x for x, v in known.items() if v is None]
-        for i in range(0, len(cores), 5000):
-            known.update(zip(cores[i:i + 5000], self._encode(cores[i:i + 5000])))
-        marks = list({m for _, m in parts.values()}.difference(self.marks))
-        self.marks.update(zip(marks, self._encode(marks)))
-        self.ids.update((w, known[x] + self.marks[m]) for w, (x, m) in parts.items())
-        get = self.ids.__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
+        # only bytes are compared, so that texts need not be valid UTF-8
+        chunks = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        flat = chunks.flatten().view(pa.large_binary()).dictionary_encode()
+        words = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w, v in zip(words, map(self.ids.get, words)) if v is None]
+        again = [(w, v) for w, v in zip(new, map(self.old.get, new)) if v is not None]
+        self.ids.update(again)
+        self._add([w for w in new if w not in self.ids] if again else new)
+        ids = [self.ids[w] for w in words]
+        size = np.fromiter(map(len, ids), "int64", len(ids)) // 4
+        at = flat.indices.to_numpy()
+        n = size[at]
+        end = np.cumsum(n)
+        source = np.repeat((np.cumsum(size) - size)[at] - end + n, n)
+        source += np.arange(len(source))
+        out = np.frombuffer(b"".join(ids), "<u4")[source].tobytes()
+        bounds = (4 * np.concatenate([[0], end])[chunks.offsets.to_numpy()]).tolist()
+        return [out[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 _words = _Words()
@@ -108,7 +174,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE) -> DataFrame:
             at = 0
             while at < len(texts):
                 held, n = at, 0
-                while at < len(texts) and (at == held or n < 1 << 20):
+                while at < len(texts) and (at == held or n < UNIT):
                     n += len(texts[at])
                     at += 1
                 for doc_id, raw in zip(b["doc_id"][held:at], _words.encode(tokenizer, texts[held:at])):

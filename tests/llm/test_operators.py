@@ -85,6 +85,23 @@ def test_chunks_are_encoded_as_the_whole_text():
         assert packing._words.encode(TOKENIZER, [x.encode()])[0] == b"".join(i.to_bytes(4, "little") for i in t.encode(x, add_special_tokens=False).ids)
 
 
+def test_latin_chunks_skip_the_steps_before_the_model(monkeypatch):
+    """Only marks and other chunks go through the whole tokenizer; ids are those of whole texts."""
+    from tokenizers import Tokenizer
+    t, w, slow = Tokenizer.from_file(TOKENIZER), packing._Words(), []
+    monkeypatch.setattr(packing._Words, "_encode", lambda self, words, f=packing._Words._encode: slow.extend(words) or f(self, words))
+    texts = ["Thequick, thequick ÉCOLE ünßÿ. Anßà!", "", " \t\x0b", "a×b ªº 'LL It's x9 e\u0301 J\u030c \u0130st \u0401ж <|endoftext|>. A\x1cb"]
+    got = w.encode(TOKENIZER, [x.encode() for x in texts])
+    assert got == [b"".join(i.to_bytes(4, "little") for i in t.encode(x, add_special_tokens=False).ids) for x in texts]
+    assert not {"thequick", "école", "ünßÿ", "anßà"} & {x.decode().lower() for x in slow}
+    assert w.encode(TOKENIZER, [b"\xc3 x\xc3a \xc3\x97."])[0] == b"".join(i.to_bytes(4, "little") for i in t.encode("\ufffd x\ufffda ×.", add_special_tokens=False).ids)
+    plain = packing._Words()
+    plain._open(TOKENIZER)
+    plain.model = None
+    assert plain.encode(TOKENIZER, [x.encode() for x in texts]) == got
+
+
+
 def test_crossover_keeps_every_item_once():
     rng = random.Random(1)
     size = [rng.randint(1, 4096) for _ in range(200)]
