@@ -44,6 +44,8 @@ _FACTOR = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype="uint64") * np.uint64(2)
 _PLACE = _rng.integers(0, 1 << 63, 16, dtype="uint64") * np.uint64(2) + np.uint64(1)
 _BAND = _rng.integers(0, 1 << 63, 2 * _PER_BAND, dtype="uint64") * np.uint64(2) + np.uint64(1)
 BLOCK = 1024
+#: Bits of a set's parities.
+ODD = 2048
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -99,7 +101,16 @@ def bands(s: np.ndarray) -> np.ndarray:
     return mixed((mixed(both) * _BAND[None, :]).sum(1, dtype="uint64") + np.arange(BANDS, dtype="uint64")).view("int64")
 
 
-_SIGNED = "doc_id string, n bigint, class_a bigint, class_b bigint, bands array<bigint>"
+def parities(s: np.ndarray) -> np.ndarray:
+    """Whether a set holds an odd number of shingles of each of ``ODD`` parts of the hash range, as 64-bit words.
+
+    Every shingle that only one of two sets holds turns one bit, so their parities differ
+    in no more places than the sets differ in shingles.
+    """
+    return np.packbits(np.bincount((s >> np.uint64(32)).astype("int64") % ODD, minlength=ODD).astype("uint8") & 1).view("int64")
+
+
+_SIGNED = "doc_id string, n bigint, class_a bigint, class_b bigint, bands array<bigint>, odd array<bigint>"
 
 
 def _sign(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
@@ -112,10 +123,10 @@ def _sign(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
             s = shingle_hashes(words(text), known, size)
             if len(s):
                 a, c = (mixed(s ^ np.uint64(k)).sum(dtype="uint64").view("int64") for k in (0x51, 0xA3))
-                out.append((doc_id, len(s), a, c, bands(s)))
+                out.append((doc_id, len(s), a, c, bands(s), parities(s)))
             else:
-                out.append((doc_id, 0, 0, 0, np.zeros(0, "int64")))
-        got = pd.DataFrame(out, columns=["doc_id", "n", "class_a", "class_b", "bands"])
+                out.append((doc_id, 0, 0, 0, np.zeros(0, "int64"), np.zeros(0, "int64")))
+        got = pd.DataFrame(out, columns=["doc_id", "n", "class_a", "class_b", "bands", "odd"])
         got["doc_id"] = got["doc_id"].astype("object")
         yield got
 
@@ -125,7 +136,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def signed(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """doc_id, size, class (128 bits) and bands of every document."""
+    """doc_id, size, class (128 bits), bands and parities of every document."""
     rows = _texts(docs).withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(lambda b: _sign(b, size), _SIGNED)
     return rows.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
@@ -218,8 +229,11 @@ def _across(met: DataFrame, first: DataFrame, found: DataFrame, named: DataFrame
 
     What a node shares with another is at most its set without the shingles that
     only it has; where that is too little for the similarity no pair is made (of a
-    group of copies with many edits each, hardly any).  A pair is met in the first
-    band that it shares, so it is made once.
+    group of copies with many edits each, hardly any).  Nor is one made where the
+    parities differ in more places than the sets of a link may differ in shingles:
+    of a group of copies, only pairs close to the similarity asked for are left.
+    Both are bounds, not estimates.  A pair is met in the first band that it shares,
+    so it is made once.
     """
     key = ["place", "band"]
     split = met.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("pivot_n")
@@ -231,11 +245,13 @@ def _across(met: DataFrame, first: DataFrame, found: DataFrame, named: DataFrame
     own = _own(here.select("node").distinct(), docs, size).join(several_texts, "node", "left").select("node", F.coalesce("none", "own").alias("own"))
     here = here.join(own, "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
     here = here.where(DEN * F.col("most") >= NUM * F.col("n"))  # else nothing can be similar enough
-    here = here.join(reps.select(F.col("doc_id").alias("node"), "bands"), "node")
-    a = here.select(*key, F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("component").alias("pc"), F.col("far").alias("pf"), F.col("bands").alias("pb"), F.col("most").alias("pm"))
+    here = here.join(reps.select(F.col("doc_id").alias("node"), "bands", "odd"), "node")
+    a = here.select(*key, F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("component").alias("pc"), F.col("far").alias("pf"), F.col("bands").alias("pb"), F.col("odd").alias("po"), F.col("most").alias("pm"))
     apart = F.coalesce(F.abs(F.col("far") - F.col("pf")) <= 1 - NUM / DEN + 1e-9, F.lit(True))
     earlier = F.exists(F.slice(F.zip_with("bands", "pb", lambda x, y: x == y), F.lit(1), F.col("place")), lambda e: e)
     share = F.least("most", "pm")
     enough = DEN * share >= NUM * (F.col("n") + F.col("pn") - share)
-    pairs = a.join(here, key).where(enough & (F.col("pivot") < F.col("node")) & (F.col("pc") != F.col("component")) & _close("n", "pn") & apart & ~earlier)
+    differ = F.aggregate(F.zip_with("odd", "po", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    few = (DEN + NUM) * differ <= (DEN - NUM) * (F.col("n") + F.col("pn"))
+    pairs = a.join(here, key).where(enough & (F.col("pivot") < F.col("node")) & (F.col("pc") != F.col("component")) & _close("n", "pn") & apart & ~earlier & few)
     return pairs.select("pivot", "node").distinct()

@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -264,6 +265,30 @@ def test_minhash_chain_across_pivots(spark):
     assert got == {i: v[1] for i, v in brute_groups(rows, 5).items()} and set(got.values()) == {0}
 
 
+def test_parities_differ_in_no_more_places_than_sets():
+    rng = np.random.default_rng(3)
+    for n, d in [(1, 1), (100, 30), (5000, 900), (40_000, 20_000)]:
+        s = rng.integers(0, 1 << 63, n + d, dtype="uint64")
+        a, b = minhash.parities(s[:n]), minhash.parities(s[d:])
+        differ = int(np.bitwise_count((a ^ b).view("uint64")).sum())
+        assert differ <= 2 * d and len(a) == minhash.ODD // 64 and (minhash.parities(s[:n]) == a).all()
+        assert n != 100 or differ > d  # and in nearly as many, where there are fewer shingles than places
+
+
+def test_minhash_group_of_distant_copies_makes_few_pairs(spark, monkeypatch):
+    """Copies of one text without a few words each: those further from it than a link may be are not all compared with one another."""
+    rng, made = random.Random(11), []
+    words = [f"w{i}" for i in range(120)]
+    texts = [words] + [[w for i, w in enumerate(words) if i not in gone] for gone in (set(rng.sample(range(60), 2 + k % 3)) for k in range(120))]
+    rows = [(k, " ".join(w)) for k, w in enumerate(texts)]
+    across = minhash._across
+    monkeypatch.setattr(minhash, "_across", lambda *a: made.append(across(*a)) or made[0])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_groups(rows, 5)
+    far = sum(v[1] == k for k, v in got.items())
+    assert far > 10 and made[0].count() < 2 * len(rows)
+
+
 def test_minhash_odd_rows(odd, none):
     got = [tuple(r) for r in minhash.groups(odd).collect()]
     assert len(got) == 13 and all(c is None and k for i, _, c, k in got if i is None)
