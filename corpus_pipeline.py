@@ -10,7 +10,7 @@ from parleo.llm.common import load, shared_table
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the machine trained on the labelled ones does not predict toxic."""
-    return toxicity.clean(docs, toxicity.train(toxicity.sample(docs, load(spark, sf_dir, "labels"))))
+    return toxicity.clean(docs, toxicity.trained(docs, load(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

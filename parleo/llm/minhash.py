@@ -198,7 +198,7 @@ def groups(docs: DataFrame, size: int = WORDS) -> DataFrame:
     second = _across(met, first, found, named, reps, docs, size)
     more = shared_table(_linked(verified(second, docs, size)))
     if not more.isEmpty():
-        found = components(links.unionByName(more))
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))  # found stands for the links
     of_rep = classes.join(found, classes["rep"] == found["node"], "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     rows = s.select("doc_id", *key).join(of_rep, key, "left")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)

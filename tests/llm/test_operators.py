@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -193,6 +194,49 @@ def test_toxicity_of_whole_texts(insults, unseen):
     assert found.sum() >= 54 and clean.sum() >= 54
 
 
+def test_toxicity_is_trained_off_the_driver(spark, monkeypatch):
+    rows = toxic_rows()
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(0, 1), (0, 0)], "doc_id bigint, toxic int")
+    used = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5]
+    here = toxicity.train(used)
+    assert sorted(map(tuple, toxicity.sample(docs, labels).collect())) == sorted(used)
+    assert 17 <= toxicity.sample(docs, labels, 10).count() <= 20
+
+    def never(*_):
+        raise AssertionError("trained on the driver")
+    monkeypatch.setattr(toxicity, "train", never)
+    m = toxicity.trained(docs, labels)
+    texts = [t for _, t, _ in rows]
+    assert np.allclose(toxicity.scores(m, texts), toxicity.scores(here, texts), atol=1e-6)
+
+
+def test_toxicity_passages():
+    """The passage that speaks most for the label, against counted strings."""
+    rng = random.Random(5)
+    texts = ["", "a", "abcde", "日本語の文字", "😀😀😀😀😀😀😀"] + ["".join(rng.choices("abc日😀", k=rng.randint(1, 90))) for _ in range(60)]
+    positive, negative = [t for t in texts[::2] if t], [t for t in texts[1::2] if t]
+
+    def grams(t):
+        return [t[i:i + 6] for i in range(max(1, len(t) - 5))]
+    count = [Counter(x for t in part for x in set(grams(t))) for part in (negative, positive)]
+    worth = {x: n ** 0.5 * np.log((n + 0.2) / (count[0][x] + 0.2) * 31 / 32) for x, n in count[1].items()}
+    for t, at in zip(positive, toxicity._telling(positive, negative, [31, 32])):
+        assert np.isclose(worth[grams(t)[at]], max(worth.values() if not grams(t) else (worth[x] for x in grams(t))), rtol=1e-12)
+
+
+def test_toxicity_training_memory():
+    """Working memory of training: neither strings nor doubles for every passage and every piece of the sample."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(6000)]
+    rows = [(" ".join(rng.choices(words, k=250) + ["gobshite"] * (i % 2)), i % 2) for i in range(400)]
+    tracemalloc.start()
+    toxicity.train(rows)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 90  # MB; 65 measured, 115 before
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1), (99, None), (7, 0), (8, 1)], "doc_id bigint, toxic int")
     got = toxicity.toxicity(odd, labels).collect()
