@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parleo.llm.common import id_text, map_texts, shared_table
+from parleo.llm.common import give_back, id_text, lean, map_texts, shared_table
 
 WINDOW = 10
 SHINGLE = 3
@@ -85,7 +85,7 @@ def _frequencies(docs: DataFrame, keys: set[tuple[bytes, ...]]) -> dict[tuple[by
                     total[s] += 1
         yield pd.DataFrame({"k": pd.Series(list(total.keys()), dtype="int64"), "n": pd.Series(list(total.values()), dtype="int64")})
 
-    rows = docs.select("text").mapInPandas(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInPandas(lean(count), "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()
     return defaultdict(int, {names[r["k"]]: r["n"] for r in rows})
 
 
@@ -147,7 +147,9 @@ def _hits(docs: DataFrame, block: list[tuple[str | None, list[bytes]]]):
 
     @F.pandas_udf(T.BooleanType())
     def hit(text: pd.Series) -> pd.Series:
-        return pd.Series([next(occurrences(words((t or "").encode()), shared.value), None) is not None for t in text], dtype=bool)
+        out = pd.Series([next(occurrences(words((t or "").encode()), shared.value), None) is not None for t in text], dtype=bool)
+        give_back()
+        return out
 
     return hit
 

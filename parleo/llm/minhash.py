@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parleo.llm.common import shared_table, utf8
+from parleo.llm.common import lean, shared_table, utf8
 from parleo.llm.components import components
 
 WORDS = 5
@@ -137,7 +137,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def signed(docs: DataFrame, size: int = WORDS) -> DataFrame:
     """doc_id, size, class (128 bits), bands and parities of every document."""
-    rows = _texts(docs).withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(lambda b: _sign(b, size), _SIGNED)
+    rows = _texts(docs).withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(lean(lambda b: _sign(b, size)), _SIGNED)
     return rows.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
@@ -161,7 +161,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int = WORDS) -> DataFrame:
     one = pairs.join(texts.withColumnRenamed("doc_id", "node"), "node")
     other = texts.select(F.col("doc_id").alias("pivot"), F.col("text").alias("text_pivot"))
     found = one.join(other, "pivot").select("pivot", "node", "text_pivot", "text")
-    return found.mapInPandas(lambda b: _compare(b, size), "pivot bigint, node bigint, same bigint, all bigint").groupBy("pivot", "node").agg(
+    return found.mapInPandas(lean(lambda b: _compare(b, size)), "pivot bigint, node bigint, same bigint, all bigint").groupBy("pivot", "node").agg(
         F.max_by(F.struct("same", "all"), F.col("same") / F.col("all")).alias("s")).select("pivot", "node", "s.same", "s.all")
 
 
@@ -219,7 +219,7 @@ def _lists(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]
 def _own(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """(node, own): shingles of a node that no other of the given nodes holds, so that no link can share them."""
     texts = _texts(docs).withColumnRenamed("doc_id", "node")
-    lists = texts.join(nodes, "node").mapInPandas(lambda b: _lists(b, size), "node bigint, h bigint")
+    lists = texts.join(nodes, "node").mapInPandas(lean(lambda b: _lists(b, size)), "node bigint, h bigint")
     once = lists.groupBy("h").agg(F.count("*").alias("times"), F.min("node").alias("node")).where("times = 1")
     return once.groupBy("node").agg(F.count("*").alias("own"))
 

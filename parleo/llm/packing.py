@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parleo.llm.common import id_text, shared_table
+from parleo.llm.common import give_back, id_text, lean, shared_table
 
 SEQUENCE = 4096
 END = 1
@@ -73,6 +73,10 @@ class _Words:
     def __init__(self):
         self.path, self.tokenizer, self.model, self.four, self.ids, self.old, self.marks = None, None, None, [], {}, {}, {}
 
+    def forget(self) -> None:
+        """Drop all that is kept of texts."""
+        self.path, self.ids, self.old, self.marks = None, {}, {}, {}
+
     def _open(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library would start threads for all
         from tokenizers import Tokenizer
@@ -182,11 +186,13 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE) -> DataFrame:
                     for k, a in enumerate(range(0, len(raw), 4 * size)):
                         part = raw[a:a + 4 * size]
                         out.append((doc_id, k, a // 4, len(part) // 4, zlib.crc32(part)))
+                give_back()  # what cutting took, before the next texts
             got = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             got["doc_id"] = got["doc_id"].astype("object")
             yield got
+        _words.forget()  # a task has its own copy
 
-    return id_text(docs).withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, PIECES)
+    return id_text(docs).withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(lean(run), PIECES)
 
 
 Bins = list[list[int]]

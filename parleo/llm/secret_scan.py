@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parleo.llm.common import id_text, map_texts, shared_table
+from parleo.llm.common import give_back, id_text, lean, map_texts, shared_table
 
 KINDS = ("assign", "access", "hex")
 ADDED = "format"
@@ -262,7 +262,7 @@ def _labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def learn(docs: DataFrame) -> Formats:
     """Automata from a bounded sample of the values that the base patterns label."""
-    found = shared_table(id_text(docs).select("text").mapInPandas(_labelled, _FOUND).distinct())
+    found = shared_table(id_text(docs).select("text").mapInPandas(lean(_labelled), _FOUND).distinct())
     got: dict[str, list[str]] = {}
     for k in (*KINDS, *_ORDINARY):
         rows = found.where(F.col("kind") == k).orderBy("place", "value").limit(WORDS // 2 if k in _ORDINARY else SAMPLE)
@@ -312,7 +312,9 @@ def redact(docs: DataFrame, formats: Formats) -> DataFrame:
 
     @F.pandas_udf("string")
     def masked(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: t if t is None else mask(t, shared.value))
+        out = text.map(lambda t: t if t is None else mask(t, shared.value))
+        give_back()
+        return out
 
     out = docs.withColumn("text", masked(docs["text"].cast("string")))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parleo.llm.common import fold_col, id_text, map_texts
+from parleo.llm.common import fold_col, give_back, id_text, lean, map_texts
 
 ORDER = 4
 SHORT = 0.5
@@ -459,7 +459,7 @@ def _fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def trained(docs: DataFrame, labels: DataFrame) -> Machine:
     """Fit on the sample in one task: its texts and the working memory stay off the driver, which gets the machine."""
-    got = sample(docs, labels).repartition(1).mapInPandas(_fit, "machine binary").collect()
+    got = sample(docs, labels).repartition(1).mapInPandas(lean(_fit), "machine binary").collect()
     return pickle.loads(zlib.decompress(got[0]["machine"])) if got else train([])
 
 
@@ -486,7 +486,9 @@ def clean(docs: DataFrame, machine: Machine) -> DataFrame:
 
     @F.pandas_udf(T.DoubleType())
     def probability(text: pd.Series) -> pd.Series:
-        return pd.Series(scores(shared.value, [t or "" for t in text]), dtype="float64")
+        out = pd.Series(scores(shared.value, [t or "" for t in text]), dtype="float64")
+        give_back()
+        return out
 
     return docs.where(probability(docs["text"].cast("string")) < 0.5)
 
